@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reports are period reports over closed date ranges; none of them keeps
+state across batches or reads an unbounded source, so there is no streaming
+operator to provide.  A caller that lands new facts continuously can run any
+report per micro-batch with ``foreachBatch`` over the written tables; the
+reports themselves stay batch DataFrames.
+"""
