@@ -25,7 +25,9 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str,
     renamed per ``take`` (``{dim_column: new_name}``).  With
     ``drop_key=True`` the left key column is dropped (used when a code
     replaces its id under the same name)."""
-    tmp = {dst: f"__{dst}" for dst in take.values()}
+    # Positional internal names: two lookups of the same dimension columns
+    # build the same plan, so Spark reuses one broadcast / exchange for both.
+    tmp = {dst: f"__v{i}" for i, dst in enumerate(take.values())}
     d = dim.select(F.col(dim_key).alias("__k"),
                    *[F.col(src).alias(tmp[dst]) for src, dst in take.items()])
     out = df.join(d, df[left_key] == d["__k"], how).drop("__k")

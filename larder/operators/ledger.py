@@ -81,28 +81,64 @@ def _store_purchases(c: Catalog, p: LedgerParams) -> DataFrame:
     return c["InvoiceItem"].join(inv, "Invoice")
 
 
-def _transfer_usage(c: Catalog, p: LedgerParams, own_side: str, other_side: str) -> DataFrame:
-    """Store usage booked on ``own_side`` of a transfer, with the transfer and
-    the Identifier of the store at the other end."""
-    tc = c["TransferContext"].select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
-    t = c["Transfer"].select("TransferId", "TransferDate", F.col(own_side).alias("own_ctx"),
-                             F.col(other_side).alias("other_ctx"))
-    other = c["TransferContext"].select(F.col("TransferContextId").alias("other_ctx"),
-                                        F.col("Store").alias("other_store"))
-    j = store_usage(c, p).join(tc, "UsageSource").join(t, "own_ctx").join(other, "other_ctx")
-    return lookup(j, c["Store"], "other_store", "StoreId", {"Identifier": "Counterparty"})
+USAGE_KINDS = (WASTE, TRANSFER_IN, TRANSFER_OUT)
+COUNT_KINDS = (OPENING, ENDING)
+
+
+def _usage_parts(c: Catalog, p: LedgerParams, kinds) -> tuple[DataFrame | None, DataFrame | None]:
+    """Store usage matched to waste events, and to the store's own end of
+    transfers (both directions in one join against the transfer table read
+    in its two roles).  Each row carries its activity type."""
+    usage = store_usage(c, p)
+    waste = None
+    if WASTE in kinds:
+        waste = usage.join(c["Waste"].select("UsageSource", "WasteDate"), "UsageSource").select(
+            "Item", F.col("WasteDate").alias("ActivityDate"), F.lit(WASTE).alias("ActivityTypeName"),
+            F.lit("").alias("PurchaseInfo"), "StockQty", "TrackingCost")
+    roles = []
+    for kind, own, other in ((TRANSFER_IN, "Receiver", "Sender"), (TRANSFER_OUT, "Sender", "Receiver")):
+        if kind in kinds:
+            roles.append(c["Transfer"].select(
+                F.col(own).alias("own_ctx"), F.col("TransferDate").alias("ActivityDate"),
+                F.lit(kind).alias("ActivityTypeName"), F.col("TransferId").cast("string").alias("PurchaseInfo"),
+                F.col(other).alias("other_ctx")))
+    transfers = None
+    if roles:
+        tc = c["TransferContext"].select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
+        transfers = (usage.join(tc, "UsageSource").join(reduce(DataFrame.unionByName, roles), "own_ctx")
+                     .select("Item", "ActivityDate", "ActivityTypeName", "PurchaseInfo",
+                             "other_ctx", "StockQty", "TrackingCost"))
+    return waste, transfers
+
+
+def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
+    """Waste and transfer activity per item and event, one aggregation for
+    all three kinds: ``(ItemId, ActivityDate, ActivityTypeName, PurchaseInfo,
+    SupplierName, q, v)`` with ``q = sum(StockQty)`` and
+    ``v = sum(StockQty * TrackingCost)``.  Transfers are keyed by transfer id
+    and the counterparty store's Identifier."""
+    waste, transfers = _usage_parts(c, p, kinds)
+    parts = []
+    if waste is not None:
+        parts.append(waste.withColumn("SupplierName", F.lit(None).cast("string")))
+    if transfers is not None:
+        other = c["TransferContext"].select(F.col("TransferContextId").alias("other_ctx"),
+                                            F.col("Store").alias("other_store"))
+        t = lookup(transfers.join(other, "other_ctx"), c["Store"], "other_store", "StoreId",
+                   {"Identifier": "SupplierName"})
+        parts.append(t.drop("other_ctx", "other_store"))
+    rows = reduce(DataFrame.unionByName, parts)
+    return (rows.groupBy(F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "PurchaseInfo",
+                         "SupplierName")
+            .agg(F.sum("StockQty").alias("q"), F.sum(F.col("StockQty") * F.col("TrackingCost")).alias("v")))
 
 
 def active_items(c: Catalog, p: LedgerParams) -> DataFrame:
     """Distinct items with a purchase, waste, transfer in or transfer out at
-    the store in the period (counts alone do not make an item active)."""
-    usage = store_usage(c, p)
-    waste = usage.join(c["Waste"].select("UsageSource"), "UsageSource")
-    tc = c["TransferContext"].select("TransferContextId", "UsageSource")
-    with_ctx = usage.join(tc, "UsageSource")
-    t_in = with_ctx.join(c["Transfer"].select(F.col("Receiver").alias("TransferContextId")), "TransferContextId")
-    t_out = with_ctx.join(c["Transfer"].select(F.col("Sender").alias("TransferContextId")), "TransferContextId")
-    frames = [_store_purchases(c, p), waste, t_in, t_out]
+    the store in the period (counts alone do not make an item active).
+    Built from the same usage subplans as the ledger branches."""
+    waste, transfers = _usage_parts(c, p, USAGE_KINDS)
+    frames = [_store_purchases(c, p), waste, transfers]
     return distinct_keys([f.select(F.col("Item").alias("ItemId")) for f in frames], "ItemId")
 
 
@@ -154,37 +190,90 @@ def _info_fields(store_label: Column) -> dict[str, Column]:
 # Branches
 # --------------------------------------------------------------------------
 
-def _count_branch(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame,
-                  date_col: str, label: str) -> DataFrame:
-    inv = (c["Inventory"].where((F.col("Store") == p.store) & F.col("Finalized").isNotNull()
-                                & between(F.col(date_col), p.start, p.end))
-           .select(F.col("InventoryId").alias("Inventory"), F.col(date_col).alias("ActivityDate")))
-    lines = (c["InventorySummary"].join(inv, "Inventory")
-             .select(F.col("Item").alias("ItemId"), "ActivityDate", "QtyOnHand", "PreppedQty", "TotalValue"))
-    j = (lines.join(active, "ItemId", "left_semi")
-         .join(_items_like(c, p), "ItemId").join(info, "ItemId"))
-    qty = reporting_qty(F.col("QtyOnHand") + F.col("PreppedQty"), F.col("ReportingConversionFactor"))
+def count_events(c: Catalog, p: LedgerParams, active: DataFrame, kinds=COUNT_KINDS) -> DataFrame:
+    """Lines of the store's finalized counts opened (``Opening Inventory``)
+    or closed (``Ending Inventory``) in the period, active items only: a
+    count with both dates in the period gives both rows."""
+    roles = []
+    for kind, col in ((OPENING, "OpenDate"), (ENDING, "CloseDate")):
+        if kind in kinds:
+            roles.append(c["Inventory"].where(
+                (F.col("Store") == p.store) & F.col("Finalized").isNotNull() & between(F.col(col), p.start, p.end))
+                .select(F.col("InventoryId").alias("Inventory"), F.col(col).alias("ActivityDate"),
+                        F.lit(kind).alias("ActivityTypeName")))
+    inv = reduce(DataFrame.unionByName, roles)
+    lines = c["InventorySummary"].join(inv, "Inventory").select(
+        F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "QtyOnHand", "PreppedQty",
+        "TotalValue")
+    return lines.join(active, "ItemId", "left_semi")
+
+
+def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame | None,
+                kinds=COUNT_KINDS + USAGE_KINDS) -> DataFrame:
+    """Ledger rows whose packaging and costs come from the item lookup:
+    counts, waste and transfers, joined to the item and the lookup once for
+    all kinds.  Quantities are in stock units until divided by the factor."""
+    parts = []
+    if set(kinds) & set(COUNT_KINDS):
+        counts = count_events(c, p, active, kinds)
+        parts.append(counts.select(
+            "ItemId", "ActivityDate", "ActivityTypeName", F.lit("").alias("PurchaseInfo"),
+            F.lit(None).cast("string").alias("SupplierName"),
+            (F.col("QtyOnHand") + F.col("PreppedQty")).alias("raw_qty"),
+            F.col("TotalValue").alias("raw_value"), F.lit(True).alias("is_count")))
+    if set(kinds) & set(USAGE_KINDS):
+        ev = usage_events(c, p, [k for k in USAGE_KINDS if k in kinds])
+        # Transfers in keep the usage value's sign; waste and transfers out negate it.
+        value = F.when(F.col("ActivityTypeName") == TRANSFER_IN, F.col("v")).otherwise(-F.col("v"))
+        parts.append(ev.select("ItemId", "ActivityDate", "ActivityTypeName", "PurchaseInfo", "SupplierName",
+                               (-F.col("q")).alias("raw_qty"), value.alias("raw_value"),
+                               F.lit(False).alias("is_count")))
+    events = reduce(DataFrame.unionByName, parts)
+    j = events.join(_items_like(c, p), "ItemId").join(info, "ItemId")
+    qty = reporting_qty(F.col("raw_qty"), F.col("ReportingConversionFactor"))
     return j.select(*as_ledger(
         ItemId=F.col("ItemId"), ItemDescrip=F.col("ItemDescrip"), ActivityDate=F.col("ActivityDate"),
-        ActivityTypeName=F.lit(label), Amount=qty, QtyOnHand=qty, Value=F.col("TotalValue"),
-        PurchaseInfo=F.lit(""), SupplierName=F.lit(None),
+        ActivityTypeName=F.col("ActivityTypeName"), Amount=qty,
+        QtyOnHand=F.when(F.col("is_count"), qty).otherwise(F.lit(0)), Value=F.col("raw_value"),
+        PurchaseInfo=F.col("PurchaseInfo"), SupplierName=F.col("SupplierName"),
         **_info_fields(store_name(c, p.store))))
 
 
+def _branch(c: Catalog, p: LedgerParams, info: DataFrame | None, active: DataFrame | None, kind: str):
+    info = item_info(c, p) if info is None else info
+    if kind in COUNT_KINDS and active is None:
+        active = active_items(c, p)
+    return info_ledger(c, p, info, active, (kind,))
+
+
 def ledger_opening_inventory(c: Catalog, p: LedgerParams, info: DataFrame | None = None,
                              active: DataFrame | None = None) -> DataFrame:
     """Finalized counts of the store opened in the period, active items only."""
-    info = item_info(c, p) if info is None else info
-    active = active_items(c, p) if active is None else active
-    return _count_branch(c, p, info, active, "OpenDate", OPENING)
+    return _branch(c, p, info, active, OPENING)
 
 
 def ledger_ending_inventory(c: Catalog, p: LedgerParams, info: DataFrame | None = None,
                             active: DataFrame | None = None) -> DataFrame:
     """Finalized counts of the store closed in the period, active items only."""
-    info = item_info(c, p) if info is None else info
-    active = active_items(c, p) if active is None else active
-    return _count_branch(c, p, info, active, "CloseDate", ENDING)
+    return _branch(c, p, info, active, ENDING)
+
+
+def ledger_waste(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
+    """Waste per item and waste date (store and period tested on the usage
+    source): quantity and value are negated sums."""
+    return _branch(c, p, info, None, WASTE)
+
+
+def ledger_transfer_in(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
+    """Receipts by transfer, per item and transfer; counterparty = the
+    sending store's Identifier; the value keeps the usage sign."""
+    return _branch(c, p, info, None, TRANSFER_IN)
+
+
+def ledger_transfer_out(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
+    """Shipments by transfer, per item and transfer; counterparty = the
+    receiving store's Identifier."""
+    return _branch(c, p, info, None, TRANSFER_OUT)
 
 
 def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
@@ -229,64 +318,12 @@ def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None)
         ReportingUom=F.col("ReportingUom")))
 
 
-def ledger_waste(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
-    """Waste per item and waste date (store and period tested on the usage
-    source): quantity and value are negated sums."""
-    info = item_info(c, p) if info is None else info
-    w = c["Waste"].select("UsageSource", "WasteDate")
-    agg = (store_usage(c, p).join(w, "UsageSource")
-           .groupBy(F.col("Item").alias("ItemId"), F.col("WasteDate").alias("ActivityDate"))
-           .agg(F.sum("StockQty").alias("q"), F.sum(F.col("TrackingCost") * F.col("StockQty")).alias("v")))
-    j = agg.join(_items_like(c, p), "ItemId").join(info, "ItemId")
-    return j.select(*as_ledger(
-        ItemId=F.col("ItemId"), ItemDescrip=F.col("ItemDescrip"), ActivityDate=F.col("ActivityDate"),
-        ActivityTypeName=F.lit(WASTE), Amount=reporting_qty(-F.col("q"), F.col("ReportingConversionFactor")),
-        QtyOnHand=F.lit(0), Value=-F.col("v"), PurchaseInfo=F.lit(""), SupplierName=F.lit(None),
-        **_info_fields(store_name(c, p.store))))
-
-
-def _transfer_branch(c: Catalog, p: LedgerParams, info: DataFrame, incoming: bool) -> DataFrame:
-    own, other = ("Receiver", "Sender") if incoming else ("Sender", "Receiver")
-    agg = (_transfer_usage(c, p, own, other)
-           .groupBy(F.col("Item").alias("ItemId"), "TransferDate", "TransferId", "Counterparty")
-           .agg(F.sum("StockQty").alias("q"), F.sum(F.col("StockQty") * F.col("TrackingCost")).alias("v")))
-    j = agg.join(_items_like(c, p), "ItemId").join(info, "ItemId")
-    # Transfers in keep the usage value's sign; transfers out negate it.
-    value = F.col("v") if incoming else -F.col("v")
-    return j.select(*as_ledger(
-        ItemId=F.col("ItemId"), ItemDescrip=F.col("ItemDescrip"), ActivityDate=F.col("TransferDate"),
-        ActivityTypeName=F.lit(TRANSFER_IN if incoming else TRANSFER_OUT),
-        Amount=reporting_qty(-F.col("q"), F.col("ReportingConversionFactor")),
-        QtyOnHand=F.lit(0), Value=value, PurchaseInfo=F.col("TransferId").cast("string"),
-        SupplierName=F.col("Counterparty"), **_info_fields(store_name(c, p.store))))
-
-
-def ledger_transfer_in(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
-    """Receipts by transfer, per item and transfer; counterparty = the
-    sending store's Identifier."""
-    return _transfer_branch(c, p, item_info(c, p) if info is None else info, incoming=True)
-
-
-def ledger_transfer_out(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
-    """Shipments by transfer, per item and transfer; counterparty = the
-    receiving store's Identifier."""
-    return _transfer_branch(c, p, item_info(c, p) if info is None else info, incoming=False)
-
-
 def activity_ledger(c: Catalog, p: LedgerParams, info: DataFrame | None = None,
                     with_subtotals: bool = False) -> DataFrame:
-    """All six branches in the 19-column ledger shape (bag union)."""
+    """All six activity kinds in the 19-column ledger shape (bag union):
+    purchases, plus counts / waste / transfers built together."""
     info = item_info(c, p) if info is None else info
-    active = active_items(c, p)
-    parts = [
-        ledger_opening_inventory(c, p, info, active),
-        ledger_purchases(c, p, info),
-        ledger_waste(c, p, info),
-        ledger_transfer_in(c, p, info),
-        ledger_transfer_out(c, p, info),
-        ledger_ending_inventory(c, p, info, active),
-    ]
-    ledger = reduce(DataFrame.unionByName, parts)
+    ledger = info_ledger(c, p, info, active_items(c, p)).unionByName(ledger_purchases(c, p, info))
     if with_subtotals:
         ledger = ledger.unionByName(activity_subtotal(ledger))
     return ledger

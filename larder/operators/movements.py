@@ -3,9 +3,9 @@
 Each movement kind is first expressed as narrow *line* rows
 ``(Item, measure...)`` already restricted to the store and period, and only
 then aggregated per item.  The individual operators (purchases, transfers
-out / in, waste) aggregate one kind; ``period_flows`` aggregates all four in a
-single pass over their union, which is what the summary uses: one shuffle on
-``Item`` with map-side partial sums instead of four.
+out / in, waste, counts) each aggregate one kind; ``period_movements``
+aggregates all of them in a single pass over their union, which is what the
+summary uses: one shuffle on ``Item`` with map-side partial sums.
 """
 
 from __future__ import annotations
@@ -79,33 +79,49 @@ def period_waste(c: Catalog, p: Period) -> DataFrame:
     return waste_lines(c, p).groupBy("Item").agg(F.sum("qty").cast(SUM_QTY).alias("WasteQty"))
 
 
-def period_flows(c: Catalog, p: Period) -> DataFrame:
-    """All four movement kinds per item in one aggregation:
-    ``(Item, InvoiceSum, InvoiceValue, TransferOutQty, TransferInQty,
-    WasteQty)``; a kind with no rows for the item is NULL, exactly as a left
-    join to that kind's own per-item aggregate would give."""
-    none = F.lit(None).cast(SUM_QTY)
-    nonev = F.lit(None).cast(SUM_VALUE)
-
-    def tagged(df: DataFrame, purchase=None, pvalue=None, out=None, inn=None, waste=None):
-        return df.select("Item",
-                         (purchase if purchase is not None else none).cast(SUM_QTY).alias("p_qty"),
-                         (pvalue if pvalue is not None else nonev).cast(SUM_VALUE).alias("p_val"),
-                         (out if out is not None else none).cast(SUM_QTY).alias("o_qty"),
-                         (inn if inn is not None else none).cast(SUM_QTY).alias("i_qty"),
-                         (waste if waste is not None else none).cast(SUM_QTY).alias("w_qty"))
-
-    u = (tagged(purchase_lines(c, p), purchase=F.col("qty"), pvalue=F.col("value"))
-         .unionByName(tagged(transfer_lines(c, p, "Sender"), out=F.col("qty")))
-         .unionByName(tagged(transfer_lines(c, p, "Receiver"), inn=F.col("qty")))
-         .unionByName(tagged(waste_lines(c, p), waste=F.col("qty"))))
-    return u.groupBy("Item").agg(
-        F.sum("p_qty").cast(SUM_QTY).alias("InvoiceSum"),
-        F.sum("p_val").cast(SUM_VALUE).alias("InvoiceValue"),
-        F.sum("o_qty").cast(SUM_QTY).alias("TransferOutQty"),
-        F.sum("i_qty").cast(SUM_QTY).alias("TransferInQty"),
-        F.sum("w_qty").cast(SUM_QTY).alias("WasteQty"),
-    )
+MEASURES = {
+    "open_qoh": SUM_QTY, "open_prep": SUM_QTY, "open_val": SUM_VALUE,
+    "close_qoh": SUM_QTY, "close_prep": SUM_QTY, "close_val": SUM_VALUE,
+    "InvoiceSum": SUM_QTY, "InvoiceValue": SUM_VALUE,
+    "TransferOutQty": SUM_QTY, "TransferInQty": SUM_QTY, "WasteQty": SUM_QTY,
+}
+
+
+def _tagged(df: DataFrame, **measures) -> DataFrame:
+    """Rows of one movement kind in the common wide shape: the kind's own
+    measures filled, every other measure NULL."""
+    return df.select("Item", *[(measures.get(name, F.lit(None))).cast(t).alias(name)
+                               for name, t in MEASURES.items()])
+
+
+def period_movements(c: Catalog, p: Period, include_counts: bool = True) -> DataFrame:
+    """Every movement of the store in the period per item, in one
+    aggregation over the union of the kinds: ``(Item, open_qoh, open_prep,
+    open_val, close_qoh, close_prep, close_val, InvoiceSum, InvoiceValue,
+    TransferOutQty, TransferInQty, WasteQty)``.
+
+    A kind without rows for an item sums to NULL, as a left join to that
+    kind's per-item aggregate would give.  The opening / closing counts are
+    summed per item too, which equals joining the count lines as long as a
+    count holds one line per item (its natural key).  One shuffle on
+    ``Item`` with map-side partial sums replaces six joins, and a hot item
+    costs one partial row per input partition."""
+    parts = [
+        _tagged(purchase_lines(c, p), InvoiceSum=F.col("qty"), InvoiceValue=F.col("value")),
+        _tagged(transfer_lines(c, p, "Sender"), TransferOutQty=F.col("qty")),
+        _tagged(transfer_lines(c, p, "Receiver"), TransferInQty=F.col("qty")),
+        _tagged(waste_lines(c, p), WasteQty=F.col("qty")),
+    ]
+    if include_counts:
+        parts.append(_tagged(period_opening_inventory(c, p), open_qoh=F.col("QtyOnHand"),
+                             open_prep=F.col("PreppedQty"), open_val=F.col("TotalValue")))
+        parts.append(_tagged(period_closing_inventory(c, p), close_qoh=F.col("QtyOnHand"),
+                             close_prep=F.col("PreppedQty"), close_val=F.col("TotalValue")))
+    u = parts[0]
+    for part in parts[1:]:
+        u = u.unionByName(part)
+    names = [n for n in MEASURES if include_counts or not n.startswith(("open_", "close_"))]
+    return u.groupBy("Item").agg(*[F.sum(n).cast(MEASURES[n]).alias(n) for n in names])
 
 
 def period_count(c: Catalog, store: int, date_col: str, when) -> DataFrame:

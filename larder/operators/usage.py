@@ -13,8 +13,7 @@ from ..functions import SUMMARY_QTY, SUMMARY_VALUE, reporting_qty
 from ..params import Period
 from ..sources import Catalog
 from .dimensions import item_primary_location, recent_supplier, reporting_factor, with_category
-from .keyed import distinct_keys
-from .movements import period_closing_inventory, period_flows, period_opening_inventory
+from .movements import period_movements
 
 QTY_COLUMNS = ["OpenInvQty", "PurchaseQty", "TransferOutQty", "TransferInQty", "WasteQty", "EndInvQty"]
 SUMMARY_COLUMNS = ["ItemDescrip", "Supplier", "OrderCode", "Category_Name", "Item_Location", "UOM",
@@ -66,26 +65,17 @@ def usage_table(c: Catalog, p: Period, all_items: bool = False) -> DataFrame:
 
     With ``all_items=False`` only items with at least one movement or count
     line are built: every other item has all quantities zero or NULL, so the
-    movement filter would drop it anyway — starting from the movers instead
-    of the whole item master keeps the joins proportional to the period's
-    activity.  ``all_items=True`` builds every item (the full table)."""
-    flows = period_flows(c, p)
-    opening = period_opening_inventory(c, p).select(
-        "Item", F.col("QtyOnHand").alias("open_qoh"), F.col("PreppedQty").alias("open_prep"),
-        F.col("TotalValue").alias("open_val"))
-    closing = period_closing_inventory(c, p).select(
-        "Item", F.col("QtyOnHand").alias("close_qoh"), F.col("PreppedQty").alias("close_prep"),
-        F.col("TotalValue").alias("close_val"))
+    movement filter would drop it anyway — starting from the per-item
+    movements instead of the whole item master keeps the joins proportional
+    to the period's activity.  ``all_items=True`` builds every item (the full
+    table)."""
+    moves = period_movements(c, p)
     items = c["Item"].select(F.col("ItemId").alias("Item"), F.col("Descrip").alias("ItemDescrip"), "ItemGroup")
-    if not all_items:
-        items = items.join(distinct_keys([flows, opening, closing], "Item"), "Item")
+    items = items.join(moves, "Item", "left" if all_items else "inner")
     supplier = recent_supplier(c).select("Item", F.col("SupplierName").alias("Supplier"), "OrderCode")
     factor = reporting_factor(c, how="left", uom_field="Descrip", uom_name="UOM")
     j = (with_category(c, items, how="left", name="Category_Name")
          .join(item_primary_location(c, p.store), "Item", "left")
          .join(supplier, "Item", "left")
-         .join(opening, "Item", "left")
-         .join(closing, "Item", "left")
-         .join(flows, "Item", "left")
          .join(factor, "Item", "left"))
     return usage_balance(j)

@@ -57,12 +57,16 @@ def store(raw, dom, spark: SparkSession) -> DataFrame:
 
 
 def uom(raw, dom, spark: SparkSession) -> DataFrame:
-    schema = T.StructType([
-        T.StructField("UomId", T.IntegerType()),
-        T.StructField("Uom", T.StringType()),
-        T.StructField("Descrip", T.StringType()),
-    ])
-    return spark.createDataFrame(UOM_ROWS, schema)
+    # An inline VALUES table is a LocalRelation: the planner knows its exact
+    # size and broadcasts it directly.  (A DataFrame made from a Python list
+    # is an RDD scan without statistics, which costs a shuffle stage per join
+    # before AQE notices it is tiny.)
+    def lit(v):
+        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+    rows = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in UOM_ROWS)
+    return spark.sql(f"SELECT CAST(UomId AS INT) AS UomId, Uom, Descrip "
+                     f"FROM VALUES {rows} AS t(UomId, Uom, Descrip)")
 
 
 def vendor(raw, dom, spark: SparkSession) -> DataFrame:
