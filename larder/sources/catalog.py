@@ -65,6 +65,12 @@ class Catalog:
 
         return cls(spark, load)
 
+    @classmethod
+    def frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> "Catalog":
+        """Catalog over given DataFrames (tables already registered elsewhere,
+        or small hand-made tables in tests)."""
+        return cls(spark, lambda cat, name: frames[name])
+
     @classmethod
     def parquet(cls, spark: SparkSession, root: str) -> "Catalog":
         def load(cat: "Catalog", name: str) -> DataFrame:
