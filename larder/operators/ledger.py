@@ -85,16 +85,17 @@ USAGE_KINDS = (WASTE, TRANSFER_IN, TRANSFER_OUT)
 COUNT_KINDS = (OPENING, ENDING)
 
 
-def _usage_parts(c: Catalog, p: LedgerParams, kinds) -> tuple[DataFrame | None, DataFrame | None]:
-    """Store usage matched to waste events, and to the store's own end of
-    transfers (both directions in one join against the transfer table read
-    in its two roles).  Each row carries its activity type."""
-    usage = store_usage(c, p)
-    waste = None
+def _usage_roles(c: Catalog, kinds) -> DataFrame:
+    """What each usage source records, keyed by ``UsageSource``: a waste
+    event (dated by its waste date) and / or the store's own end of a
+    transfer — ``Transfer In`` when that end is the receiver, ``Transfer
+    Out`` when it is the sender — with the transfer id as reference and the
+    other end's context id."""
+    parts = []
     if WASTE in kinds:
-        waste = usage.join(c["Waste"].select("UsageSource", "WasteDate"), "UsageSource").select(
-            "Item", F.col("WasteDate").alias("ActivityDate"), F.lit(WASTE).alias("ActivityTypeName"),
-            F.lit("").alias("PurchaseInfo"), "StockQty", "TrackingCost")
+        parts.append(c["Waste"].select(
+            "UsageSource", F.col("WasteDate").alias("ActivityDate"), F.lit(WASTE).alias("ActivityTypeName"),
+            F.lit("").alias("PurchaseInfo"), F.lit(None).cast("bigint").alias("other_ctx")))
     roles = []
     for kind, own, other in ((TRANSFER_IN, "Receiver", "Sender"), (TRANSFER_OUT, "Sender", "Receiver")):
         if kind in kinds:
@@ -102,43 +103,43 @@ def _usage_parts(c: Catalog, p: LedgerParams, kinds) -> tuple[DataFrame | None,
                 F.col(own).alias("own_ctx"), F.col("TransferDate").alias("ActivityDate"),
                 F.lit(kind).alias("ActivityTypeName"), F.col("TransferId").cast("string").alias("PurchaseInfo"),
                 F.col(other).alias("other_ctx")))
-    transfers = None
     if roles:
         tc = c["TransferContext"].select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
-        transfers = (usage.join(tc, "UsageSource").join(reduce(DataFrame.unionByName, roles), "own_ctx")
-                     .select("Item", "ActivityDate", "ActivityTypeName", "PurchaseInfo",
-                             "other_ctx", "StockQty", "TrackingCost"))
-    return waste, transfers
+        parts.append(tc.join(reduce(DataFrame.unionByName, roles), "own_ctx").drop("own_ctx"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def usage_activity(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
+    """Store usage rows tagged with the activity their source records: one
+    join of the usage fact against all roles, so the fact is read once for
+    waste and both transfer directions."""
+    return store_usage(c, p).join(_usage_roles(c, kinds), "UsageSource")
 
 
 def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
-    """Waste and transfer activity per item and event, one aggregation for
-    all three kinds: ``(ItemId, ActivityDate, ActivityTypeName, PurchaseInfo,
-    SupplierName, q, v)`` with ``q = sum(StockQty)`` and
-    ``v = sum(StockQty * TrackingCost)``.  Transfers are keyed by transfer id
-    and the counterparty store's Identifier."""
-    waste, transfers = _usage_parts(c, p, kinds)
-    parts = []
-    if waste is not None:
-        parts.append(waste.withColumn("SupplierName", F.lit(None).cast("string")))
-    if transfers is not None:
-        other = c["TransferContext"].select(F.col("TransferContextId").alias("other_ctx"),
-                                            F.col("Store").alias("other_store"))
-        t = lookup(transfers.join(other, "other_ctx"), c["Store"], "other_store", "StoreId",
-                   {"Identifier": "SupplierName"})
-        parts.append(t.drop("other_ctx", "other_store"))
-    rows = reduce(DataFrame.unionByName, parts)
-    return (rows.groupBy(F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "PurchaseInfo",
-                         "SupplierName")
-            .agg(F.sum("StockQty").alias("q"), F.sum(F.col("StockQty") * F.col("TrackingCost")).alias("v")))
+    """Waste and transfer activity per item and event in one aggregation:
+    ``(ItemId, ActivityDate, ActivityTypeName, PurchaseInfo, SupplierName,
+    q, v)`` with ``q = sum(StockQty)`` and ``v = sum(StockQty *
+    TrackingCost)``.  Transfers are keyed by transfer id and carry the
+    Identifier of the store at the other end, looked up after aggregating
+    (a transfer whose other end is unknown is dropped, as an inner join
+    would)."""
+    agg = (usage_activity(c, p, kinds)
+           .groupBy(F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "PurchaseInfo", "other_ctx")
+           .agg(F.sum("StockQty").alias("q"), F.sum(F.col("StockQty") * F.col("TrackingCost")).alias("v")))
+    other = c["TransferContext"].select(F.col("TransferContextId").alias("other_ctx"),
+                                        F.col("Store").alias("other_store"))
+    counterparty = lookup(other, c["Store"], "other_store", "StoreId", {"Identifier": "SupplierName"}) \
+        .select("other_ctx", "SupplierName", F.lit(True).alias("_found"))
+    out = agg.join(counterparty, "other_ctx", "left")
+    return (out.where((F.col("ActivityTypeName") == WASTE) | F.col("_found").isNotNull())
+            .drop("other_ctx", "_found"))
 
 
 def active_items(c: Catalog, p: LedgerParams) -> DataFrame:
     """Distinct items with a purchase, waste, transfer in or transfer out at
-    the store in the period (counts alone do not make an item active).
-    Built from the same usage subplans as the ledger branches."""
-    waste, transfers = _usage_parts(c, p, USAGE_KINDS)
-    frames = [_store_purchases(c, p), waste, transfers]
+    the store in the period (counts alone do not make an item active)."""
+    frames = [_store_purchases(c, p), usage_activity(c, p)]
     return distinct_keys([f.select(F.col("Item").alias("ItemId")) for f in frames], "ItemId")
 
 

@@ -17,6 +17,7 @@ backs it.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,12 +80,20 @@ class Catalog:
         return cls(spark, load)
 
 
-def materialize(catalog: Catalog, root: str, mode: str = "overwrite") -> None:
-    """Write every domain table once as Parquet under ``root`` (a shared
-    folder on a cluster).  Store-keyed headers are partitioned by store so a
-    one-store report prunes whole directories."""
+def materialize(catalog: Catalog, root: str | None = None, mode: str = "overwrite") -> str:
+    """Write every domain table once as Parquet and return the folder.
+
+    ``root`` defaults to a new folder under the session's
+    ``spark.checkpoint.dir`` (the cluster's shared folder; tests get a local
+    one).  Store-keyed headers are partitioned by store so a one-store report
+    prunes whole directories.  Read back with ``Catalog.parquet(spark, root)``;
+    the written tables also cut the lineage of the derivation."""
+    if root is None:
+        from ..session import ensure_checkpoint_dir
+        root = os.path.join(ensure_checkpoint_dir(catalog.spark), f"larder-domain-{uuid.uuid4().hex[:12]}")
     for name in catalog.names():
         writer = catalog[name].write.mode(mode)
         if name in _PARTITION_BY:
             writer = writer.partitionBy(_PARTITION_BY[name])
         writer.parquet(os.path.join(root, name))
+    return root
