@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import MONEY, QTY, between, like, reporting_cost, reporting_qty
+from ..functions import MONEY, QTY, between, like, reporting_cost, reporting_qty, unit_cost_from_value
 from ..params import (ENDING, MATCH_ALL, OPENING, PURCHASE, SUBTOTAL, TRANSFER_IN,
                       TRANSFER_OUT, WASTE, LedgerParams)
 from ..sources import Catalog
@@ -343,3 +343,12 @@ def activity_subtotal(ledger: DataFrame) -> DataFrame:
         Value=F.col("Value"), PurchaseInfo=F.lit(""), StoreName=F.col("StoreName"),
         SupplierName=none, OrderCode=none, CaseCost=none, CaseQty=none, PakQty=none,
         UnitCost=none, PurchaseUom=none, CaseUom=none, PakUom=none, ReportingUom=none))
+
+
+def ledger_unit_cost(ledger: DataFrame) -> DataFrame:
+    """Ledger rows with a unit cost derived from the activity value and
+    quantity (value / quantity, NULL for a zero or missing quantity), in the
+    ledger's money type."""
+    return ledger.select(
+        "ItemId", "ActivityDate", "ActivityTypeName", "PurchaseInfo", "Amount", "Value",
+        unit_cost_from_value(F.col("Value"), F.col("Amount")).cast(MONEY).alias("UnitCostFromValue"))

@@ -74,6 +74,8 @@ REGISTRY: dict[str, Query] = {
     "ledger_ending_inventory": _branch(ledger.ledger_ending_inventory, "ending"),
     "activity_subtotal": Query(lambda c: ledger.activity_subtotal(ledger.activity_ledger(c, LEDGER_YEAR)),
                                lambda: oracle.activity_subtotal(LEDGER_YEAR), "D10"),
+    "ledger_unit_cost": Query(lambda c: ledger.ledger_unit_cost(ledger.activity_ledger(c, LEDGER_YEAR)),
+                              lambda: oracle.ledger_unit_cost(LEDGER_YEAR), "D11"),
     # pick sheet operators
     "latest_requisition_status": Query(lambda c: requests.latest_requisition_status(c),
                                        oracle.latest_requisition_status, "D12"),

@@ -134,3 +134,31 @@ def test_order_code_catch_all_drops_items_without_code(spark, small_catalog):
     n_null = all_rows.where(F.col("OrderCode").isNull()).count()
     assert n_null > 0
     assert coded.count() == all_rows.count() - n_null
+
+
+def test_hot_key_selection_matches_brute_force(spark):
+    """One key holds a third of the rows: the aggregate-based selections give
+    the same answer as a plain per-key scan."""
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for i in range(3000):
+        k = 0 if i % 3 == 0 else rnd.randrange(1, 200)
+        rows.append((k, rnd.randrange(0, 50), i))
+    df = spark.createDataFrame(rows, "k int, d int, id int").repartition(8)
+    best = {}
+    for k, d, i in rows:
+        best[k] = max(best.get(k, (-1, -1)), (d, i))
+    got = {r.k: r.id for r in top_one(df, "k", ["d", "id"], ["id"]).collect()}
+    assert got == {k: v[1] for k, v in best.items()}
+    top_d = {k: v[0] for k, v in best.items()}
+    want = sorted(i for k, d, i in rows if d == top_d[k])
+    assert sorted(r.id for r in rows_at_max(df, "k", "d").collect()) == want
+
+
+def test_unit_cost_from_value(spark):
+    from larder.functions import unit_cost_from_value
+    df = spark.createDataFrame([(D("10.0000"), D("4.000")), (D("1.0000"), D("0.000")), (D("3.0000"), None)],
+                               "v decimal(12,4), q decimal(11,3)")
+    got = [r[0] for r in df.select(unit_cost_from_value(F.col("v"), F.col("q")).cast("decimal(12,4)")).collect()]
+    assert got == [D("2.5000"), None, None]
