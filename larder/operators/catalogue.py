@@ -42,9 +42,12 @@ def item_catalogue(c: Catalog, p: SearchParams) -> DataFrame:
     else:
         raise ValueError(f"last_received_scope={p.last_received_scope!r}")
 
-    j = (items.join(detail, "Item").join(cs, "CaseSizeId")
-         .join(csc, ["CaseSizeId", "Store"]).join(iuc, ["Item", "Store"]).join(qoh, ["Item", "Store"]))
-    j = with_category(c, packaging_units(c, j))
+    # Joins grouped by key so the wide row changes partitioning as little as
+    # possible: item x store tables, then the case-size tables (pre-joined
+    # on their own key), then the item-keyed tables.
+    j = detail.join(iuc, ["Item", "Store"]).join(qoh, ["Item", "Store"])
+    j = j.join(packaging_units(c, cs).join(csc, "CaseSizeId"), ["CaseSizeId", "Store"])
+    j = with_category(c, j.join(items, "Item"))
     j = j.join(reporting_factor(c), "Item").join(ilr, ilr_keys)
     j = with_store_name(c, j, "Store")
     factor = F.col("ReportingConversionFactor")

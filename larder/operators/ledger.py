@@ -158,11 +158,15 @@ def item_info(c: Catalog, p: LedgerParams) -> DataFrame:
            .select(F.col("Item").alias("ItemId"), "TrackingCost"))
     icf = reporting_factor(c).withColumnRenamed("Item", "ItemId")
     items = c["Item"].select("ItemId", "ItemGroup")
-    j = (items.join(detail, "ItemId").join(cs, "CaseSizeId").join(csc, "CaseSizeId")
-         .join(iuc, "ItemId").join(icf, "ItemId"))
-    j = with_category(c, packaging_units(c, j))
+    # Joins grouped by key: case-size tables first (keyed by case size), then
+    # every item-keyed table, so the wide row is shuffled by CaseSizeId once
+    # and by ItemId once; the distinct and the later joins on ItemId reuse
+    # that last partitioning.
+    packs = cs.join(csc, "CaseSizeId")
     if p.order_code_like != MATCH_ALL:
-        j = j.where(like(F.col("OrderCode"), p.order_code_like, fold_case=True))
+        packs = packs.where(like(F.col("OrderCode"), p.order_code_like, fold_case=True))
+    j = detail.join(packs, "CaseSizeId").join(items, "ItemId").join(iuc, "ItemId").join(icf, "ItemId")
+    j = with_category(c, packaging_units(c, j))
     return j.select(*INFO_COLUMNS).distinct()
 
 
@@ -303,10 +307,12 @@ def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None)
                                      F.col("ReportingConversionFactor").alias("line_factor"),
                                      "ReportingUom")
     info_factor = info.select("ItemId", F.col("ReportingConversionFactor").alias("info_factor"))
-    j = (lines.join(_items_like(c, p), "ItemId")
-         .join(credits, "InvoiceLineId", "left")
-         .join(cs, "CaseSize").join(iuc, "ItemId").join(csc, "CaseSize")
-         .join(icf, "ItemId").join(info_factor, "ItemId"))
+    # Grouped by key: line-keyed credits, then the case-size tables (joined
+    # to each other first), then every item-keyed table.
+    j = (lines.join(credits, "InvoiceLineId", "left")
+         .join(cs.join(csc, "CaseSize"), "CaseSize")
+         .join(_items_like(c, p), "ItemId").join(iuc, "ItemId").join(icf, "ItemId")
+         .join(info_factor, "ItemId"))
     net = F.col("StockQty") - F.coalesce(F.col("credit"), F.lit(0))
     return j.select(*as_ledger(
         ItemId=F.col("ItemId"), ItemDescrip=F.col("ItemDescrip"), ActivityDate=F.col("InvoiceDate"),
