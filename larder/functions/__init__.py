@@ -90,5 +90,7 @@ def mismatch_flag(requested: Column, reporting: Column, label: str, ok: str = "O
 
 
 def days_before(ts, days: int) -> Column:
-    """``ts - days`` as a TIMESTAMP_NTZ literal (the look-back bound)."""
-    return ntz(ts) - F.expr(f"INTERVAL {int(days)} DAYS")
+    """``ts - days`` as a TIMESTAMP_NTZ value (the look-back bound); ``ts=None``
+    is the current local timestamp."""
+    base = F.localtimestamp() if ts is None else ntz(ts)
+    return base - F.expr(f"INTERVAL {int(days)} DAYS")

@@ -70,8 +70,12 @@ class LedgerParams(Period):
 
 @dataclass(frozen=True)
 class PickSheetParams:
+    """Pick sheet: requests sent by ``store`` required on or after ``as_of``
+    minus ``lookback_days``.  ``as_of=None`` means now (the session's local
+    timestamp, evaluated once per query)."""
+
     store: int = 2
-    as_of: str = "2001-07-31 00:00:00"
+    as_of: str | None = None
     lookback_days: int = LOOKBACK_DAYS
     mismatch_label: str = UOM_MISMATCH
 

@@ -23,7 +23,7 @@ LEDGER_SEARCH = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:00:
                              item_like="%ring%", order_code_like="%oc-1%")
 PERIOD = Period()
 PERIOD_YEAR = Period(start="1999-01-01 00:00:00", end="1999-12-31 00:00:00")
-PICK = PickSheetParams()
+PICK = PickSheetParams(as_of="2001-07-31 00:00:00")
 SEARCH_ALL = SearchParams()
 SEARCH_STORE = SearchParams(store=2)
 SEARCH_TERMS = SearchParams(store=2, item_term="ring", order_code_term="OC-1")
