@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import like, starts_numeric
+from ..functions import contains_pattern, like, starts_numeric
 from ..sources import Catalog
 from .keyed import top_one
 
@@ -122,7 +122,7 @@ def item_search_filter(df: DataFrame, item_term: str | None, order_code_term: st
     ``None`` term disables its filter.  ``'%%'`` still requires a non-NULL
     value (so it drops rows without an order code)."""
     if item_term is not None:
-        df = df.where(like(F.col(descrip_col), f"%{item_term}%", fold_case=True))
+        df = df.where(like(F.col(descrip_col), contains_pattern(item_term), fold_case=True))
     if order_code_term is not None:
-        df = df.where(like(F.col(code_col), f"%{order_code_term}%"))
+        df = df.where(like(F.col(code_col), contains_pattern(order_code_term)))
     return df

@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import domain
 
-TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-
 # Facts large enough to be worth partitioning on write by store.
 _PARTITION_BY = {
     "Invoice": "Store",
