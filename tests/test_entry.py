@@ -11,3 +11,15 @@ def test_entry_runs_and_has_rows(spark):
 def test_queries_take_session_and_dir(spark):
     q = entry.queries()["active_items"]
     assert q(spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_command_line_builds_each_report(spark):
+    from larder.__main__ import _parser, build
+    from larder.sources import Catalog
+    c = Catalog.derived(spark, "/root/testdata/sf0.001")
+    common = ["--source", "/root/testdata/sf0.001", "--store", "2"]
+    period = ["--start", "1999-01-01", "--end", "1999-12-31"]
+    for argv in (["ledger", *common, *period], ["usage", *common, *period],
+                 ["picksheet", *common, "--as-of", "2001-07-31 00:00:00"], ["search", *common, "--item", "ring"]):
+        df = build(_parser().parse_args(argv), c)
+        assert df.count() > 0, argv
