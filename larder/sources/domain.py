@@ -299,8 +299,12 @@ def inventory_summary(raw, dom, spark: SparkSession) -> DataFrame:
     k = _inventory_key(raw("orders")).select("o_orderkey", "InventoryId")
     li = raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     j = li.join(k, li.l_orderkey == k.o_orderkey)
+    # Line quantities are summed as decimal(8,3): the same values as the
+    # declared decimal(11,3) (line quantities are far below 10^5), but the
+    # sum stays within 18 digits, which Spark adds as longs instead of
+    # arbitrary-precision decimals.  The total is cast back to decimal(11,3).
     g = j.groupBy("InventoryId", "l_partkey").agg(
-        F.sum(j.l_quantity.cast(QTY)).alias("q"),
+        F.sum(j.l_quantity.cast(T.DecimalType(8, 3))).alias("q"),
         F.count(F.lit(1)).alias("n"),
         F.sum(j.l_extendedprice.cast(VALUE)).alias("v"),
     )
