@@ -24,6 +24,21 @@ SQL_CONF = {
 }
 
 
+# Settings intended for the target cluster (about 100 TB of facts, ~1000
+# executors).  AQE only *merges* small shuffle partitions (and splits skewed
+# join partitions), so the initial partition count is set high and the
+# advisory size decides the final task size; scans are split at 512 MB.
+CLUSTER_CONF = {
+    **SQL_CONF,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "larder", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark (UI off, event log off)."""
