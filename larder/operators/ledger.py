@@ -83,6 +83,7 @@ def _store_purchases(c: Catalog, p: LedgerParams) -> DataFrame:
 
 USAGE_KINDS = (WASTE, TRANSFER_IN, TRANSFER_OUT)
 COUNT_KINDS = (OPENING, ENDING)
+ALL_KINDS = COUNT_KINDS + USAGE_KINDS + (PURCHASE,)
 
 
 def _usage_roles(c: Catalog, kinds) -> DataFrame:
@@ -214,10 +215,13 @@ def count_events(c: Catalog, p: LedgerParams, active: DataFrame, kinds=COUNT_KIN
 
 
 def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame | None,
-                kinds=COUNT_KINDS + USAGE_KINDS) -> DataFrame:
-    """Ledger rows whose packaging and costs come from the item lookup:
-    counts, waste and transfers, joined to the item and the lookup once for
-    all kinds.  Quantities are in stock units until divided by the factor."""
+                kinds=ALL_KINDS) -> DataFrame:
+    """Ledger rows of the given kinds, joined to the item and to the item
+    lookup once for all of them.  Counts, waste and transfers take packaging
+    and costs from the lookup; purchases carry their line's own values and
+    take only the reporting factor from it (the lookup join still repeats a
+    purchase once per lookup row, as every branch does).  Quantities are in
+    stock units until divided by the factor."""
     parts = []
     if set(kinds) & set(COUNT_KINDS):
         counts = count_events(c, p, active, kinds)
@@ -233,15 +237,22 @@ def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame
         parts.append(ev.select("ItemId", "ActivityDate", "ActivityTypeName", "PurchaseInfo", "SupplierName",
                                (-F.col("q")).alias("raw_qty"), value.alias("raw_value"),
                                F.lit(False).alias("is_count")))
+    if PURCHASE in kinds:
+        parts.append(purchase_events(c, p))
+    no_line = [F.lit(False).alias("is_line")] + [F.lit(None).cast(t).alias(f"line_{k}")
+                                                   for k, t in LINE_FIELDS.items()]
+    parts = [part if "is_line" in part.columns else part.select("*", *no_line) for part in parts]
     events = reduce(DataFrame.unionByName, parts)
     j = events.join(_items_like(c, p), "ItemId").join(info, "ItemId")
     qty = reporting_qty(F.col("raw_qty"), F.col("ReportingConversionFactor"))
+    from_info = _info_fields(store_name(c, p.store))
+    fields = {k: (F.when(F.col("is_line"), F.col(f"line_{k}")).otherwise(v) if k in LINE_FIELDS else v)
+              for k, v in from_info.items()}
     return j.select(*as_ledger(
         ItemId=F.col("ItemId"), ItemDescrip=F.col("ItemDescrip"), ActivityDate=F.col("ActivityDate"),
         ActivityTypeName=F.col("ActivityTypeName"), Amount=qty,
         QtyOnHand=F.when(F.col("is_count"), qty).otherwise(F.lit(0)), Value=F.col("raw_value"),
-        PurchaseInfo=F.col("PurchaseInfo"), SupplierName=F.col("SupplierName"),
-        **_info_fields(store_name(c, p.store))))
+        PurchaseInfo=F.col("PurchaseInfo"), SupplierName=F.col("SupplierName"), **fields))
 
 
 def _branch(c: Catalog, p: LedgerParams, info: DataFrame | None, active: DataFrame | None, kind: str):
@@ -281,14 +292,21 @@ def ledger_transfer_out(c: Catalog, p: LedgerParams, info: DataFrame | None = No
     return _branch(c, p, info, None, TRANSFER_OUT)
 
 
-def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
+LINE_FIELDS = {
+    # ledger column: type of the line-level value a purchase row carries
+    "OrderCode": T.StringType(), "CaseCost": MONEY, "CaseQty": QTY, "PakQty": QTY,
+    "UnitCost": T.DecimalType(24, 7), "PurchaseUom": S, "CaseUom": S, "PakUom": S, "ReportingUom": S,
+}
+
+
+def purchase_events(c: Catalog, p: LedgerParams) -> DataFrame:
     """Invoice lines of the store in the period, one row per line (per credit
-    when a line has several); quantity net of credits, value as invoiced.
-    Packaging, vendor and case cost come from the line's case size.
+    when a line has several): quantity net of credits, value as invoiced,
+    and the packaging, vendor, case cost, unit cost and units of the line's
+    own case size and of the item at the store (``line_*`` columns).
 
     Every such item is active by construction (the active set is built from
     these same lines), so no semi-join is needed."""
-    info = item_info(c, p) if info is None else info
     lines = _store_purchases(c, p).select(
         F.col("Item").alias("ItemId"), "InvoiceLineId", "CaseSize", "StockQty", "AdjustedTotal",
         "InvoiceDate", "InvoiceNumber")
@@ -306,31 +324,38 @@ def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None)
     icf = reporting_factor(c).select(F.col("Item").alias("ItemId"),
                                      F.col("ReportingConversionFactor").alias("line_factor"),
                                      "ReportingUom")
-    info_factor = info.select("ItemId", F.col("ReportingConversionFactor").alias("info_factor"))
     # Grouped by key: line-keyed credits, then the case-size tables (joined
-    # to each other first), then every item-keyed table.
+    # to each other first), then the item-keyed tables.
     j = (lines.join(credits, "InvoiceLineId", "left")
          .join(cs.join(csc, "CaseSize"), "CaseSize")
-         .join(_items_like(c, p), "ItemId").join(iuc, "ItemId").join(icf, "ItemId")
-         .join(info_factor, "ItemId"))
-    net = F.col("StockQty") - F.coalesce(F.col("credit"), F.lit(0))
-    return j.select(*as_ledger(
-        ItemId=F.col("ItemId"), ItemDescrip=F.col("ItemDescrip"), ActivityDate=F.col("InvoiceDate"),
-        ActivityTypeName=F.lit(PURCHASE), Amount=reporting_qty(net, F.col("info_factor")),
-        QtyOnHand=F.lit(0), Value=F.col("AdjustedTotal"), PurchaseInfo=F.col("InvoiceNumber"),
-        StoreName=store_name(c, p.store), SupplierName=F.col("SupplierName"),
-        OrderCode=F.col("OrderCode"), CaseCost=F.col("CaseCost"), CaseQty=F.col("CaseQty"),
-        PakQty=F.col("PakQty"), UnitCost=reporting_cost(F.col("TrackingCost"), F.col("line_factor")),
-        PurchaseUom=F.col("PurchaseUom"), CaseUom=F.col("CaseUom"), PakUom=F.col("PakUom"),
-        ReportingUom=F.col("ReportingUom")))
+         .join(iuc, "ItemId").join(icf, "ItemId"))
+    line = {
+        "OrderCode": F.col("OrderCode"), "CaseCost": F.col("CaseCost"), "CaseQty": F.col("CaseQty"),
+        "PakQty": F.col("PakQty"), "UnitCost": reporting_cost(F.col("TrackingCost"), F.col("line_factor")),
+        "PurchaseUom": F.col("PurchaseUom"), "CaseUom": F.col("CaseUom"), "PakUom": F.col("PakUom"),
+        "ReportingUom": F.col("ReportingUom"),
+    }
+    return j.select(
+        "ItemId", F.col("InvoiceDate").alias("ActivityDate"), F.lit(PURCHASE).alias("ActivityTypeName"),
+        F.col("InvoiceNumber").alias("PurchaseInfo"), "SupplierName",
+        (F.col("StockQty") - F.coalesce(F.col("credit"), F.lit(0))).alias("raw_qty"),
+        F.col("AdjustedTotal").alias("raw_value"), F.lit(False).alias("is_count"), F.lit(True).alias("is_line"),
+        *[line[k].cast(t).alias(f"line_{k}") for k, t in LINE_FIELDS.items()])
+
+
+def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None) -> DataFrame:
+    """Purchases: one ledger row per invoice line (and credit), with the
+    line's own packaging, vendor and costs; the quantity is converted with
+    the item lookup's factor."""
+    return _branch(c, p, info, None, PURCHASE)
 
 
 def activity_ledger(c: Catalog, p: LedgerParams, info: DataFrame | None = None,
                     with_subtotals: bool = False) -> DataFrame:
-    """All six activity kinds in the 19-column ledger shape (bag union):
-    purchases, plus counts / waste / transfers built together."""
+    """All six activity kinds in the 19-column ledger shape (bag union),
+    built together in ``info_ledger``."""
     info = item_info(c, p) if info is None else info
-    ledger = info_ledger(c, p, info, active_items(c, p)).unionByName(ledger_purchases(c, p, info))
+    ledger = info_ledger(c, p, info, active_items(c, p))
     if with_subtotals:
         ledger = ledger.unionByName(activity_subtotal(ledger))
     return ledger
