@@ -33,29 +33,54 @@ def purchase_lines(c: Catalog, p: Period) -> DataFrame:
                     F.col("AdjustedTotal").alias("value"))
 
 
+USAGE_KINDS = ("out", "in", "waste")
+
+
+def _usage_roles(c: Catalog, p: Period, kinds=USAGE_KINDS) -> DataFrame:
+    """``(UsageSource, kind)`` of the usage sources that count for the period:
+    the store's sending (``out``) or receiving (``in``) end of a transfer dated
+    in the period — store tested on the transfer context — and waste events
+    dated in the period whose usage source is at the store."""
+    parts = []
+    for kind, side in (("out", "Sender"), ("in", "Receiver")):
+        if kind in kinds:
+            tc = (c["TransferContext"].where(F.col("Store") == p.store)
+                  .select("TransferContextId", "UsageSource"))
+            t = (c["Transfer"].where(between(F.col("TransferDate"), p.start, p.end))
+                 .select(F.col(side).alias("TransferContextId")))
+            parts.append(tc.join(t, "TransferContextId").select("UsageSource", F.lit(kind).alias("kind")))
+    if "waste" in kinds:
+        us = c["UsageSource"].where(F.col("Store") == p.store).select(F.col("UsageSourceId").alias("UsageSource"))
+        w = c["Waste"].where(between(F.col("WasteDate"), p.start, p.end)).select("UsageSource")
+        parts.append(w.join(us, "UsageSource").select("UsageSource", F.lit("waste").alias("kind")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def usage_lines(c: Catalog, p: Period, kinds=USAGE_KINDS) -> DataFrame:
+    """Usage rows of transfers out / in and waste of the store in the period,
+    ``(Item, kind, qty)`` with the usage quantity negated.  One join of the
+    usage fact against all roles: the fact is read once for the three kinds,
+    and a usage source with several roles counts once per role."""
+    iu = c["ItemUsage"].select("UsageSource", "Item", "StockQty")
+    return iu.join(_usage_roles(c, p, kinds), "UsageSource").select(
+        "Item", "kind", (-F.col("StockQty")).alias("qty"))
+
+
 def transfer_lines(c: Catalog, p: Period, side: str) -> DataFrame:
     """Usage rows booked on the ``side`` (``'Sender'`` or ``'Receiver'``) end
     of transfers dated in the period, whose context is at the store:
     ``(Item, qty)`` with the usage quantity negated."""
-    if side not in ("Sender", "Receiver"):
-        raise ValueError(side)
-    tc = (c["TransferContext"].where(F.col("Store") == p.store)
-          .select("TransferContextId", "UsageSource"))
-    t = (c["Transfer"].where(between(F.col("TransferDate"), p.start, p.end))
-         .select(F.col(side).alias("TransferContextId")))
-    ctx = tc.join(t, "TransferContextId")
-    iu = c["ItemUsage"].select("UsageSource", "Item", "StockQty")
-    return iu.join(ctx, "UsageSource").select("Item", (-F.col("StockQty")).alias("qty"))
+    kind = {"Sender": "out", "Receiver": "in"}[side]
+    return usage_lines(c, p, (kind,)).select("Item", "qty")
 
 
 def waste_lines(c: Catalog, p: Period) -> DataFrame:
     """Usage rows of waste events dated in the period at the store:
     ``(Item, qty)`` negated."""
-    us = c["UsageSource"].where(F.col("Store") == p.store).select(F.col("UsageSourceId").alias("UsageSource"))
-    w = c["Waste"].where(between(F.col("WasteDate"), p.start, p.end)).select("UsageSource")
-    iu = c["ItemUsage"].select("UsageSource", "Item", "StockQty")
-    return iu.join(us, "UsageSource").join(w, "UsageSource") \
-        .select("Item", (-F.col("StockQty")).alias("qty"))
+    return usage_lines(c, p, ("waste",)).select("Item", "qty")
 
 
 def period_purchases(c: Catalog, p: Period) -> DataFrame:
@@ -106,11 +131,12 @@ def period_movements(c: Catalog, p: Period, include_counts: bool = True) -> Data
     count holds one line per item (its natural key).  One shuffle on
     ``Item`` with map-side partial sums replaces six joins, and a hot item
     costs one partial row per input partition."""
+    def of(kind):
+        return F.when(F.col("kind") == kind, F.col("qty"))
+
     parts = [
         _tagged(purchase_lines(c, p), InvoiceSum=F.col("qty"), InvoiceValue=F.col("value")),
-        _tagged(transfer_lines(c, p, "Sender"), TransferOutQty=F.col("qty")),
-        _tagged(transfer_lines(c, p, "Receiver"), TransferInQty=F.col("qty")),
-        _tagged(waste_lines(c, p), WasteQty=F.col("qty")),
+        _tagged(usage_lines(c, p), TransferOutQty=of("out"), TransferInQty=of("in"), WasteQty=of("waste")),
     ]
     if include_counts:
         parts.append(_tagged(period_opening_inventory(c, p), open_qoh=F.col("QtyOnHand"),
