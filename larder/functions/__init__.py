@@ -45,17 +45,29 @@ def between(col: Column, start, end) -> Column:
     return col.between(ntz(start), ntz(end))
 
 
-def like(col: Column, pattern: str, fold_case: bool = False) -> Column:
+CASE_INSENSITIVE = "UTF8_LCASE"
+
+
+def collated(col: Column, case_insensitive: bool) -> Column:
+    """``col`` under the case-insensitive collation when asked, else as is
+    (binary comparison).  For comparisons that depend on the database's
+    collation rather than an explicit ``LOWER``."""
+    return F.collate(col, CASE_INSENSITIVE) if case_insensitive else col
+
+
+def like(col: Column, pattern: str, fold_case: bool = False, case_insensitive: bool = False) -> Column:
     """``col LIKE pattern`` (``%`` and ``_`` wildcards, no character classes).
 
-    A pattern made only of ``%`` matches every non-NULL value; it is emitted
+    ``fold_case`` lowers both sides (an explicit ``LOWER(x) LIKE LOWER(p)``);
+    ``case_insensitive`` matches under the case-insensitive collation.  A
+    pattern made only of ``%`` matches every non-NULL value; it is emitted
     as ``isNotNull`` so Catalyst can drop it where the column is known to be
     non-null instead of evaluating a regex per row."""
     if pattern and set(pattern) == {"%"}:
         return col.isNotNull()
     if fold_case:
         return F.lower(col).like(pattern.lower())
-    return col.like(pattern)
+    return collated(col, case_insensitive).like(pattern)
 
 
 def contains_pattern(term: str) -> str:
@@ -84,9 +96,11 @@ def starts_numeric(name: Column) -> Column:
     return F.coalesce(F.substring(name, 1, 1).rlike(NUMERIC_FIRST_CHAR), F.lit(False))
 
 
-def mismatch_flag(requested: Column, reporting: Column, label: str, ok: str = "OK") -> Column:
+def mismatch_flag(requested: Column, reporting: Column, label: str, ok: str = "OK",
+                  case_insensitive: bool = False) -> Column:
     """``label`` when the two unit codes differ; ``ok`` when equal or unknown."""
-    return F.when(requested != reporting, F.lit(label)).otherwise(F.lit(ok))
+    differ = collated(requested, case_insensitive) != collated(reporting, case_insensitive)
+    return F.when(differ, F.lit(label)).otherwise(F.lit(ok))
 
 
 def days_before(ts, days: int) -> Column:

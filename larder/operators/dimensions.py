@@ -117,12 +117,13 @@ def recent_supplier(c: Catalog) -> DataFrame:
 
 
 def item_search_filter(df: DataFrame, item_term: str | None, order_code_term: str | None,
-                       descrip_col: str = "ItemDescrip", code_col: str = "OrderCode") -> DataFrame:
+                       descrip_col: str = "ItemDescrip", code_col: str = "OrderCode",
+                       case_insensitive: bool = False) -> DataFrame:
     """Substring search: description case-folded, order code as stored; a
     ``None`` term disables its filter.  ``'%%'`` still requires a non-NULL
     value (so it drops rows without an order code)."""
     if item_term is not None:
         df = df.where(like(F.col(descrip_col), contains_pattern(item_term), fold_case=True))
     if order_code_term is not None:
-        df = df.where(like(F.col(code_col), contains_pattern(order_code_term)))
+        df = df.where(like(F.col(code_col), contains_pattern(order_code_term), case_insensitive=case_insensitive))
     return df

@@ -315,7 +315,7 @@ def purchase_events(c: Catalog, p: LedgerParams) -> DataFrame:
     cs = c["CaseSize"].select(F.col("CaseSizeId").alias("CaseSize"), "Supplier", "OrderCode",
                               "CaseQty", "PakQty", "PurchaseUom", "CaseUom", "PakUom")
     if p.order_code_like != MATCH_ALL:
-        cs = cs.where(like(F.col("OrderCode"), p.order_code_like))
+        cs = cs.where(like(F.col("OrderCode"), p.order_code_like, case_insensitive=p.case_insensitive))
     cs = packaging_units(c, lookup(cs, c["Vendor"], "Supplier", "SupplierId", {"Name": "SupplierName"},
                                    drop_key=True))
     iuc = (c["ItemUnitCost"].where((F.col("Store") == p.store) & (F.col("Active") == 1))

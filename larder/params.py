@@ -66,6 +66,9 @@ class LedgerParams(Period):
 
     item_like: str = MATCH_ALL
     order_code_like: str = MATCH_ALL
+    # Comparisons written without LOWER follow the database collation in the
+    # original; binary by default, UTF8_LCASE when True.
+    case_insensitive: bool = False
 
 
 @dataclass(frozen=True)
@@ -78,6 +81,7 @@ class PickSheetParams:
     as_of: str | None = None
     lookback_days: int = LOOKBACK_DAYS
     mismatch_label: str = UOM_MISMATCH
+    case_insensitive: bool = False  # unit codes compared under UTF8_LCASE when True
 
 
 @dataclass(frozen=True)
@@ -91,3 +95,4 @@ class SearchParams:
     item_term: str | None = MATCH_ALL
     order_code_term: str | None = MATCH_ALL
     last_received_scope: str = "item"
+    case_insensitive: bool = False  # order-code search under UTF8_LCASE when True

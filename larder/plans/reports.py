@@ -71,7 +71,7 @@ def stock_request_pick_sheet(c: Catalog, p: PickSheetParams = PickSheetParams())
     j = with_uom_codes(c, j.join(icf, "ItemId"), {"ReportingUom": "ReportingUom", "RequestUom": "RequestUom"})
     out = j.select(
         "ItemName", "QtyRequested", "RequestUom", "ReportingUom",
-        mismatch_flag(F.col("RequestUom"), F.col("ReportingUom"), p.mismatch_label, UOM_OK)
+        mismatch_flag(F.col("RequestUom"), F.col("ReportingUom"), p.mismatch_label, UOM_OK, p.case_insensitive)
         .alias("UomMismatchFlag"),
         "CategoryName", "Sender", "Receiver", "Supplier", "OrderCode", "StockReq_Descrip",
         "StockReq_Notes", "DateRequired", "EffectiveDate", F.col("Sender").alias("StoreName"),
@@ -85,7 +85,8 @@ def item_search(c: Catalog, p: SearchParams = SearchParams()) -> DataFrame:
     description and order-code search terms.  Unordered."""
     cat = item_catalogue(c, p)
     supplier = recent_supplier(c).withColumnRenamed("Item", "ItemId")
-    j = item_search_filter(cat.join(supplier, "ItemId", "left"), p.item_term, p.order_code_term)
+    j = item_search_filter(cat.join(supplier, "ItemId", "left"), p.item_term, p.order_code_term,
+                           case_insensitive=p.case_insensitive)
     return j.select("StoreName", "CategoryName", "ItemId", "ItemDescrip", "SupplierName", "OrderCode",
                     "CaseCost", "CaseQty", "PakQty", "UnitCost", "PurchaseUom", "CaseUom", "PakUom",
                     "QtyOnHand", "ApproxValue", "LastReceived", "ReportingUom")

@@ -162,3 +162,21 @@ def test_unit_cost_from_value(spark):
                                "v decimal(12,4), q decimal(11,3)")
     got = [r[0] for r in df.select(unit_cost_from_value(F.col("v"), F.col("q")).cast("decimal(12,4)")).collect()]
     assert got == [D("2.5000"), None, None]
+
+
+def test_case_insensitive_option(spark, small_catalog):
+    """Comparisons that follow the database collation are binary by default
+    and case-insensitive on request ('EA' vs 'ea' units; order-code search)."""
+    from larder.params import PickSheetParams
+    from larder.plans.reports import stock_request_pick_sheet
+    base = PickSheetParams(as_of="2001-07-31 00:00:00")
+    exact = stock_request_pick_sheet(small_catalog, base)
+    folded = stock_request_pick_sheet(small_catalog, PickSheetParams(as_of=base.as_of, case_insensitive=True))
+    n_exact_ok = exact.where(F.col("UomMismatchFlag") == "OK").count()
+    n_folded_ok = folded.where(F.col("UomMismatchFlag") == "OK").count()
+    assert exact.count() == folded.count()
+    assert n_folded_ok > n_exact_ok
+    upper = item_search(small_catalog, SearchParams(store=2, order_code_term="OC-1")).count()
+    lower_ci = item_search(small_catalog, SearchParams(store=2, order_code_term="oc-1", case_insensitive=True)).count()
+    lower_bin = item_search(small_catalog, SearchParams(store=2, order_code_term="oc-1")).count()
+    assert upper == lower_ci > 0 and lower_bin == 0
