@@ -9,7 +9,7 @@
 ``--warehouse``, a folder written by ``larder.sources.materialize``.  The
 result is shown (``--show N``) or written with ``--out PATH`` (Parquet, or
 CSV with ``--format csv``) — the report's result set, as the original
-scripts return it.
+scripts return it.  ``--explain`` prints the formatted physical plan instead.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     ap.add_argument("--out", help="write the result here instead of showing it")
     ap.add_argument("--format", choices=["parquet", "csv"], default="parquet")
     ap.add_argument("--show", type=int, default=50)
+    ap.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of running")
     return ap
 
 
@@ -73,7 +74,9 @@ def main(argv: list[str] | None = None) -> int:
     catalog = (Catalog.parquet(spark, args.source) if args.warehouse
                else Catalog.derived(spark, args.source))
     df = build(args, catalog)
-    if args.out:
+    if args.explain:
+        df.explain("formatted")
+    elif args.out:
         writer = df.write.mode("overwrite")
         (writer.option("header", True).csv(args.out) if args.format == "csv" else writer.parquet(args.out))
     else:
