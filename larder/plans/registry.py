@@ -24,9 +24,11 @@ LEDGER_SEARCH = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:00:
 PERIOD = Period()
 PERIOD_YEAR = Period(start="1999-01-01 00:00:00", end="1999-12-31 00:00:00")
 PICK = PickSheetParams(as_of="2001-07-31 00:00:00")
+PICK_CI = PickSheetParams(as_of="2001-07-31 00:00:00", case_insensitive=True)
 SEARCH_ALL = SearchParams()
 SEARCH_STORE = SearchParams(store=2)
 SEARCH_TERMS = SearchParams(store=2, item_term="ring", order_code_term="OC-1")
+SEARCH_TERMS_CI = SearchParams(store=2, item_term="ring", order_code_term="oc-1", case_insensitive=True)
 
 
 @dataclass(frozen=True)
@@ -52,12 +54,18 @@ REGISTRY: dict[str, Query] = {
                                          "R1 with item and order-code patterns"),
     "stock_request_pick_sheet": Query(lambda c: reports.stock_request_pick_sheet(c, PICK),
                                       lambda: oracle.stock_request_pick_sheet(PICK), "R2"),
+    "stock_request_pick_sheet_ci": Query(lambda c: reports.stock_request_pick_sheet(c, PICK_CI),
+                                         lambda: oracle.stock_request_pick_sheet(PICK_CI),
+                                         "R2, unit codes compared case-insensitively"),
     "item_search": Query(lambda c: reports.item_search(c, SEARCH_ALL),
                          lambda: oracle.item_search(SEARCH_ALL), "R3, all stores"),
     "item_search_store": Query(lambda c: reports.item_search(c, SEARCH_STORE),
                                lambda: oracle.item_search(SEARCH_STORE), "R3, one store"),
     "item_search_terms": Query(lambda c: reports.item_search(c, SEARCH_TERMS),
                                lambda: oracle.item_search(SEARCH_TERMS), "R3 with search terms"),
+    "item_search_terms_ci": Query(lambda c: reports.item_search(c, SEARCH_TERMS_CI),
+                                  lambda: oracle.item_search(SEARCH_TERMS_CI),
+                                  "R3 with a case-insensitive order-code term"),
     "item_usage_summary": Query(lambda c: reports.item_usage_summary(c, PERIOD),
                                 lambda: oracle.item_usage_summary(PERIOD), "R4"),
     "item_usage_summary_year": Query(lambda c: reports.item_usage_summary(c, PERIOD_YEAR, include_hidden=True),
