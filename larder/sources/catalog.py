@@ -50,6 +50,18 @@ class Catalog:
     def names(self) -> tuple[str, ...]:
         return domain.DOMAIN_TABLES
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register every domain table as a temporary view (``Item``,
+        ``InvoiceItem``, ``Vendor``, ``ItemGroup`` ...) so reports can also be
+        written in Spark SQL against the same lazy tables.  Returns the view
+        names.  Nothing is computed."""
+        views = []
+        for name in self.names():
+            view = f"{prefix}{name}"
+            self[name].createOrReplaceTempView(view)
+            views.append(view)
+        return views
+
     @classmethod
     def derived(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
         raw_frames: dict[str, DataFrame] = {}
