@@ -66,15 +66,6 @@ def as_ledger(**cols: Column) -> list[Column]:
 # Item set and lookup
 # --------------------------------------------------------------------------
 
-def store_usage(c: Catalog, p: LedgerParams) -> DataFrame:
-    """Usage rows whose usage source is at the store and dated in the period:
-    ``(UsageSource, Item, StockQty, TrackingCost)``.  Shared by the waste and
-    transfer branches (filtered by usage date, reported by event date)."""
-    us = (c["UsageSource"].where((F.col("Store") == p.store) & between(F.col("UsageDate"), p.start, p.end))
-          .select(F.col("UsageSourceId").alias("UsageSource")))
-    return c["ItemUsage"].select("UsageSource", "Item", "StockQty", "TrackingCost").join(us, "UsageSource")
-
-
 def _store_purchases(c: Catalog, p: LedgerParams) -> DataFrame:
     inv = (c["Invoice"].where((F.col("Store") == p.store) & between(F.col("InvoiceDate"), p.start, p.end))
            .select(F.col("InvoiceId").alias("Invoice"), "InvoiceDate", "InvoiceNumber"))
@@ -86,15 +77,27 @@ COUNT_KINDS = (OPENING, ENDING)
 ALL_KINDS = COUNT_KINDS + USAGE_KINDS + (PURCHASE,)
 
 
-def _usage_roles(c: Catalog, kinds) -> DataFrame:
-    """What each usage source records, keyed by ``UsageSource``: a waste
-    event (dated by its waste date) and / or the store's own end of a
-    transfer — ``Transfer In`` when that end is the receiver, ``Transfer
-    Out`` when it is the sender — with the transfer id as reference and the
-    other end's context id."""
+def _store_sources(c: Catalog, p: LedgerParams) -> DataFrame:
+    """Usage sources at the store dated in the period: ``(UsageSource)``."""
+    return (c["UsageSource"].where((F.col("Store") == p.store) & between(F.col("UsageDate"), p.start, p.end))
+            .select(F.col("UsageSourceId").alias("UsageSource")))
+
+
+def _usage_roles(c: Catalog, p: LedgerParams, kinds) -> DataFrame:
+    """What each of the store's period usage sources records, keyed by
+    ``UsageSource``: a waste event (dated by its waste date) and / or the
+    store's own end of a transfer — ``Transfer In`` when that end is the
+    receiver, ``Transfer Out`` when it is the sender — with the transfer id
+    as reference and the other end's context id.
+
+    Built from the period's usage sources outward: waste rows and transfer
+    contexts are first cut to those sources (a small set), and only that
+    small side meets the transfer table, so the full transfer history is
+    never joined with the full context table."""
+    sources = _store_sources(c, p)
     parts = []
     if WASTE in kinds:
-        parts.append(c["Waste"].select(
+        parts.append(c["Waste"].join(sources, "UsageSource").select(
             "UsageSource", F.col("WasteDate").alias("ActivityDate"), F.lit(WASTE).alias("ActivityTypeName"),
             F.lit("").alias("PurchaseInfo"), F.lit(None).cast("bigint").alias("other_ctx")))
     roles = []
@@ -105,16 +108,19 @@ def _usage_roles(c: Catalog, kinds) -> DataFrame:
                 F.lit(kind).alias("ActivityTypeName"), F.col("TransferId").cast("string").alias("PurchaseInfo"),
                 F.col(other).alias("other_ctx")))
     if roles:
-        tc = c["TransferContext"].select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
+        tc = (c["TransferContext"].select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
+              .join(sources, "UsageSource"))
         parts.append(tc.join(reduce(DataFrame.unionByName, roles), "own_ctx").drop("own_ctx"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def usage_activity(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
     """Store usage rows tagged with the activity their source records: one
-    join of the usage fact against all roles, so the fact is read once for
-    waste and both transfer directions."""
-    return store_usage(c, p).join(_usage_roles(c, kinds), "UsageSource")
+    join of the usage fact against all roles (which only hold the store's
+    period usage sources), so the fact is read once for waste and both
+    transfer directions."""
+    iu = c["ItemUsage"].select("UsageSource", "Item", "StockQty", "TrackingCost")
+    return iu.join(_usage_roles(c, p, kinds), "UsageSource")
 
 
 def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
