@@ -47,3 +47,22 @@ def test_domain_views_answer_sql(spark):
     op = period_purchases(c, Period(2, "1999-01-01 00:00:00", "1999-12-31 00:00:00"))
     assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, op.collect()))
     assert sql.count() > 0
+
+
+def test_cluster_settings_are_known_spark_settings(spark):
+    """Every intended cluster setting is a real, runtime-settable SQL config
+    (a typo would be silently ignored by Spark)."""
+    from larder.session import CLUSTER_CONF
+    known = {r.key for r in spark.sql("SET -v").collect()}
+    for key, value in CLUSTER_CONF.items():
+        assert key in known, key
+        old = spark.conf.get(key)
+        spark.conf.set(key, value)
+        assert spark.conf.get(key) == value
+        spark.conf.set(key, old)
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from larder.session import ensure_checkpoint_dir
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert configured and ensure_checkpoint_dir(spark) == configured
