@@ -2,11 +2,15 @@
 item at a store in a period (opening count, purchase, waste, transfer in,
 transfer out, ending count), in reporting units.
 
-Every branch yields the same 19-column ledger shape (``LEDGER_SCHEMA``) so
-the branches combine with ``unionByName``.  Aggregating branches sum the
-narrow usage rows per ``(item, event)`` *before* attaching the wide item
-lookup; the lookup is distinct, so this gives the same groups as grouping the
-joined rows by every lookup column, with far less data in the shuffle.
+Each activity kind is first expressed as narrow event rows (item, date,
+type, reference, counterparty, quantity and value in stock units); the kinds
+are unioned and then joined once to the item description and the item
+lookup, and cast to the 19-column ledger shape (``LEDGER_SCHEMA``).  Waste
+and transfers are summed per ``(item, event)`` *before* the wide lookup is
+attached; the lookup is distinct, so this gives the same groups as grouping
+the joined rows by every lookup column, with far less data in the shuffle.
+The single-kind operators (``ledger_waste`` ...) run the same code for one
+kind.
 """
 
 from __future__ import annotations
