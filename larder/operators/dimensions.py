@@ -106,10 +106,12 @@ def recent_supplier(c: Catalog) -> DataFrame:
     """
     vendors = (c["Vendor"].where(~starts_numeric(F.col("Name")))
                .select(F.col("SupplierId"), F.col("Name").alias("SupplierName")))
-    lines = (c["InvoiceItem"].select("Invoice", "Item")
-             .join(c["Invoice"].select(F.col("InvoiceId").alias("Invoice"), "InvoiceDate",
-                                       F.col("Supplier").alias("SupplierId")), "Invoice")
-             .join(vendors, "SupplierId"))
+    # Eligible invoice headers first (headers are far fewer than lines), so
+    # the line-to-header join only carries invoices of external vendors.
+    invoices = (c["Invoice"].select(F.col("InvoiceId").alias("Invoice"), "InvoiceDate",
+                                    F.col("Supplier").alias("SupplierId"))
+                .join(vendors, "SupplierId").drop("SupplierId"))
+    lines = c["InvoiceItem"].select("Invoice", "Item").join(invoices, "Invoice")
     latest = top_one(lines, "Item", ["InvoiceDate", "Invoice"], ["SupplierName"])
     cases = top_one(c["CaseSize"].select("Item", "CaseSizeId", "OrderCode"), "Item",
                     ["CaseSizeId"], ["OrderCode"])
