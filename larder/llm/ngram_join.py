@@ -12,10 +12,12 @@ with weight two may instead differ by one shingle.
   slack, so x can leave out its empty and its costly segments (cost: the
   length of the segment's list after linked documents are taken as one).
 * Lists of at most ``LIST`` sets give all their pairs.  Longer lists first
-  give a star, then further stars between parts that are not linked yet.
+  give a star.  Sets with too many shingles that no other set of the lists
+  has are out; then come further stars between parts not linked yet.
 * A set whose slack does not cover its costly segments takes one-deletion
-  neighbourhoods of its cheapest other segments; where even that does not
-  suffice, its costly lists are compared in full, part against part.
+  neighbourhoods of its cheapest other segments; where these are too few or
+  cost more, it meets the sets that share one of its rarest shingles (a link
+  has at least one of the n - ceil(t n) + 1 rarest).
 * Every candidate pair is verified on the two whole shingle sets.
 
 Sets that are equal are one class from the start, so groups of copies are
@@ -38,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .spark import map_batches, stored
+from .spark import extend_batches, fresh, map_batches, stored
 from .text import mix, set_key, shingle_sets
 
 LIST = 12
-STARS = 3
+STARS = 2
+SKETCH = 8
 BUCKET_ENTRIES = 1_000_000
 OWN, NEEDY = 1, 2
 
@@ -85,9 +88,18 @@ class Bands:
         return np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
 
 
+def segment(shingles: np.ndarray, group: int, m: int) -> np.ndarray:
+    return (mix(shingles + np.uint64(group)) >> np.uint64(33)) % np.uint64(m)
+
+
+def filled(shingles: np.ndarray, group: int, m: int) -> int:
+    """Number of non-empty segments."""
+    return int(np.count_nonzero(np.bincount(segment(shingles, group, m).astype(np.int64), minlength=m)))
+
+
 def cut(shingles: np.ndarray, group: int, m: int):
     """Segments of a set in a group: (segment numbers, member lists bounds, values in segment order)."""
-    where = (mix(shingles + np.uint64(group)) >> np.uint64(33)) % np.uint64(m)
+    where = segment(shingles, group, m)
     order = np.argsort(where.astype(np.int32), kind="stable")
     where = where[order]
     heads = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
@@ -114,7 +126,7 @@ def classes(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
             if count:
                 band, largest = bands.of(count)
                 if bands.differ(count):
-                    lack = len(cut(shingles, band, bands.segments(largest))[0]) < bands.differ(count) + 1
+                    lack = filled(shingles, band, bands.segments(largest)) < bands.differ(count) + 1
             needy.append(lack)
         return {"doc_id": batch.column(0), "n_shingles": n, "cls": c, "needy": needy}
 
@@ -247,11 +259,9 @@ def candidates(index: DataFrame, bands: Bands) -> DataFrame:
     return index.groupBy("bucket").applyInArrow(run, ddl)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """The pairs (a, na, b, nb) whose whole sets link, with the size of their intersection."""
-    needed = pairs.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
-
-    def texts(batches):
+def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(cls, n, text): one text of each wanted class (cls, n); texts of a class differ at most in blanks and case."""
+    def run(batches):
         seen: set[tuple[int, int]] = set()
         schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("text", pa.string())])
         for batch in batches:
@@ -264,13 +274,14 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFr
                 [pa.array(c, pa.int64()), pa.array(m, pa.int32()), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())],
                 schema=schema)
 
-    # one text per class: whole copies of a class differ at most in blanks and case
-    text = (docs.select("text").mapInArrow(texts, "cls long, n int, text string")
-            .join(needed, ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.min("text").alias("text")))
-    text = stored(text)
+    found = docs.select("text").mapInArrow(run, "cls long, n int, text string")
+    return found.join(wanted, ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.min("text").alias("text"))
+
 
+def verify(texts: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """The pairs (a, na, b, nb) whose whole sets link, with the size of their intersection."""
     def side(x):
-        return text.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"text_{x}"))
+        return texts.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"text_{x}"))
 
     def check(batch):
         left, right = (shingle_sets(batch.column(batch.schema.get_field_index(f"text_{x}")), size) for x in "ab")
@@ -287,11 +298,53 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFr
     return map_batches(joined, check, "a long, na int, b long, nb int, common long")
 
 
-def _deletions(docs: DataFrame, chosen: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """(key, kind, cls, n, number, larger) of the segment subsets (kind 0) and one-deletion neighbours (1) of the chosen classes."""
+def _members(texts: DataFrame, size: int) -> DataFrame:
+    """(cls, n, g): the shingles of each class."""
+    def run(batch):
+        c, n, g = [], [], []
+        for shingles, count, key in _sets(batch, size):
+            c.append(np.full(count, key)), n.append(np.full(count, count)), g.append(shingles.view(np.int64))
+        return {"cls": np.concatenate(c), "n": np.concatenate(n), "g": np.concatenate(g)}
+
+    return map_batches(texts.select("text"), run, "cls long, n int, g long")
+
+
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(cls, n, s0, s1, ...): one bit for each of SKETCH * 64 parts of the universe, the parity of the set's members in it.
+
+    Two sets differ in at least as many shingles as bits, which rules out pairs without their texts.
+    """
+    def run(batch):
+        c, n, bits = [], [], []
+        for shingles, count, key in _sets(batch, size):
+            where = (mix(shingles ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(64 * SKETCH)).astype(np.int64)
+            c.append(key), n.append(count), bits.append(np.packbits((np.bincount(where, minlength=64 * SKETCH) & 1).astype(bool)))
+        words = np.concatenate(bits).view(np.int64).reshape(-1, SKETCH)
+        return {"cls": c, "n": n} | {f"s{i}": words[:, i] for i in range(SKETCH)}
+
+    return map_batches(texts.select("text"), run, "cls long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
+
+
+def _shared(texts: DataFrame, entries: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """The entries of unresolved lists without those of sets that cannot link any more.
+
+    A link has at least percent of the larger set in common.  So a set of
+    which too many shingles occur in no other set of these lists is out; that
+    makes shingles of others rare, so the test is applied twice.
+    """
+    for _ in range(2):
+        sets = entries.select(F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
+        words = _members(texts.join(sets, ["cls", "n"], "left_semi"), size)
+        single = words.groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("cls"), F.min("n").alias("n")).where("k = 1")
+        out = (single.groupBy("cls", "n").agg(F.count("*").alias("own"))
+               .where((F.col("n") - F.col("own")) * 100 < F.col("n") * bands.percent).select(F.col("cls").alias("a"), F.col("n").alias("na")))
+        entries = stored(entries.join(out, ["a", "na"], "left_anti"))
+    return entries
+
+
+def _deletions(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(key, kind, cls, n, number, larger) of the segment subsets (kind 0) and one-deletion neighbours (1) of the classes with these texts."""
     def run(batch):
-        names = batch.schema.get_field_index
-        wanted = set(zip(batch.column(names("cls")).to_pylist(), batch.column(names("n")).to_pylist(), strict=True))
         out = {k: [] for k in ("key", "kind", "cls", "n", "number", "larger")}
 
         def add(values, kind, key, count, numbers, role):
@@ -301,8 +354,6 @@ def _deletions(docs: DataFrame, chosen: DataFrame, size: int, bands: Bands) -> D
                 out[k].append(np.full(len(values), v))
 
         for shingles, count, key in _sets(batch, size):
-            if (key, count) not in wanted:
-                continue
             band, largest = bands.of(count)
             for group, top, role in ((band, largest, 1), (band + 1, bands.above(largest), 0)):
                 numbers, heads, values = cut(shingles, group, bands.segments(top))
@@ -313,14 +364,10 @@ def _deletions(docs: DataFrame, chosen: DataFrame, size: int, bands: Bands) -> D
         kinds = {"key": pa.int64(), "kind": pa.int8(), "cls": pa.int64(), "n": pa.int32(), "number": pa.int32(), "larger": pa.int8()}
         return {k: pa.array(np.concatenate(v) if v else [], kinds[k]) for k, v in out.items()}
 
-    return map_batches(chosen.select("cls", "n", "text"), run,
+    return map_batches(texts.select("text"), run,
                        "key long, kind byte, cls long, n int, number int, larger byte")
 
 
-def _node(c: str, n: str):
-    return F.struct(F.col(c).alias("c"), F.col(n).alias("n"))
-
-
 def _linked(links: DataFrame) -> DataFrame:
     """(cls, n, root): root is the text form of a class, so classes and roots are plain keys."""
     name = lambda c, n: F.concat_ws(":", c, n)
@@ -358,10 +405,14 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
     buckets = max(1, math.ceil((facts["total"] or 0) * 0.6 / BUCKET_ENTRIES))
     found = stored(candidates(entries(docs, size, bands, buckets, needy), bands))
     short = found.where("sig is null").select("a", "na", "b", "nb").distinct()
-    known = stored(verify(docs, stored(short), size, bands))
+    wanted = (found.select(F.col("a").alias("cls"), F.col("na").alias("n"))
+              .union(found.where("b is not null").select("b", "nb")).distinct())
+    texts = stored(class_texts(docs, wanted, size, bands))
+    known = stored(verify(texts, short, size, bands))
     long = found.where("sig is not null").select("sig", "a", "na")
     if long.isEmpty():
         return known
+    long = _shared(texts, _unresolved(long, known).select("sig", "a", "na"), size, bands)
     for turn in range(STARS):
         open_lists = stored(_unresolved(long, known))
         if open_lists.isEmpty():
@@ -375,27 +426,21 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
         pairs = _order(pairs).join(short, ["a", "na", "b", "nb"], "left_anti")
         pairs = stored(pairs)
         short = short.union(pairs)
-        known = stored(known.unionByName(verify(docs, pairs, size, bands)))
+        known = stored(known.unionByName(verify(texts, pairs, size, bands)))
         long = open_lists.select("sig", "a", "na")
-    return _rest(docs, stored(_unresolved(long, known)), known, short, size, bands)
+    return _rest(texts, stored(_unresolved(long, known)), known, short, size, bands)
 
 
-def _rest(docs: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _rest(texts: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Cost-based allocation for sets that keep entries in unresolved long lists."""
     if rest.isEmpty():
         return known
     percent = bands.percent
     chosen = rest.select(F.col("a").alias("cls"), F.col("na").alias("n"), "root").distinct()
 
-    def texts(batch):
-        rows, c, m = [], [], []
-        for at, (_, count, key) in enumerate(_sets(batch, size)):
-            rows.append(at), c.append(key), m.append(count)
-        return {"cls": c, "n": m, "text": batch.column(0).cast(pa.string())}
-
-    text = map_batches(docs.select("text"), texts, "cls long, n int, text string")
-    text = stored(text.join(chosen, ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.min("text").alias("text")))
-    index = stored(_deletions(docs, text, size, bands))
+    text = texts.join(chosen, ["cls", "n"], "left_semi")
+    chosen = stored(chosen.join(_sketches(text, size), ["cls", "n"]))
+    index = stored(_deletions(text, size, bands))
     cost = rest.groupBy("sig").agg(F.count("*").alias("cost"))
     own = (index.where("kind = 0 and larger = 1").join(cost, F.col("key") == F.col("sig"), "left")
            .select("cls", "n", "number", F.coalesce("cost", F.lit(0)).alias("cost")))
@@ -408,29 +453,39 @@ def _rest(docs: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame,
     per = (free.groupBy("cls", "n").agg(F.count("*").alias("free"), F.sort_array(F.collect_list(F.struct("near", "number"))).alias("by")))
     per = (chosen.join(per, ["cls", "n"], "left").withColumn("free", F.coalesce("free", F.lit(0)))
            .withColumn("lack", bound - F.col("free")))
-    # cheap enough: the deletions of the `lack` cheapest segments cost less than the costly lists themselves
-    price = F.aggregate(F.slice("by", F.lit(1), F.greatest(F.col("lack"), F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda x, y: x + y["near"])
-    lists = own.where("cost > 0").groupBy("cls", "n").agg(F.sum("cost").alias("full"))
-    per = (per.where("lack > 0").join(lists, ["cls", "n"], "left")
-           .withColumn("delete", (F.col("lack") <= F.col("free")) & (F.coalesce(price, F.lit(0)) < F.coalesce("full", F.lit(0)))))
-    per = stored(per)
-    steps = (per.where("delete").select("cls", "n", "root", F.explode(F.slice("by", F.lit(1), F.col("lack").cast("int"))).alias("s"))
-             .select("cls", "n", "root", F.col("s.number").alias("number")))
-    probe = (index.where("larger = 1").join(steps, ["cls", "n", "number"])
-             .select("key", "kind", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("root_a")))
-    other = (index.join(chosen, ["cls", "n"])
-             .select("key", F.col("kind").alias("kind_b"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b")))
-    by_delete = probe.join(other, "key").where("kind + kind_b = 1 and root_a <> root_b and nb <= na").where(_fits(percent))
-    full = (rest.join(per.where("not delete").select(F.col("cls").alias("a"), F.col("n").alias("na")), ["a", "na"], "left_semi")
-            .select("sig", "a", "na", F.col("root").alias("root_a")))
-    in_full = (full.join(rest.select("sig", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("root").alias("root_b")), "sig")
-               .where("root_a <> root_b and nb <= na").where(_fits(percent)))
-    pairs = by_delete.select("a", "na", "b", "nb").union(in_full.select("a", "na", "b", "nb"))
+    # the deletions of the `lack` cheapest segments, or the sets that share one of the rarest shingles: the cheaper way
+    lacking = stored(per.where("lack > 0"))
+    price = F.aggregate(F.slice("by", F.lit(1), F.col("lack").cast("int")), F.lit(0).cast("long"), lambda x, y: x + y["near"])
+    words = stored(_members(text, size).join(chosen, ["cls", "n"]))
+    often = words.groupBy("g").agg(F.count("*").alias("df"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = (words.join(lacking.select("cls", "n"), ["cls", "n"], "left_semi").join(often, "g")
+            .groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("rare"))
+            .withColumn("rare", F.slice("rare", F.lit(1), prefix.cast("int"))))
+    other_price = F.aggregate("rare", F.lit(0).cast("long"), lambda x, y: x + y["df"])
+    plan = stored(lacking.join(rare, ["cls", "n"]).withColumn("delete", (F.col("lack") <= F.col("free")) & (price <= other_price)))
+    def named(x):
+        return [F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}"),
+                *(F.col(f"s{i}").alias(f"s{i}{x}") for i in range(SKETCH))]
+
+    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, SKETCH)),
+                 F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
+    possible = ((F.col("root_a") != F.col("root_b")) & (F.col("nb") <= F.col("na")) & _fits(percent)
+                & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
+    steps = plan.where("delete").select(*chosen.columns, F.explode(F.slice("by", F.lit(1), F.col("lack").cast("int"))).alias("s"))
+    steps = steps.withColumn("number", F.col("s.number"))
+    probe = index.where("larger = 1").select("cls", "n", "number", "key", "kind").join(steps, ["cls", "n", "number"]).select("key", "kind", *named("a"))
+    other = (index.select("cls", "n", F.col("key").alias("key_b"), F.col("kind").alias("kind_b")).join(chosen, ["cls", "n"])
+             .select("key_b", "kind_b", *named("b")))
+    by_delete = probe.join(other, (F.col("key") == F.col("key_b")) & (F.col("kind") + F.col("kind_b") == 1) & possible)
+    few = plan.where("not delete").withColumn("s", F.explode("rare")).select(F.col("s.g").alias("g"), *named("a"))
+    by_rare = few.join(words.select(F.col("g").alias("g_b"), *named("b")), (F.col("g") == F.col("g_b")) & possible)
+    pairs = by_delete.select("a", "na", "b", "nb").union(by_rare.select("a", "na", "b", "nb"))
     pairs = stored(_order(pairs).join(short, ["a", "na", "b", "nb"], "left_anti"))
-    return stored(known.unionByName(verify(docs, pairs, size, bands)))
+    return stored(known.unionByName(verify(texts, pairs, size, bands)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keep_class: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, n_links, class_size.
 
     n_links counts the links of the row's class that were verified (in a large
@@ -452,6 +507,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = kind.groupBy("root").agg(F.min("low").alias("component_id"))
     kind = kind.join(least, "root").select("cls", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_size")
     return (base.join(kind, ["cls", "n_shingles"], "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+            .select("doc_id", "n_shingles", *(["cls"] if keep_class else []), F.coalesce("component_id", "doc_id").alias("component_id"),
                     F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                     F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that near-duplicate a row of lower doc_id; columns unchanged.
+
+    Of each component the rows of its smallest doc_id stay.  Rows without words stay, and so do rows without doc_id.
+    """
+    found = near_duplicates(docs, size, percent, keep_class=True)
+    names = {c: fresh(docs, c) for c in ("cls", "size")}
+    gone = (found.where("doc_id <> component_id")
+            .select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_cls"), F.col("n_shingles").alias("gone_size")).distinct())
+
+    def key(batch):
+        made = [(k, n) for _, n, k in _sets(batch, size)]
+        return {names["cls"]: [k for k, _ in made], names["size"]: [n for _, n in made]}
+
+    keyed = extend_batches(docs, key, "`{}` long, `{}` long".format(*names.values()))
+    left = [F.col("doc_id").cast("long"), F.col(f"`{names['cls']}`"), F.col(f"`{names['size']}`")]
+    gone = stored(gone)
+    match = [a == gone[b] for a, b in zip(left, ("gone_id", "gone_cls", "gone_size"), strict=True)]
+    return keyed.join(gone, match, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -21,3 +21,39 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id, coalesce(k.class_size, 1) AS
 FROM n JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c ON c.node = n.doc_id
 LEFT JOIN k ON k.doc_id = n.doc_id
 """
+
+DECONTAMINATION = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, least(13, len(w)) AS m,
+    unnest([array_to_string(w[i:i + least(13, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(13, len(w)) + 2)]) AS g
+  FROM b WHERE len(w) > 0),
+m AS (SELECT DISTINCT m FROM p),
+t AS (
+  SELECT r, m, unnest(range(1, len(w) - m + 2)) AS i, unnest([array_to_string(w[k:k + m - 1], ' ') FOR k IN range(1, len(w) - m + 2)]) AS g FROM d JOIN m ON len(w) >= m),
+h AS (SELECT t.r, t.i, t.m, p.item FROM t JOIN p ON p.m = t.m AND p.g = t.g),
+n AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM h) GROUP BY r),
+q AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM h GROUP BY r)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN q ON q.r = d.r
+"""
+
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x, role, text FROM c),
+e AS (
+  SELECT *, regexp_replace(r, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') AS er,
+    regexp_replace(x, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') AS ex FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN x END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length(er) + length(ex) + 22) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, oracles
-from .spark import table
+from . import chat, decontamination, line_dedup, ngram_join, oracles, packing, toxicity
+from .spark import stored, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,45 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "class_size")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join,)}
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+                      "(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.formatted(stored(chat.chains(talks))).withColumn("turns", chat.parsed(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    return out.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                      F.char_length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
+                      F.char_length("formatted").cast("long").alias("formatted_chars"))
 
-ORACLE_SQL = {"op1_ngram_join": oracles.NGRAM_JOIN}
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, lines, removed = line_dedup.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col(lines).alias("n_lines"), F.col(removed).alias("n_removed_lines"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, (n, spans, items) = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    out = out.select("doc_id", F.col(n).alias("n_words"), decontamination.hit_words(spans).alias("n_hit"), F.col(items).alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+                      decontamination.is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, score = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), F.col(score).alias("score"),
+                      (F.col(score) >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_chat, op4_line_dedup, op5_packing, op7_decontamination, op8_toxicity)}
+
+ORACLE_SQL = {"op1_ngram_join": oracles.NGRAM_JOIN, "op3_chat": oracles.CHAT, "op7_decontamination": oracles.DECONTAMINATION}

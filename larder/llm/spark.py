@@ -52,3 +52,27 @@ def map_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
                      for f in schema], schema=schema)
 
     return df.mapInArrow(run, ddl)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def extend_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
+    """All columns of ``df`` and those of ``ddl``, which ``function(batch) -> dict`` makes row by row."""
+    extra = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                made = function(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *(made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in extra)],
+                    names=[*batch.schema.names, *extra.names])
+
+    from pyspark.sql.types import StructType
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields]))
