@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, ngram_join, oracles, packing, toxicity
+from . import chat, decontamination, line_dedup, ngram_join, oracles, packing, pii, quality, substring, suffix_dedup, toxicity
 from .spark import stored, table
 
 
@@ -14,6 +14,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "class_size")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), "
                       "(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
@@ -37,6 +43,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, (n, spans, items) = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -53,6 +64,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_chat, op4_line_dedup, op5_packing, op7_decontamination, op8_toxicity)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, (kept, removed, spans) = suffix_dedup.cleaned(docs)
+    return out.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.col(removed).alias("n_removed"),
+                      F.col(spans).alias("n_spans"), F.sha2(F.col(kept), 256).alias("kept_sha256"))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, (n, spans, partner) = substring.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col(n).alias("n_words"), F.expr(f"cast(size(`{spans}`) div 2 as long)").alias("n_passages"),
+                      F.array_join(F.transform(spans, lambda x: x.cast("string")), ",").alias("spans"), F.col(partner).alias("partner_id"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_join, op2_pii, op3_chat, op4_line_dedup, op5_packing, op6_quality, op7_decontamination, op8_toxicity,
+    op9_suffix_dedup, op10_substring)}
 
 ORACLE_SQL = {"op1_ngram_join": oracles.NGRAM_JOIN, "op3_chat": oracles.CHAT, "op7_decontamination": oracles.DECONTAMINATION}
