@@ -41,13 +41,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .spark import extend_batches, fresh, map_batches, stored
-from .text import mix, set_key, shingle_sets
+from .text import SET_SALT, mix, set_key, shingle_sets
 
 LIST = 12
 STARS = 2
 SKETCH = 8
 BUCKET_ENTRIES = 1_000_000
 OWN, NEEDY = 1, 2
+SEGMENT_SALT = np.uint64(0xA0761D6478BD642F)
 
 
 class Bands:
@@ -79,31 +80,28 @@ class Bands:
     def differ(self, n: int) -> int:
         return 2 * n * (100 - self.percent) // (100 + self.percent)
 
-    def segments(self, largest: int) -> int:
+    def segments(self, largest):
         base = self.differ(largest) + 1
-        return base + math.ceil(base / 10) + 2
+        return base + -(-base // 10) + 2
+
+    def table(self, sizes: np.ndarray):
+        """For each size: band number, largest size of the band and of the band above."""
+        edges = np.array(self.edges(int(sizes.max(initial=1)) * 2 + 4))
+        band = np.searchsorted(edges, np.maximum(sizes, 1), "right") - 1
+        return band, edges[band + 1] - 1, edges[band + 2] - 1
 
     def close(self, n, m):
         """Whether sizes n and m allow a link."""
         return np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
 
 
-def segment(shingles: np.ndarray, group: int, m: int) -> np.ndarray:
-    return (mix(shingles + np.uint64(group)) >> np.uint64(33)) % np.uint64(m)
-
-
-def filled(shingles: np.ndarray, group: int, m: int) -> int:
-    """Number of non-empty segments."""
-    return int(np.count_nonzero(np.bincount(segment(shingles, group, m).astype(np.int64), minlength=m)))
-
-
 def cut(shingles: np.ndarray, group: int, m: int):
     """Segments of a set in a group: (segment numbers, member lists bounds, values in segment order)."""
-    where = segment(shingles, group, m)
+    where = (mix(shingles + np.uint64(group)) >> np.uint64(33)) % np.uint64(m)
     order = np.argsort(where.astype(np.int32), kind="stable")
     where = where[order]
     heads = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-    return where[heads], heads, mix(shingles[order] ^ np.uint64(0xA0761D6478BD642F))
+    return where[heads], heads, mix(shingles[order] ^ SEGMENT_SALT)
 
 
 def keys(numbers, sums, group: int) -> np.ndarray:
@@ -115,79 +113,111 @@ def _sets(batch: pa.RecordBatch, size: int):
         yield shingles, len(shingles), set_key(shingles)
 
 
+def _chunks(batch: pa.RecordBatch, size: int, entries: int = 200_000):
+    """The batch's sets in chunks: members of all sets, set bounds, class keys."""
+    held, count = [], 0
+
+    def chunk():
+        sizes = np.array([len(x) for x in held])
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        members = np.concatenate(held)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(members ^ SET_SALT), dtype=np.uint64)))
+        keys_ = mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64)).view(np.int64)
+        return members, bounds, np.where(sizes > 0, keys_, 0)
+
+    for shingles in shingle_sets(batch.column(batch.schema.get_field_index("text")), size):
+        held.append(shingles)
+        count += len(shingles)
+        if count >= entries:
+            yield chunk()
+            held, count = [], 0
+    if held:
+        yield chunk()
+
+
+def _segments(members: np.ndarray, bounds: np.ndarray, group: np.ndarray, m: np.ndarray):
+    """Of sets cut into m segments in their group: each filled segment's set, number and hash."""
+    sizes = np.diff(bounds)
+    first = np.cumsum(m) - m
+    where = (mix(members + np.repeat(group.astype(np.uint64), sizes)) >> np.uint64(33)) % np.repeat(m.astype(np.uint64), sizes)
+    slot = np.repeat(first, sizes) + where.astype(np.int64)
+    value = mix(members ^ SEGMENT_SALT)
+    total = int(m.sum())
+    # 64-bit sums from two exact sums of 32-bit halves
+    low = np.bincount(slot, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
+    high = np.bincount(slot, (value >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
+    kept = np.flatnonzero(np.bincount(slot, minlength=total))
+    owner = np.repeat(np.arange(len(m)), m)[kept]
+    number = (kept - first[owner]).astype(np.uint64)
+    sums = (low + (high << np.uint64(32)))[kept]
+    return owner, number, mix(sums + mix(number * np.uint64(0x100000001B3) + (group[owner].astype(np.uint64) << np.uint64(32))))
+
+
 def classes(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     """(doc_id, n_shingles, cls, needy): needy marks sets with fewer filled segments than their bound asks for."""
     def run(batch):
         n, c, needy = [], [], []
-        for shingles, count, key in _sets(batch, size):
-            n.append(count)
-            c.append(key)
-            lack = False
-            if count:
-                band, largest = bands.of(count)
-                if bands.differ(count):
-                    lack = filled(shingles, band, bands.segments(largest)) < bands.differ(count) + 1
-            needy.append(lack)
-        return {"doc_id": batch.column(0), "n_shingles": n, "cls": c, "needy": needy}
+        for members, bounds, cls in _chunks(batch, size):
+            sizes = np.diff(bounds)
+            band, largest, _ = bands.table(sizes)
+            m = np.where(bands.differ(sizes) > 0, bands.segments(largest), 1)
+            where = (mix(members + np.repeat(band.astype(np.uint64), sizes)) >> np.uint64(33)) % np.repeat(m.astype(np.uint64), sizes)
+            first = np.cumsum(m) - m
+            hit = np.bincount(np.repeat(first, sizes) + where.astype(np.int64), minlength=int(m.sum())) > 0
+            filled = np.add.reduceat(hit.astype(np.int64), first) if len(m) else m
+            n.append(sizes), c.append(cls), needy.append((bands.differ(sizes) > 0) & (filled < bands.differ(sizes) + 1))
+        return {"doc_id": batch.column(0), "n_shingles": np.concatenate(n), "cls": np.concatenate(c), "needy": np.concatenate(needy)}
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
                        "doc_id long, n_shingles long, cls long, needy boolean")
 
 
-def _once(function):
-    """Calls function(shingles, n, key) once per class and task, for sets that can link with a different set."""
-    seen: set[tuple[int, int]] = set()
-
-    def run(batch, size, bands):
-        for shingles, count, key in _sets(batch, size):
-            if bands.differ(count) and (count, key) not in seen:
-                seen.add((count, key))
-                function(shingles, count, key)
-    return run
-
-
 def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands: frozenset[int]) -> DataFrame:
-    """The index as rows of packed arrays: (bucket, sig, cls, n, role)."""
+    """The index as rows of packed arrays: (bucket, sig, cls, n, role); each class once per task."""
     salts = 16
 
+    def voids(group, m, owner, number, needy, cls):
+        """Entries of empty segments in the bands of needy sets: a needy set meets all others that lack the segment too."""
+        out = []
+        for i in np.flatnonzero(np.isin(group, list(needy_bands))):
+            empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), number[owner == i])
+            salt = np.arange(salts, dtype=np.uint64) if needy[i] else np.array([int(cls[i]) % salts], dtype=np.uint64)
+            out.append((i, keys(np.repeat(empty, len(salt)), np.tile(salt, len(empty)) + np.uint64(7), int(group[i]))))
+        return out
+
     def run(batches):
         schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("cls", pa.binary()), ("n", pa.binary()),
                             ("role", pa.binary())])
-        parts: list = []
-
-        def add(shingles, count, key):
-            band, largest = bands.of(count)
-            for group, top, role in ((band, largest, OWN), (band + 1, bands.above(largest), 0)):
-                if not bands.differ(top):
-                    continue
-                m = bands.segments(top)
-                numbers, heads, values = cut(shingles, group, m)
-                sig = keys(numbers, np.add.reduceat(values, heads), group)
-                needy = role == OWN and len(numbers) < bands.differ(count) + 1
-                if group in needy_bands:  # empty segments: those of needy sets meet all others'
-                    empty = np.setdiff1d(np.arange(m, dtype=np.uint64), numbers)
-                    salt = np.arange(salts, dtype=np.uint64) if needy else np.array([key % salts], dtype=np.uint64)
-                    void = keys(np.repeat(empty, len(salt)), np.tile(salt, len(empty)) + np.uint64(7), group)
-                    parts.append((void, key, count, 4 | role | (NEEDY if needy else 0)))
-                parts.append((sig, key, count, role))
-
-        step = _once(add)
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            step(batch, size, bands)
-            if not parts:
+            sig, cls, n, role = [], [], [], []
+            for members, bounds, key in _chunks(batch, size):
+                sizes = np.diff(bounds)
+                new = np.array([d > 0 and (k := (int(c), int(s))) not in seen and not seen.add(k)
+                                for c, s, d in zip(key, sizes, bands.differ(sizes), strict=True)], dtype=bool)
+                members, key, sizes = members[np.repeat(new, sizes)], key[new], sizes[new]
+                if not len(sizes):
+                    continue
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                band, largest, above = bands.table(sizes)
+                for group, top, own in ((band, largest, OWN), (band + 1, above, 0)):
+                    m = bands.segments(top)
+                    owner, number, found = _segments(members, bounds, group, m)
+                    needy = (np.bincount(owner, minlength=len(m)) < bands.differ(sizes) + 1) & (own == OWN)
+                    parts = [(owner, found, np.full(len(found), own))]
+                    if needy_bands:
+                        parts += [(np.full(len(x), i), x, np.full(len(x), 4 | own | (NEEDY if needy[i] else 0)))
+                                  for i, x in voids(group, m, owner, number, needy, key)]
+                    for who, x, kind in parts:
+                        sig.append(x), cls.append(key[who]), n.append(sizes[who].astype(np.int32)), role.append(kind.astype(np.int8))
+            if not sig:
                 continue
-            reps = [len(p[0]) for p in parts]
-            sig = np.concatenate([p[0] for p in parts])
-            cls = np.repeat(np.array([p[1] for p in parts], dtype=np.int64), reps)
-            n = np.repeat(np.array([p[2] for p in parts], dtype=np.int32), reps)
-            role = np.repeat(np.array([p[3] for p in parts], dtype=np.int8), reps)
-            parts.clear()
-            bucket = (sig % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
+            columns = [np.concatenate(x) for x in (sig, cls, n, role)]
+            bucket = (columns[0] % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+            bucket, columns = bucket[order], [x[order] for x in columns]
             heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = np.append(heads[1:], len(bucket))
-            columns = [sig[order], cls[order], n[order], role[order]]
             for first in range(0, len(heads), 64):
                 pick = range(first, min(first + 64, len(heads)))
                 yield pa.RecordBatch.from_arrays(
@@ -278,8 +308,23 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) ->
     return found.join(wanted, ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.min("text").alias("text"))
 
 
-def verify(texts: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _possible(percent: int):
+    """Whether the sketches of a and b leave room for a link."""
+    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, SKETCH)),
+                 F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
+    return differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
+def _named(x: str, *more: str):
+    return [F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *(F.col(f"s{i}").alias(f"s{i}{x}") for i in range(SKETCH)),
+            *(F.col(c).alias(f"{c}_{x}") for c in more)]
+
+
+def verify(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
     """The pairs (a, na, b, nb) whose whole sets link, with the size of their intersection."""
+    pairs = (pairs.join(sketches.select(*_named("a")), ["a", "na"]).join(sketches.select(*_named("b")), ["b", "nb"])
+             .where(_possible(bands.percent)).select("a", "na", "b", "nb"))
+
     def side(x):
         return texts.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"text_{x}"))
 
@@ -408,7 +453,8 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
     wanted = (found.select(F.col("a").alias("cls"), F.col("na").alias("n"))
               .union(found.where("b is not null").select("b", "nb")).distinct())
     texts = stored(class_texts(docs, wanted, size, bands))
-    known = stored(verify(texts, short, size, bands))
+    sketches = stored(_sketches(texts, size))
+    known = stored(verify(texts, sketches, short, size, bands))
     long = found.where("sig is not null").select("sig", "a", "na")
     if long.isEmpty():
         return known
@@ -426,12 +472,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
         pairs = _order(pairs).join(short, ["a", "na", "b", "nb"], "left_anti")
         pairs = stored(pairs)
         short = short.union(pairs)
-        known = stored(known.unionByName(verify(texts, pairs, size, bands)))
+        known = stored(known.unionByName(verify(texts, sketches, pairs, size, bands)))
         long = open_lists.select("sig", "a", "na")
-    return _rest(texts, stored(_unresolved(long, known)), known, short, size, bands)
+    return _rest(texts, sketches, stored(_unresolved(long, known)), known, short, size, bands)
 
 
-def _rest(texts: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Cost-based allocation for sets that keep entries in unresolved long lists."""
     if rest.isEmpty():
         return known
@@ -439,7 +485,7 @@ def _rest(texts: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame,
     chosen = rest.select(F.col("a").alias("cls"), F.col("na").alias("n"), "root").distinct()
 
     text = texts.join(chosen, ["cls", "n"], "left_semi")
-    chosen = stored(chosen.join(_sketches(text, size), ["cls", "n"]))
+    chosen = stored(chosen.join(sketches, ["cls", "n"]))
     index = stored(_deletions(text, size, bands))
     cost = rest.groupBy("sig").agg(F.count("*").alias("cost"))
     own = (index.where("kind = 0 and larger = 1").join(cost, F.col("key") == F.col("sig"), "left")
@@ -464,25 +510,18 @@ def _rest(texts: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame,
             .withColumn("rare", F.slice("rare", F.lit(1), prefix.cast("int"))))
     other_price = F.aggregate("rare", F.lit(0).cast("long"), lambda x, y: x + y["df"])
     plan = stored(lacking.join(rare, ["cls", "n"]).withColumn("delete", (F.col("lack") <= F.col("free")) & (price <= other_price)))
-    def named(x):
-        return [F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}"),
-                *(F.col(f"s{i}").alias(f"s{i}{x}") for i in range(SKETCH))]
-
-    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, SKETCH)),
-                 F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
-    possible = ((F.col("root_a") != F.col("root_b")) & (F.col("nb") <= F.col("na")) & _fits(percent)
-                & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
+    possible = (F.col("root_a") != F.col("root_b")) & (F.col("nb") <= F.col("na")) & _fits(percent) & _possible(percent)
     steps = plan.where("delete").select(*chosen.columns, F.explode(F.slice("by", F.lit(1), F.col("lack").cast("int"))).alias("s"))
     steps = steps.withColumn("number", F.col("s.number"))
-    probe = index.where("larger = 1").select("cls", "n", "number", "key", "kind").join(steps, ["cls", "n", "number"]).select("key", "kind", *named("a"))
+    probe = index.where("larger = 1").select("cls", "n", "number", "key", "kind").join(steps, ["cls", "n", "number"]).select("key", "kind", *_named("a", "root"))
     other = (index.select("cls", "n", F.col("key").alias("key_b"), F.col("kind").alias("kind_b")).join(chosen, ["cls", "n"])
-             .select("key_b", "kind_b", *named("b")))
+             .select("key_b", "kind_b", *_named("b", "root")))
     by_delete = probe.join(other, (F.col("key") == F.col("key_b")) & (F.col("kind") + F.col("kind_b") == 1) & possible)
-    few = plan.where("not delete").withColumn("s", F.explode("rare")).select(F.col("s.g").alias("g"), *named("a"))
-    by_rare = few.join(words.select(F.col("g").alias("g_b"), *named("b")), (F.col("g") == F.col("g_b")) & possible)
+    few = plan.where("not delete").withColumn("s", F.explode("rare")).select(F.col("s.g").alias("g"), *_named("a", "root"))
+    by_rare = few.join(words.select(F.col("g").alias("g_b"), *_named("b", "root")), (F.col("g") == F.col("g_b")) & possible)
     pairs = by_delete.select("a", "na", "b", "nb").union(by_rare.select("a", "na", "b", "nb"))
     pairs = stored(_order(pairs).join(short, ["a", "na", "b", "nb"], "left_anti"))
-    return stored(known.unionByName(verify(texts, pairs, size, bands)))
+    return stored(known.unionByName(verify(texts, sketches, pairs, size, bands)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keep_class: bool = False) -> DataFrame:

@@ -140,9 +140,12 @@ def shingle_sets(column: pa.Array, size: int = 5):
                 yield np.zeros(0, np.uint64)
 
 
+SET_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
 def set_key(shingles: np.ndarray) -> int:
     """Signed 64-bit key of a shingle set."""
     if not len(shingles):
         return 0
-    total = mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(shingles))
+    total = mix(shingles ^ SET_SALT).sum(dtype=np.uint64) + np.uint64(len(shingles))
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
