@@ -22,6 +22,8 @@ both.  A null doc_id comes before all others.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,6 +139,7 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     schema = pa.schema([(lines, pa.int64()), (removed, pa.int64())])
 
     def run(batches):
+        gc.collect()
         for batch in batches:
             name = batch.schema.get_field_index
             old, drop = batch.column(name("text")), batch.column(name(lost)).to_pylist()

@@ -32,6 +32,7 @@ gets the smallest other doc_id of its component, or null.
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -186,6 +187,7 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
         return out
 
     def run(batches):
+        gc.collect()
         schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("cls", pa.binary()), ("n", pa.binary()),
                             ("role", pa.binary())])
         seen: set[tuple[int, int]] = set()
@@ -292,6 +294,7 @@ def candidates(index: DataFrame, bands: Bands) -> DataFrame:
 def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) -> DataFrame:
     """(cls, n, text): one text of each wanted class (cls, n); texts of a class differ at most in blanks and case."""
     def run(batches):
+        gc.collect()
         seen: set[tuple[int, int]] = set()
         schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("text", pa.string())])
         for batch in batches:

@@ -24,6 +24,7 @@ packed one by one; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 
 import numpy as np
@@ -36,7 +37,7 @@ from .text import NOT_BLANK, prefix_hashes, slices, span_hashes, utf8
 SIZE, STRIDE = 1024, 16
 SENTENCE_COST, BREAK_COST = 2, 8
 END = 0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Code points from U+0500 on; below are Latin, Greek and Cyrillic, whose character classes have long been settled.
 LATER = re.compile("[\u0500-\U0010ffff]")
 
@@ -52,9 +53,7 @@ class Tokens:
     def __init__(self, vocabulary: str | None = None, ranks: str | None = None):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-        self.exact = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-        self.exact.encode_special_tokens = True
+        self.vocabulary, self.exact = vocabulary or public_tokenizers.path("byte_bpe_50k.json"), None
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("bytes50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -67,6 +66,10 @@ class Tokens:
     def _whole(self, raw: bytes) -> np.ndarray:
         text = raw.decode()
         if LATER.search(text):
+            if self.exact is None:  # few texts need it
+                from tokenizers import Tokenizer
+                self.exact = Tokenizer.from_file(self.vocabulary)
+                self.exact.encode_special_tokens = True
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
 
@@ -200,6 +203,7 @@ def packed(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, ran
 
     def run(batches):
         from pyspark import TaskContext
+        gc.collect()  # workers are reused: drop the tokenizers of earlier tasks
         used = TaskContext.get().partitionId() << 33
         tokens = Tokens(vocabulary, ranks)
         for batch in batches:

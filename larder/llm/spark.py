@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -42,6 +43,7 @@ def map_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
+        gc.collect()  # workers are reused: drop what the functions of earlier tasks kept
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -67,6 +69,7 @@ def extend_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
     extra = arrow_schema(ddl)
 
     def run(batches):
+        gc.collect()
         for batch in batches:
             if batch.num_rows:
                 made = function(batch)
