@@ -23,8 +23,9 @@ RATIO = T.DecimalType(26, 15)     # decimal(11,3) / decimal(11,3), as SQL types
 PRODUCT = T.DecimalType(24, 7)    # decimal(12,4) * decimal(11,3)
 
 # ISNUMERIC() is 1 for a single digit, sign, decimal or group
-# separator, or currency symbol.
-NUMERIC_FIRST_CHAR = r"^[0-9+\-.,$€£¥]"
+# separator, or currency symbol of the money types.
+MONEY_SIGNS = "$¢£¤¥৲৳฿៛₠₡₢₣₤₥₦₧₨₩₪₫€₭₮₯₰₱﷼﹩＄￠￡￥￦"
+NUMERIC_FIRST_CHAR = rf"^[0-9+\-.,{MONEY_SIGNS}]"
 
 
 def ntz(value) -> Column:
@@ -56,7 +57,8 @@ def collated(col: Column, case_insensitive: bool) -> Column:
 
 
 def like(col: Column, pattern: str, fold_case: bool = False, case_insensitive: bool = False) -> Column:
-    """``col LIKE pattern`` (``%`` and ``_`` wildcards, no character classes).
+    """``col LIKE pattern`` (``%`` and ``_`` wildcards, ``[...]`` character
+    classes; a backslash is an ordinary character).
 
     ``fold_case`` lowers both sides (an explicit ``LOWER(x) LIKE LOWER(p)``);
     ``case_insensitive`` matches under the case-insensitive collation.  A
@@ -65,11 +67,41 @@ def like(col: Column, pattern: str, fold_case: bool = False, case_insensitive: b
     non-null instead of evaluating a regex per row."""
     if pattern and set(pattern) == {"%"}:
         return col.isNotNull()
+    if "[" in pattern:
+        return _like_classes(col, pattern, fold_case, case_insensitive)
+    pattern = pattern.replace("\\", "\\\\")  # a backslash is an ordinary character
     if fold_case:
         return F.lower(col).like(pattern.lower())
     return collated(col, case_insensitive).like(pattern)
 
 
+def _like_classes(col: Column, pattern: str, fold_case: bool, case_insensitive: bool) -> Column:
+    """A pattern with character classes (``[abc]``, ``[a-f]``, ``[^x]``) as an
+    anchored regular expression.  A bracket that is never closed matches
+    itself."""
+    if fold_case:
+        col, pattern = F.lower(col), pattern.lower()
+    out, i = [], 0
+    while i < len(pattern):
+        ch, end = pattern[i], pattern.find("]", i + 1)
+        if ch == "[" and end > i + 1:
+            body = pattern[i + 1:end]
+            negated = body.startswith("^") and len(body) > 1
+            members = "".join(m if m == "-" and 0 < k < len(body[negated:]) - 1 else _quoted(m)
+                              for k, m in enumerate(body[negated:]))
+            out.append(f"[{'^' if negated else ''}{members}]")
+            i = end
+        else:
+            out.append({"%": ".*", "_": "."}.get(ch) or _quoted(ch))
+        i += 1
+    flags = "(?isu)" if case_insensitive else "(?s)"
+    return col.rlike(f"{flags}\\A{''.join(out)}\\z")
+
+
+def _quoted(ch: str) -> str:
+    return ch if ch.isalnum() or ch.isspace() or ord(ch) > 127 else "\\" + ch
+
+
 def contains_pattern(term: str) -> str:
     """``'%' + term + '%'`` — the search-box form of a LIKE term."""
     return f"%{term}%"

@@ -7,8 +7,10 @@ type, reference, counterparty, quantity and value in stock units); the kinds
 are unioned and then joined once to the item description and the item
 lookup, and cast to the 19-column ledger shape (``LEDGER_SCHEMA``).  Waste
 and transfers are summed per ``(item, event)`` *before* the wide lookup is
-attached; the lookup is distinct, so this gives the same groups as grouping
-the joined rows by every lookup column, with far less data in the shuffle.
+attached.  Grouping the joined rows by every lookup column would sum an event
+over lookup rows that differ in the category alone (which is not grouped by),
+so such rows are counted and the sums multiplied; counts and purchases, which
+are not summed, repeat instead.
 The single-kind operators (``ledger_waste`` ...) run the same code for one
 kind.
 """
@@ -138,13 +140,17 @@ def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
     agg = (usage_activity(c, p, kinds)
            .groupBy(F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "PurchaseInfo", "other_ctx")
            .agg(F.sum("StockQty").alias("q"), F.sum(F.col("StockQty") * F.col("TrackingCost")).alias("v")))
-    other = c["TransferContext"].select(F.col("TransferContextId").alias("other_ctx"),
-                                        F.col("Store").alias("other_store"))
-    counterparty = lookup(other, c["Store"], "other_store", "StoreId", {"Identifier": "SupplierName"}) \
-        .select("other_ctx", "SupplierName", F.lit(True).alias("_found"))
-    out = agg.join(counterparty, "other_ctx", "left")
-    return (out.where((F.col("ActivityTypeName") == WASTE) | F.col("_found").isNotNull())
-            .drop("other_ctx", "_found"))
+    waste = agg.where(F.col("ActivityTypeName") == WASTE).withColumn("SupplierName", F.lit(None).cast("string"))
+    waste = waste.drop("other_ctx")
+    if set(kinds) == {WASTE}:
+        return waste
+    moved = agg.where(F.col("ActivityTypeName") != WASTE)
+    # only the other ends of these transfers are looked up
+    other = (c["TransferContext"].select(F.col("TransferContextId").alias("other_ctx"), F.col("Store").alias("other_store"))
+             .join(moved.select("other_ctx").distinct(), "other_ctx", "left_semi"))
+    named = lookup(other, c["Store"], "other_store", "StoreId", {"Identifier": "SupplierName"}).select("other_ctx", "SupplierName")
+    moved = moved.join(named, "other_ctx").drop("other_ctx")
+    return moved if WASTE not in kinds else waste.unionByName(moved)
 
 
 def active_items(c: Catalog, p: LedgerParams) -> DataFrame:
@@ -253,7 +259,13 @@ def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame
                                                    for k, t in LINE_FIELDS.items()]
     parts = [part if "is_line" in part.columns else part.select("*", *no_line) for part in parts]
     events = reduce(DataFrame.unionByName, parts)
+    alike = [x for x in INFO_COLUMNS if x != "CategoryName"]
+    info = info.groupBy(*alike).agg(F.count(F.lit(1)).cast("int").alias("copies"))
     j = events.join(_items_like(c, p), "ItemId").join(info, "ItemId")
+    summed = F.col("ActivityTypeName").isin(*USAGE_KINDS)
+    times = F.when(summed, F.col("copies")).otherwise(1)
+    j = (j.withColumn("raw_qty", F.col("raw_qty") * times).withColumn("raw_value", F.col("raw_value") * times)
+         .withColumn("_n", F.explode(F.sequence(F.lit(1), F.when(summed, 1).otherwise(F.col("copies"))))).drop("_n"))
     qty = reporting_qty(F.col("raw_qty"), F.col("ReportingConversionFactor"))
     from_info = _info_fields(store_name(c, p.store))
     fields = {k: (F.when(F.col("is_line"), F.col(f"line_{k}")).otherwise(v) if k in LINE_FIELDS else v)

@@ -42,13 +42,15 @@ def _usage_roles(c: Catalog, p: Period, kinds=USAGE_KINDS) -> DataFrame:
     in the period — store tested on the transfer context — and waste events
     dated in the period whose usage source is at the store."""
     parts = []
+    ends = []
     for kind, side in (("out", "Sender"), ("in", "Receiver")):
         if kind in kinds:
-            tc = (c["TransferContext"].where(F.col("Store") == p.store)
-                  .select("TransferContextId", "UsageSource"))
-            t = (c["Transfer"].where(between(F.col("TransferDate"), p.start, p.end))
-                 .select(F.col(side).alias("TransferContextId")))
-            parts.append(tc.join(t, "TransferContextId").select("UsageSource", F.lit(kind).alias("kind")))
+            ends.append(c["Transfer"].where(between(F.col("TransferDate"), p.start, p.end))
+                        .select(F.col(side).alias("TransferContextId"), F.lit(kind).alias("kind")))
+    if ends:  # the context table is read once for both directions
+        t = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
+        tc = c["TransferContext"].where(F.col("Store") == p.store).select("TransferContextId", "UsageSource")
+        parts.append(tc.join(t, "TransferContextId").select("UsageSource", "kind"))
     if "waste" in kinds:
         us = c["UsageSource"].where(F.col("Store") == p.store).select(F.col("UsageSourceId").alias("UsageSource"))
         w = c["Waste"].where(between(F.col("WasteDate"), p.start, p.end)).select("UsageSource")
@@ -105,32 +107,33 @@ def period_waste(c: Catalog, p: Period) -> DataFrame:
 
 
 MEASURES = {
-    "open_qoh": SUM_QTY, "open_prep": SUM_QTY, "open_val": SUM_VALUE,
-    "close_qoh": SUM_QTY, "close_prep": SUM_QTY, "close_val": SUM_VALUE,
     "InvoiceSum": SUM_QTY, "InvoiceValue": SUM_VALUE,
     "TransferOutQty": SUM_QTY, "TransferInQty": SUM_QTY, "WasteQty": SUM_QTY,
 }
+COUNT_LINE = "struct<Inventory:int,QtyOnHand:decimal(18,3),PreppedQty:decimal(18,3),TotalValue:decimal(18,4)>"
+COUNT_SIDES = {"open": "OpenDate", "close": "CloseDate"}
 
 
 def _tagged(df: DataFrame, **measures) -> DataFrame:
     """Rows of one movement kind in the common wide shape: the kind's own
     measures filled, every other measure NULL."""
-    return df.select("Item", *[(measures.get(name, F.lit(None))).cast(t).alias(name)
-                               for name, t in MEASURES.items()])
+    none = F.lit(None)
+    return df.select("Item", *[(measures.get(name, none)).cast(t).alias(name) for name, t in MEASURES.items()],
+                     *[measures.get(f"{side}_line", none).cast(COUNT_LINE).alias(f"{side}_line") for side in COUNT_SIDES])
 
 
 def period_movements(c: Catalog, p: Period, include_counts: bool = True) -> DataFrame:
     """Every movement of the store in the period per item, in one
-    aggregation over the union of the kinds: ``(Item, open_qoh, open_prep,
-    open_val, close_qoh, close_prep, close_val, InvoiceSum, InvoiceValue,
-    TransferOutQty, TransferInQty, WasteQty)``.
+    aggregation over the union of the kinds: ``(Item, InvoiceSum,
+    InvoiceValue, TransferOutQty, TransferInQty, WasteQty, open_lines,
+    close_lines)``.
 
     A kind without rows for an item sums to NULL, as a left join to that
-    kind's per-item aggregate would give.  The opening / closing counts are
-    summed per item too, which equals joining the count lines as long as a
-    count holds one line per item (its natural key).  One shuffle on
-    ``Item`` with map-side partial sums replaces six joins, and a hot item
-    costs one partial row per input partition."""
+    kind's per-item aggregate would give.  Count lines are not summed: they
+    are kept as a list per item (a handful: one per count of that date), so
+    that every count keeps its own row.  One shuffle on ``Item`` with
+    map-side partial results replaces six joins, and a hot item costs one
+    partial row per input partition."""
     def of(kind):
         return F.when(F.col("kind") == kind, F.col("qty"))
 
@@ -139,31 +142,51 @@ def period_movements(c: Catalog, p: Period, include_counts: bool = True) -> Data
         _tagged(usage_lines(c, p), TransferOutQty=of("out"), TransferInQty=of("in"), WasteQty=of("waste")),
     ]
     if include_counts:
-        parts.append(_tagged(period_opening_inventory(c, p), open_qoh=F.col("QtyOnHand"),
-                             open_prep=F.col("PreppedQty"), open_val=F.col("TotalValue")))
-        parts.append(_tagged(period_closing_inventory(c, p), close_qoh=F.col("QtyOnHand"),
-                             close_prep=F.col("PreppedQty"), close_val=F.col("TotalValue")))
+        line = F.struct("Inventory", "QtyOnHand", "PreppedQty", "TotalValue")
+        roles = [_counts(c, p.store, col, when).select("Inventory", F.lit(side).alias("side"))
+                 for (side, col), when in zip(COUNT_SIDES.items(), (p.start, p.end), strict=True)]
+        lines = c["InventorySummary"].join(roles[0].unionByName(roles[1]), "Inventory")  # one read for both sides
+        parts.append(_tagged(lines, **{f"{side}_line": F.when(F.col("side") == side, line) for side in COUNT_SIDES}))
     u = parts[0]
     for part in parts[1:]:
         u = u.unionByName(part)
-    names = [n for n in MEASURES if include_counts or not n.startswith(("open_", "close_"))]
-    return u.groupBy("Item").agg(*[F.sum(n).cast(MEASURES[n]).alias(n) for n in names])
+    lists = [F.collect_list(f"{side}_line").alias(f"{side}_lines") for side in COUNT_SIDES] if include_counts else []
+    return u.groupBy("Item").agg(*[F.sum(n).cast(MEASURES[n]).alias(n) for n in MEASURES], *lists)
+
+
+def with_counts(c: Catalog, p: Period, items: DataFrame) -> DataFrame:
+    """Each item of ``period_movements`` with its opening and closing count:
+    columns ``open_qoh, open_prep, open_val, close_qoh, close_prep, close_val``.
+
+    A row per count line; a count of that date that lacks the item gives a
+    row with empty values, as attaching every count of the date to every item
+    does; no count at all gives one such row.  The number of counts of a date
+    is a scalar, so this is an explode, not a join without key."""
+    out = items
+    for (side, col), when in zip(COUNT_SIDES.items(), (p.start, p.end), strict=True):
+        n = _counts(c, p.store, col, when).agg(F.count(F.lit(1)).cast("int")).scalar()
+        lines = F.coalesce(F.col(f"{side}_lines"), F.array().cast(f"array<{COUNT_LINE}>"))
+        held = F.size(F.array_distinct(F.transform(lines, lambda x: x["Inventory"])))
+        missing = F.array_repeat(F.lit(None).cast(COUNT_LINE), F.greatest(n - held, F.lit(0)))
+        out = out.withColumn("_line", F.concat(lines, missing)).drop(f"{side}_lines")
+        out = out.select("*", F.explode_outer("_line").alias("_x")).select(
+            *[x for x in out.columns if x != "_line"], F.col("_x.QtyOnHand").alias(f"{side}_qoh"),
+            F.col("_x.PreppedQty").alias(f"{side}_prep"), F.col("_x.TotalValue").alias(f"{side}_val"))
+    return out
+
+
+def _counts(c: Catalog, store: int, date_col: str, when) -> DataFrame:
+    """The store's counts whose ``date_col`` is exactly ``when``; unfinalised ones are included."""
+    return (c["Inventory"].where((F.col("Store") == store) & (F.col(date_col) == ntz(when)))
+            .select(F.col("InventoryId").alias("Inventory")))
 
 
 def period_count(c: Catalog, store: int, date_col: str, when) -> DataFrame:
-    """Count lines of the store's inventory count whose ``date_col``
+    """Count lines of the store's inventory counts whose ``date_col``
     (``OpenDate`` / ``CloseDate``) is exactly ``when``: ``(Item, QtyOnHand,
-    PreppedQty, TotalValue)``.  Unfinalised counts are included.
-
-    Written as a keyed join (counts of that date x their lines).  This equals
-    attaching every item to the matching counts when at most one count of a
-    store falls on that date, which is how counts are taken; with two counts
-    on one date an item missing from one of them would otherwise repeat with
-    empty values."""
-    inv = (c["Inventory"].where((F.col("Store") == store) & (F.col(date_col) == ntz(when)))
-           .select(F.col("InventoryId").alias("Inventory")))
+    PreppedQty, TotalValue)``, one row per line of each such count."""
     s = c["InventorySummary"].select("Inventory", "Item", "QtyOnHand", "PreppedQty", "TotalValue")
-    return s.join(inv, "Inventory").drop("Inventory")
+    return s.join(_counts(c, store, date_col, when), "Inventory").drop("Inventory")
 
 
 def period_opening_inventory(c: Catalog, p: Period) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import SUMMARY_QTY, SUMMARY_VALUE, reporting_qty
 from ..params import Period
 from ..sources import Catalog
 from .dimensions import item_primary_location, recent_supplier, reporting_factor, with_category
-from .movements import period_movements
+from .movements import period_movements, with_counts
 
 QTY_COLUMNS = ["OpenInvQty", "PurchaseQty", "TransferOutQty", "TransferInQty", "WasteQty", "EndInvQty"]
 SUMMARY_COLUMNS = ["ItemDescrip", "Supplier", "OrderCode", "Category_Name", "Item_Location", "UOM",
@@ -71,8 +71,8 @@ def usage_table(c: Catalog, p: Period, all_items: bool = False) -> DataFrame:
     table)."""
     moves = period_movements(c, p)
     items = c["Item"].select(F.col("ItemId").alias("Item"), F.col("Descrip").alias("ItemDescrip"), "ItemGroup")
-    items = items.join(moves, "Item", "left" if all_items else "inner")
-    supplier = recent_supplier(c).select("Item", F.col("SupplierName").alias("Supplier"), "OrderCode")
+    items = with_counts(c, p, items.join(moves, "Item", "left" if all_items else "inner"))
+    supplier = recent_supplier(c, None if all_items else moves).select("Item", F.col("SupplierName").alias("Supplier"), "OrderCode")
     factor = reporting_factor(c, how="left", uom_field="Descrip", uom_name="UOM")
     j = (with_category(c, items, how="left", name="Category_Name")
          .join(item_primary_location(c, p.store), "Item", "left")

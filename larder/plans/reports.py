@@ -84,7 +84,11 @@ def item_search(c: Catalog, p: SearchParams = SearchParams()) -> DataFrame:
     """R3: item catalogue with recent supplier and order code, filtered by
     description and order-code search terms.  Unordered."""
     cat = item_catalogue(c, p)
-    supplier = recent_supplier(c).withColumnRenamed("Item", "ItemId")
+    # search terms narrow the items before their invoices are ranked
+    items = None
+    if p.item_term is not None and set(p.item_term) - {"%"}:
+        items = item_search_filter(c["Item"].select(F.col("ItemId").alias("Item"), "Descrip"), p.item_term, None, "Descrip")
+    supplier = recent_supplier(c, items).withColumnRenamed("Item", "ItemId")
     j = item_search_filter(cat.join(supplier, "ItemId", "left"), p.item_term, p.order_code_term,
                            case_insensitive=p.case_insensitive)
     return j.select("StoreName", "CategoryName", "ItemId", "ItemDescrip", "SupplierName", "OrderCode",

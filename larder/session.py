@@ -8,7 +8,6 @@ the benchmark, plus a helper that resolves the shared checkpoint folder.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -51,27 +50,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     conf = {**SQL_CONF, **(extra or {})}
-    if "spark.checkpoint.dir" not in conf:
-        # Tests only: a fresh scratch folder.  Clusters pass a shared one.
-        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="larder-ckpt-")
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is used as is.  Only when it is unset (local tests) do we make
-    a fresh scratch folder.
+    ``spark.checkpoint.dir`` names a shared (HDFS / object store) folder and
+    is used as is.  Where it is unset this raises: a local folder would keep
+    each executor's part on its own disk.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="larder-ckpt-")
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     sc.setCheckpointDir(configured)
     return configured

@@ -14,7 +14,7 @@ and a ``dom(name) -> DataFrame`` accessor for already-derived domain tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,19 +32,32 @@ UOM_ROWS = [
     (4, "ea", "each (lower)"),
 ]
 
-N_STORES = 5  # stores are the region keys 0..4
+def _stores(raw) -> Column:
+    """The store ids (region keys) in order, as one array: a scalar subquery
+    over the region list, evaluated once per query.  Its size is that of the
+    store list, which every per-store table multiplies by anyway."""
+    return raw("region").agg(F.sort_array(F.collect_set(F.col("r_regionkey").cast("int")))).scalar()
 
 
-def _store_of(custkey: Column) -> Column:
-    return (custkey % N_STORES).cast("int")
+def _store_of(raw, key: Column) -> Column:
+    """Stores are dealt by key over the whole store list."""
+    stores = _stores(raw)
+    return F.element_at(stores, (F.pmod(key, F.size(stores)) + 1).cast("int"))
+
+
+def _supplier_of(raw, key: Column) -> Column:
+    """Suppliers are dealt by key over the whole supplier key range."""
+    s = raw("supplier").agg((F.max("s_suppkey") + 1).alias("n")).scalar()
+    return F.pmod(key, s)
 
 
 def _brand_no(p_brand: Column) -> Column:
     return F.substring_index(p_brand, "#", -1).cast("int")
 
 
-def _line_id(orderkey: Column, linenumber: Column) -> Column:
-    return orderkey * 10 + linenumber
+def _line_id(orderkey: Column, linenumber: Column, copy=0) -> Column:
+    """Key of an order's line: room for 99 line numbers and 9,999 rows each."""
+    return orderkey * 1_000_000 + linenumber * 10_000 + copy
 
 
 def store(raw, dom, spark: SparkSession) -> DataFrame:
@@ -126,7 +139,7 @@ def case_size(raw, dom, spark: SparkSession) -> DataFrame:
     return base.select(
         cs_id.alias("CaseSizeId"),
         base.p_partkey.alias("Item"),
-        (base.p_partkey % 10).alias("Supplier"),
+        _supplier_of(raw, base.p_partkey).alias("Supplier"),
         F.when(cs_id % 11 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("OC-"), cs_id.cast("string"))).alias("OrderCode"),
         (base.p_size % 12 + 1).cast(QTY).alias("CaseQty"),
@@ -138,7 +151,7 @@ def case_size(raw, dom, spark: SparkSession) -> DataFrame:
 
 
 def case_size_cost(raw, dom, spark: SparkSession) -> DataFrame:
-    cs = dom("CaseSize").select("CaseSizeId", "CaseQty", "PakQty", _each_store())
+    cs = dom("CaseSize").select("CaseSizeId", "CaseQty", "PakQty", _each_store(raw))
     return cs.select(
         F.col("CaseSizeId").alias("CaseSize"),
         F.col("StoreId").alias("Store"),
@@ -146,14 +159,14 @@ def case_size_cost(raw, dom, spark: SparkSession) -> DataFrame:
     )
 
 
-def _each_store() -> Column:
+def _each_store(raw) -> Column:
     """Generator column: one output row per store id (a row-local explode,
     so per-store tables need no join)."""
-    return F.explode(F.sequence(F.lit(0), F.lit(N_STORES - 1))).alias("StoreId")
+    return F.explode(_stores(raw)).alias("StoreId")
 
 
 def _part_by_store(raw, dom, cols) -> DataFrame:
-    return raw("part").select(*cols, _each_store())
+    return raw("part").select(*cols, _each_store(raw))
 
 
 def item_detail(raw, dom, spark: SparkSession) -> DataFrame:
@@ -201,42 +214,49 @@ def invoice(raw, dom, spark: SparkSession) -> DataFrame:
     o = raw("orders")
     return o.select(
         o.o_orderkey.alias("InvoiceId"),
-        _store_of(o.o_custkey).alias("Store"),
+        _store_of(raw, o.o_custkey).alias("Store"),
         o.o_orderdate.alias("InvoiceDate"),
         F.concat(F.lit("INV-"), o.o_orderkey.cast("string")).alias("InvoiceNumber"),
-        (o.o_custkey % 10).alias("Supplier"),
+        _supplier_of(raw, o.o_custkey).alias("Supplier"),
     )
 
 
-def _lines(li: DataFrame) -> DataFrame:
-    """One row per (order, line number); the pair is not unique in lineitem."""
-    return li.groupBy("l_orderkey", "l_linenumber")
+def _numbered(raw, flags: Column) -> DataFrame:
+    """Line rows with a key of their own.  (order, line number) is not unique
+    in lineitem, so the rows of a pair are numbered by all their columns,
+    within the return flag (a filter on it passes below the numbering).  The
+    numbering is dropped from plans that do not use the key."""
+    li = raw("lineitem").where(flags)
+    order = Window.partitionBy("l_orderkey", "l_linenumber", "l_returnflag").orderBy(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
+    copy = 2 * F.row_number().over(order) + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    return li.withColumn("line_id", _line_id(F.col("l_orderkey"), F.col("l_linenumber"), copy))
 
 
 def invoice_item(raw, dom, spark: SparkSession) -> DataFrame:
-    li = raw("lineitem").where(F.col("l_returnflag") != "A")
-    g = _lines(li).agg(F.max("l_partkey").alias("part"), F.max("l_quantity").alias("qty"),
-                       F.max("l_extendedprice").alias("price"))
-    return g.select(
-        _line_id(g.l_orderkey, g.l_linenumber).alias("InvoiceLineId"),
-        g.l_orderkey.alias("Invoice"),
-        g.part.alias("Item"),
-        (g.part * 2 + g.l_linenumber % 2).alias("CaseSize"),
-        g.qty.cast(QTY).alias("StockQty"),
-        g.price.cast(MONEY).alias("AdjustedTotal"),
+    li = _numbered(raw, F.col("l_returnflag") != "A")
+    return li.select(
+        li.line_id.alias("InvoiceLineId"),
+        li.l_orderkey.alias("Invoice"),
+        li.l_partkey.alias("Item"),
+        (li.l_partkey * 2 + li.l_linenumber % 2).alias("CaseSize"),
+        li.l_quantity.cast(QTY).alias("StockQty"),
+        li.l_extendedprice.cast(MONEY).alias("AdjustedTotal"),
     )
 
 
 def invoice_rfc(raw, dom, spark: SparkSession) -> DataFrame:
-    li = raw("lineitem").where(F.col("l_returnflag") == "R")
-    g = _lines(li).agg(F.min("l_quantity").alias("qty"))
-    return g.select(_line_id(g.l_orderkey, g.l_linenumber).alias("InvoiceItem"),
-                    F.floor(g.qty / 2).cast(QTY).alias("StockQty"))
+    """A credit for half of every returned line, and a second one for a
+    quarter where the line number is a multiple of three."""
+    li = _numbered(raw, F.col("l_returnflag") == "R")
+    parts = F.when(li.l_linenumber % 3 == 0, F.array(F.lit(2), F.lit(4))).otherwise(F.array(F.lit(2)))
+    each = li.select("line_id", "l_quantity", F.explode(parts).alias("part"))
+    return each.select(each.line_id.alias("InvoiceItem"), F.floor(each.l_quantity / each.part).cast(QTY).alias("StockQty"))
 
 
 def usage_source(raw, dom, spark: SparkSession) -> DataFrame:
     o = raw("orders")
-    return o.select(o.o_orderkey.alias("UsageSourceId"), _store_of(o.o_custkey).alias("Store"),
+    return o.select(o.o_orderkey.alias("UsageSourceId"), _store_of(raw, o.o_custkey).alias("Store"),
                     o.o_orderdate.alias("UsageDate"))
 
 
@@ -263,7 +283,7 @@ def transfer_context(raw, dom, spark: SparkSession) -> DataFrame:
     o = raw("orders")
     return o.where(o.o_orderkey % 3 != 0).select(
         o.o_orderkey.alias("TransferContextId"), o.o_orderkey.alias("UsageSource"),
-        _store_of(o.o_custkey).alias("Store"))
+        _store_of(raw, o.o_custkey).alias("Store"))
 
 
 def transfer(raw, dom, spark: SparkSession) -> DataFrame:
@@ -273,19 +293,21 @@ def transfer(raw, dom, spark: SparkSession) -> DataFrame:
         o.o_orderkey.alias("Sender"), (o.o_orderkey + 1).alias("Receiver"))
 
 
-def _inventory_key(o: DataFrame) -> DataFrame:
+def _inventory_key(raw) -> DataFrame:
     """(store, month) of each order, with the count id of that month."""
+    o, n = raw("orders"), F.size(_stores(raw))
     return o.select(
         "o_orderkey",
-        _store_of(o.o_custkey).alias("Store"),
+        _store_of(raw, o.o_custkey).alias("Store"),
         F.year(o.o_orderdate).alias("y"),
         F.month(o.o_orderdate).alias("m"),
         F.last_day(o.o_orderdate).alias("month_end"),
-    ).withColumn("InventoryId", ((F.col("y") * 12 + F.col("m")) * N_STORES + F.col("Store")).cast("int"))
+        F.pmod(o.o_custkey, n).alias("place"), n.alias("stores"),
+    ).withColumn("InventoryId", ((F.col("y") * 12 + F.col("m")) * F.col("stores") + F.col("place")).cast("int"))
 
 
 def inventory(raw, dom, spark: SparkSession) -> DataFrame:
-    k = _inventory_key(raw("orders")).select("InventoryId", "Store", "m", "month_end").distinct()
+    k = _inventory_key(raw).select("InventoryId", "Store", "m", "month_end").distinct()
     close = k.month_end.cast(NTZ)
     return k.select(
         "InventoryId", "Store",
@@ -296,15 +318,11 @@ def inventory(raw, dom, spark: SparkSession) -> DataFrame:
 
 
 def inventory_summary(raw, dom, spark: SparkSession) -> DataFrame:
-    k = _inventory_key(raw("orders")).select("o_orderkey", "InventoryId")
+    k = _inventory_key(raw).select("o_orderkey", "InventoryId")
     li = raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     j = li.join(k, li.l_orderkey == k.o_orderkey)
-    # Line quantities are summed as decimal(8,3): the same values as the
-    # declared decimal(11,3) (line quantities are far below 10^5), but the
-    # sum stays within 18 digits, which Spark adds as longs instead of
-    # arbitrary-precision decimals.  The total is cast back to decimal(11,3).
     g = j.groupBy("InventoryId", "l_partkey").agg(
-        F.sum(j.l_quantity.cast(T.DecimalType(8, 3))).alias("q"),
+        F.sum(j.l_quantity.cast(QTY)).alias("q"),
         F.count(F.lit(1)).alias("n"),
         F.sum(j.l_extendedprice.cast(VALUE)).alias("v"),
     )
@@ -319,8 +337,8 @@ def requisition(raw, dom, spark: SparkSession) -> DataFrame:
     o = raw("orders")
     return o.select(
         o.o_orderkey.alias("RequisitionId"),
-        _store_of(o.o_custkey).alias("SendingStore"),
-        _store_of(o.o_custkey + 1).alias("ReceivingStore"),
+        _store_of(raw, o.o_custkey).alias("SendingStore"),
+        _store_of(raw, o.o_custkey + 1).alias("ReceivingStore"),
         o.o_orderpriority.alias("Description"),
         F.when(o.o_orderkey % 4 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("note "), o.o_orderstatus)).alias("Notes"),
@@ -337,7 +355,9 @@ def requisition_status(raw, dom, spark: SparkSession) -> DataFrame:
 
 
 def requisition_item(raw, dom, spark: SparkSession) -> DataFrame:
-    g = _lines(raw("lineitem")).agg(F.max("l_partkey").alias("part"))
+    """One line per (order, line number); repeated rows are its history and
+    the item is that of the row with the greatest part key."""
+    g = raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
     return g.select(_line_id(g.l_orderkey, g.l_linenumber).alias("RequisitionItemId"),
                     g.l_orderkey.alias("Requisition"), g.part.alias("Item"))
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,8 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from larder.session import build_session
-    session = build_session(master="local[*]", shuffle_partitions=8)
+    session = build_session(master="local[*]", shuffle_partitions=8,
+                            extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="larder-test-")})
     yield session
     session.stop()
 

@@ -233,6 +233,90 @@ def test_pick_sheet_window_has_no_upper_bound(spark, table):
     assert got == [2, 3]
 
 
-def test_like_bracket_is_literal(spark):
-    df = spark.createDataFrame([("a[b]c",), ("abc",)], "c string")
-    assert [r.c for r in df.where(like(F.col("c"), "%[b]%")).collect()] == ["a[b]c"]
+def test_like_character_classes_and_backslash(spark):
+    df = spark.createDataFrame([("a[b]c",), ("abc",), ("adc",), ("a\\xc",), ("a%c",), ("a.c",), ("A\\XC",)], "c string")
+
+    def got(pattern, **options):
+        return [r.c for r in df.where(like(F.col("c"), pattern, **options)).collect()]
+
+    assert got("a[b]c") == ["abc"] and got("a[^b]c") == ["adc", "a%c", "a.c"] and got("a[a-c]_") == ["abc"]
+    assert got("%[[]b]%") == ["a[b]c"] and got("a[.]c") == ["a.c"] and got("a[%]c") == ["a%c"] and got("a[b") == []
+    assert got("%a\\x%") == ["a\\xc"] and got("%\\%") == ["a\\xc", "A\\XC"]
+    assert got("A\\x%", fold_case=True) == ["a\\xc", "A\\XC"] and got("A[B]C", fold_case=True) == ["abc"]
+
+
+def test_currency_signs_are_numeric(spark):
+    df = spark.createDataFrame([("¢1",), ("₪2",), ("₩3",), ("a₪",), ("％",)], "name string")
+    assert [r[0] for r in df.select(starts_numeric(F.col("name"))).collect()] == [True, True, True, False, False]
+
+
+def test_two_counts_on_one_date_keep_their_rows(spark, table):
+    """Every count of the date is attached to every item: an item with a line
+    in one of two counts has its line and an empty row."""
+    from larder.operators.movements import period_movements, with_counts
+    day, later = ts("1999-03-01 00:00:00"), ts("1999-04-30 00:00:00")
+    c = Catalog.frames(spark, {
+        "Invoice": table("Invoice", []), "InvoiceItem": table("InvoiceItem", []), "InvoiceRFC": table("InvoiceRFC", []),
+        "UsageSource": table("UsageSource", []), "ItemUsage": table("ItemUsage", []), "Waste": table("Waste", []),
+        "TransferContext": table("TransferContext", []), "Transfer": table("Transfer", []),
+        "Inventory": table("Inventory", [(1, 2, day, later, None), (2, 2, day, later, later), (3, 1, day, later, later)]),
+        "InventorySummary": table("InventorySummary", [
+            (1, 7, D("10.000"), D("0.000"), D("1.0000")), (2, 7, D("99.000"), D("1.000"), D("2.0000")),
+            (1, 8, D("5.000"), D("0.000"), D("3.0000")), (3, 9, D("4.000"), D("0.000"), D("3.0000"))]),
+    })
+    rows = with_counts(c, Period(2, "1999-03-01", "1999-03-31"), period_movements(c, Period(2, "1999-03-01", "1999-03-31")))
+    assert sorted((r.Item, r.open_qoh is None, r.open_qoh or 0) for r in rows.collect()) == [
+        (7, False, D("10.000")), (7, False, D("99.000")), (8, False, D("5.000")), (8, True, 0)]
+    assert all(r.close_qoh is None for r in rows.collect())
+    none = with_counts(c, Period(2, "2000-03-01", "2000-03-31"), period_movements(c, Period(2, "1999-03-01", "1999-03-31")))
+    assert sorted((r.Item, r.open_qoh) for r in none.collect()) == [(7, None), (8, None)]
+
+
+def test_lookup_rows_that_differ_in_category_sum_events(spark, table):
+    from larder.operators.ledger import INFO_COLUMNS, ledger_waste
+    c = _usage_catalog(spark, table, "1999-03-05 00:00:00", "1999-03-06 00:00:00")
+    info = spark.createDataFrame(
+        [(7, "OC-14", D("1.0000"), D("1.000"), D("1.000"), D("1.0000"), D("2.000"), "EA", "CS", "EA", "EA", cat)
+         for cat in ("CAT-1", "CAT-2")],
+        "ItemId bigint, OrderCode string, CaseCost decimal(12,4), CaseQty decimal(11,3), PakQty decimal(11,3), "
+        "TrackingCost decimal(12,4), ReportingConversionFactor decimal(11,3), PurchaseUom string, CaseUom string, "
+        "PakUom string, ReportingUom string, CategoryName string").select(*INFO_COLUMNS)
+    rows = ledger_waste(c, LedgerParams(2, "1999-03-01", "1999-03-31"), info).collect()
+    assert [(r.Amount, r.Value) for r in rows] == [(D("-2.000"), D("-6.0000"))]
+
+
+def test_fixture_tables_hold_every_input_row(spark):
+    from conftest import SF_MID
+    c = Catalog.derived(spark, SF_MID)
+    raw = spark.read.parquet(f"{SF_MID}/lineitem.parquet")
+    lines, credits = c["InvoiceItem"], c["InvoiceRFC"]
+    assert lines.count() == lines.select("InvoiceLineId").distinct().count() == raw.where("l_returnflag <> 'A'").count()
+    columns = [F.col("Invoice"), F.col("Item"), F.col("StockQty").cast("double"), F.col("AdjustedTotal").cast("double")]
+    made = lines.select(*columns)
+    source = raw.where("l_returnflag <> 'A'").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    assert made.exceptAll(source).count() == 0
+    assert credits.join(lines, credits.InvoiceItem == lines.InvoiceLineId, "left_anti").count() == 0
+    per = credits.groupBy("InvoiceItem").count()
+    assert per.count() == raw.where("l_returnflag = 'R'").count() and per.where("count > 1").count() > 0
+    suppliers = spark.read.parquet(f"{SF_MID}/supplier.parquet").count()
+    assert c["Invoice"].select("Supplier").distinct().count() == c["CaseSize"].select("Supplier").distinct().count() == suppliers
+    assert c["ItemDetail"].select("Store").distinct().count() == spark.read.parquet(f"{SF_MID}/region.parquet").count()
+
+
+def test_materialize_needs_a_shared_folder(spark):
+    import pytest
+    from larder.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
