@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import contains_pattern, like, starts_numeric
+from ..functions import PRODUCT, RATIO, contains_pattern, like, reporting_cost, reporting_qty, starts_numeric
 from ..sources import Catalog
 
 
@@ -90,6 +90,29 @@ def reporting_factor(c: Catalog, how: str = "inner", uom_field: str = "Uom",
                   drop_key=True)
 
 
+def reporting_units(c: Catalog) -> DataFrame:
+    """Stock on hand and unit cost of every item and store in reporting
+    units: quantities divided by the factor, costs multiplied by it."""
+    f = reporting_factor(c)
+    cost = c["ItemUnitCost"].where(F.col("Active") == 1).select("Item", "Store", "TrackingCost")
+    j = c["ItemQtyOnHand"].join(cost, ["Item", "Store"]).join(f, "Item")
+    factor = F.col("ReportingConversionFactor")
+    return j.select("Item", "Store", "ReportingUom", reporting_qty(F.col("QtyOnHand"), factor).cast(RATIO).alias("QtyOnHand"),
+                    reporting_cost(F.col("TrackingCost"), factor).cast(PRODUCT).alias("UnitCost"))
+
+
+def item_order_codes(c: Catalog) -> DataFrame:
+    """Item, description and every order code of the item."""
+    items = c["Item"].select(F.col("ItemId").alias("Item"), F.col("Descrip").alias("ItemDescrip"))
+    return c["CaseSize"].select("Item", "CaseSizeId", "OrderCode").join(items, "Item")
+
+
+def item_store_names(c: Catalog, store: int) -> DataFrame:
+    """Tracked items of every store with the store's name, and the name of one given store."""
+    tracked = c["ItemDetail"].where(F.col("TrackInventory") == 1).select("Item", "Store")
+    return with_store_name(c, tracked, "Store").withColumn("GivenStoreName", store_name(c, store))
+
+
 def recent_supplier(c: Catalog, items: DataFrame | None = None) -> DataFrame:
     """Per item: supplier of its most recent invoice (vendors whose name
     starts with a numeric character are internal and skipped) and an order

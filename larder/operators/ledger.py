@@ -378,9 +378,21 @@ def activity_ledger(c: Catalog, p: LedgerParams, info: DataFrame | None = None,
     built together in ``info_ledger``."""
     info = item_info(c, p) if info is None else info
     ledger = info_ledger(c, p, info, active_items(c, p))
-    if with_subtotals:
-        ledger = ledger.unionByName(activity_subtotal(ledger))
-    return ledger
+    return _with_subtotals(ledger) if with_subtotals else ledger
+
+
+def _with_subtotals(ledger: DataFrame) -> DataFrame:
+    """The ledger with a subtotal row per item, from one evaluation: every
+    row goes out twice, as itself (a group of its own) and into its item's
+    subtotal (partial sums before the shuffle)."""
+    both = ledger.withColumn("_row", F.monotonically_increasing_id()).withColumn("_sub", F.explode(F.array(F.lit(False), F.lit(True))))
+    kept = {"ItemDescrip", "StoreName"}
+    summed = {"Amount", "Value"}
+    cells = [F.sum(x).alias(x) if x in summed else F.max(F.col(x) if x in kept else F.when(~F.col("_sub"), F.col(x))).alias(x)
+             for x in LEDGER_COLUMNS if x != "ItemId"]
+    rows = both.groupBy("ItemId", "_sub", F.when(~F.col("_sub"), F.col("_row")).alias("_row")).agg(*cells)
+    label = {"ActivityTypeName": F.lit(SUBTOTAL), "PurchaseInfo": F.lit("")}
+    return rows.select(*as_ledger(**{x: F.when(F.col("_sub"), label[x]).otherwise(F.col(x)) if x in label else F.col(x) for x in LEDGER_COLUMNS}))
 
 
 def activity_subtotal(ledger: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import days_before
-from ..params import FULFILLED, PickSheetParams
+from ..functions import days_before, mismatch_flag
+from ..params import FULFILLED, UOM_OK, PickSheetParams
 from ..sources import Catalog
+from .dimensions import with_uom_codes
 from .keyed import rows_at_max
 
 
@@ -46,3 +47,14 @@ def open_requests(c: Catalog, p: PickSheetParams) -> DataFrame:
     req = candidate_requisitions(c, p).withColumnRenamed("RequisitionId", "Requisition")
     latest = latest_requisition_status(c, req).where(F.col("Status") != FULFILLED)
     return req.join(latest, "Requisition")
+
+
+def uom_mismatches(c: Catalog, p: PickSheetParams) -> DataFrame:
+    """Every requisition line status with the unit it was requested in, the
+    item's reporting unit and whether they differ."""
+    lines = c["RequisitionItem"].select(F.col("RequisitionItemId").alias("RequisitionItem"), "Item")
+    units = c["ItemConversionFactor"].select("Item", "ReportingUom")
+    j = c["RequisitionItemStatus"].select("RequisitionItem", F.col("Uom").alias("RequestUom")).join(lines, "RequisitionItem").join(units, "Item")
+    j = with_uom_codes(c, j, {"RequestUom": "RequestUom", "ReportingUom": "ReportingUom"})
+    flag = mismatch_flag(F.col("RequestUom"), F.col("ReportingUom"), p.mismatch_label, UOM_OK, p.case_insensitive)
+    return j.select("RequisitionItem", "RequestUom", "ReportingUom", flag.alias("UomMismatchFlag"))

@@ -28,6 +28,13 @@ PICK_CI = PickSheetParams(as_of="2001-07-31 00:00:00", case_insensitive=True)
 SEARCH_ALL = SearchParams()
 SEARCH_STORE = SearchParams(store=2)
 SEARCH_TERMS = SearchParams(store=2, item_term="ring", order_code_term="OC-1")
+LEDGER_CODES = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:00:00", order_code_like="%OC-1%")
+LEDGER_CODES_CI = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:00:00", item_like="%ring%",
+                               order_code_like="%oc-1%", case_insensitive=True)
+LEDGER_CODED = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:00:00", order_code_like="%")
+LEDGER_STORE_1 = LedgerParams(store=1, start="1999-01-01 00:00:00", end="1999-06-30 00:00:00")
+SEARCH_NO_TERMS = SearchParams(store=2, item_term=None, order_code_term=None)
+SEARCH_ITEM_STORE = SearchParams(last_received_scope="item_store")
 SEARCH_TERMS_CI = SearchParams(store=2, item_term="ring", order_code_term="oc-1", case_insensitive=True)
 
 
@@ -71,7 +78,25 @@ REGISTRY: dict[str, Query] = {
     "item_usage_summary_year": Query(lambda c: reports.item_usage_summary(c, PERIOD_YEAR, include_hidden=True),
                                      lambda: oracle.item_usage_summary(PERIOD_YEAR, include_hidden=True),
                                      "R4, all of 1999, hidden columns shown"),
+    "item_activity_ledger_codes": Query(lambda c: reports.item_activity_ledger(c, LEDGER_CODES),
+                                        lambda: oracle.item_activity_ledger(LEDGER_CODES),
+                                        "R1, order codes in their stored case (purchases match)"),
+    "item_activity_ledger_codes_ci": Query(lambda c: reports.item_activity_ledger(c, LEDGER_CODES_CI),
+                                           lambda: oracle.item_activity_ledger(LEDGER_CODES_CI),
+                                           "R1, order codes compared case-insensitively"),
+    "item_activity_ledger_coded": Query(lambda c: reports.item_activity_ledger(c, LEDGER_CODED),
+                                        lambda: oracle.item_activity_ledger(LEDGER_CODED),
+                                        "R1, pattern '%': items without an order code drop out"),
+    "item_search_no_terms": Query(lambda c: reports.item_search(c, SEARCH_NO_TERMS),
+                                  lambda: oracle.item_search(SEARCH_NO_TERMS), "R3, search terms disabled"),
+    "item_search_item_store": Query(lambda c: reports.item_search(c, SEARCH_ITEM_STORE),
+                                    lambda: oracle.item_search(SEARCH_ITEM_STORE), "R3, last receipt per item and store"),
     # ledger operators
+    "activity_ledger_output": Query(
+        lambda c: reports.ledger_output(ledger.activity_ledger(c, LEDGER_STORE_1), ledger.item_info(c, LEDGER_STORE_1)),
+        lambda: oracle.item_activity_ledger(LEDGER_STORE_1), "D9, another store"),
+    "activity_ledger_subtotals": Query(lambda c: ledger.activity_ledger(c, LEDGER_YEAR, with_subtotals=True),
+                                       lambda: oracle.activity_with_subtotals(LEDGER_YEAR), "ledger rows and D10 rows"),
     "active_items": Query(lambda c: ledger.active_items(c, LEDGER), lambda: oracle.active_items(LEDGER), "D1"),
     "item_info": Query(lambda c: ledger.item_info(c, LEDGER), lambda: oracle.item_info(LEDGER), "D2"),
     "ledger_opening_inventory": _branch(ledger.ledger_opening_inventory, "opening"),
@@ -89,7 +114,13 @@ REGISTRY: dict[str, Query] = {
                                        oracle.latest_requisition_status, "D12"),
     "latest_item_status": Query(lambda c: requests.latest_item_status(c), oracle.latest_item_status, "D13"),
     "open_requests": Query(lambda c: requests.open_requests(c, PICK), lambda: oracle.open_requests(PICK), "D14"),
+    "uom_mismatch_flag": Query(lambda c: requests.uom_mismatches(c, PICK), lambda: oracle.uom_mismatches(PICK), "D15"),
     # shared dimension operators
+    "item_search_filter": Query(
+        lambda c: dimensions.item_search_filter(dimensions.item_order_codes(c), "ring", "OC-1"),
+        lambda: oracle.item_search_filter("ring", "OC-1"), "D18"),
+    "store_name": Query(lambda c: dimensions.item_store_names(c, PERIOD.store), lambda: oracle.item_store_names(PERIOD.store), "D27"),
+    "reporting_units": Query(dimensions.reporting_units, oracle.reporting_units, "D28"),
     "recent_supplier": Query(dimensions.recent_supplier, oracle.recent_supplier, "D16"),
     "item_catalogue": Query(lambda c: catalogue.item_catalogue(c, SEARCH_ALL),
                             lambda: oracle.item_catalogue(SEARCH_ALL), "D17"),
@@ -114,6 +145,8 @@ REGISTRY: dict[str, Query] = {
                                 lambda: oracle.period_movement(PERIOD_YEAR, "TIn", "TransferInQty"), "D23"),
     "period_waste": Query(lambda c: movements.period_waste(c, PERIOD_YEAR),
                           lambda: oracle.period_movement(PERIOD_YEAR, "Wst", "WasteQty"), "D24"),
+    "movement_filter": Query(lambda c: usage.movement_filter(usage.usage_table(c, PERIOD_YEAR, all_items=True)),
+                             lambda: oracle.movement_filter(PERIOD_YEAR), "D26 over every item"),
     "item_usage_balance": Query(lambda c: usage.usage_table(c, PERIOD, all_items=True),
                                 lambda: oracle.item_usage_balance(PERIOD), "D25 over every item"),
 }

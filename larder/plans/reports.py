@@ -30,10 +30,14 @@ def item_activity_ledger(c: Catalog, p: LedgerParams = LedgerParams(), with_subt
     """R1: every inventory event of the store's active items in the period,
     with category, in business order (item, day, activity type)."""
     info = item_info(c, p)
-    ledger = activity_ledger(c, p, info, with_subtotals=with_subtotals)
+    return ledger_output(activity_ledger(c, p, info, with_subtotals=with_subtotals), info, display_names)
+
+
+def ledger_output(ledger: DataFrame, info: DataFrame, display_names: bool = True) -> DataFrame:
+    """The ledger's output step: category from the item lookup, business
+    order (item, day, activity type), days instead of times, display names."""
     out = ledger.join(info.select("ItemId", "CategoryName"), "ItemId")
-    day = F.to_date("ActivityDate")
-    ordered = out.orderBy(F.col("ItemDescrip"), day, activity_rank(), F.col("ItemId"),
+    ordered = out.orderBy(F.col("ItemDescrip"), F.to_date("ActivityDate"), activity_rank(), F.col("ItemId"),
                           F.col("ActivityDate"), F.col("PurchaseInfo"), F.col("SupplierName"))
     cols = [(F.to_date("ActivityDate") if src == "ActivityDate" else F.col(src)).alias(
         dst if display_names else src) for src, dst in LEDGER_DISPLAY]

@@ -32,3 +32,11 @@ def table(spark, small_catalog):
     def make(name, rows):
         return spark.createDataFrame(rows, small_catalog[name].schema)
     return make
+
+
+@pytest.fixture(scope="session")
+def frame(spark):
+    """frame(rows, ddl): a small DataFrame in two partitions."""
+    def make(rows, ddl):
+        return spark.createDataFrame(rows, ddl).repartition(2) if rows else spark.createDataFrame([], ddl)
+    return make
