@@ -72,7 +72,8 @@ def usage_table(c: Catalog, p: Period, all_items: bool = False) -> DataFrame:
     moves = period_movements(c, p)
     items = c["Item"].select(F.col("ItemId").alias("Item"), F.col("Descrip").alias("ItemDescrip"), "ItemGroup")
     items = with_counts(c, p, items.join(moves, "Item", "left" if all_items else "inner"))
-    supplier = recent_supplier(c, None if all_items else moves).select("Item", F.col("SupplierName").alias("Supplier"), "OrderCode")
+    # not restricted to the items that moved: that would read every movement fact once more
+    supplier = recent_supplier(c).select("Item", F.col("SupplierName").alias("Supplier"), "OrderCode")
     factor = reporting_factor(c, how="left", uom_field="Descrip", uom_name="UOM")
     j = (with_category(c, items, how="left", name="Category_Name")
          .join(item_primary_location(c, p.store), "Item", "left")
