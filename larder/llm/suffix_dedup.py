@@ -126,30 +126,34 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(data: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
     """Kasai: lengths (up to ``most``) of the common prefixes of the suffix pairs (left, right), left ascending.
 
-    The pair one byte further on from a pair of common length l, where it is
-    paired alike, has length l - 1; only the others are compared byte by byte.
+    The pair one byte further on from a pair of common length l > 0, where it
+    is paired alike, has length l - 1; only the others are compared.
     """
-    n = len(left)
+    n, size = len(left), len(data)
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     follows = np.concatenate(([False], (left[1:] == left[:-1] + 1) & (right[1:] == right[:-1] + 1)))
-    # a chain is cut every `most` steps, so that the capped length of its head serves all of it
-    run = np.arange(n) - np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
-    heads = np.flatnonzero(run == 0)
-    chain = np.diff(np.append(heads, n))
-    a, b, reach = left[heads], right[heads], chain + most
-    length = np.zeros(len(heads), dtype=np.int64)
-    live = np.arange(len(heads))
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8) if len(padded) >= 8 else None
-    size = len(data)
-    while len(live):
-        at, bt = a[live] + length[live], b[live] + length[live]
-        room = np.minimum(size - np.maximum(at, bt), reach[live] - length[live])
-        same = (words[np.minimum(at, size)] == words[np.minimum(bt, size)])
-        equal = np.where(same.all(axis=1), 8, np.argmin(same, axis=1))
-        step = np.minimum(equal, room)
-        length[live] += step
-        live = live[(step == 8)]
-    return np.minimum(np.repeat(length, chain) - run, most)
+    out = np.full(n, -1, dtype=np.int64)
+    while (todo := np.flatnonzero(out < 0)).size:
+        # chains of pairs still open; the head's length is found far enough to serve its whole chain
+        linked = follows[todo] & np.concatenate(([False], todo[1:] == todo[:-1] + 1))
+        heads = np.flatnonzero(~linked)
+        chain = np.diff(np.append(heads, len(todo)))
+        a, b, reach = left[todo[heads]], right[todo[heads]], chain + most
+        length = np.zeros(len(heads), dtype=np.int64)
+        live = np.arange(len(heads))
+        while len(live):
+            at, bt = a[live] + length[live], b[live] + length[live]
+            room = np.minimum(size - np.maximum(at, bt), reach[live] - length[live])
+            same = words[np.minimum(at, size)] == words[np.minimum(bt, size)]
+            step = np.minimum(np.where(same.all(axis=1), 8, np.argmin(same, axis=1)), room)
+            length[live] += step
+            live = live[step == 8]
+        run = np.arange(len(todo)) - np.repeat(heads, chain)
+        known = np.repeat(length, chain) - run
+        sure = (known >= 0)
+        out[todo[sure]] = np.minimum(known[sure], most)
+    return out
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH):
@@ -269,15 +273,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
     """(th, spans): for each text (by hash) with repeats, its byte intervals (start, end) to remove, unordered."""
     texts = docs.select("text").where("text is not null")
     anchors = stored(_anchors(texts, length, gram))
-    kinds = anchors.groupBy("fp", "kt").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
+    kinds = anchors.groupBy("fp", "kt").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min("th").alias("th"))
     groups = kinds.groupBy("fp").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("windows") + length).alias("bytes"))
     groups = groups.where("total > 1")
-    state = stored(kinds.join(groups, "fp").select("fp", "kt", "windows", (F.col("n") > 1).alias("settled"), (F.col("kinds") > 1).alias("open"), "bytes"))
+    state = stored(kinds.join(groups, "fp").select("fp", "kt", "th", "windows", (F.col("n") > 1).alias("settled"), (F.col("kinds") > 1).alias("open"), "bytes"))
     whole = anchors.join(state.where("settled").select("fp", "kt"), ["fp", "kt"], "left_semi").select(
         "th", F.col("first").alias("a"), (F.col("first") + F.col("windows") + length - 1).alias("b"))
-    # one place of each open kind
-    place = (anchors.join(state.where("open").select("fp", "kt", "bytes"), ["fp", "kt"])
-             .groupBy("fp", "kt").agg(F.min(F.struct("th", "first", "windows", "bytes")).alias("p")).select("fp", "kt", "p.*"))
+    # one place of each open kind: the first in its lowest text (the key has the text, so that a common kind is spread)
+    place = (anchors.select("fp", "kt", "th", "first").join(state.where("open"), ["fp", "kt", "th"])
+             .groupBy("fp", "kt").agg(*(F.min(c).alias(c) for c in ("th", "first", "windows", "bytes"))))
     place = stored(place)
     size = place.agg(F.sum(F.col("windows") + length)).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
