@@ -59,7 +59,7 @@ def scans(plan: str, table: str) -> int:
     return sum("FileScan parquet" in line and f"/{table}.parquet" in line for line in plan.splitlines())
 
 
-@pytest.mark.parametrize("name,most", [("item_usage_summary", 5), ("stock_request_pick_sheet", 7), ("recent_supplier", 1)])
+@pytest.mark.parametrize("name,most", [("item_usage_summary", 6), ("stock_request_pick_sheet", 7), ("recent_supplier", 2), ("item_activity_ledger", 8)])
 def test_line_scans(spark, name, most):
     assert scans(physical(QUERIES[name](spark, SF_SMALL)), "lineitem") <= most
 
