@@ -53,15 +53,18 @@ class Tokens:
     def __init__(self, vocabulary: str | None = None, ranks: str | None = None):
         import public_tokenizers
         import tiktoken
+        from tiktoken import registry
         self.vocabulary, self.exact = vocabulary or public_tokenizers.path("byte_bpe_50k.json"), None
-        with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.fast = tiktoken.Encoding("bytes50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.ends = np.zeros(max(table.values()) + 2, dtype=bool)
-        self.bytes = np.zeros(len(self.ends), dtype=np.int64)
-        for raw, number in table.items():
-            self.ends[number] = raw[-1:] in (b".", b"!", b"?", b"\n")
-            self.bytes[number] = len(raw)
+        path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+        made = registry.ENCODINGS  # the library's own cache: workers are reused, so a process loads the ranks once
+        if path not in made:
+            with open(path, "rb") as file:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            made[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.fast = made[path]
+        words = [self.fast.decode_single_token_bytes(i) for i in range(self.fast.n_vocab)]
+        self.ends = np.array([w[-1:] in (b".", b"!", b"?", b"\n") for w in words] + [False])
+        self.bytes = np.array([len(w) for w in words] + [0], dtype=np.int64)
 
     def _whole(self, raw: bytes) -> np.ndarray:
         text = raw.decode()

@@ -142,7 +142,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> list:
                     *(F.percentile_approx(F.when(F.col("bad") == 1, F.col(f)), points, 10_000).alias(f"bad_{f}") for f in FEATURES)).first()
     limits = {f: sorted({*(cuts[f] or []), *(cuts[f"bad_{f}"] or [])}) for f in FEATURES}
     rules: list = []
-    while len(rules) < RULES:
+    while len(rules) < RULES and all(limits.values()):  # no labelled rows, no limits
         rest = rows
         for done in rules:
             rest = rest.where(~_holds(done))
