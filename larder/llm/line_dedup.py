@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bitmap, marked
 from .spark import fresh, map_batches, stored
 from .text import prefix_hashes, slices, span_hashes, utf8, windows
 
 ROLL, MODULUS, MIN_LINES, MAX_LINES = 2, 3, 2, 64
-BITMAP_BITS = 23
 
 
 def chunk_ends(hashes: np.ndarray, roll: int = ROLL, modulus: int = MODULUS, least: int = MIN_LINES, most: int = MAX_LINES) -> list[int]:
@@ -87,7 +87,7 @@ def _places(docs: DataFrame, keep=None) -> DataFrame:
         out = {"h": [], "doc_id": [], "number": [], "chunk": []}
         for doc, (found, raw) in zip(ids, chunks(batch.column(1)), strict=True):
             for number, a, b, lines, h in found:
-                if lines < 2 or keep is not None and not _marked(keep.value, h):
+                if lines < 2 or keep is not None and not marked(keep.value, h):
                     continue
                 out["h"].append(h), out["doc_id"].append(doc), out["number"].append(number)
                 if keep is not None:
@@ -97,25 +97,10 @@ def _places(docs: DataFrame, keep=None) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ddl)
 
 
-def _marked(words: np.ndarray, h: int) -> bool:
-    bit = h & ((1 << BITMAP_BITS) - 1)
-    return bool(int(words[bit >> 6]) >> (bit & 63) & 1)
-
-
-def _bitmap(repeated: DataFrame) -> np.ndarray:
-    """2**BITMAP_BITS bits, set for the given hashes; its size does not depend on the data."""
-    bit = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    rows = (repeated.groupBy(F.shiftright(bit, 6).cast("int").alias("w"))
-            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("m")).toArrow())
-    words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-    words[rows.column("w").to_numpy()] = rows.column("m").to_numpy().view(np.uint64)
-    return words
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, numbers): the chunks to remove from each document that loses any."""
     repeated = _places(docs).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
     places = stored(_places(docs, sent))
     # equal bytes are one group; the first place of each stays
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "number")

@@ -40,12 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bitmap, marked
 from .components import components
 from .spark import extend_batches, fresh, map_batches, stored
 from .text import SET_SALT, mix, set_key, shingle_sets
 
 LIST = 12
-STARS = 2
+STARS = 1
 SKETCH = 8
 BUCKET_ENTRIES = 1_000_000
 OWN, NEEDY = 1, 2
@@ -292,7 +293,13 @@ def candidates(index: DataFrame, bands: Bands) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """(cls, n, text): one text of each wanted class (cls, n); texts of a class differ at most in blanks and case."""
+    """(cls, n, text): one text of each wanted class (cls, n); texts of a class differ at most in blanks and case.
+
+    A bitmap of fixed size tells the tasks which classes may be wanted, so
+    that few other texts travel; the join decides.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("cls").alias("h"))))
+
     def run(batches):
         gc.collect()
         seen: set[tuple[int, int]] = set()
@@ -300,7 +307,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) ->
         for batch in batches:
             rows, c, m = [], [], []
             for at, (_, count, key) in enumerate(_sets(batch, size)):
-                if bands.differ(count) and (count, key) not in seen:
+                if bands.differ(count) and marked(sent.value, key) and (count, key) not in seen:
                     seen.add((count, key))
                     rows.append(at), c.append(key), m.append(count)
             yield pa.RecordBatch.from_arrays(
@@ -455,7 +462,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
     short = found.where("sig is null").select("a", "na", "b", "nb").distinct()
     wanted = (found.select(F.col("a").alias("cls"), F.col("na").alias("n"))
               .union(found.where("b is not null").select("b", "nb")).distinct())
-    texts = stored(class_texts(docs, wanted, size, bands))
+    texts = stored(class_texts(docs, stored(wanted), size, bands))
     sketches = stored(_sketches(texts, size))
     known = stored(verify(texts, sketches, short, size, bands))
     long = found.where("sig is not null").select("sig", "a", "na")
