@@ -6,9 +6,9 @@ bias, a weight per slot and FACTORS latent factors per slot, so a pair of
 terms (an insult and the group it is aimed at, say) can weigh more than its
 parts.  It is fitted with Adagrad on a bounded sample of labelled rows: at
 most SAMPLE toxic and 2 * SAMPLE other rows, those of lowest hash of doc_id
-(a documented bound; scoring covers every row).  Slots whose presence in the
-sample is not associated with the label (|z| < MIN_Z) are left out, so texts
-of any length are scored by the terms that matter.
+(a documented bound; scoring covers every row).  The model knows every slot of
+the sample: a term may matter only together with another one, so none is left
+out for being as frequent in toxic texts as in others.
 
 The score of a text uses its words alone.  Null and empty texts get the
 model's base score; rows that repeat a doc_id are scored one by one; labels
@@ -30,7 +30,6 @@ from .text import ALNUM, LOWER, prefix_hashes, slices, span_hashes, utf8, words
 BITS = 18
 FACTORS = 4
 SAMPLE = 8_000
-MIN_Z = 4.0
 EPOCHS = 12
 
 
@@ -110,18 +109,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def select_slots(rows: list[np.ndarray], labels: np.ndarray, bits: int, min_z: float) -> np.ndarray:
-    """Slots whose presence is associated with the label (two-proportion z)."""
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    count = [np.zeros(1 << bits), np.zeros(1 << bits)]
-    for row, label in zip(rows, labels.astype(int), strict=True):
-        count[label][row] += 1
-    p1, p0, p = count[1] / n1, count[0] / n0, (count[0] + count[1]) / (n0 + n1)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
-    return np.flatnonzero((np.abs(z) >= min_z) & (count[0] + count[1] >= 5))
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, min_z: float = MIN_Z):
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS):
     """The fitted model; reads labels only of rows that are not held out."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null")
              .where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -140,10 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     y = np.array(got.column("toxic").to_pylist(), dtype=float)
     order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].tobytes()))  # independent of task order
     rows, y = [rows[i] for i in order], y[order] if len(order) else y
-    slots = select_slots(rows, y, bits, min_z)
+    slots = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int32)  # at most 2**bits
     model = FactorizationMachine(slots)
     if len(rows):
-        model.fit([np.searchsorted(slots, r[np.isin(r, slots, assume_unique=True)]) for r in rows], y)
+        model.fit([np.searchsorted(slots, r) for r in rows], y)
     else:
         model.bias = -30.0
     return model

@@ -54,3 +54,18 @@ def test_edge_rows(frame, spark):
     assert kept[1] != "toxic_score" and kept[0].columns[:3] == wide.columns
     assert toxicity.scored(frame([], DDL), model)[0].count() == 0
     assert kept[0].where(F.col("toxic_score") == 0.5).count() == 1
+
+
+def test_pairs_of_terms_with_balanced_marginals(frame):
+    """Toxic: exactly one of insult and group; neither term alone says anything about the label."""
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(4000):
+        insult, group = i % 4 in (1, 3), i % 4 in (2, 3)
+        own = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(6, 12))]
+        docs.append((i, " ".join(own + ["idiot"] * insult + ["martians"] * group)))
+        labels.append((i, int(insult != group)))
+    out, score = toxicity.scored(frame(docs, DDL), toxicity.train(frame(docs, DDL), frame(labels, LABELS)))
+    rows = out.select("doc_id", score, toxicity.held_out().alias("h")).collect()
+    right = [(r[score] >= 0.5) == bool(dict(labels)[r.doc_id]) for r in rows if r.h]
+    assert len(right) > 600 and np.mean(right) > 0.9
