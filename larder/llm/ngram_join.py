@@ -15,8 +15,8 @@ with weight two may instead differ by one shingle.
   give a star.  Sets with too many shingles that no other set of the lists
   has are out; then come further stars between parts not linked yet.
 * A set whose slack does not cover its costly segments takes one-deletion
-  neighbourhoods of its cheapest other segments; where these are too few or
-  cost more, it meets the sets that share one of its rarest shingles (a link
+  neighbourhoods of its cheapest other segments of two shingles or more; where
+  these are too few or cost more, it meets the sets that share one of its rarest shingles (a link
   has at least one of the n - ceil(t n) + 1 rarest).
 * Every candidate pair is verified on the two whole shingle sets.
 
@@ -503,12 +503,15 @@ def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFra
     # what a deletion list would cost: entries of the other kind under the same key
     load = index.groupBy("key").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("plain"), F.count(F.when(F.col("kind") == 1, 1)).alias("less"))
     near = (index.where("larger = 1").join(load, "key").groupBy("cls", "n", "number")
-            .agg(F.sum(F.when(F.col("kind") == 0, F.col("less")).otherwise(F.col("plain"))).alias("near")))
+            .agg(F.sum(F.when(F.col("kind") == 0, F.col("less")).otherwise(F.col("plain"))).alias("near"),
+                 F.count(F.when(F.col("kind") == 1, 1)).alias("shingles")))
     bound = (F.floor(2 * F.col("n") * (100 - percent) / (100 + percent)) + 1).cast("long")
     free = own.where("cost = 0").join(near, ["cls", "n", "number"])
-    per = (free.groupBy("cls", "n").agg(F.count("*").alias("free"), F.sort_array(F.collect_list(F.struct("near", "number"))).alias("by")))
+    # a segment of one shingle has no deletions: it would be empty, and empty segments have no key
+    per = (free.groupBy("cls", "n").agg(F.count("*").alias("free"), F.sort_array(
+        F.collect_list(F.when(F.col("shingles") > 1, F.struct("near", "number")))).alias("by")))
     per = (chosen.join(per, ["cls", "n"], "left").withColumn("free", F.coalesce("free", F.lit(0)))
-           .withColumn("lack", bound - F.col("free")))
+           .withColumn("lack", bound - F.col("free")).withColumn("can", F.coalesce(F.size("by"), F.lit(0))))
     # the deletions of the `lack` cheapest segments, or the sets that share one of the rarest shingles: the cheaper way
     lacking = stored(per.where("lack > 0"))
     price = F.aggregate(F.slice("by", F.lit(1), F.col("lack").cast("int")), F.lit(0).cast("long"), lambda x, y: x + y["near"])
@@ -519,7 +522,7 @@ def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFra
             .groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("rare"))
             .withColumn("rare", F.slice("rare", F.lit(1), prefix.cast("int"))))
     other_price = F.aggregate("rare", F.lit(0).cast("long"), lambda x, y: x + y["df"])
-    plan = stored(lacking.join(rare, ["cls", "n"]).withColumn("delete", (F.col("lack") <= F.col("free")) & (price <= other_price)))
+    plan = stored(lacking.join(rare, ["cls", "n"]).withColumn("delete", (F.col("lack") <= F.col("can")) & (price <= other_price)))
     possible = (F.col("root_a") != F.col("root_b")) & (F.col("nb") <= F.col("na")) & _fits(percent) & _possible(percent)
     steps = plan.where("delete").select(*chosen.columns, F.explode(F.slice("by", F.lit(1), F.col("lack").cast("int"))).alias("s"))
     steps = steps.withColumn("number", F.col("s.number"))

@@ -85,3 +85,16 @@ def test_nulls_ties_repeats_and_clashing_columns(frame, spark):
     wide = spark.createDataFrame([(1, "a b c", 5, "x")], "doc_id long, text string, cls int, root string")
     assert near_duplicates(wide).count() == 1
     assert near_duplicates(frame([], DDL)).count() == 0
+
+
+def test_short_texts_around_one_hot_passage_at_the_threshold(frame):
+    """Each long text has the passage's 16 shingles and 4 of its own: similarity to the passage is exactly 0.8, to the others 2/3.
+
+    The 4 may stand alone in their segments, which are then empty in the passage.
+    """
+    rng = random.Random(2)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(20)]
+    rows = [(i, " ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(4)])) for i in range(1, 25)] + [(0, " ".join(passage))]
+    want = brute(rows)
+    assert {c for _, _, c in want} == {0}
+    assert key(got(frame, rows)) == key(want)
