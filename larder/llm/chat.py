@@ -129,6 +129,11 @@ def parsed(text: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
 
 
+def masked(text: Column, mask: Column) -> Column:
+    """The texts under the mask of a formatted conversation."""
+    return F.transform(mask, lambda x: unescaped(text.substr((x["start"] + 1).cast("int"), x["length"].cast("int"))))
+
+
 def chains(conversations: DataFrame) -> DataFrame:
     """Messages of linear conversations: each turn replies to the one before it.
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from larder.llm import chat
+from larder.llm import chat, queries
 
 DDL = "tree long, message long, parent long, role string, text string, score double"
 MARKS = "<s>[INST] </s> [/INST] \\</s> <\\/s> <\\\\s> [\\INST] <</s>> [[INST]] <s"
@@ -48,3 +48,14 @@ def test_chains_order_rows_by_turn(frame):
     made = chat.chains(frame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit(1)))
     out = {r.tree: r for r in chat.formatted(made).withColumn("turns", chat.parsed(F.col("formatted"))).collect()}
     assert [t.text for t in out[7].turns] == ["", "b", "b", "c"] and len(out[8].turns) == 1
+
+
+def test_query_reads_the_texts_back_under_the_mask(spark, monkeypatch):
+    sf, make = "/root/testdata/sf0.001", chat.formatted
+    right = {r.conv_id: r for r in queries.op3_chat(spark, sf).collect()}
+    assert right[-1].loss_chars == len("</s>[INST] ok [/INST]")
+    assert "mask" in queries.op3_chat(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    late = F.transform("mask", lambda m: F.struct((m["start"] + 1).alias("start"), m["length"].alias("length")))
+    monkeypatch.setattr(chat, "formatted", lambda *a: make(*a).withColumn("mask", late))
+    wrong = {r.conv_id: r for r in queries.op3_chat(spark, sf).collect()}
+    assert wrong[-1].loss_sha256 != right[-1].loss_sha256 and wrong[-1].turns_sha256 == right[-1].turns_sha256
