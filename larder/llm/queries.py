@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, ngram_join, oracles, packing, pii, quality, substring, suffix_dedup, toxicity
+from . import chat, decontamination, line_dedup, manifest, ngram_join, oracles, packing, pii, quality, substring, suffix_dedup, toxicity
 from .spark import stored, table
 
 
@@ -77,8 +77,13 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(F.transform(spans, lambda x: x.cast("string")), ",").alias("spans"), F.col(partner).alias("partner_id"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_line_ends()).drop("source", "path")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_pii, op3_chat, op4_line_dedup, op5_packing, op6_quality, op7_decontamination, op8_toxicity,
-    op9_suffix_dedup, op10_substring)}
+    op9_suffix_dedup, op10_substring, op12_manifest)}
 
-ORACLE_SQL = {"op1_ngram_join": oracles.NGRAM_JOIN, "op3_chat": oracles.CHAT, "op7_decontamination": oracles.DECONTAMINATION}
+ORACLE_SQL = {"op1_ngram_join": oracles.NGRAM_JOIN, "op3_chat": oracles.CHAT, "op7_decontamination": oracles.DECONTAMINATION,
+              "op12_manifest": oracles.MANIFEST}
