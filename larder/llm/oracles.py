@@ -105,3 +105,25 @@ b AS (SELECT r, node, proof FROM (SELECT *, max(l) OVER (PARTITION BY r) AS top
 SELECT n.doc_id, n.leaf, s.subroot, u.d[1] AS root, sha256(b.proof) AS proof_sha256, b.node AS folded_root, b.node = u.d[1] AS verified
 FROM n JOIN s ON s.k = n.k JOIN b ON b.r = n.r JOIN u ON len(u.d) = 1
 """
+
+RESAMPLING = rf"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT r, unnest(w) AS g FROM d),
+y AS (SELECT unnest(w) AS g FROM b),
+h AS (SELECT g, {_crc32("g")} % 10000 AS k FROM (SELECT g FROM x UNION SELECT g FROM y), crc),
+s AS (SELECT k, count(*) AS n FROM x JOIN h USING (g) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM y JOIN h USING (g) GROUP BY k),
+z AS (SELECT (SELECT count(*) FROM x) AS s, (SELECT count(*) FROM y) AS t),
+e AS (
+  SELECT k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT k FROM h) LEFT JOIN s USING (k) LEFT JOIN t USING (k) CROSS JOIN z),
+m AS (SELECT r, CAST(sum(gain) AS BIGINT) AS q FROM x JOIN h USING (g) JOIN e USING (k) GROUP BY r),
+f AS (SELECT r, doc_id, len(w) AS n, CASE WHEN len(w) = 0 THEN 0 ELSE (q - ((q % len(w)) + len(w)) % len(w)) // len(w) END AS weight FROM d LEFT JOIN m USING (r)),
+v AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296))) AS BIGINT) AS score FROM f),
+p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n DESC) AS rank FROM v WHERE n >= 20)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM p) // 100 THEN rank END AS rank
+FROM v LEFT JOIN p USING (r)
+"""

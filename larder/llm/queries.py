@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, manifest, ngram_join, oracles, packing, pii, quality, substring, suffix_dedup, toxicity
+from . import chat, decontamination, language, line_dedup, manifest, ngram_join, oracles, packing, pii, quality, resampling, substring, suffix_dedup, toxicity
 from .spark import stored, table
 
 
@@ -77,13 +77,26 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(F.transform(spans, lambda x: x.cast("string")), ",").alias("spans"), F.col(partner).alias("partner_id"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, (_, n, weight, score, rank) = resampling.resampled(docs, table(spark, sf_dir, "benchmark"), drop=("text",))
+    return out.select("doc_id", F.col(n).alias("n_features"), F.col(weight).alias("weight"), F.col(score).alias("score"), F.col(rank).alias("rank"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_line_ends()).drop("source", "path")
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out, (name, score) = language.predicted(docs.drop("lang"), language.train(docs))
+    return out.select("doc_id", language.held_out().alias("held_out"), F.col(name).alias("lang_pred"), F.col(score).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_pii, op3_chat, op4_line_dedup, op5_packing, op6_quality, op7_decontamination, op8_toxicity,
-    op9_suffix_dedup, op10_substring, op12_manifest)}
+    op9_suffix_dedup, op10_substring, op11_resampling, op12_manifest,
+    op13_language)}
 
 ORACLE_SQL = {"op1_ngram_join": oracles.NGRAM_JOIN, "op3_chat": oracles.CHAT, "op7_decontamination": oracles.DECONTAMINATION,
-              "op12_manifest": oracles.MANIFEST}
+              "op11_resampling": oracles.RESAMPLING, "op12_manifest": oracles.MANIFEST}
