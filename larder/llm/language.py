@@ -220,7 +220,7 @@ def sample(docs: DataFrame, size: int = SAMPLE, windows: int = WINDOWS) -> DataF
             got.append(rows[np.unique(np.linspace(0, len(rows) - 1, windows).astype(int))].tobytes())
         return {"lang": batch.column(field("lang")), "doc_id": batch.column(field("doc_id")), "windows": got}
 
-    picked = able.join(chosen, ["lang", "doc_id"], "left_semi")
+    picked = able.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")  # at most ``size`` ids a language
     return (map_batches(picked, taken, "lang string, doc_id long, windows binary")
             .groupBy("lang", "doc_id").agg(F.min("windows").alias("windows")).select("lang", "doc_id", "windows"))
 
