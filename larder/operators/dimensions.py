@@ -14,8 +14,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import PRODUCT, RATIO, contains_pattern, like, reporting_cost, reporting_qty, starts_numeric
+from ..functions import PRODUCT, RATIO, contains_pattern, like, reporting_cost, reporting_qty
 from ..sources import Catalog
+from .receipts import receipts
 
 
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str,
@@ -121,37 +122,26 @@ def recent_supplier(c: Catalog, items: DataFrame | None = None) -> DataFrame:
     The ranking key is the invoice date, so instead of pairing every case
     size of an item with every invoice line of that item and ranking the
     product, we pick the latest invoice per item and the case size per item
-    separately and join the two one-row results.  Each pick is plain hash
-    aggregation over numbers and timestamps: the latest date per item, then
-    the highest invoice id on that date; the supplier's name is looked up for
-    the one row that is left.  Tie-breaks: newest date, then highest invoice
-    id, then highest case-size id.  Items without a case size or an eligible
-    invoice have no row.
-
-    ``items`` (a frame with an ``Item`` column) restricts the result: each
-    item depends on its own lines only, so only those lines are read on.
+    separately and join the two one-row results.  Date and invoice id are one
+    number (``receipts.receipt_rank``), so the supplier of the latest invoice
+    is one hash aggregation with partial results.  Tie-breaks: newest date,
+    then highest invoice id, then highest case-size id; an undated invoice
+    loses to any dated one.  Items without a case size or an eligible invoice
+    have no row.
+
+    Over stored facts with a summary (``receipts.summarise``) only the lines
+    of months outside the summary are read.  ``items`` (a frame with an
+    ``Item`` column) restricts the result: each item depends on its own lines
+    only, so only those lines are read on.
     """
-    vendors = c["Vendor"].where(~starts_numeric(F.col("Name"))).select("SupplierId")
-    # Eligible invoice headers first (headers are far fewer than lines), so
-    # the line-to-header join only carries invoices of external vendors.
-    invoices = (c["Invoice"].select(F.col("InvoiceId").alias("Invoice"), "InvoiceDate",
-                                    F.col("Supplier").alias("SupplierId"))
-                .join(vendors, "SupplierId", "left_semi"))
-    lines, cases = c["InvoiceItem"].select("Invoice", "Item"), c["CaseSize"].select("Item", "CaseSizeId", "OrderCode")
+    cases = c["CaseSize"].select("Item", "CaseSizeId", "OrderCode")
     if items is not None:
-        wanted = items.select("Item").distinct()
-        lines, cases = lines.join(wanted, "Item", "left_semi"), cases.join(wanted, "Item", "left_semi")
-    dated = lines.join(invoices.select("Invoice", "InvoiceDate"), "Invoice")
-    # an undated invoice loses to any dated one: two maxima, the second over the rows of the first
-    latest = dated.groupBy("Item", "InvoiceDate").agg(F.max("Invoice").alias("Invoice"))
-    day = latest.groupBy("Item").agg(F.max("InvoiceDate").alias("day"))
-    bill = (latest.join(day, "Item").where(F.col("InvoiceDate").eqNullSafe(F.col("day")))
-            .groupBy("Item").agg(F.max("Invoice").alias("Invoice")))
+        cases = cases.join(items.select("Item").distinct(), "Item", "left_semi")
+    latest = receipts(c, items).groupBy("Item").agg(F.max_by("Supplier", "Latest").alias("SupplierId"))
     newest = cases.groupBy("Item").agg(F.max("CaseSizeId").alias("CaseSizeId"))
     codes = newest.join(c["CaseSize"].select("CaseSizeId", "OrderCode"), "CaseSizeId").select("Item", "OrderCode")
     names = c["Vendor"].select("SupplierId", F.col("Name").alias("SupplierName"))
-    named = bill.join(invoices.select("Invoice", "SupplierId"), "Invoice").join(names, "SupplierId")
-    return named.select("Item", "SupplierName").join(codes, "Item")
+    return latest.join(names, "SupplierId").select("Item", "SupplierName").join(codes, "Item")
 
 
 def item_search_filter(df: DataFrame, item_term: str | None, order_code_term: str | None,

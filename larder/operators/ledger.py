@@ -17,6 +17,7 @@ kind.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ from ..params import (ENDING, MATCH_ALL, OPENING, PURCHASE, SUBTOTAL, TRANSFER_I
 from ..sources import Catalog
 from .dimensions import lookup, packaging_units, reporting_factor, store_name, with_category
 from .keyed import distinct_keys
+from .stages import stage_if_large
 
 S = T.StringType()
 LEDGER_SCHEMA = T.StructType([
@@ -73,9 +75,10 @@ def as_ledger(**cols: Column) -> list[Column]:
 # --------------------------------------------------------------------------
 
 def _store_purchases(c: Catalog, p: LedgerParams) -> DataFrame:
-    inv = (c["Invoice"].where((F.col("Store") == p.store) & between(F.col("InvoiceDate"), p.start, p.end))
+    period = (p.store, p.start, p.end)
+    inv = (c.of_period("Invoice", *period).where((F.col("Store") == p.store) & between(F.col("InvoiceDate"), p.start, p.end))
            .select(F.col("InvoiceId").alias("Invoice"), "InvoiceDate", "InvoiceNumber"))
-    return c["InvoiceItem"].join(inv, "Invoice")
+    return c.of_period("InvoiceItem", *period).join(inv, "Invoice")
 
 
 USAGE_KINDS = (WASTE, TRANSFER_IN, TRANSFER_OUT)
@@ -85,7 +88,8 @@ ALL_KINDS = COUNT_KINDS + USAGE_KINDS + (PURCHASE,)
 
 def _store_sources(c: Catalog, p: LedgerParams) -> DataFrame:
     """Usage sources at the store dated in the period: ``(UsageSource)``."""
-    return (c["UsageSource"].where((F.col("Store") == p.store) & between(F.col("UsageDate"), p.start, p.end))
+    return (c.of_period("UsageSource", p.store, p.start, p.end)
+            .where((F.col("Store") == p.store) & between(F.col("UsageDate"), p.start, p.end))
             .select(F.col("UsageSourceId").alias("UsageSource")))
 
 
@@ -101,9 +105,10 @@ def _usage_roles(c: Catalog, p: LedgerParams, kinds) -> DataFrame:
     small side meets the transfer table, so the full transfer history is
     never joined with the full context table."""
     sources = _store_sources(c, p)
+    period = (p.store, p.start, p.end)  # waste and contexts lie in the partition of their usage source
     parts = []
     if WASTE in kinds:
-        parts.append(c["Waste"].join(sources, "UsageSource").select(
+        parts.append(c.of_period("Waste", *period).join(sources, "UsageSource").select(
             "UsageSource", F.col("WasteDate").alias("ActivityDate"), F.lit(WASTE).alias("ActivityTypeName"),
             F.lit("").alias("PurchaseInfo"), F.lit(None).cast("bigint").alias("other_ctx")))
     roles = []
@@ -114,7 +119,7 @@ def _usage_roles(c: Catalog, p: LedgerParams, kinds) -> DataFrame:
                 F.lit(kind).alias("ActivityTypeName"), F.col("TransferId").cast("string").alias("PurchaseInfo"),
                 F.col(other).alias("other_ctx")))
     if roles:
-        tc = (c["TransferContext"].select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
+        tc = (c.of_period("TransferContext", *period).select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
               .join(sources, "UsageSource"))
         parts.append(tc.join(reduce(DataFrame.unionByName, roles), "own_ctx").drop("own_ctx"))
     return reduce(DataFrame.unionByName, parts)
@@ -125,11 +130,29 @@ def usage_activity(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
     join of the usage fact against all roles (which only hold the store's
     period usage sources), so the fact is read once for waste and both
     transfer directions."""
-    iu = c["ItemUsage"].select("UsageSource", "Item", "StockQty", "TrackingCost")
+    iu = c.of_period("ItemUsage", p.store, p.start, p.end).select("UsageSource", "Item", "StockQty", "TrackingCost")
     return iu.join(_usage_roles(c, p, kinds), "UsageSource")
 
 
-def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
+@dataclass(frozen=True)
+class PeriodLines:
+    """The line facts of a store and period, as every step of the ledger needs them."""
+
+    purchases: DataFrame
+    usage: DataFrame
+
+
+def period_lines(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS, staged: bool | None = None) -> PeriodLines:
+    """Purchased and used lines of the store in the period.  The active items
+    and the events are both made from them: staged (``stages``), each line
+    fact is read once for the whole ledger; else once per reader."""
+    purchases = _store_purchases(c, p).select(
+        F.col("Item").alias("ItemId"), "InvoiceLineId", "CaseSize", "StockQty", "AdjustedTotal", "InvoiceDate", "InvoiceNumber")
+    usage = usage_activity(c, p, kinds) if kinds else None
+    return PeriodLines(stage_if_large(purchases, "purchases", staged), usage if usage is None else stage_if_large(usage, "usage", staged))
+
+
+def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS, lines: PeriodLines | None = None) -> DataFrame:
     """Waste and transfer activity per item and event in one aggregation:
     ``(ItemId, ActivityDate, ActivityTypeName, PurchaseInfo, SupplierName,
     q, v)`` with ``q = sum(StockQty)`` and ``v = sum(StockQty *
@@ -137,7 +160,7 @@ def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
     Identifier of the store at the other end, looked up after aggregating
     (a transfer whose other end is unknown is dropped, as an inner join
     would)."""
-    agg = (usage_activity(c, p, kinds)
+    agg = ((usage_activity(c, p, kinds) if lines is None else lines.usage)
            .groupBy(F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "PurchaseInfo", "other_ctx")
            .agg(F.sum("StockQty").alias("q"), F.sum(F.col("StockQty") * F.col("TrackingCost")).alias("v")))
     waste = agg.where(F.col("ActivityTypeName") == WASTE).withColumn("SupplierName", F.lit(None).cast("string"))
@@ -153,11 +176,11 @@ def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
     return moved if WASTE not in kinds else waste.unionByName(moved)
 
 
-def active_items(c: Catalog, p: LedgerParams) -> DataFrame:
+def active_items(c: Catalog, p: LedgerParams, lines: PeriodLines | None = None) -> DataFrame:
     """Distinct items with a purchase, waste, transfer in or transfer out at
     the store in the period (counts alone do not make an item active)."""
-    frames = [_store_purchases(c, p), usage_activity(c, p)]
-    return distinct_keys([f.select(F.col("Item").alias("ItemId")) for f in frames], "ItemId")
+    lines = lines or period_lines(c, p, staged=False)
+    return distinct_keys([lines.purchases.select("ItemId"), lines.usage.select(F.col("Item").alias("ItemId"))], "ItemId")
 
 
 def item_info(c: Catalog, p: LedgerParams) -> DataFrame:
@@ -219,19 +242,19 @@ def count_events(c: Catalog, p: LedgerParams, active: DataFrame, kinds=COUNT_KIN
     roles = []
     for kind, col in ((OPENING, "OpenDate"), (ENDING, "CloseDate")):
         if kind in kinds:
-            roles.append(c["Inventory"].where(
+            roles.append(c.of_period("Inventory", p.store).where(
                 (F.col("Store") == p.store) & F.col("Finalized").isNotNull() & between(F.col(col), p.start, p.end))
                 .select(F.col("InventoryId").alias("Inventory"), F.col(col).alias("ActivityDate"),
-                        F.lit(kind).alias("ActivityTypeName")))
+                        F.lit(kind).alias("ActivityTypeName"), *c.partition_columns("Inventory", "InventorySummary")))
     inv = reduce(DataFrame.unionByName, roles)
-    lines = c["InventorySummary"].join(inv, "Inventory").select(
+    lines = c.of_headers("InventorySummary", inv).join(inv, "Inventory").select(
         F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "QtyOnHand", "PreppedQty",
         "TotalValue")
     return lines.join(active, "ItemId", "left_semi")
 
 
 def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame | None,
-                kinds=ALL_KINDS) -> DataFrame:
+                kinds=ALL_KINDS, lines: PeriodLines | None = None) -> DataFrame:
     """Ledger rows of the given kinds, joined to the item and to the item
     lookup once for all of them.  Counts, waste and transfers take packaging
     and costs from the lookup; purchases carry their line's own values and
@@ -247,14 +270,14 @@ def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame
             (F.col("QtyOnHand") + F.col("PreppedQty")).alias("raw_qty"),
             F.col("TotalValue").alias("raw_value"), F.lit(True).alias("is_count")))
     if set(kinds) & set(USAGE_KINDS):
-        ev = usage_events(c, p, [k for k in USAGE_KINDS if k in kinds])
+        ev = usage_events(c, p, [k for k in USAGE_KINDS if k in kinds], lines)
         # Transfers in keep the usage value's sign; waste and transfers out negate it.
         value = F.when(F.col("ActivityTypeName") == TRANSFER_IN, F.col("v")).otherwise(-F.col("v"))
         parts.append(ev.select("ItemId", "ActivityDate", "ActivityTypeName", "PurchaseInfo", "SupplierName",
                                (-F.col("q")).alias("raw_qty"), value.alias("raw_value"),
                                F.lit(False).alias("is_count")))
     if PURCHASE in kinds:
-        parts.append(purchase_events(c, p))
+        parts.append(purchase_events(c, p, lines))
     no_line = [F.lit(False).alias("is_line")] + [F.lit(None).cast(t).alias(f"line_{k}")
                                                    for k, t in LINE_FIELDS.items()]
     parts = [part if "is_line" in part.columns else part.select("*", *no_line) for part in parts]
@@ -321,7 +344,7 @@ LINE_FIELDS = {
 }
 
 
-def purchase_events(c: Catalog, p: LedgerParams) -> DataFrame:
+def purchase_events(c: Catalog, p: LedgerParams, lines: PeriodLines | None = None) -> DataFrame:
     """Invoice lines of the store in the period, one row per line (per credit
     when a line has several): quantity net of credits, value as invoiced,
     and the packaging, vendor, case cost, unit cost and units of the line's
@@ -329,11 +352,9 @@ def purchase_events(c: Catalog, p: LedgerParams) -> DataFrame:
 
     Every such item is active by construction (the active set is built from
     these same lines), so no semi-join is needed."""
-    lines = _store_purchases(c, p).select(
-        F.col("Item").alias("ItemId"), "InvoiceLineId", "CaseSize", "StockQty", "AdjustedTotal",
-        "InvoiceDate", "InvoiceNumber")
-    credits = c["InvoiceRFC"].select(F.col("InvoiceItem").alias("InvoiceLineId"),
-                                     F.col("StockQty").alias("credit"))
+    lines = lines or period_lines(c, p, (), staged=False)
+    credits = c.of_period("InvoiceRFC", p.store, p.start, p.end).select(F.col("InvoiceItem").alias("InvoiceLineId"),
+                                                                        F.col("StockQty").alias("credit"))
     cs = c["CaseSize"].select(F.col("CaseSizeId").alias("CaseSize"), "Supplier", "OrderCode",
                               "CaseQty", "PakQty", "PurchaseUom", "CaseUom", "PakUom")
     if p.order_code_like != MATCH_ALL:
@@ -348,7 +369,7 @@ def purchase_events(c: Catalog, p: LedgerParams) -> DataFrame:
                                      "ReportingUom")
     # Grouped by key: line-keyed credits, then the case-size tables (joined
     # to each other first), then the item-keyed tables.
-    j = (lines.join(credits, "InvoiceLineId", "left")
+    j = (lines.purchases.join(credits, "InvoiceLineId", "left")
          .join(cs.join(csc, "CaseSize"), "CaseSize")
          .join(iuc, "ItemId").join(icf, "ItemId"))
     line = {
@@ -373,11 +394,12 @@ def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None)
 
 
 def activity_ledger(c: Catalog, p: LedgerParams, info: DataFrame | None = None,
-                    with_subtotals: bool = False) -> DataFrame:
+                    with_subtotals: bool = False, staged: bool | None = None) -> DataFrame:
     """All six activity kinds in the 19-column ledger shape (bag union),
-    built together in ``info_ledger``."""
+    built together in ``info_ledger`` from one set of period lines."""
     info = item_info(c, p) if info is None else info
-    ledger = info_ledger(c, p, info, active_items(c, p))
+    lines = period_lines(c, p, staged=staged)
+    ledger = info_ledger(c, p, info, active_items(c, p, lines), lines=lines)
     return _with_subtotals(ledger) if with_subtotals else ledger
 
 

@@ -22,11 +22,12 @@ def purchase_lines(c: Catalog, p: Period) -> DataFrame:
     """Invoice lines of the store dated in the period, net of their credits:
     ``(Item, Store, qty, value)``.  A line with several credits appears once
     per credit (left-join semantics)."""
-    inv = (c["Invoice"].where((F.col("Store") == p.store) & between(F.col("InvoiceDate"), p.start, p.end))
+    period = (p.store, p.start, p.end)
+    inv = (c.of_period("Invoice", *period).where((F.col("Store") == p.store) & between(F.col("InvoiceDate"), p.start, p.end))
            .select(F.col("InvoiceId").alias("Invoice"), "Store"))
-    lines = c["InvoiceItem"].select("InvoiceLineId", "Invoice", "Item", "StockQty", "AdjustedTotal")
-    credits = c["InvoiceRFC"].select(F.col("InvoiceItem").alias("InvoiceLineId"),
-                                     F.col("StockQty").alias("credit"))
+    lines = c.of_period("InvoiceItem", *period).select("InvoiceLineId", "Invoice", "Item", "StockQty", "AdjustedTotal")
+    credits = c.of_period("InvoiceRFC", *period).select(F.col("InvoiceItem").alias("InvoiceLineId"),
+                                                        F.col("StockQty").alias("credit"))
     j = lines.join(inv, "Invoice").join(credits, "InvoiceLineId", "left")
     return j.select("Item", "Store",
                     (F.col("StockQty") - F.coalesce(F.col("credit"), F.lit(0))).alias("qty"),
@@ -40,21 +41,27 @@ def _usage_roles(c: Catalog, p: Period, kinds=USAGE_KINDS) -> DataFrame:
     """``(UsageSource, kind)`` of the usage sources that count for the period:
     the store's sending (``out``) or receiving (``in``) end of a transfer dated
     in the period — store tested on the transfer context — and waste events
-    dated in the period whose usage source is at the store."""
+    dated in the period whose usage source is at the store.
+
+    Over the stored layout the rows carry the partition of their usage
+    source: an event's date need not be that of its source, so the source's
+    partition, not the period, says where its usage lines are."""
     parts = []
     ends = []
+    carried = c.partition_columns("TransferContext", "Waste", "ItemUsage")
     for kind, side in (("out", "Sender"), ("in", "Receiver")):
         if kind in kinds:
-            ends.append(c["Transfer"].where(between(F.col("TransferDate"), p.start, p.end))
+            ends.append(c.of_period("Transfer", None, p.start, p.end).where(between(F.col("TransferDate"), p.start, p.end))
                         .select(F.col(side).alias("TransferContextId"), F.lit(kind).alias("kind")))
     if ends:  # the context table is read once for both directions
         t = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
-        tc = c["TransferContext"].where(F.col("Store") == p.store).select("TransferContextId", "UsageSource")
-        parts.append(tc.join(t, "TransferContextId").select("UsageSource", "kind"))
+        tc = c.placed("TransferContext").where(F.col("Store") == p.store).select("TransferContextId", "UsageSource", *carried)
+        parts.append(tc.join(t, "TransferContextId").select("UsageSource", "kind", *carried))
     if "waste" in kinds:
-        us = c["UsageSource"].where(F.col("Store") == p.store).select(F.col("UsageSourceId").alias("UsageSource"))
-        w = c["Waste"].where(between(F.col("WasteDate"), p.start, p.end)).select("UsageSource")
-        parts.append(w.join(us, "UsageSource").select("UsageSource", F.lit("waste").alias("kind")))
+        us = (c.of_period("UsageSource", p.store).where(F.col("Store") == p.store)
+              .select(F.col("UsageSourceId").alias("UsageSource")))
+        w = c.of_period("Waste", p.store).where(between(F.col("WasteDate"), p.start, p.end)).select("UsageSource", *carried)
+        parts.append(w.join(us, "UsageSource").select("UsageSource", F.lit("waste").alias("kind"), *carried))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -66,8 +73,9 @@ def usage_lines(c: Catalog, p: Period, kinds=USAGE_KINDS) -> DataFrame:
     ``(Item, kind, qty)`` with the usage quantity negated.  One join of the
     usage fact against all roles: the fact is read once for the three kinds,
     and a usage source with several roles counts once per role."""
-    iu = c["ItemUsage"].select("UsageSource", "Item", "StockQty")
-    return iu.join(_usage_roles(c, p, kinds), "UsageSource").select(
+    roles = _usage_roles(c, p, kinds)
+    iu = c.of_headers("ItemUsage", roles).select("UsageSource", "Item", "StockQty")
+    return iu.join(roles.select("UsageSource", "kind"), "UsageSource").select(
         "Item", "kind", (-F.col("StockQty")).alias("qty"))
 
 
@@ -143,9 +151,10 @@ def period_movements(c: Catalog, p: Period, include_counts: bool = True) -> Data
     ]
     if include_counts:
         line = F.struct("Inventory", "QtyOnHand", "PreppedQty", "TotalValue")
-        roles = [_counts(c, p.store, col, when).select("Inventory", F.lit(side).alias("side"))
+        roles = [_counts(c, p.store, col, when).withColumn("side", F.lit(side))
                  for (side, col), when in zip(COUNT_SIDES.items(), (p.start, p.end), strict=True)]
-        lines = c["InventorySummary"].join(roles[0].unionByName(roles[1]), "Inventory")  # one read for both sides
+        both = roles[0].unionByName(roles[1])
+        lines = c.of_headers("InventorySummary", both).join(both.select("Inventory", "side"), "Inventory")  # one read for both sides
         parts.append(_tagged(lines, **{f"{side}_line": F.when(F.col("side") == side, line) for side in COUNT_SIDES}))
     u = parts[0]
     for part in parts[1:]:
@@ -177,16 +186,17 @@ def with_counts(c: Catalog, p: Period, items: DataFrame) -> DataFrame:
 
 def _counts(c: Catalog, store: int, date_col: str, when) -> DataFrame:
     """The store's counts whose ``date_col`` is exactly ``when``; unfinalised ones are included."""
-    return (c["Inventory"].where((F.col("Store") == store) & (F.col(date_col) == ntz(when)))
-            .select(F.col("InventoryId").alias("Inventory")))
+    return (c.of_period("Inventory", store).where((F.col("Store") == store) & (F.col(date_col) == ntz(when)))
+            .select(F.col("InventoryId").alias("Inventory"), *c.partition_columns("Inventory", "InventorySummary")))
 
 
 def period_count(c: Catalog, store: int, date_col: str, when) -> DataFrame:
     """Count lines of the store's inventory counts whose ``date_col``
     (``OpenDate`` / ``CloseDate``) is exactly ``when``: ``(Item, QtyOnHand,
     PreppedQty, TotalValue)``, one row per line of each such count."""
-    s = c["InventorySummary"].select("Inventory", "Item", "QtyOnHand", "PreppedQty", "TotalValue")
-    return s.join(_counts(c, store, date_col, when), "Inventory").drop("Inventory")
+    counts = _counts(c, store, date_col, when)
+    s = c.of_headers("InventorySummary", counts).select("Inventory", "Item", "QtyOnHand", "PreppedQty", "TotalValue")
+    return s.join(counts.select("Inventory"), "Inventory").drop("Inventory")
 
 
 def period_opening_inventory(c: Catalog, p: Period) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import days_before, mismatch_flag
 from ..params import FULFILLED, UOM_OK, PickSheetParams
-from ..sources import Catalog
+from ..sources import Catalog, layout
 from .dimensions import with_uom_codes
 from .keyed import rows_at_max
 
@@ -18,27 +18,43 @@ def latest_requisition_status(c: Catalog, requisitions: DataFrame | None = None)
     is first cut to those requisitions — the latest status of a requisition
     depends only on its own history, so this is exact and keeps the
     aggregation to the requests a report can show."""
-    hist = c["RequisitionStatus"].select("Requisition", "Status", "EffectiveDate", "Employee")
+    hist = c["RequisitionStatus"] if requisitions is None else c.of_headers("RequisitionStatus", requisitions)
+    hist = hist.select("Requisition", "Status", "EffectiveDate", "Employee")
     if requisitions is not None:
         hist = hist.join(requisitions.select("Requisition"), "Requisition", "left_semi")
     return rows_at_max(hist, "Requisition", "EffectiveDate")
 
 
-def latest_item_status(c: Catalog, lines: DataFrame | None = None) -> DataFrame:
+def latest_item_status(c: Catalog, lines: DataFrame | None = None, headers: DataFrame | None = None) -> DataFrame:
     """Line-status rows carrying the highest status id of each requisition
-    line (ties kept); optionally cut to ``lines`` (``RequisitionItem``)."""
-    hist = c["RequisitionItemStatus"].select("RequisitionItem", "Qty", "Uom", "RequisitionStatus")
+    line (ties kept); optionally cut to ``lines`` (``RequisitionItem``) and to
+    the partitions of ``headers``."""
+    hist = c["RequisitionItemStatus"] if headers is None else c.of_headers("RequisitionItemStatus", headers)
+    hist = hist.select("RequisitionItem", "Qty", "Uom", "RequisitionStatus")
     if lines is not None:
         hist = hist.join(lines.select("RequisitionItem"), "RequisitionItem", "left_semi")
     return rows_at_max(hist, "RequisitionItem", "RequisitionStatus")
 
 
+def request_lines(c: Catalog, requisitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of ``requisitions`` (a frame with ``Requisition``) and their
+    latest status rows.  Over the stored layout a line lies in the partition
+    of its requisition, and its history in that of the line."""
+    carried = [x for x in c.partition_columns("Requisition", "RequisitionItem") if x in requisitions.columns]
+    rows = c.placed("RequisitionItem")
+    if carried:
+        rows = layout.within(rows, requisitions)
+    lines = (rows.select(F.col("RequisitionItemId").alias("RequisitionItem"), "Requisition", "Item", *carried)
+             .join(requisitions.select("Requisition"), "Requisition", "left_semi"))
+    bounds = requisitions.select(*carried) if carried else lines
+    return lines, latest_item_status(c, lines, bounds)
+
+
 def candidate_requisitions(c: Catalog, p: PickSheetParams) -> DataFrame:
     """Requests sent by the store and required on or after ``as_of`` minus
     the look-back (no upper bound: future dates are included)."""
-    return c["Requisition"].where(
-        (F.col("SendingStore") == p.store)
-        & (F.col("DateRequired") >= days_before(p.as_of, p.lookback_days)))
+    since = days_before(p.as_of, p.lookback_days)
+    return c.of_period("Requisition", p.store, since).where((F.col("SendingStore") == p.store) & (F.col("DateRequired") >= since))
 
 
 def open_requests(c: Catalog, p: PickSheetParams) -> DataFrame:
@@ -46,7 +62,7 @@ def open_requests(c: Catalog, p: PickSheetParams) -> DataFrame:
     latest status row."""
     req = candidate_requisitions(c, p).withColumnRenamed("RequisitionId", "Requisition")
     latest = latest_requisition_status(c, req).where(F.col("Status") != FULFILLED)
-    return req.join(latest, "Requisition")
+    return req.join(latest, "Requisition").drop(layout.STORE, layout.MONTH)
 
 
 def uom_mismatches(c: Catalog, p: PickSheetParams) -> DataFrame:

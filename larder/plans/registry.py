@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import catalogue, dimensions, ledger, movements, requests, usage
+from ..operators import catalogue, dimensions, ledger, movements, requests, stages, usage
 from ..params import LedgerParams, Period, PickSheetParams, SearchParams
 from ..sources import Catalog
-from . import oracle, reports
+from . import oracle, reports, sql, stores
 
 LEDGER = LedgerParams()
 LEDGER_YEAR = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:00:00")
@@ -33,6 +33,8 @@ LEDGER_CODES_CI = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:0
                                order_code_like="%oc-1%", case_insensitive=True)
 LEDGER_CODED = LedgerParams(start="1999-01-01 00:00:00", end="1999-12-31 00:00:00", order_code_like="%")
 LEDGER_STORE_1 = LedgerParams(store=1, start="1999-01-01 00:00:00", end="1999-06-30 00:00:00")
+KEPT = [LEDGER, LedgerParams(store=1, start="1999-04-01 00:00:00", end="1999-05-31 23:59:59"),
+        LedgerParams(start="1999-04-01 00:00:00", end="1999-04-30 23:59:59")]
 SEARCH_NO_TERMS = SearchParams(store=2, item_term=None, order_code_term=None)
 SEARCH_ITEM_STORE = SearchParams(last_received_scope="item_store")
 SEARCH_TERMS_CI = SearchParams(store=2, item_term="ring", order_code_term="oc-1", case_insensitive=True)
@@ -91,6 +93,32 @@ REGISTRY: dict[str, Query] = {
                                   lambda: oracle.item_search(SEARCH_NO_TERMS), "R3, search terms disabled"),
     "item_search_item_store": Query(lambda c: reports.item_search(c, SEARCH_ITEM_STORE),
                                     lambda: oracle.item_search(SEARCH_ITEM_STORE), "R3, last receipt per item and store"),
+    # reports over facts in the stored layout, through staged steps, and in SQL
+    "item_activity_ledger_stored": Query(
+        lambda c: reports.item_activity_ledger(stores.stored_facts(c, stores.LEDGER_FACTS), LEDGER_STORE_1, staged=True),
+        lambda: oracle.item_activity_ledger(LEDGER_STORE_1), "R1 over the stored layout, each line fact read once"),
+    "item_activity_ledger_staged": Query(lambda c: reports.item_activity_ledger(c, LEDGER_YEAR, staged=True),
+                                         lambda: oracle.item_activity_ledger(LEDGER_YEAR), "R1 with its lookup and lines written once"),
+    "item_lookup_staged": Query(lambda c: stages.stage(ledger.item_info(c, LEDGER)), lambda: oracle.item_info(LEDGER), "D2 as a stored table"),
+    "item_usage_summary_stored": Query(
+        lambda c: reports.item_usage_summary(stores.stored_facts(c, stores.USAGE_FACTS, summary=True), PERIOD),
+        lambda: oracle.item_usage_summary(PERIOD), "R4 over the stored layout and the receipt summary"),
+    "stock_request_pick_sheet_stored": Query(
+        lambda c: reports.stock_request_pick_sheet(stores.stored_facts(c, stores.REQUEST_FACTS), PICK),
+        lambda: oracle.stock_request_pick_sheet(PICK), "R2 over the stored layout"),
+    "item_search_folded": Query(
+        lambda c: reports.item_search(stores.late_invoices(c), SEARCH_STORE),
+        lambda: oracle.item_search(SEARCH_STORE), "R3 from the receipt summary, late invoices folded in, and the newest month's lines"),
+    "recent_supplier_folded": Query(lambda c: dimensions.recent_supplier(stores.late_invoices(c)), oracle.recent_supplier,
+                                    "D16 from the receipt summary, late invoices folded in, and the newest month's lines"),
+    "kept_ledger": Query(lambda c: stores.kept_periods(c, KEPT), lambda: oracle.kept_ledger(KEPT), "append sink: periods kept, one of them run twice"),
+    "item_search_sql": Query(lambda c: sql.item_search(c, SEARCH_TERMS), lambda: oracle.item_search(SEARCH_TERMS),
+                             "R3 in SQL with parameter markers"),
+    "item_search_sql_all": Query(lambda c: sql.item_search(c, SearchParams(item_term=None, order_code_term=None)),
+                                 lambda: oracle.item_search(SearchParams(item_term=None, order_code_term=None)),
+                                 "R3 in SQL, every filter disabled"),
+    "store_name_sql": Query(lambda c: sql.store_names(c, PERIOD.store), lambda: oracle.item_store_names(PERIOD.store),
+                            "D27 as a SQL function"),
     # ledger operators
     "activity_ledger_output": Query(
         lambda c: reports.ledger_output(ledger.activity_ledger(c, LEDGER_STORE_1), ledger.item_info(c, LEDGER_STORE_1)),

@@ -11,7 +11,8 @@ from ..operators.catalogue import item_catalogue
 from ..operators.dimensions import (item_search_filter, lookup, recent_supplier, with_category,
                                     with_uom_codes)
 from ..operators.ledger import activity_ledger, item_info
-from ..operators.requests import candidate_requisitions, latest_item_status, latest_requisition_status
+from ..operators.stages import stage_if_large
+from ..operators.requests import candidate_requisitions, latest_requisition_status, request_lines
 from ..operators.usage import HIDDEN_COLUMNS, SUMMARY_COLUMNS, movement_filter, usage_table
 from ..params import (ACTIVITY_ORDER, FULFILLED, LEDGER_DISPLAY, UNKNOWN_ACTIVITY_RANK, UOM_OK,
                       LedgerParams, Period, PickSheetParams, SearchParams)
@@ -26,11 +27,16 @@ def activity_rank(col: str = "ActivityTypeName"):
 
 
 def item_activity_ledger(c: Catalog, p: LedgerParams = LedgerParams(), with_subtotals: bool = False,
-                         display_names: bool = True) -> DataFrame:
+                         display_names: bool = True, staged: bool | None = None) -> DataFrame:
     """R1: every inventory event of the store's active items in the period,
-    with category, in business order (item, day, activity type)."""
-    info = item_info(c, p)
-    return ledger_output(activity_ledger(c, p, info, with_subtotals=with_subtotals), info, display_names)
+    with category, in business order (item, day, activity type).
+
+    Three steps share their inputs: the item lookup, the period's lines and
+    the ledger itself.  On large inputs (``staged=None``: by the bytes they
+    read) lookup and lines are written once as tables under the checkpoint
+    folder; else everything is one lazy plan."""
+    info = stage_if_large(item_info(c, p), "item-info", staged)
+    return ledger_output(activity_ledger(c, p, info, with_subtotals=with_subtotals, staged=staged), info, display_names)
 
 
 def ledger_output(ledger: DataFrame, info: DataFrame, display_names: bool = True) -> DataFrame:
@@ -47,17 +53,15 @@ def ledger_output(ledger: DataFrame, info: DataFrame, display_names: bool = True
 def stock_request_pick_sheet(c: Catalog, p: PickSheetParams = PickSheetParams()) -> DataFrame:
     """R2: open stock requests sent by the store in the look-back window,
     one row per request line at its latest line status, newest first."""
-    req = candidate_requisitions(c, p).select(
-        F.col("RequisitionId").alias("Requisition"), "SendingStore", "ReceivingStore",
-        F.col("Description").alias("StockReq_Descrip"), F.col("Notes").alias("StockReq_Notes"),
-        "DateRequired")
-    status = (latest_requisition_status(c, req).where(F.col("Status") != FULFILLED)
+    candidates = candidate_requisitions(c, p).withColumnRenamed("RequisitionId", "Requisition")
+    status = (latest_requisition_status(c, candidates).where(F.col("Status") != FULFILLED)
               .select("Requisition", "EffectiveDate", F.col("Employee").alias("EmployeeId")))
-    lines = c["RequisitionItem"].select(F.col("RequisitionItemId").alias("RequisitionItem"),
-                                        "Requisition", F.col("Item").alias("ItemId"))
-    lines = lines.join(req.select("Requisition"), "Requisition", "left_semi")
-    line_status = latest_item_status(c, lines).select(
-        "RequisitionItem", F.col("Qty").alias("QtyRequested"), F.col("Uom").alias("RequestUom"))
+    lines, line_status = request_lines(c, candidates)
+    lines = lines.select("RequisitionItem", "Requisition", F.col("Item").alias("ItemId"))
+    line_status = line_status.select("RequisitionItem", F.col("Qty").alias("QtyRequested"), F.col("Uom").alias("RequestUom"))
+    req = candidates.select(
+        "Requisition", "SendingStore", "ReceivingStore", F.col("Description").alias("StockReq_Descrip"),
+        F.col("Notes").alias("StockReq_Notes"), "DateRequired")
 
     j = req.join(status, "Requisition")
     j = lookup(j, c["Store"], "SendingStore", "StoreId", {"Name": "Sender"})

@@ -8,6 +8,7 @@ the benchmark, plus a helper that resolves the shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +60,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a scratch folder where none is set and
+    the whole session runs in one process on this machine (tests)."""
+    sc = spark.sparkContext
+    known = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not known and sc.master.split("[")[0] == "local":
+        known = tempfile.mkdtemp(prefix="larder-shared-")
+        sc.setCheckpointDir(known)
+    return known or ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
