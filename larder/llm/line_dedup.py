@@ -16,8 +16,10 @@ traffic only).
 
 Null texts stay null and empty texts empty; a text of which every chunk is
 removed becomes empty, its row stays.  Rows that repeat a doc_id count as one
-document: the same chunk at the same place of both is one place and stays in
-both.  A null doc_id comes before all others.
+document if they have the same text: the same chunk at the same place of both
+is one place and stays in both.  With different texts they are documents of
+their own, the one of lower text hash first.  A null doc_id comes before all
+others.
 """
 
 from __future__ import annotations
@@ -79,48 +81,54 @@ def chunks(column):
 
 
 def _places(docs: DataFrame, keep=None) -> DataFrame:
-    """(h, doc_id, number[, chunk]) of the multi-line chunks; with the bitmap ``keep``, those it marks, with their text."""
-    ddl = "h long, doc_id long, number int" + (", chunk binary" if keep is not None else "")
+    """(h, doc_id, version, number[, chunk]) of the multi-line chunks; with the bitmap ``keep``, those it marks, with their text."""
+    ddl = "h long, doc_id long, version long, number int" + (", chunk binary" if keep is not None else "")
 
     def run(batch):
-        ids = batch.column(0).to_pylist()
-        out = {"h": [], "doc_id": [], "number": [], "chunk": []}
-        for doc, (found, raw) in zip(ids, chunks(batch.column(1)), strict=True):
+        out = {"h": [], "doc_id": [], "version": [], "number": [], "chunk": []}
+        for doc, version, (found, raw) in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), chunks(batch.column(1)), strict=True):
             for number, a, b, lines, h in found:
                 if lines < 2 or keep is not None and not marked(keep.value, h):
                     continue
-                out["h"].append(h), out["doc_id"].append(doc), out["number"].append(number)
+                out["h"].append(h), out["doc_id"].append(doc), out["version"].append(version), out["number"].append(number)
                 if keep is not None:
                     out["chunk"].append(raw[a:b].tobytes())
         return out
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ddl)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _version().alias("version")), run, ddl)
+
+
+def _version():
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("text")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, numbers): the chunks to remove from each document that loses any."""
+    """(doc_id, version, numbers): the chunks to remove from each document that loses any."""
     repeated = _places(docs).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
     places = stored(_places(docs, sent))
     # equal bytes are one group; the first place of each stays
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "number")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "version", "number")
     groups = stored(places.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     clash = groups.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
     plain = groups.where("n > 1").join(clash, "h", "left_anti").select("h", "first")
-    gone = places.select("h", "doc_id", "number").join(plain, "h")
+    gone = places.select("h", "doc_id", "version", "number").join(plain, "h")
     mixed = places.join(clash, "h", "left_semi").join(groups.where("n > 1").select("h", "chunk", "first"), ["h", "chunk"])
-    columns = ("doc_id", "number", "first")
+    columns = ("doc_id", "version", "number", "first")
     gone = gone.select(*columns).union(mixed.select(*columns))
-    gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("number") == F.col("first.number"))))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    stays = [F.col("doc_id").eqNullSafe(F.col("first.doc_id")), F.col("version") == F.col("first.version"), F.col("number") == F.col("first.number")]
+    gone = gone.where(~(stays[0] & stays[1] & stays[2]))
+    return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
 def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` with repeated chunks removed from text, and columns for the lines before and the lines removed."""
     lost, lines, removed = fresh(docs, "lost_chunks"), fresh(docs, "n_lines"), fresh(docs, "n_removed_lines")
-    key = fresh(docs, "lost_key")
-    gone = stored(removals(docs)).select(F.col("doc_id").alias(key), F.col("numbers").alias(lost))
-    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left").drop(key)
+    key, version = fresh(docs, "lost_key"), fresh(docs, "lost_version")
+    gone = stored(removals(docs)).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("numbers").alias(lost))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (_version() == F.col(version))
+    both = docs.join(gone, mine, "left").drop(key, version)
     schema = pa.schema([(lines, pa.int64()), (removed, pa.int64())])
 
     def run(batches):

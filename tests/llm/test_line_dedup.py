@@ -79,3 +79,10 @@ def test_edge_rows(frame, spark):
     out, lines, removed = line_dedup.cleaned(wide)
     assert lines != "n_lines" and set(wide.columns) < set(out.columns)
     assert out.where("doc_id = 2").first()["n_lines"] == 5
+
+
+def test_rows_of_one_doc_id_keep_what_is_theirs_alone(frame):
+    rows = [(0, "p q\nr s"), (1, "p q\nr s"), (1, "unique one\nunique two"), (2, "p q\nr s"), (2, "p q\nr s"), (None, "null one\nnull two"), (None, None)]
+    out = sorted(got(frame(rows, DDL)), key=repr)
+    assert (1, "unique one\nunique two") in out and (None, "null one\nnull two") in out and (0, "p q\nr s") in out
+    assert sum(t == "p q\nr s" for _, t in out) == 1
