@@ -82,6 +82,10 @@ class Bands:
     def differ(self, n: int) -> int:
         return 2 * n * (100 - self.percent) // (100 + self.percent)
 
+    def linkable(self, n):
+        """Whether a set of size n can link with a different one, of its own size or a larger one."""
+        return (self.differ(n) > 0) | (n * 100 // self.percent > n)
+
     def segments(self, largest):
         base = self.differ(largest) + 1
         return base + -(-base // 10) + 2
@@ -196,8 +200,8 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
             sig, cls, n, role = [], [], [], []
             for members, bounds, key in _chunks(batch, size):
                 sizes = np.diff(bounds)
-                new = np.array([d > 0 and (k := (int(c), int(s))) not in seen and not seen.add(k)
-                                for c, s, d in zip(key, sizes, bands.differ(sizes), strict=True)], dtype=bool)
+                new = np.array([able and (k := (int(c), int(s))) not in seen and not seen.add(k)
+                                for c, s, able in zip(key, sizes, bands.linkable(sizes), strict=True)], dtype=bool)
                 members, key, sizes = members[np.repeat(new, sizes)], key[new], sizes[new]
                 if not len(sizes):
                     continue
@@ -307,7 +311,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) ->
         for batch in batches:
             rows, c, m = [], [], []
             for at, (_, count, key) in enumerate(_sets(batch, size)):
-                if bands.differ(count) and marked(sent.value, key) and (count, key) not in seen:
+                if bands.linkable(count) and marked(sent.value, key) and (count, key) not in seen:
                     seen.add((count, key))
                     rows.append(at), c.append(key), m.append(count)
             yield pa.RecordBatch.from_arrays(
@@ -456,7 +460,10 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
     if base is None:
         base = stored(classes(docs, size, bands))
     facts = base.agg(F.sum("n_shingles").alias("total")).first()
-    needy = frozenset(bands.of(r[0])[0] for r in base.where("needy").select("n_shingles").distinct().limit(100_000).collect())
+    # the bands of needy sets: sizes become band numbers in Spark, and there are some ten bands per factor of ten in size
+    edges = bands.edges(base.agg(F.max("n_shingles")).first()[0] or 1)
+    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda low: low <= F.col("n_shingles"))) - 1
+    needy = frozenset(r[0] for r in base.where("needy").select(band.alias("band")).distinct().collect())
     buckets = max(1, math.ceil((facts["total"] or 0) * 0.6 / BUCKET_ENTRIES))
     found = stored(candidates(entries(docs, size, bands, buckets, needy), bands))
     short = found.where("sig is null").select("a", "na", "b", "nb").distinct()

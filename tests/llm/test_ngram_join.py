@@ -98,3 +98,24 @@ def test_short_texts_around_one_hot_passage_at_the_threshold(frame):
     want = brute(rows)
     assert {c for _, _, c in want} == {0}
     assert key(got(frame, rows)) == key(want)
+
+
+def test_sets_of_four_and_five_shingles(frame):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "a b c d e f g"), (4, "a b c d"), (5, "a b c d e")]
+    assert key(got(frame, rows)) == key(brute(rows))
+    assert {r[0]: r[2] for r in got(frame, rows)} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_short_sets_with_inserted_deleted_and_changed_words(frame, seed):
+    """Every size from 1 to 12 words and shingles, each text with its neighbours by one edit at every place."""
+    rng = random.Random(seed)
+    texts = []
+    for n in range(1, 17):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for at in rng.sample(range(n), min(n, 4)) + [0, n - 1]:
+            texts += [words, words[:at] + words[at + 1:], words[:at] + ["new"] + words[at:], words[:at] + ["other"] + words[at + 1:],
+                      words + [f"end{at}"], ["front", *words]]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    assert key(got(frame, rows)) == key(brute(rows))
