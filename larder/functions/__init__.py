@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Declared widths of the report tables (the reference's INSERT targets).
+# Declared widths of the report tables (as the original report declares them).
 QTY = T.DecimalType(11, 3)        # ledger quantities
 MONEY = T.DecimalType(12, 4)      # ledger money / unit cost
 SUMMARY_QTY = T.DecimalType(14, 3)

@@ -15,7 +15,7 @@ from .dimensions import packaging_units, reporting_factor, with_category, with_s
 def item_catalogue(c: Catalog, p: SearchParams) -> DataFrame:
     """One row per tracked item x store (x last-received row, see below).
 
-    With ``store=None`` every store is listed and, as in the reference, the
+    With ``store=None`` every store is listed and, as in the original report, the
     last-received rows are matched on the item alone, so each item x store
     row repeats once per store that received the item
     (``last_received_scope='item_store'`` matches item and store instead).

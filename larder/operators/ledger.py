@@ -63,7 +63,7 @@ INFO_COLUMNS = ["ItemId", "OrderCode", "CaseCost", "CaseQty", "PakQty", "Trackin
 
 def as_ledger(**cols: Column) -> list[Column]:
     """Columns in ledger order, each cast to its declared type (the
-    reference's INSERT rounds decimals to the declared scale)."""
+    original report rounds decimals to the declared scale)."""
     missing = set(LEDGER_COLUMNS) - set(cols)
     if missing:
         raise ValueError(f"ledger columns missing: {sorted(missing)}")
@@ -418,7 +418,7 @@ def _with_subtotals(ledger: DataFrame) -> DataFrame:
 
 
 def activity_subtotal(ledger: DataFrame) -> DataFrame:
-    """One subtotal row per item (the reference's optional, commented-out
+    """One subtotal row per item (the original report's optional, commented-out
     step): summed quantity and value, other columns empty."""
     agg = ledger.groupBy("ItemId").agg(
         F.max("ItemDescrip").alias("ItemDescrip"), F.sum("Amount").alias("Amount"),

@@ -89,7 +89,7 @@ class SearchParams:
     """Item search.  ``store=None`` lists every store; a ``None`` search term
     disables that filter.  ``last_received_scope='item'`` matches the
     last-received rows on the item alone when listing all stores (the
-    reference's behaviour); ``'item_store'`` matches item and store."""
+    original report's behaviour); ``'item_store'`` matches item and store."""
 
     store: int | None = None
     item_term: str | None = MATCH_ALL

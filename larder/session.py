@@ -21,6 +21,9 @@ SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # A report is built by thousands of column calls; capturing the Python call
+    # site of each one for error messages doubles the time until Spark gets the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -97,12 +97,7 @@ class Catalog:
 
     @classmethod
     def derived(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
-        raw_frames: dict[str, DataFrame] = {}
-
-        def raw(name: str) -> DataFrame:
-            if name not in raw_frames:
-                raw_frames[name] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-            return raw_frames[name]
+        raw = domain.RawTables(spark, sf_dir)
 
         def load(cat: "Catalog", name: str) -> DataFrame:
             return domain.BUILDERS[name](raw, cat.__getitem__, spark)

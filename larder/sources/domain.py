@@ -8,12 +8,14 @@ DataFrame code: a report that filters on ``Store`` and a date range gets its
 predicates pushed through these projections into the Parquet scans of
 ``orders`` and ``lineitem``.
 
-Each builder takes a ``raw(name) -> DataFrame`` accessor for the test tables
+Each builder takes a ``raw(name) -> DataFrame`` accessor (``RawTables``) for the test tables
 and a ``dom(name) -> DataFrame`` accessor for already-derived domain tables.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,23 +34,49 @@ UOM_ROWS = [
     (4, "ea", "each (lower)"),
 ]
 
+class RawTables:
+    """The test tables of one folder, each opened once.
+
+    The two facts that the fixture rules spread over every table, the store
+    list and the supplier key range, are read once per folder and become
+    literals: as scalar subqueries they would stand in a report's plan a
+    hundred times, to be analysed each time.  Their size is that of the store
+    list, which every per-store table multiplies by anyway."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder, self._frames = spark, folder, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._spark.read.parquet(f"{self._folder.rstrip('/')}/{name}.parquet")
+        return self._frames[name]
+
+    @cached_property
+    def stores(self) -> list[int]:
+        """Region keys in order."""
+        keys = self("region").select(F.col("r_regionkey").cast("int").alias("k")).where("k IS NOT NULL").distinct()
+        return sorted(r.k for r in keys.collect())
+
+    @cached_property
+    def suppliers(self) -> int | None:
+        """One above the greatest supplier key."""
+        top = self("supplier").agg(F.max("s_suppkey")).head()[0]
+        return None if top is None else top + 1
+
+
 def _stores(raw) -> Column:
-    """The store ids (region keys) in order, as one array: a scalar subquery
-    over the region list, evaluated once per query.  Its size is that of the
-    store list, which every per-store table multiplies by anyway."""
-    return raw("region").agg(F.sort_array(F.collect_set(F.col("r_regionkey").cast("int")))).scalar()
+    """The store ids in order, as one array."""
+    return F.array(*[F.lit(k) for k in raw.stores]).cast("array<int>")
 
 
 def _store_of(raw, key: Column) -> Column:
     """Stores are dealt by key over the whole store list."""
-    stores = _stores(raw)
-    return F.element_at(stores, (F.pmod(key, F.size(stores)) + 1).cast("int"))
+    return F.element_at(_stores(raw), (F.pmod(key, F.lit(len(raw.stores))) + 1).cast("int"))
 
 
 def _supplier_of(raw, key: Column) -> Column:
     """Suppliers are dealt by key over the whole supplier key range."""
-    s = raw("supplier").agg((F.max("s_suppkey") + 1).alias("n")).scalar()
-    return F.pmod(key, s)
+    return F.pmod(key, F.lit(raw.suppliers).cast("bigint"))
 
 
 def _brand_no(p_brand: Column) -> Column:
@@ -295,7 +323,7 @@ def transfer(raw, dom, spark: SparkSession) -> DataFrame:
 
 def _inventory_key(raw) -> DataFrame:
     """(store, month) of each order, with the count id of that month."""
-    o, n = raw("orders"), F.size(_stores(raw))
+    o, n = raw("orders"), F.lit(len(raw.stores))
     return o.select(
         "o_orderkey",
         _store_of(raw, o.o_custkey).alias("Store"),

@@ -6,7 +6,9 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 from larder.plans.registry import REGISTRY
 
-QUERIES = {name: q for name, q in entry.queries().items() if name in REGISTRY}
+# entries that write stored tables while they are built have their plan checks in test_stored.py
+WRITES = ("_stored", "_staged", "_folded", "kept_ledger")
+QUERIES = {name: q for name, q in entry.queries().items() if name in REGISTRY and not name.endswith(WRITES)}
 REPORTS = ["item_activity_ledger", "stock_request_pick_sheet", "item_search", "item_usage_summary"]
 
 
