@@ -21,9 +21,6 @@ SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-    # A report is built by thousands of column calls; capturing the Python call
-    # site of each one for error messages doubles the time until Spark gets the plan.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -52,6 +49,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LARDER_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # A report is built by thousands of column calls; PySpark would capture the
+        # Python call site of each one for error messages (a third of the building time).
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     conf = {**SQL_CONF, **(extra or {})}
     for key, value in conf.items():
