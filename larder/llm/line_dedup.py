@@ -125,10 +125,26 @@ def removals(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` with repeated chunks removed from text, and columns for the lines before and the lines removed."""
     lost, lines, removed = fresh(docs, "lost_chunks"), fresh(docs, "n_lines"), fresh(docs, "n_removed_lines")
-    key, version = fresh(docs, "lost_key"), fresh(docs, "lost_version")
-    gone = stored(removals(docs)).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("numbers").alias(lost))
+    key, version, named = fresh(docs, "lost_key"), fresh(docs, "lost_version"), fresh(docs, "lost_name")
+    gone = stored(removals(docs))
+    name_of = F.xxhash64(F.col("doc_id").cast("long"), _version())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("doc_id", "version").alias("h"))))
+    rows = docs.withColumn(named, name_of)
+
+    def parted(wanted):
+        """The rows that the bitmap marks, or all others: only marked texts travel to the join."""
+        def run(batches):
+            for batch in batches:
+                names = batch.column(batch.schema.get_field_index(named)).to_pylist()
+                mask = pa.array([marked(sent.value, h) == wanted for h in names], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], schema=batch.schema)
+        return run
+
+    gone = gone.select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("numbers").alias(lost))
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (_version() == F.col(version))
-    both = docs.join(gone, mine, "left").drop(key, version)
+    losing = rows.mapInArrow(parted(True), rows.schema).join(gone, mine, "left").drop(key, version, named)
+    others = rows.mapInArrow(parted(False), rows.schema).drop(named).withColumn(lost, F.lit(None).cast("array<int>"))
+    both = others.unionByName(losing)
     schema = pa.schema([(lines, pa.int64()), (removed, pa.int64())])
 
     def run(batches):
