@@ -34,7 +34,8 @@ FUNCTIONS = {
 }
 
 STORE_NAMES = """
-SELECT Item, Store, RetrieveStoreName(Store) AS StoreName, RetrieveStoreName(:store) AS GivenStoreName
+SELECT Item, Store, RetrieveStoreName(Store) AS StoreName,
+  (SELECT max(RetrieveStoreName(s.StoreId)) FROM Store s WHERE s.StoreId = :store) AS GivenStoreName
 FROM ItemDetail WHERE TrackInventory = 1
 """
 
