@@ -35,7 +35,7 @@ FUNCTIONS = {
 
 STORE_NAMES = """
 SELECT Item, Store, RetrieveStoreName(Store) AS StoreName,
-  (SELECT max(RetrieveStoreName(s.StoreId)) FROM Store s WHERE s.StoreId = :store) AS GivenStoreName
+  (SELECT max(n) FROM (SELECT RetrieveStoreName(s.StoreId) AS n, s.StoreId FROM Store s) s WHERE s.StoreId = :store) AS GivenStoreName
 FROM ItemDetail WHERE TrackInventory = 1
 """
 

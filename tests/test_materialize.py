@@ -9,7 +9,7 @@ from larder.sources import Catalog, materialize
 
 def test_reports_over_materialized_domain_match(spark):
     derived = Catalog.derived(spark, SF_SMALL)
-    root = materialize(derived, tempfile.mkdtemp(prefix="larder-wh-"))
+    root = materialize(derived, tempfile.mkdtemp(prefix="larder-wh-"), by_year=True)
     stored = Catalog.parquet(spark, root)
     for name in ["item_usage_summary_year", "item_activity_ledger_year", "stock_request_pick_sheet",
                  "item_search_store"]:
@@ -21,7 +21,7 @@ def test_reports_over_materialized_domain_match(spark):
 
 
 def test_store_partitioned_headers_prune_directories(spark):
-    root = materialize(Catalog.derived(spark, SF_SMALL), tempfile.mkdtemp(prefix="larder-wh-"))
+    root = materialize(Catalog.derived(spark, SF_SMALL), tempfile.mkdtemp(prefix="larder-wh-"), names=["Invoice"])
     inv = Catalog.parquet(spark, root).of_period("Invoice", 2)
     plan = inv._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(PartStore" in plan and "(PartStore" in plan
