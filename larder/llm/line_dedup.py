@@ -143,8 +143,6 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     gone = gone.select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("numbers").alias(lost))
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (_version() == F.col(version))
     losing = rows.mapInArrow(parted(True), rows.schema).join(gone, mine, "left").drop(key, version, named)
-    others = rows.mapInArrow(parted(False), rows.schema).drop(named).withColumn(lost, F.lit(None).cast("array<int>"))
-    both = others.unionByName(losing)
     schema = pa.schema([(lines, pa.int64()), (removed, pa.int64())])
 
     def run(batches):
@@ -169,7 +167,13 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(n, pa.int64()), pa.array(m, pa.int64())],
                                              names=[*columns, *schema.names])
 
+    def run_others(batches):  # in one worker: told apart and passed on
+        for batch in parted(False)(batches):
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != named]
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield from run([pa.RecordBatch.from_arrays([*(c for _, c in kept), none], names=[*(n for n, _ in kept), lost])])
+
     from pyspark.sql.types import LongType, StructField, StructType
-    fields = [f for f in both.schema.fields if f.name != lost]
-    out = both.mapInArrow(run, StructType([*fields, StructField(lines, LongType()), StructField(removed, LongType())]))
+    schema_out = StructType([*docs.schema.fields, StructField(lines, LongType()), StructField(removed, LongType())])
+    out = rows.mapInArrow(run_others, schema_out).unionByName(losing.select(*(f"`{c}`" for c in docs.columns), f"`{lost}`").mapInArrow(run, schema_out))
     return out, lines, removed
