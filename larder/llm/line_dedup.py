@@ -24,7 +24,6 @@ others.
 
 from __future__ import annotations
 
-import gc
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bitmap, marked
-from .spark import fresh, map_batches, stored
+from .spark import fresh, map_batches, release, stored
 from .text import prefix_hashes, slices, span_hashes, utf8, windows
 
 ROLL, MODULUS, MIN_LINES, MAX_LINES = 2, 3, 2, 64
@@ -146,7 +145,7 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     schema = pa.schema([(lines, pa.int64()), (removed, pa.int64())])
 
     def run(batches):
-        gc.collect()
+        release()
         for batch in batches:
             name = batch.schema.get_field_index
             old, drop = batch.column(name("text")), batch.column(name(lost)).to_pylist()

@@ -32,7 +32,6 @@ gets the smallest other doc_id of its component, or null.
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bits import bitmap, marked
 from .components import components
-from .spark import extend_batches, fresh, map_batches, stored
+from .spark import extend_batches, fresh, map_batches, release, stored
 from .text import SET_SALT, mix, set_key, shingle_sets
 
 LIST = 12
@@ -192,7 +191,7 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
         return out
 
     def run(batches):
-        gc.collect()
+        release()
         schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("cls", pa.binary()), ("n", pa.binary()),
                             ("role", pa.binary())])
         seen: set[tuple[int, int]] = set()
@@ -305,7 +304,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) ->
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("cls").alias("h"))))
 
     def run(batches):
-        gc.collect()
+        release()
         seen: set[tuple[int, int]] = set()
         schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("text", pa.string())])
         for batch in batches:

@@ -24,7 +24,6 @@ packed one by one; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import gc
 import re
 
 import numpy as np
@@ -32,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark import release
 from .text import NOT_BLANK, prefix_hashes, slices, span_hashes, utf8
 
 SIZE, STRIDE = 1024, 16
@@ -206,7 +206,7 @@ def packed(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, ran
 
     def run(batches):
         from pyspark import TaskContext
-        gc.collect()  # workers are reused: drop the tokenizers of earlier tasks
+        release()  # workers are reused: drop the tokenizers of earlier tasks
         used = TaskContext.get().partitionId() << 33
         tokens = Tokens(vocabulary, ranks)
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable
@@ -12,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_folder
 
 
+#: A batch that goes out with all its columns is handled in parts of about this size.
+PART_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,12 +34,22 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def release() -> None:
+    """Give freed memory back to the system; for the start of a task, as workers are reused and keep what earlier tasks touched."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
     """``function(batch) -> dict of columns | iterable of such dicts | None`` over Arrow batches."""
     schema = arrow_schema(ddl)
 
     def run(batches):
-        gc.collect()  # workers are reused: drop what the functions of earlier tasks kept
+        release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -60,9 +75,11 @@ def extend_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
     extra = arrow_schema(ddl)
 
     def run(batches):
-        gc.collect()
-        for batch in batches:
-            if batch.num_rows:
+        release()
+        for whole in batches:
+            rows = max(1, whole.num_rows * PART_BYTES // max(1, whole.nbytes))
+            for first in range(0, whole.num_rows, rows):
+                batch = whole.slice(first, rows)
                 made = function(batch)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *(made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in extra)],

@@ -30,16 +30,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import extend_batches, fresh, map_batches, stored
+from .spark import extend_batches, fresh, map_batches, release, stored
 from .text import prefix_hashes, slices, span_hashes, utf8
 
 LENGTH, GRAM = 400, 64
-SHARD_BYTES = 4 << 20
-GROUP_BYTES = 1 << 20
-RANGES = 64
+SHARD_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
+RANGE_KEYS = 1 << 20
+PIECE_BYTES = 4 << 20
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -226,26 +228,32 @@ def _shards(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.groupBy("shard").applyInArrow(run, "shard long, fp long, kt long, spans array<int>, keys binary")
 
 
-def _merged(local: DataFrame) -> DataFrame:
-    """(fp, kt, spans) of shared groups' windows that also stand in another shard."""
-    shared = local.where("keys is not null")
+def _by_shard(shard: np.ndarray, keys: list[bytes]):
+    """Each shard number and the sorted distinct keys of its lists."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            yield int(shard[rows[0]]), np.unique(np.frombuffer(b"".join([keys[i] for i in rows]), np.uint64))
+
+
+def _merged(local: DataFrame, ranges_log: int) -> DataFrame:
+    """(fp, kt, spans) of shared groups' windows that also stand in another shard; keys are merged in 2**ranges_log ranges."""
+    shared = local.where("keys is not null").select("shard", "fp", "kt", "keys")
+    edges = np.arange((1 << ranges_log) + 1)
 
     def split(batches):
         schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary())])
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            keys = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            for s in np.unique(shard):
-                own = np.unique(np.concatenate([k for k, t in zip(keys, shard, strict=True) if t == s]))
-                bounds = np.searchsorted(own >> np.uint64(58), np.arange(RANGES + 1))
+            for s, own in _by_shard(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
+                bounds = np.searchsorted(own >> np.uint64(64 - ranges_log), edges)
+                full = np.flatnonzero(np.diff(bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(RANGES)), pa.array(np.full(RANGES, s)),
-                     pa.array([own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], schema=schema)
+                    [pa.array(full, pa.int64()), pa.array(np.full(len(full), s), pa.int64()),
+                     pa.array([own[bounds[k]: bounds[k + 1]].tobytes() for k in full], pa.binary())], schema=schema)
 
     def merge(table: pa.Table) -> pa.Table:
-        shard = table.column("shard").to_numpy()
-        lists = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        own = {s: np.unique(np.concatenate([k for k, t in zip(lists, shard, strict=True) if t == s])) for s in np.unique(shard)}
+        own = dict(_by_shard(table.column("shard").to_numpy(), table.column("keys").to_pylist()))
         everything = np.sort(np.concatenate(list(own.values())))
         many = []
         for keys in own.values():
@@ -253,20 +261,22 @@ def _merged(local: DataFrame) -> DataFrame:
             many.append(keys[high - low > 1])  # also in another shard's list
         return pa.table({"shard": pa.array(list(own), pa.int64()), "found": pa.array([k.tobytes() for k in many], pa.binary())})
 
-    parts = shared.select("shard", "keys").mapInArrow(split, "part long, shard long, keys binary").where(F.octet_length("keys") > 0)
-    found = parts.groupBy("part").applyInArrow(merge, "shard long, found binary").where(F.octet_length("found") > 0)
-    per = found.groupBy("shard").agg(F.collect_list("found").alias("found"))
-
-    def mark(batch):
+    def mark(intervals_: pa.Table, found: pa.Table) -> pa.Table:
+        out = pa.schema([("fp", pa.int64()), ("kt", pa.int64()), ("spans", pa.list_(pa.int32()))])
+        if not intervals_.num_rows or not found.num_rows:
+            return out.empty_table()
+        other = np.sort(np.frombuffer(b"".join(found.column("found").to_pylist()), np.uint64))
         spans = []
-        for keys, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            other = np.sort(np.frombuffer(b"".join(found), np.uint64))
+        for keys in intervals_.column("keys").to_pylist():
             own = np.frombuffer(keys, np.uint64)
             at = np.minimum(np.searchsorted(other, own), len(other) - 1)
             spans.append(runs_of(other[at] == own))
-        return {"fp": batch.column(0), "kt": batch.column(1), "spans": pa.array(spans, pa.list_(pa.int32()))}
+        return pa.table({"fp": intervals_.column("fp"), "kt": intervals_.column("kt"), "spans": pa.array(spans, pa.list_(pa.int32()))}, schema=out)
 
-    return map_batches(shared.join(per, "shard").select("fp", "kt", "keys", "found"), mark, "fp long, kt long, spans array<int>")
+    parts = shared.select("shard", "keys").mapInArrow(split, "part long, shard long, keys binary")
+    found = parts.groupBy("part").applyInArrow(merge, "shard long, found binary").where(F.octet_length("found") > 0)
+    # a shard's intervals meet its found keys once, both within the size of a shard
+    return shared.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(mark, "fp long, kt long, spans array<int>")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -283,21 +293,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
     place = (anchors.select("fp", "kt", "th", "first").join(state.where("open"), ["fp", "kt", "th"])
              .groupBy("fp", "kt").agg(*(F.min(c).alias(c) for c in ("th", "first", "windows", "bytes"))))
     place = stored(place)
-    size = place.agg(F.sum(F.col("windows") + length)).first()[0] or 0
+    size, crossing = (x or 0 for x in place.agg(F.sum(F.col("windows") + length), F.sum(F.when(F.col("bytes") > group_bytes, F.col("windows")))).first())
     shards = max(1, math.ceil(size / shard_bytes))
+    ranges_log = max(6, (crossing // RANGE_KEYS).bit_length())
     wanted = place.groupBy("th").agg(F.collect_list(F.struct("fp", "kt", "first", "windows", "bytes")).alias("places"))
 
     def take(batches):
         schema = pa.schema([("fp", pa.int64()), ("kt", pa.int64()), ("windows", pa.int32()), ("bytes", pa.int64()), ("piece", pa.binary())])
+        release()
         for batch in batches:
-            out = {f: [] for f in schema.names}
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode()
-                for p in places:
-                    for f in ("fp", "kt", "windows", "bytes"):
-                        out[f].append(p[f])
-                    out["piece"].append(raw[p["first"]: p["first"] + p["windows"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            data, offsets = utf8(batch.column(0))
+            places = pc.list_flatten(batch.column(1))
+            of = pc.list_parent_indices(batch.column(1)).to_numpy()
+            begin = offsets[of] + places.field("first").to_numpy()
+            end = begin + places.field("windows").to_numpy() + length - 1
+            # pieces overlap, so they are several times the text: handed out a few megabytes at a time
+            for low, high in slices(np.concatenate(([0], np.cumsum(end - begin))), PIECE_BYTES):
+                pick = places.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pick.field(f).cast(schema.field(f).type) for f in schema.names[:-1]),
+                     pa.array([data[x:y].tobytes() for x, y in zip(begin[low:high].tolist(), end[low:high].tolist(), strict=True)], pa.binary())],
+                    schema=schema)
 
     pieces = (texts.withColumn("th", F.xxhash64("text")).join(wanted, "th").select("text", "places")
               .mapInArrow(take, "fp long, kt long, windows int, bytes long, piece binary")
@@ -306,7 +322,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
     dealt = pieces.select("fp", "kt", "windows", "piece", (ways > 1).alias("shared"),
                           F.pmod(F.xxhash64("fp", F.pmod("kt", ways)), F.lit(shards)).alias("shard"))
     local = stored(_shards(dealt, length))
-    spans = local.select("fp", "kt", "spans").union(_merged(local)).where(F.size("spans") > 0)
+    spans = local.select("fp", "kt", "spans").union(_merged(local, ranges_log)).where(F.size("spans") > 0)
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("x"), F.get("spans", i + 1).alias("y")))
     part = (anchors.join(spans.select("fp", "kt", F.explode(pairs).alias("s")), ["fp", "kt"])
             .select("th", (F.col("first") + F.col("s.x")).alias("a"), (F.col("first") + F.col("s.y") + length - 1).alias("b")))
