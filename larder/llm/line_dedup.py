@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bitmap, marked
-from .spark import fresh, map_batches, release, stored
+from .spark import fresh, map_batches, parts, release, stored
 from .text import prefix_hashes, slices, span_hashes, utf8, windows
 
 ROLL, MODULUS, MIN_LINES, MAX_LINES = 2, 3, 2, 64
@@ -84,6 +84,10 @@ def _places(docs: DataFrame, keep=None) -> DataFrame:
     ddl = "h long, doc_id long, version long, number int" + (", chunk binary" if keep is not None else "")
 
     def run(batch):
+        for part in parts(batch):
+            yield of_part(part)
+
+    def of_part(batch):
         out = {"h": [], "doc_id": [], "version": [], "number": [], "chunk": []}
         for doc, version, (found, raw) in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), chunks(batch.column(1)), strict=True):
             for number, a, b, lines, h in found:
@@ -133,7 +137,8 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     def parted(wanted):
         """The rows that the bitmap marks, or all others: only marked texts travel to the join."""
         def run(batches):
-            for batch in batches:
+            release()
+            for batch in (part for whole in batches for part in parts(whole)):
                 names = batch.column(batch.schema.get_field_index(named)).to_pylist()
                 mask = pa.array([marked(sent.value, h) == wanted for h in names], pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], schema=batch.schema)
@@ -145,8 +150,7 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     schema = pa.schema([(lines, pa.int64()), (removed, pa.int64())])
 
     def run(batches):
-        release()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             name = batch.schema.get_field_index
             old, drop = batch.column(name("text")), batch.column(name(lost)).to_pylist()
             texts, n, m = [], [], []
@@ -166,6 +170,10 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(n, pa.int64()), pa.array(m, pa.int64())],
                                              names=[*columns, *schema.names])
 
+    def run_losing(batches):
+        release()
+        yield from run(batches)
+
     def run_others(batches):  # in one worker: told apart and passed on
         for batch in parted(False)(batches):
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != named]
@@ -174,5 +182,5 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
     from pyspark.sql.types import LongType, StructField, StructType
     schema_out = StructType([*docs.schema.fields, StructField(lines, LongType()), StructField(removed, LongType())])
-    out = rows.mapInArrow(run_others, schema_out).unionByName(losing.select(*(f"`{c}`" for c in docs.columns), f"`{lost}`").mapInArrow(run, schema_out))
+    out = rows.mapInArrow(run_others, schema_out).unionByName(losing.select(*(f"`{c}`" for c in docs.columns), f"`{lost}`").mapInArrow(run_losing, schema_out))
     return out, lines, removed

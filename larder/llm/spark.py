@@ -14,7 +14,7 @@ from ..session import shared_folder
 
 
 #: A batch that goes out with all its columns is handled in parts of about this size.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,13 @@ def release() -> None:
         pass
 
 
+def parts(batch: pa.RecordBatch):
+    """Slices of ``batch`` of about PART_BYTES each, one row at least."""
+    rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def map_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
     """``function(batch) -> dict of columns | iterable of such dicts | None`` over Arrow batches."""
     schema = arrow_schema(ddl)
@@ -77,9 +84,7 @@ def extend_batches(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
     def run(batches):
         release()
         for whole in batches:
-            rows = max(1, whole.num_rows * PART_BYTES // max(1, whole.nbytes))
-            for first in range(0, whole.num_rows, rows):
-                batch = whole.slice(first, rows)
+            for batch in parts(whole):
                 made = function(batch)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *(made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in extra)],
