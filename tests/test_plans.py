@@ -69,3 +69,22 @@ def test_line_scans(spark, name, most):
 def test_waste_alone_reads_no_transfer_contexts(spark):
     plan = physical(QUERIES["ledger_waste"](spark, SF_SMALL))
     assert plan.count("(o_orderkey") >= 1 and "other_ctx" not in plan
+
+
+def broadcast_subtrees(plan: str):
+    """The lines below each broadcast exchange."""
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((m for m in range(k + 1, len(lines)) if depth[m] <= depth[k]), len(lines))
+            yield "\n".join(lines[k: end])
+
+
+@pytest.mark.parametrize("name", ["item_search", "item_search_item_store", "item_catalogue"])
+def test_search_broadcasts_no_item_table(spark, name):
+    """Item tables are small files of many rows: held by the driver they end it."""
+    subtrees = list(broadcast_subtrees(physical(QUERIES[name](spark, SF_SMALL))))
+    assert subtrees
+    for tree in subtrees:
+        assert "p_partkey" not in tree and "l_partkey" not in tree, tree
