@@ -81,7 +81,7 @@ def broadcast_subtrees(plan: str):
             yield "\n".join(lines[k: end])
 
 
-@pytest.mark.parametrize("name", ["item_search", "item_search_item_store", "item_catalogue"])
+@pytest.mark.parametrize("name", ["item_search", "item_search_item_store", "item_catalogue", "item_search_sql_all"])
 def test_search_broadcasts_no_item_table(spark, name):
     """Item tables are small files of many rows: held by the driver they end it."""
     subtrees = list(broadcast_subtrees(physical(QUERIES[name](spark, SF_SMALL))))
