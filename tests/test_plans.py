@@ -88,3 +88,29 @@ def test_search_broadcasts_no_item_table(spark, name):
     assert subtrees
     for tree in subtrees:
         assert "p_partkey" not in tree and "l_partkey" not in tree, tree
+
+
+@pytest.mark.parametrize("report", ["stock_request_pick_sheet", "open_requests"])
+def test_pick_sheet_cuts_large_line_tables_before_their_shuffle(spark, small_catalog, report):
+    """With the few requests of the look-back written, no exchange takes a whole line table."""
+    from larder.operators.requests import open_requests
+    from larder.plans.registry import PICK
+    from larder.plans.reports import stock_request_pick_sheet
+    run = {"stock_request_pick_sheet": stock_request_pick_sheet, "open_requests": open_requests}[report]
+    df = run(small_catalog, PICK, staged=True)
+    lines = physical(df).splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    seen = 0
+    for k, line in enumerate(lines):
+        if "FileScan parquet" in line and "/lineitem.parquet" in line:
+            above, low = [], depth[k]
+            for m in range(k - 1, -1, -1):  # from the scan up to the root
+                if depth[m] < low:
+                    above.append(lines[m])
+                    low = depth[m]
+            first = next(x for x in above if "Exchange" in x or "LeftSemi" in x)
+            assert "BroadcastHashJoin" in first, first
+            seen += 1
+    assert seen >= 2
+    lazy = run(small_catalog, PICK, staged=False)
+    assert sorted(map(str, df.collect())) == sorted(map(str, lazy.collect()))
