@@ -8,18 +8,19 @@ has about 2 n / SPAN of them.  Two passages with the same lowest shingle share
 that signature, aligned at it; passages of Jaccard similarity s share a
 signature with probability s for each function.
 
-1. Every compact window is an entry (function, shingle, text, l, c, r).
-2. A group (function, shingle) is not paired up: each of its windows meets the
-   group's first, and the one before it in the group's order (two meetings a
-   window, however large the group).  Tasks do so for their own batches first
-   and hand out one window of each group.
-3. The interval join: windows that meet overlap, aligned at c, in
-   [max l, min r].  For a pair of texts and an alignment the overlaps of the
-   functions are joined; where at least AGREE functions overlap there is a
-   candidate passage pair of that extent.
-4. Candidates are verified on the texts: every stretch of SPAN shingles of one
-   passage is compared, place by place, with the aligned stretch of the other,
-   and those of similarity 0.8 or more count.
+1. Every compact window is an entry (function and shingle as its key, text, l,
+   c, r).  Where AGREE of HASHES functions share a signature, one of the first
+   HASHES - AGREE + 1 does, so only these are listed.
+2. Entries whose key no other entry has are out.  The others go to their
+   texts and come back with their context: the shingles of the window, at most
+   SPAN - 1 on either side of c, as 16-bit names.
+3. The interval join: inside a group (equal key) contexts lie aligned at c.  Two
+   stretches of SPAN shingles are partners if they have 41 shingles in common
+   (similarity 0.8: 41 / (46 + 46 - 41)); a word more or less between them moves
+   one side by a place.  Equal contexts are one; small groups are compared pair
+   by pair.  In larger ones each stretch without a partner yet takes its 6
+   rarest shingles: a partner lacks at most 5, so it holds one of them, and all
+   windows that do are compared.  No pair is left out for a group's size.
 
 The result names, per text, the word spans of passages that near-duplicate a
 passage elsewhere (or elsewhere in the same text).  Copies of a whole text
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import extend_batches, fresh, map_batches, release, stored
+from .spark import extend_batches, fresh, parts, release, stored
 from .suffix_dedup import sliding_min
 from .text import LOWER, NOT_BLANK, mix, prefix_hashes, slices, span_hashes, utf8, windows, words
 
@@ -46,6 +47,12 @@ WORDS, SHINGLE = 50, 5
 SPAN = WORDS - SHINGLE + 1
 HASHES, AGREE, PERCENT = 4, 2, 80
 BUCKET_ENTRIES = 500_000
+#: Characters of text whose windows get their contexts together; parts of a bucket once its windows have them.
+ROOM_CHARS, DEAL = 4 << 20, 4
+#: Pairs of windows compared at once; windows whose stretches are looked up at once; bits of a place in a context.
+PAIRS, BLOCK, PLACE_BITS = 1 << 14, 1 << 9, 8
+#: Names looked up in one round; partners tried before that.
+NAMES, FIRST = 1 << 17, 6
 
 
 def shingles(column, size: int = SHINGLE):
@@ -85,147 +92,326 @@ def compact_windows(hashes: np.ndarray, span: int = SPAN):
     return l[keep], nodes[keep], r[keep]
 
 
-ENTRY = np.dtype([("key", "<u8"), ("th", "<i8"), ("f", "u1"), ("c", "<i4"), ("l", "<i4"), ("r", "<i4")])
-MEETING = np.dtype([("a", "<i8"), ("b", "<i8"), ("f", "u1"), ("shift", "<i4"), ("x", "<i4"), ("y", "<i4")])
-
-
-def meetings(entries: np.ndarray, span: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first entry of each group (equal key), and the meetings of the others: with the first and with the one before.
-
-    A meeting is the overlap [x, y] in a's shingles, b's are ``shift`` further
-    on.  It needs ``span`` shingles, and inside one text the two places of a
-    passage must not overlap.
-    """
-    entries = entries[np.lexsort((entries["c"], entries["th"], entries["key"]))]
-    new = np.concatenate(([True], entries["key"][1:] != entries["key"][:-1])) if len(entries) else np.zeros(0, bool)
-    heads = np.flatnonzero(new)
-    first = np.repeat(heads, np.diff(np.append(heads, len(entries))))
-    rest = np.flatnonzero(~new)
-    i = np.concatenate((first[rest], (rest - 1)[rest - 1 > first[rest]]))
-    j = np.concatenate((rest, rest[rest - 1 > first[rest]]))
-    one, two = entries[i], entries[j]
-    out = np.empty(len(i), dtype=MEETING)
-    out["a"], out["b"], out["f"], out["shift"] = one["th"], two["th"], one["f"], two["c"] - one["c"]
-    out["x"] = one["c"] + np.maximum(one["l"] - one["c"], two["l"] - two["c"])
-    out["y"] = one["c"] + np.minimum(one["r"] - one["c"], two["r"] - two["c"])
-    keep = (out["y"] - out["x"] + 1 >= span) & ((out["a"] != out["b"]) | (np.abs(out["shift"]) >= apart))
-    return entries[heads], out[keep]
-
-
-def _candidates(docs: DataFrame, span: int, hashes: int, agree: int, apart: int, buckets: int) -> DataFrame:
-    """(a, b, shift, x, y): where at least ``agree`` functions overlap, joined to one extent per pair and alignment.
-
-    A task settles the groups inside its batches itself and hands out one
-    entry of each, so a group of any size reaches its bucket as one entry per
-    batch.
-    """
-    def run(batches):
-        release()
-        schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("met", pa.binary())])
-        seen: set[int] = set()
-        for batch in batches:
-            parts = []
-            for th, (grams, _) in zip(batch.column(0).to_pylist(), shingles(batch.column(1)), strict=True):
-                if th in seen or len(grams) < span:
+ENTRY = np.dtype([("key", "<u8"), ("th", "<i8"), ("c", "<i4"), ("lo", "u1"), ("hi", "u1")])
+
+
+def entries_of(texts, span: int, functions: int) -> np.ndarray:
+    """The compact windows of (text hash, shingles) pairs, each cut to ``span`` - 1 shingles on either side of its lowest one."""
+    out = [np.zeros(0, dtype=ENTRY)]
+    for th, grams in texts:
+        if len(grams) < span:
+            continue
+        for f in range(functions):
+            values = mix(grams ^ mix(np.array([f + 1], dtype=np.uint64)))
+            l, c, r = compact_windows(values, span)
+            part = np.empty(len(c), dtype=ENTRY)
+            part["key"], part["th"], part["c"] = values[c], th, c
+            part["lo"], part["hi"] = np.minimum(c - l, span - 1), np.minimum(r - c, span - 1)
+            out.append(part)
+    return np.concatenate(out)
+
+
+def by_bucket(bucket: np.ndarray, buckets: int):
+    """(bucket, row numbers) of each bucket that has rows."""
+    order = np.argsort(bucket, kind="stable")
+    full, first = np.unique(bucket[order], return_index=True)
+    yield from zip(full.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ()
+
+
+def repeated(entries: np.ndarray) -> np.ndarray:
+    """The distinct entries whose key another entry has too, by key."""
+    entries = np.unique(entries)
+    _, group, size = np.unique(entries["key"], return_inverse=True, return_counts=True)
+    return entries[size[group] > 1]
+
+
+def contexts(entries: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """16-bit names of the shingles in the entries' windows, one after the other."""
+    lo, size = entries["lo"].astype(np.int64), entries["lo"].astype(np.int64) + entries["hi"] + 1
+    at = np.repeat(entries["c"] - lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.maximum(mix(grams[at]) >> np.uint64(48), np.uint64(2)).astype(np.uint16)
+
+
+def context_matrix(entries: np.ndarray, names: np.ndarray, span: int) -> np.ndarray:
+    """One row of 2 ``span`` - 1 names an entry, its lowest shingle in the middle; 0 outside the window."""
+    lo, size = entries["lo"].astype(np.int64), entries["lo"].astype(np.int64) + entries["hi"] + 1
+    out = np.zeros((len(entries), 2 * span - 1), dtype=np.uint16)
+    row = np.repeat(np.arange(len(entries)), size)
+    out[row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(span - 1 - lo, size)] = names
+    return out
+
+
+class Windows:
+    """Compact windows with their contexts, and which of their stretches of ``span`` shingles have a partner."""
+
+    def __init__(self, entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int):
+        self.entries, self.matrix, self.span, self.apart = entries, matrix, span, apart
+        self.group = np.unique(entries["key"], return_inverse=True)[1].astype(np.int64)
+        #: equal shingles that make two stretches similar enough: m / (2 span - m) >= percent / 100
+        self.need = -(-2 * span * percent // (100 + percent))
+        #: a word more or less costs SHINGLE - 1 shingles and itself
+        self.reach = max(0, span - self.need - SHINGLE + 1)
+        k = np.arange(span)
+        self.valid = (k >= span - 1 - entries["lo"][:, None].astype(np.int64)) & (k <= entries["hi"][:, None])
+        self.marked = np.zeros_like(self.valid)
+        self.links: list[np.ndarray] = []
+
+    def allowed(self, i, j):
+        one, two = self.entries[i], self.entries[j]
+        return (one["th"] != two["th"]) | (np.abs(one["c"] - two["c"]) >= self.apart)
+
+    def link(self, i, j) -> None:
+        self.links.append(np.unique(i * len(self.entries) + j))
+
+    def compare(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Mark the similar stretches of all pairs of windows."""
+        pick = (i != j) & self.allowed(i, j)
+        i, j = i[pick], j[pick]
+        for low in range(0, len(i), PAIRS):
+            self._compare(i[low: low + PAIRS], j[low: low + PAIRS])
+
+    def _compare(self, i, j) -> None:
+        span, reach, width = self.span, self.reach, self.matrix.shape[1]
+        one, two = self.matrix[i], np.zeros((len(j), width + 2 * reach), np.uint16)
+        two[:, reach: reach + width] = self.matrix[j]
+        one[one == 0] = 1
+        equal = [one == two[:, reach + e: reach + e + width] for e in range(-reach, reach + 1)]
+        any_ = equal[0].copy()
+        for x in equal[1:]:
+            any_ |= x
+        run = np.zeros((len(i), width + 1), np.int16)
+        np.cumsum(any_, axis=1, out=run[:, 1:])
+        pair, k = np.nonzero((run[:, span:] - run[:, :-span] >= self.need) & self.valid[i])
+        for low in range(0, len(pair), PAIRS):
+            p, s = pair[low: low + PAIRS], k[low: low + PAIRS]
+            at = s[:, None] + np.arange(span)
+            cut = [x[p[:, None], at] for x in equal]
+            for move in range(-reach, reach + 1):
+                end = s + move
+                ok = np.flatnonzero((end >= 0) & (end < span))
+                ok = ok[self.valid[j[p[ok]], end[ok]]]
+                here, there = np.zeros((len(ok), span), bool), np.zeros((len(ok), span), bool)
+                for e in range(-reach, reach + 1):
+                    # shingle t of the one stretch is shingle t + e - move of the other
+                    d = e - move
+                    x = cut[e + reach][ok, max(0, -d): span - max(0, d)]
+                    here[:, max(0, -d): span - max(0, d)] |= x
+                    there[:, max(0, d): span - max(0, -d)] |= x
+                hit = ok[np.minimum(here.sum(axis=1), there.sum(axis=1)) >= self.need]
+                if len(hit):
+                    a, b = i[p[hit]], j[p[hit]]
+                    self.marked[a, s[hit]] = True
+                    self.marked[b, end[hit]] = True
+                    self.link(a, b)
+
+    def same(self) -> np.ndarray:
+        """Windows of one group and of equal contexts are partners; the windows that others still have to meet."""
+        order = np.lexsort((self.entries["c"], self.entries["th"]))
+        order = order[np.argsort(self.matrix[order].view(f"V{2 * self.matrix.shape[1]}").ravel(), kind="stable")]
+        order = order[np.argsort(self.group[order], kind="stable")]
+        names, group = self.matrix[order], self.group[order]
+        head = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (names[1:] != names[:-1]).any(axis=1))))
+        size = np.diff(np.append(head, len(order)))
+        inside = np.repeat(size > 1, size)
+        other = np.arange(len(order)) + 1
+        other[head + size - 1] = head
+        inside[inside] = self.allowed(order[inside], order[other[inside]])
+        self.marked[order[inside]] |= self.valid[order[inside]]
+        self.link(order[inside], order[other[inside]])
+        # the first and the last of a class: one of them is another text, or far enough in the same one, if any is
+        return order[np.unique(np.concatenate((head, head + size - 1, np.flatnonzero(~inside))))]
+
+    def beside(self, rows: np.ndarray) -> None:
+        """Windows meet those next to them by the shingles after and before the lowest one: settles most of a dense group."""
+        middle = self.span - 1
+        for part in (self.matrix[rows][:, middle:], self.matrix[rows][:, middle::-1]):
+            near = rows[np.argsort(np.ascontiguousarray(part).view(f"V{2 * part.shape[1]}").ravel(), kind="stable")]
+            near = near[np.argsort(self.group[near], kind="stable")]
+            pick = self.group[near[1:]] == self.group[near[:-1]]
+            self.compare(near[1:][pick], near[:-1][pick])
+
+    def open(self, rows: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Stretches without a partner of which enough shingles occur in other windows of the group."""
+        shared = np.zeros((len(rows), often.shape[1] + 1), np.int16)
+        np.cumsum(often > 1, axis=1, out=shared[:, 1:])
+        return self.valid[rows] & ~self.marked[rows] & (shared[:, self.span:] - shared[:, :-self.span] >= self.need)
+
+    def search(self, rows: np.ndarray) -> None:
+        """Every stretch without a partner meets all windows that have one of its rarest shingles at its place, or as far from it as a partner may."""
+        lost, width, reach = self.span - self.need, self.matrix.shape[1], self.reach
+        while True:
+            at, place = np.nonzero(self.matrix[rows])
+            code = (self.group[rows][at] << 16 | self.matrix[rows[at], place]) << PLACE_BITS | place
+            order = np.argsort(code, kind="stable")
+            code, holder = code[order], at[order]
+            names, first, count = np.unique(code, return_index=True, return_counts=True)
+            low = np.searchsorted(names, names - reach)
+            high = np.searchsorted(names, names + reach, "right")
+            # no name of another shingle or group is that near, as places of it leave a margin
+            start, total = first[low], (np.append(first, len(code)))[high] - first[low]
+            index = np.full((len(rows), width), -1, np.int64)
+            index[holder, code & ((1 << PLACE_BITS) - 1)] = np.repeat(np.arange(len(names)), count)
+            often = np.where(index < 0, 0, total[index])
+            # whether marked or not: a window stays while it can be a partner
+            can = np.zeros((len(rows), width + 1), np.int16)
+            np.cumsum(often > 1, axis=1, out=can[:, 1:])
+            alive = (self.valid[rows] & (can[:, self.span:] - can[:, :-self.span] >= self.need)).any(axis=1)
+            if not len(rows) or alive.mean() > 0.95:
+                break
+            rows = rows[alive]
+            if not len(rows):
+                return
+        for low in range(0, len(rows), BLOCK):
+            part = np.arange(low, min(low + BLOCK, len(rows)))
+            # likely partners first, one that has the rarest shingle: what they settle is not asked again
+            for likely in (*range(1, FIRST + 1), None):
+                at, k = np.nonzero(self.open(rows[part], often[part]))
+                if not len(at):
+                    break
+                places = k[:, None] + np.arange(self.span)
+                seen = often[part[at][:, None], places]
+                rare = np.argmin(seen, axis=1)[:, None] if likely else np.argpartition(seen, lost, axis=1)[:, :lost + 1]
+                ask = np.unique(at[:, None] * width + k[:, None] + rare)
+                who, name = part[ask // width], index[part].ravel()[ask]
+                if likely:
+                    pick = start[name] + (who + likely * (1 + total[name] // (2 * FIRST))) % total[name]
+                    pair = np.unique(who * len(rows) + holder[pick])
+                    self.compare(rows[pair // len(rows)], rows[pair % len(rows)])
                     continue
-                seen.add(th)
-                for f in range(hashes):
-                    values = mix(grams ^ mix(np.array([f + 1], dtype=np.uint64)))
-                    l, c, r = compact_windows(values, span)
-                    part = np.empty(len(c), dtype=ENTRY)
-                    part["key"], part["th"], part["f"], part["c"], part["l"], part["r"] = values[c], th, f, c, l, r
-                    parts.append(part)
-            if not parts:
-                continue
-            firsts, met = meetings(np.concatenate(parts), span, apart)
-            bucket = (firsts["key"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            firsts, bucket = firsts[order], bucket[order]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-            shares = np.array_split(met, buckets)
-            full = [k for k in range(buckets) if bounds[k + 1] > bounds[k] or len(shares[k])]
-            for low in range(0, len(full), 64):
-                pick = full[low: low + 64]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(pick, pa.int32()), pa.array([firsts[bounds[k]: bounds[k + 1]].tobytes() for k in pick], pa.binary()),
-                    pa.array([shares[k].tobytes() for k in pick], pa.binary())], schema=schema)
-
-    def meet(table: pa.Table) -> pa.Table:
-        entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), dtype=ENTRY)
-        met = np.frombuffer(b"".join(table.column("met").to_pylist()), dtype=MEETING)
-        _, more = meetings(entries, span, apart)
-        met = np.concatenate((met, more))
-        return pa.table({c: met[c].astype(t) for c, t in (("a", np.int64), ("b", np.int64), ("f", np.int32), ("shift", np.int32), ("x", np.int32), ("y", np.int32))})
-
-    packed = docs.select("th", "text").mapInArrow(run, "bucket int, entries binary, met binary")
-    met = packed.groupBy("bucket").applyInArrow(meet, "a long, b long, f int, shift int, x int, y int")
-    pairs = met.groupBy("a", "b", "shift").agg(F.bit_or(F.expr("shiftleft(1L, f)")).alias("fs"), F.min("x").alias("x"), F.max("y").alias("y"))
-    return pairs.where(F.bit_count("fs") >= agree).select("a", "b", "shift", "x", "y")
-
-
-def aligned_matches(one: np.ndarray, two: np.ndarray, span: int, percent: int) -> np.ndarray:
-    """Starts k for which one[k:k+span] and two[k:k+span] have at least the given similarity.
-
-    Shingles are compared place by place: m equal places of a stretch make a
-    similarity of m / (2 span - m), the Jaccard similarity of the two stretches
-    where no shingle is repeated or displaced.
+                begin = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+                end = np.append(begin[1:], len(who))
+                done = np.concatenate(([0], np.cumsum(total[name])))
+                x = 0
+                while x < len(begin):
+                    # some windows a round, with all they ask for
+                    y = max(x + 1, int(np.searchsorted(done[end], done[begin[x]] + NAMES, "right")))
+                    still = self.open(rows[who[begin[x:y]]], often[who[begin[x:y]]]).any(axis=1)
+                    asked = np.flatnonzero(np.repeat(still, (end - begin)[x:y])) + begin[x]
+                    x = y
+                    size, from_ = total[name[asked]], start[name[asked]]
+                    two = holder[np.repeat(from_ - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                    pair = np.unique(np.repeat(who[asked], size) * len(rows) + two)
+                    self.compare(rows[pair // len(rows)], rows[pair % len(rows)])
+
+    def found(self) -> tuple[list, list, list]:
+        """Text hash, partner's text hash and word intervals; intervals stand in the first row of a text."""
+        texts, text = np.unique(self.entries["th"], return_inverse=True)
+        links = np.unique(np.concatenate([*self.links, np.zeros(0, np.int64)]))
+        i, j = text[links // max(1, len(text))], text[links % max(1, len(text))]
+        pairs = np.unique(np.concatenate((i * len(texts) + j, j * len(texts) + i)))
+        row, k = np.nonzero(self.marked)
+        at = np.unique(text[row].astype(np.int64) << 32 | (self.entries["c"][row].astype(np.int64) + k - self.span + 1))
+        words_ = self.span + SHINGLE - 1
+        owner, at = at >> 32, at & 0xFFFFFFFF
+        new = np.flatnonzero((owner[1:] != owner[:-1]) | (np.diff(at) > words_)) + 1
+        begin, end = np.concatenate(([0], new)), np.append(new, len(at)) - 1
+        spans: dict[int, list[int]] = {}
+        if len(at):
+            for x, y, z in zip(owner[begin].tolist(), at[begin].tolist(), (at[end] + words_).tolist(), strict=True):
+                spans.setdefault(x, []).extend((y, z))
+        left = pairs // max(1, len(texts))
+        return texts[left].tolist(), texts[pairs % max(1, len(texts))].tolist(), [spans.pop(x, []) for x in left.tolist()]
+
+
+def partners(entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int) -> Windows:
+    """The windows with all stretches marked that have a partner in a window of equal key.
+
+    A stretch has a partner only if at most ``span`` - ``need`` of its shingles
+    are missing there; so of one more than that number of its shingles, the
+    rarest are taken, at least one is in the partner.
     """
-    n = min(len(one), len(two))
-    if n < span:
-        return np.zeros(0, np.int64)
-    run = np.concatenate(([0], np.cumsum(one[:n] == two[:n])))
-    same = run[span:] - run[:-span]
-    return np.flatnonzero(100 * same >= percent * (2 * span - same))
+    windows_ = Windows(entries, matrix, span, apart, percent)
+    rows = windows_.same()
+    windows_.beside(rows)
+    windows_.search(rows)
+    return windows_
 
 
 def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree: int = AGREE, percent: int = PERCENT) -> DataFrame:
     """(th, spans, partner): word intervals of each text (by hash) that near-duplicate a passage elsewhere, unordered.
 
-    ``docs(doc_id, text)``; partner is the smallest doc_id that holds one of the matched passages.
+    ``docs(doc_id, text)``; partner is the smallest doc_id that holds one of the passages met.
     """
     span = words_ - SHINGLE + 1
+    # of any hashes - agree + 1 functions one is among the agreeing ones, so no more are needed
+    functions = hashes - agree + 1
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
     owner = stored(texts.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
                                            F.max("doc_id").alias("last"), F.max(F.length("text")).alias("chars")))
     size = owner.agg(F.sum("chars")).first()[0] or 0
     # about SPAN / 2 shingles of six characters to an entry of each function
-    buckets = max(1, math.ceil(size * hashes / (3 * span) / BUCKET_ENTRIES))
-    pairs = stored(_candidates(texts, span, hashes, agree, words_, buckets))
-    needed = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+    buckets = max(1, math.ceil(size * functions / (3 * span) / BUCKET_ENTRIES))
+    rooms = max(1, math.ceil(size / ROOM_CHARS))
+
+    def list_entries(batches):
+        release()
+        schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in parts(whole):
+                new = [th not in seen and not seen.add(th) for th in batch.column(0).to_pylist()]
+                batch = batch.filter(pa.array(new, pa.bool_()))
+                some = entries_of(zip(batch.column(0).to_pylist(), (g for g, _ in shingles(batch.column(1))), strict=True), span, functions)
+                full = list(by_bucket((some["key"] % np.uint64(buckets)).astype(np.int64), buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()),
+                                                  pa.array([some[rows].tobytes() for _, rows in full], pa.binary())], schema=schema)
+
+    def keep_repeated(table: pa.Table) -> pa.Table:
+        some = repeated(np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in table.column("entries").combine_chunks()]))
+        full = list(by_bucket(some["th"] % rooms, rooms))
+        return pa.table({"room": pa.array([k for k, _ in full], pa.int32()),
+                         "entries": pa.array([some[rows].tobytes() for _, rows in full], pa.binary())})
 
     def once(batches):
+        release()
+        schema = pa.schema([("room", pa.int32()), ("th", pa.int64()), ("text", pa.string())])
         seen: set[int] = set()
         for batch in batches:
-            rows = []
-            for at, th in enumerate(batch.column(0).to_pylist()):
-                if th not in seen:
-                    seen.add(th)
-                    rows.append(at)
-            yield batch.take(pa.array(rows, pa.int64()))
-
-    text = texts.select("th", "text").mapInArrow(once, "th long, text string").join(needed, "th", "left_semi")
-    text = stored(text.groupBy("th").agg(F.min("text").alias("text")))
-    side = lambda x: text.select(F.col("th").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "shift", "x", "y", "text_a", "text_b")
-
-    def check(batch):
-        name = batch.schema.get_field_index
-        a, b, shift, x, y = (batch.column(name(c)).to_pylist() for c in ("a", "b", "shift", "x", "y"))
-        out = {"th": [], "other": [], "spans": []}
-        left, right = shingles(batch.column(name("text_a"))), shingles(batch.column(name("text_b")))
-        for i, ((one, _), (two, _)) in enumerate(zip(left, right, strict=True)):
-            low, high = max(x[i], -shift[i], 0), min(y[i] + 1, len(one), len(two) - shift[i])
-            hits = aligned_matches(one[low:high], two[low + shift[i]: high + shift[i]], span, percent) + low
-            if not len(hits):
-                continue
-            for th, other, at in ((a[i], b[i], hits), (b[i], a[i], hits + shift[i])):
-                cut = np.flatnonzero(np.diff(at) > words_)
-                begin, end = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + words_
-                out["th"].append(th), out["other"].append(other)
-                out["spans"].append(np.stack([begin, end], axis=1).ravel().tolist())
-        return out
-
-    found = stored(map_batches(joined, check, "th long, other long, spans array<int>"))
+            ths = batch.column(0).to_pylist()
+            rows = [at for at, th in enumerate(ths) if th not in seen and not seen.add(th)]
+            part = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([ths[at] % rooms for at in rows], pa.int32()), part.column(0), part.column(1).cast(pa.string())],
+                                             schema=schema)
+
+    def add_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
+        out = {"bucket": [], "entries": [], "names": []}
+        if left.num_rows and right.num_rows:
+            asked = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in left.column("entries").combine_chunks()]), order="th")
+            ths = right.column("th").to_numpy()
+            _, at = np.unique(ths, return_index=True)
+            at = at[np.isin(ths[at], asked["th"])]
+            heads, names = [], []
+            texts_ = right.column("text").combine_chunks().take(pa.array(at, pa.int64()))
+            for th, (grams, _) in zip(ths[at].tolist(), shingles(texts_), strict=True):
+                part = asked[np.searchsorted(asked["th"], th): np.searchsorted(asked["th"], th, "right")]
+                heads.append(part), names.append(contexts(part, grams))
+            if heads:
+                head, name = np.concatenate(heads), np.concatenate(names)
+                long_ = head["lo"].astype(np.int64) + head["hi"] + 1
+                for k, rows in by_bucket(group_of(head["key"]), buckets * DEAL):
+                    begin = (np.cumsum(long_) - long_)[rows]
+                    n = long_[rows]
+                    where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    out["bucket"].append(k), out["entries"].append(head[rows].tobytes()), out["names"].append(name[where].tobytes())
+        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "entries": pa.array(out["entries"], pa.binary()),
+                         "names": pa.array(out["names"], pa.binary())})
+
+    def group_of(key: np.ndarray) -> np.ndarray:
+        return (key % np.uint64(buckets) + np.uint64(buckets) * (key // np.uint64(buckets) % np.uint64(DEAL))).astype(np.int64)
+
+    def settle(table: pa.Table) -> pa.Table:
+        release()
+        heads = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in table.column("entries").combine_chunks()])
+        names = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in table.column("names").combine_chunks()])
+        th, other, spans = partners(heads, context_matrix(heads, names, span), span, words_, percent).found()
+        return pa.table({"th": pa.array(th, pa.int64()), "other": pa.array(other, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32()))})
+
+    met = (texts.select("th", "text").mapInArrow(list_entries, "bucket int, entries binary")
+           .groupBy("bucket").applyInArrow(keep_repeated, "room int, entries binary"))
+    whole = texts.select("th", "text").mapInArrow(once, "room int, th long, text string")
+    framed = met.groupBy("room").cogroup(whole.groupBy("room")).applyInArrow(add_contexts, "bucket int, entries binary, names binary")
+    found = stored(framed.groupBy("bucket").applyInArrow(settle, "th long, other long, spans array<int>"))
     first = owner.select(F.col("th").alias("other"), F.col("doc_id").alias("partner"))
     return (found.join(first, "other").groupBy("th")
             .agg(F.collect_set("spans").alias("spans"), F.min("partner").alias("partner"))), owner

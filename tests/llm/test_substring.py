@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from larder.llm import substring
 
@@ -92,3 +93,55 @@ def test_edge_rows(frame, spark):
     assert substring.marked(frame([], DDL))[0].count() == 0
     wide = spark.createDataFrame([(1, text, 2, "k")], "doc_id long, text string, n_words int, spans string")
     assert set(wide.columns) < set(substring.marked(wide)[0].columns)
+
+
+def test_pairs_behind_a_common_run_are_found(frame):
+    """Sixty texts share a run of 30 words; only two each share what follows it."""
+    rng = random.Random(6)
+    run, rows = words(rng, 30), []
+    for d in range(0, 60, 2):
+        tail = words(rng, 30)
+        rows += [(x, " ".join(words(rng, 40) + run + tail + words(rng, 40))) for x in (d, d + 1)]
+    result = got(frame(rows, DDL))
+    for d in range(60):
+        assert covered(result[d][1]) >= set(range(42, 98)) and result[d][2] == d ^ 1, d
+
+
+def test_search_loses_no_partner_of_all_pairs():
+    """A large group of related texts: what ``partners`` marks is what comparing all pairs marks."""
+    rng = random.Random(7)
+    anchor, runs, texts = words(rng, 30), [words(rng, 25) for _ in range(12)], []
+    for _ in range(150):
+        text = [w for k in range(2) for w in rng.choice(runs)] + anchor + [w for k in range(2) for w in rng.choice(runs)]
+        for k in rng.sample(range(len(text)), rng.randrange(4)):
+            text[k: k + 1] = rng.choice(([], [f"x{rng.random()}"], [text[k], f"y{rng.random()}"]))
+        texts.append(" ".join(text))
+    grams = [g for g, _ in substring.shingles(pa.array(texts))]
+    entries = substring.repeated(substring.entries_of(enumerate(grams), 46, 3))
+    names = np.concatenate([substring.contexts(entries[i: i + 1], grams[entries["th"][i]]) for i in range(len(entries))])
+    matrix = substring.context_matrix(entries, names, 46)
+    whole = substring.Windows(entries, matrix, 46, 50, 80)
+    i, j = np.triu_indices(len(entries), 1)
+    same = entries["key"][i] == entries["key"][j]
+    whole.compare(i[same], j[same])
+    found = substring.partners(entries, matrix, 46, 50, 80)
+    assert (found.marked == whole.marked).all() and 0 < whole.marked.sum() < whole.valid.sum()
+    assert np.bincount(whole.group).max() > 100
+
+
+def jaccard(one, two):
+    sets = [{tuple(x[k: k + 5]) for k in range(len(x) - 4)} for x in (one, two)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_passages_with_a_word_more_are_found(frame):
+    """50-word passages of similarity 0.8 with a word put in: place by place they differ after it."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(0, 200, 2):
+        p = words(rng, 50)
+        q = p[:25] + ["new"] + p[25:]
+        assert jaccard(p, q[:50]) >= 0.8
+        rows += [(d, " ".join(words(rng, 60) + p + words(rng, 30))), (d + 1, " ".join(words(rng, 15) + q + words(rng, 70)))]
+    result = got(frame(rows, DDL))
+    assert sum(result[d][2] == d + 1 and result[d + 1][2] == d for d in range(0, 200, 2)) >= 90
