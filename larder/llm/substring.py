@@ -48,11 +48,11 @@ SPAN = WORDS - SHINGLE + 1
 HASHES, AGREE, PERCENT = 4, 2, 80
 BUCKET_ENTRIES = 500_000
 #: Characters of text whose windows get their contexts together; parts of a bucket once its windows have them.
-ROOM_CHARS, DEAL = 4 << 20, 4
+ROOM_CHARS, DEAL = 4 << 20, 16
 #: Pairs of windows compared at once; windows whose stretches are looked up at once; bits of a place in a context.
 PAIRS, BLOCK, PLACE_BITS = 1 << 14, 1 << 9, 8
-#: Names looked up in one round; partners tried before that.
-NAMES, FIRST = 1 << 17, 6
+#: Windows searched at once (or one group), names looked up in one round, partners tried before that.
+ROWS, NAMES, FIRST = 1 << 13, 1 << 17, 6
 
 
 def shingles(column, size: int = SHINGLE):
@@ -120,9 +120,15 @@ def by_bucket(bucket: np.ndarray, buckets: int):
 
 def repeated(entries: np.ndarray) -> np.ndarray:
     """The distinct entries whose key another entry has too, by key."""
-    entries = np.unique(entries)
-    _, group, size = np.unique(entries["key"], return_inverse=True, return_counts=True)
-    return entries[size[group] > 1]
+    order = np.argsort(entries["key"])
+    key = entries["key"][order]
+    equal = key[1:] == key[:-1]
+    some = entries[order[np.concatenate((equal, [False])) | np.concatenate(([False], equal))]] if len(key) else entries
+    some = some[np.lexsort((some["c"], some["th"], some["key"]))]
+    if len(some):  # a text may be listed by several tasks
+        some = some[np.concatenate(([True], some[1:] != some[:-1]))]
+    _, group, size = np.unique(some["key"], return_inverse=True, return_counts=True)
+    return some[size[group] > 1]
 
 
 def contexts(entries: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -181,20 +187,40 @@ class Windows:
             any_ |= x
         run = np.zeros((len(i), width + 1), np.int16)
         np.cumsum(any_, axis=1, out=run[:, 1:])
-        pair, k = np.nonzero((run[:, span:] - run[:, :-span] >= self.need) & self.valid[i])
+        near = (run[:, span:] - run[:, :-span] >= self.need) & self.valid[i]
+        some = np.flatnonzero(near.any(axis=1))
+        if not len(some):
+            return
+        i, j, near, equal = i[some], j[some], near[some], [x[some] for x in equal]
+        linked, run = np.zeros(len(i), bool), np.zeros((len(i), width + 1), np.int16)
+        for e in range(-reach, reach + 1):
+            # stretches that lie against each other as a whole
+            np.cumsum(equal[e + reach], axis=1, out=run[:, 1:])
+            pair, k = np.nonzero((run[:, span:] - run[:, :-span] >= self.need) & near)
+            inside = (k + e >= 0) & (k + e < span)
+            pair, k = pair[inside], k[inside]
+            inside = self.valid[j[pair], k + e]
+            pair, k = pair[inside], k[inside]
+            self.marked[i[pair], k] = True
+            self.marked[j[pair], k + e] = True
+            linked[pair] = True
+        self.link(i[linked], j[linked])
+        pair, k = np.nonzero(near)
         for low in range(0, len(pair), PAIRS):
             p, s = pair[low: low + PAIRS], k[low: low + PAIRS]
-            at = s[:, None] + np.arange(span)
-            cut = [x[p[:, None], at] for x in equal]
+            at = np.arange(span)
             for move in range(-reach, reach + 1):
                 end = s + move
                 ok = np.flatnonzero((end >= 0) & (end < span))
                 ok = ok[self.valid[j[p[ok]], end[ok]]]
+                ok = ok[~(linked[p[ok]] & self.marked[i[p[ok]], s[ok]] & self.marked[j[p[ok]], end[ok]])]
+                if not len(ok):
+                    continue
                 here, there = np.zeros((len(ok), span), bool), np.zeros((len(ok), span), bool)
                 for e in range(-reach, reach + 1):
                     # shingle t of the one stretch is shingle t + e - move of the other
                     d = e - move
-                    x = cut[e + reach][ok, max(0, -d): span - max(0, d)]
+                    x = equal[e + reach][p[ok][:, None], s[ok][:, None] + at[max(0, -d): span - max(0, d)]]
                     here[:, max(0, -d): span - max(0, d)] |= x
                     there[:, max(0, d): span - max(0, -d)] |= x
                 hit = ok[np.minimum(here.sum(axis=1), there.sum(axis=1)) >= self.need]
@@ -240,18 +266,24 @@ class Windows:
         """Every stretch without a partner meets all windows that have one of its rarest shingles at its place, or as far from it as a partner may."""
         lost, width, reach = self.span - self.need, self.matrix.shape[1], self.reach
         while True:
-            at, place = np.nonzero(self.matrix[rows])
-            code = (self.group[rows][at] << 16 | self.matrix[rows[at], place]) << PLACE_BITS | place
-            order = np.argsort(code, kind="stable")
-            code, holder = code[order], at[order]
-            names, first, count = np.unique(code, return_index=True, return_counts=True)
+            context = self.matrix[rows]
+            at = np.flatnonzero(context).astype(np.int32)
+            code = (self.group[rows][at // width] << 16 | context.ravel()[at]) << PLACE_BITS | at % width
+            order = np.argsort(code)
+            code, at = code[order], at[order]
+            del order, context
+            new = np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1]))
+            first = np.flatnonzero(new)
+            names = code[first]
             low = np.searchsorted(names, names - reach)
             high = np.searchsorted(names, names + reach, "right")
             # no name of another shingle or group is that near, as places of it leave a margin
-            start, total = first[low], (np.append(first, len(code)))[high] - first[low]
-            index = np.full((len(rows), width), -1, np.int64)
-            index[holder, code & ((1 << PLACE_BITS) - 1)] = np.repeat(np.arange(len(names)), count)
-            often = np.where(index < 0, 0, total[index])
+            start, total = first[low], np.append(first, len(code))[high] - first[low]
+            index = np.full((len(rows), width), -1, np.int32)
+            index.ravel()[at] = np.cumsum(new, dtype=np.int32) - 1
+            holder = at // width
+            del code, at, new, names, low, high
+            often = np.where(index < 0, 0, total.astype(np.int32)[index])
             # whether marked or not: a window stays while it can be a partner
             can = np.zeros((len(rows), width + 1), np.int16)
             np.cumsum(often > 1, axis=1, out=can[:, 1:])
@@ -323,7 +355,13 @@ def partners(entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, per
     windows_ = Windows(entries, matrix, span, apart, percent)
     rows = windows_.same()
     windows_.beside(rows)
-    windows_.search(rows)
+    # whole groups, some windows at a time
+    ends = np.append(np.flatnonzero(np.diff(windows_.group[rows])) + 1, len(rows))
+    x = 0
+    while x < len(rows):
+        y = int(ends[max(np.searchsorted(ends, x, "right"), np.searchsorted(ends, x + ROWS, "right") - 1)])
+        windows_.search(rows[x:y])
+        x = y
     return windows_
 
 
@@ -377,7 +415,8 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
         release()
         out = {"bucket": [], "entries": [], "names": []}
         if left.num_rows and right.num_rows:
-            asked = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in left.column("entries").combine_chunks()]), order="th")
+            asked = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in left.column("entries").combine_chunks()])
+            asked = asked[np.argsort(asked["th"], kind="stable")]
             ths = right.column("th").to_numpy()
             _, at = np.unique(ths, return_index=True)
             at = at[np.isin(ths[at], asked["th"])]
