@@ -48,7 +48,7 @@ SPAN = WORDS - SHINGLE + 1
 HASHES, AGREE, PERCENT = 4, 2, 80
 BUCKET_ENTRIES = 500_000
 #: Characters of text whose windows get their contexts together; parts of a bucket once its windows have them.
-ROOM_CHARS, DEAL = 4 << 20, 16
+ROOM_CHARS, DEAL = 4 << 20, 8
 #: Pairs of windows compared at once; windows whose stretches are looked up at once; bits of a place in a context.
 PAIRS, BLOCK, PLACE_BITS = 1 << 14, 1 << 9, 8
 #: Windows searched at once (or one group), names looked up in one round, partners tried before that.
@@ -97,18 +97,20 @@ ENTRY = np.dtype([("key", "<u8"), ("th", "<i8"), ("c", "<i4"), ("lo", "u1"), ("h
 
 def entries_of(texts, span: int, functions: int) -> np.ndarray:
     """The compact windows of (text hash, shingles) pairs, each cut to ``span`` - 1 shingles on either side of its lowest one."""
-    out = [np.zeros(0, dtype=ENTRY)]
+    keys, ths, ends = [np.zeros(0, np.uint64)], [], [(np.zeros(0, np.int64),) * 3]
     for th, grams in texts:
         if len(grams) < span:
             continue
         for f in range(functions):
             values = mix(grams ^ mix(np.array([f + 1], dtype=np.uint64)))
             l, c, r = compact_windows(values, span)
-            part = np.empty(len(c), dtype=ENTRY)
-            part["key"], part["th"], part["c"] = values[c], th, c
-            part["lo"], part["hi"] = np.minimum(c - l, span - 1), np.minimum(r - c, span - 1)
-            out.append(part)
-    return np.concatenate(out)
+            keys.append(values[c]), ths.append(th), ends.append((l, c, r))
+    l, c, r = (np.concatenate(x) for x in zip(*ends, strict=True))
+    out = np.empty(len(c), dtype=ENTRY)
+    out["key"], out["c"] = np.concatenate(keys), c
+    out["th"] = np.repeat(np.array(ths, np.int64), [len(x) for x in keys[1:]])
+    out["lo"], out["hi"] = np.minimum(c - l, span - 1), np.minimum(r - c, span - 1)
+    return out
 
 
 def by_bucket(bucket: np.ndarray, buckets: int):
@@ -131,10 +133,10 @@ def repeated(entries: np.ndarray) -> np.ndarray:
     return some[size[group] > 1]
 
 
-def contexts(entries: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """16-bit names of the shingles in the entries' windows, one after the other."""
+def contexts(entries: np.ndarray, grams: np.ndarray, first=0) -> np.ndarray:
+    """16-bit names of the shingles in the entries' windows, one after the other; a text's shingles begin at ``first`` in ``grams``."""
     lo, size = entries["lo"].astype(np.int64), entries["lo"].astype(np.int64) + entries["hi"] + 1
-    at = np.repeat(entries["c"] - lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    at = np.repeat(entries["c"] + first - lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
     return np.maximum(mix(grams[at]) >> np.uint64(48), np.uint64(2)).astype(np.uint16)
 
 
@@ -152,6 +154,7 @@ class Windows:
 
     def __init__(self, entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int):
         self.entries, self.matrix, self.span, self.apart = entries, matrix, span, apart
+        self.th, self.c = entries["th"].copy(), entries["c"].astype(np.int64)
         self.group = np.unique(entries["key"], return_inverse=True)[1].astype(np.int64)
         #: equal shingles that make two stretches similar enough: m / (2 span - m) >= percent / 100
         self.need = -(-2 * span * percent // (100 + percent))
@@ -163,8 +166,7 @@ class Windows:
         self.links: list[np.ndarray] = []
 
     def allowed(self, i, j):
-        one, two = self.entries[i], self.entries[j]
-        return (one["th"] != two["th"]) | (np.abs(one["c"] - two["c"]) >= self.apart)
+        return (self.th[i] != self.th[j]) | (np.abs(self.c[i] - self.c[j]) >= self.apart)
 
     def link(self, i, j) -> None:
         self.links.append(np.unique(i * len(self.entries) + j))
@@ -232,7 +234,7 @@ class Windows:
 
     def same(self) -> np.ndarray:
         """Windows of one group and of equal contexts are partners; the windows that others still have to meet."""
-        order = np.lexsort((self.entries["c"], self.entries["th"]))
+        order = np.lexsort((self.c, self.th))
         order = order[np.argsort(self.matrix[order].view(f"V{2 * self.matrix.shape[1]}").ravel(), kind="stable")]
         order = order[np.argsort(self.group[order], kind="stable")]
         names, group = self.matrix[order], self.group[order]
@@ -295,15 +297,19 @@ class Windows:
                 return
         for low in range(0, len(rows), BLOCK):
             part = np.arange(low, min(low + BLOCK, len(rows)))
+            # the place of the rarest shingle of each stretch
+            rarest = sliding_min((often[part].astype(np.int64) << PLACE_BITS | np.arange(width)).ravel(), self.span).astype(np.int64)
+            rarest = np.append(rarest, np.zeros(self.span - 1, np.int64)).reshape(len(part), width)[:, :self.span] & ((1 << PLACE_BITS) - 1)
             # likely partners first, one that has the rarest shingle: what they settle is not asked again
             for likely in (*range(1, FIRST + 1), None):
                 at, k = np.nonzero(self.open(rows[part], often[part]))
                 if not len(at):
                     break
-                places = k[:, None] + np.arange(self.span)
-                seen = often[part[at][:, None], places]
-                rare = np.argmin(seen, axis=1)[:, None] if likely else np.argpartition(seen, lost, axis=1)[:, :lost + 1]
-                ask = np.unique(at[:, None] * width + k[:, None] + rare)
+                if likely:
+                    ask = np.unique(at * width + rarest[at, k])
+                else:
+                    seen = often[part[at][:, None], k[:, None] + np.arange(self.span)]
+                    ask = np.unique((at * width + k)[:, None] + np.argpartition(seen, lost, axis=1)[:, :lost + 1])
                 who, name = part[ask // width], index[part].ravel()[ask]
                 if likely:
                     pick = start[name] + (who + likely * (1 + total[name] // (2 * FIRST))) % total[name]
@@ -327,12 +333,12 @@ class Windows:
 
     def found(self) -> tuple[list, list, list]:
         """Text hash, partner's text hash and word intervals; intervals stand in the first row of a text."""
-        texts, text = np.unique(self.entries["th"], return_inverse=True)
+        texts, text = np.unique(self.th, return_inverse=True)
         links = np.unique(np.concatenate([*self.links, np.zeros(0, np.int64)]))
         i, j = text[links // max(1, len(text))], text[links % max(1, len(text))]
         pairs = np.unique(np.concatenate((i * len(texts) + j, j * len(texts) + i)))
         row, k = np.nonzero(self.marked)
-        at = np.unique(text[row].astype(np.int64) << 32 | (self.entries["c"][row].astype(np.int64) + k - self.span + 1))
+        at = np.unique(text[row].astype(np.int64) << 32 | (self.c[row] + k - self.span + 1))
         words_ = self.span + SHINGLE - 1
         owner, at = at >> 32, at & 0xFFFFFFFF
         new = np.flatnonzero((owner[1:] != owner[:-1]) | (np.diff(at) > words_)) + 1
@@ -417,16 +423,14 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
         if left.num_rows and right.num_rows:
             asked = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in left.column("entries").combine_chunks()])
             asked = asked[np.argsort(asked["th"], kind="stable")]
-            ths = right.column("th").to_numpy()
-            _, at = np.unique(ths, return_index=True)
-            at = at[np.isin(ths[at], asked["th"])]
-            heads, names = [], []
-            texts_ = right.column("text").combine_chunks().take(pa.array(at, pa.int64()))
-            for th, (grams, _) in zip(ths[at].tolist(), shingles(texts_), strict=True):
-                part = asked[np.searchsorted(asked["th"], th): np.searchsorted(asked["th"], th, "right")]
-                heads.append(part), names.append(contexts(part, grams))
-            if heads:
-                head, name = np.concatenate(heads), np.concatenate(names)
+            ths, at = np.unique(right.column("th").to_numpy(), return_index=True)
+            asker, size = np.unique(asked["th"], return_counts=True)
+            # a text may come from several tasks
+            at = at[np.searchsorted(ths, asker)]
+            grams = [g for g, _ in shingles(right.column("text").combine_chunks().take(pa.array(at, pa.int64())))]
+            if grams:
+                first = np.cumsum([0, *map(len, grams)])[:-1]
+                head, name = asked, contexts(asked, np.concatenate(grams), np.repeat(first, size))
                 long_ = head["lo"].astype(np.int64) + head["hi"] + 1
                 for k, rows in by_bucket(group_of(head["key"]), buckets * DEAL):
                     begin = (np.cumsum(long_) - long_)[rows]
@@ -440,7 +444,6 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
         return (key % np.uint64(buckets) + np.uint64(buckets) * (key // np.uint64(buckets) % np.uint64(DEAL))).astype(np.int64)
 
     def settle(table: pa.Table) -> pa.Table:
-        release()
         heads = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in table.column("entries").combine_chunks()])
         names = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in table.column("names").combine_chunks()])
         th, other, spans = partners(heads, context_matrix(heads, names, span), span, words_, percent).found()
