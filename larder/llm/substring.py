@@ -51,6 +51,8 @@ BUCKET_ENTRIES = 500_000
 ROOM_CHARS, DEAL = 4 << 20, 8
 #: Pairs of windows compared at once; windows whose stretches are looked up at once; bits of a place in a context.
 PAIRS, BLOCK, PLACE_BITS = 1 << 14, 1 << 9, 8
+#: A part of a bucket beyond this size gives its freed memory back at once.
+LARGE_BYTES = 3 << 20
 #: Windows searched at once (or one group), names looked up in one round, partners tried before that.
 ROWS, NAMES, FIRST = 1 << 13, 1 << 17, 6
 
@@ -78,7 +80,9 @@ def compact_windows(hashes: np.ndarray, span: int = SPAN):
     bits = np.uint64(max(28, n.bit_length()))
     key = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
     low = sliding_min(key, span)
-    nodes = np.unique(low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    nodes = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # the lowest places of later runs are no earlier
+    nodes = nodes[np.concatenate(([True], nodes[1:] != nodes[:-1]))]
     value = key[nodes].tolist()
     left, right, stack = [0] * len(nodes), [n - 1] * len(nodes), []
     place = nodes.tolist()
@@ -113,6 +117,12 @@ def entries_of(texts, span: int, functions: int) -> np.ndarray:
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which beats the hash table of ``np.unique`` here."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))]
+
+
 def by_bucket(bucket: np.ndarray, buckets: int):
     """(bucket, row numbers) of each bucket that has rows."""
     order = np.argsort(bucket, kind="stable")
@@ -169,7 +179,7 @@ class Windows:
         return (self.th[i] != self.th[j]) | (np.abs(self.c[i] - self.c[j]) >= self.apart)
 
     def link(self, i, j) -> None:
-        self.links.append(np.unique(i * len(self.entries) + j))
+        self.links.append(distinct(i * len(self.entries) + j))
 
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
         """Mark the similar stretches of all pairs of windows."""
@@ -306,14 +316,14 @@ class Windows:
                 if not len(at):
                     break
                 if likely:
-                    ask = np.unique(at * width + rarest[at, k])
+                    ask = distinct(at * width + rarest[at, k])
                 else:
                     seen = often[part[at][:, None], k[:, None] + np.arange(self.span)]
-                    ask = np.unique((at * width + k)[:, None] + np.argpartition(seen, lost, axis=1)[:, :lost + 1])
+                    ask = distinct(((at * width + k)[:, None] + np.argpartition(seen, lost, axis=1)[:, :lost + 1]).ravel())
                 who, name = part[ask // width], index[part].ravel()[ask]
                 if likely:
                     pick = start[name] + (who + likely * (1 + total[name] // (2 * FIRST))) % total[name]
-                    pair = np.unique(who * len(rows) + holder[pick])
+                    pair = distinct(who * len(rows) + holder[pick])
                     self.compare(rows[pair // len(rows)], rows[pair % len(rows)])
                     continue
                 begin = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
@@ -328,27 +338,27 @@ class Windows:
                     x = y
                     size, from_ = total[name[asked]], start[name[asked]]
                     two = holder[np.repeat(from_ - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    pair = np.unique(np.repeat(who[asked], size) * len(rows) + two)
+                    pair = distinct(np.repeat(who[asked], size) * len(rows) + two)
                     self.compare(rows[pair // len(rows)], rows[pair % len(rows)])
 
-    def found(self) -> tuple[list, list, list]:
-        """Text hash, partner's text hash and word intervals; intervals stand in the first row of a text."""
+    def found(self) -> pa.Table:
+        """Text hash, partner's text hash and word intervals; all intervals of a text stand in its first row."""
         texts, text = np.unique(self.th, return_inverse=True)
-        links = np.unique(np.concatenate([*self.links, np.zeros(0, np.int64)]))
+        links = distinct(np.concatenate([*self.links, np.zeros(0, np.int64)]))
         i, j = text[links // max(1, len(text))], text[links % max(1, len(text))]
-        pairs = np.unique(np.concatenate((i * len(texts) + j, j * len(texts) + i)))
+        pairs = distinct(np.concatenate((i * len(texts) + j, j * len(texts) + i)))
         row, k = np.nonzero(self.marked)
-        at = np.unique(text[row].astype(np.int64) << 32 | (self.c[row] + k - self.span + 1))
+        at = distinct(text[row].astype(np.int64) << 32 | (self.c[row] + k - self.span + 1))
         words_ = self.span + SHINGLE - 1
         owner, at = at >> 32, at & 0xFFFFFFFF
         new = np.flatnonzero((owner[1:] != owner[:-1]) | (np.diff(at) > words_)) + 1
-        begin, end = np.concatenate(([0], new)), np.append(new, len(at)) - 1
-        spans: dict[int, list[int]] = {}
-        if len(at):
-            for x, y, z in zip(owner[begin].tolist(), at[begin].tolist(), (at[end] + words_).tolist(), strict=True):
-                spans.setdefault(x, []).extend((y, z))
+        begin, end = np.concatenate(([0], new))[:len(at)], (np.append(new, len(at)) - 1)[:len(at)]
         left = pairs // max(1, len(texts))
-        return texts[left].tolist(), texts[pairs % max(1, len(texts))].tolist(), [spans.pop(x, []) for x in left.tolist()]
+        # what is marked has a link
+        ends = np.cumsum(np.bincount(np.searchsorted(left, owner[begin]), minlength=len(left)))
+        spans = np.stack([at[begin], at[end] + words_], axis=1).ravel().astype(np.int32)
+        return pa.table({"th": pa.array(texts[left]), "other": pa.array(texts[pairs % max(1, len(texts))]),
+                         "spans": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], 2 * ends)).astype(np.int32)), pa.array(spans))})
 
 
 def partners(entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int) -> Windows:
@@ -401,6 +411,7 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
                                                   pa.array([some[rows].tobytes() for _, rows in full], pa.binary())], schema=schema)
 
     def keep_repeated(table: pa.Table) -> pa.Table:
+        release()
         some = repeated(np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in table.column("entries").combine_chunks()]))
         full = list(by_bucket(some["th"] % rooms, rooms))
         return pa.table({"room": pa.array([k for k, _ in full], pa.int32()),
@@ -444,10 +455,14 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
         return (key % np.uint64(buckets) + np.uint64(buckets) * (key // np.uint64(buckets) % np.uint64(DEAL))).astype(np.int64)
 
     def settle(table: pa.Table) -> pa.Table:
+        if table.nbytes > LARGE_BYTES:
+            release()
         heads = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in table.column("entries").combine_chunks()])
         names = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in table.column("names").combine_chunks()])
-        th, other, spans = partners(heads, context_matrix(heads, names, span), span, words_, percent).found()
-        return pa.table({"th": pa.array(th, pa.int64()), "other": pa.array(other, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32()))})
+        out = partners(heads, context_matrix(heads, names, span), span, words_, percent).found()
+        if table.nbytes > LARGE_BYTES:
+            release()
+        return out
 
     met = (texts.select("th", "text").mapInArrow(list_entries, "bucket int, entries binary")
            .groupBy("bucket").applyInArrow(keep_repeated, "room int, entries binary"))
