@@ -17,7 +17,8 @@ with weight two may instead differ by one shingle.
 * A set whose slack does not cover its costly segments takes one-deletion
   neighbourhoods of its cheapest other segments of two shingles or more; where
   these are too few or cost more, it meets the sets that share one of its rarest shingles (a link
-  has at least one of the n - ceil(t n) + 1 rarest).
+  has at least one of the n - ceil(t n) + 1 rarest) at a place, rarest first, with room for the
+  whole intersection behind it in either set.
 * Every candidate pair is verified on the two whole shingle sets.
 
 Sets that are equal are one class from the start, so groups of copies are
@@ -39,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bitmap, marked
+from .bits import BITMAP_BITS, bitmap, marked
 from .components import components
-from .spark import extend_batches, fresh, map_batches, release, stored
+from .spark import extend_batches, fresh, map_batches, parts, release, stored
 from .text import SET_SALT, mix, set_key, shingle_sets
 
 LIST = 12
@@ -321,6 +322,20 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) ->
     return found.join(wanted, ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.min("text").alias("text"))
 
 
+def _some(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that may be of the classes ``sets(cls, ...)``, by a bitmap: joins need not shuffle all others."""
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap(sets.select(F.col("cls").alias("h"))))
+
+    def run(batches):
+        release()
+        for whole in batches:
+            for batch in parts(whole):
+                bit = batch.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)
+                yield batch.filter(pa.array((sent.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return texts.select("cls", "n", "text").mapInArrow(run, "cls long, n int, text string")
+
+
 def _possible(percent: int):
     """Whether the sketches of a and b leave room for a link."""
     differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, SKETCH)),
@@ -335,8 +350,9 @@ def _named(x: str, *more: str):
 
 def verify(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
     """The pairs (a, na, b, nb) whose whole sets link, with the size of their intersection."""
-    pairs = (pairs.join(sketches.select(*_named("a")), ["a", "na"]).join(sketches.select(*_named("b")), ["b", "nb"])
-             .where(_possible(bands.percent)).select("a", "na", "b", "nb"))
+    pairs = stored(pairs.join(sketches.select(*_named("a")), ["a", "na"]).join(sketches.select(*_named("b")), ["b", "nb"])
+                   .where(_possible(bands.percent)).select("a", "na", "b", "nb"))
+    texts = stored(_some(texts, pairs.select(F.explode(F.array("a", "b")).alias("cls"))))
 
     def side(x):
         return texts.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"text_{x}"))
@@ -392,7 +408,7 @@ def _shared(texts: DataFrame, entries: DataFrame, size: int, bands: Bands) -> Da
     """
     for _ in range(2):
         sets = entries.select(F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
-        words = _members(texts.join(sets, ["cls", "n"], "left_semi"), size)
+        words = _members(_some(texts, sets).join(sets, ["cls", "n"], "left_semi"), size)
         single = words.groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("cls"), F.min("n").alias("n")).where("k = 1")
         out = (single.groupBy("cls", "n").agg(F.count("*").alias("own"))
                .where((F.col("n") - F.col("own")) * 100 < F.col("n") * bands.percent).select(F.col("cls").alias("a"), F.col("n").alias("na")))
@@ -493,6 +509,11 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
     return _rest(texts, sketches, stored(_unresolved(long, known)), known, short, size, bands)
 
 
+def _prefix(part: int, whole: int):
+    """How many of n shingles are sure to hold one of any ``n * part / whole`` of them."""
+    return (F.col("n") - F.ceil(F.col("n") * part / whole) + 1).cast("int")
+
+
 def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Cost-based allocation for sets that keep entries in unresolved long lists."""
     if rest.isEmpty():
@@ -500,7 +521,7 @@ def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFra
     percent = bands.percent
     chosen = rest.select(F.col("a").alias("cls"), F.col("na").alias("n"), "root").distinct()
 
-    text = texts.join(chosen, ["cls", "n"], "left_semi")
+    text = stored(_some(texts, chosen).join(chosen, ["cls", "n"], "left_semi"))
     chosen = stored(chosen.join(sketches, ["cls", "n"]))
     index = stored(_deletions(text, size, bands))
     cost = rest.groupBy("sig").agg(F.count("*").alias("cost"))
@@ -521,23 +542,28 @@ def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFra
     # the deletions of the `lack` cheapest segments, or the sets that share one of the rarest shingles: the cheaper way
     lacking = stored(per.where("lack > 0"))
     price = F.aggregate(F.slice("by", F.lit(1), F.col("lack").cast("int")), F.lit(0).cast("long"), lambda x, y: x + y["near"])
-    words = stored(_members(text, size).join(chosen, ["cls", "n"]))
+    # the shingles of each set in one order for all sets, the rarest first
+    words = stored(_members(text, size))
     often = words.groupBy("g").agg(F.count("*").alias("df"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = (words.join(lacking.select("cls", "n"), ["cls", "n"], "left_semi").join(often, "g")
-            .groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("rare"))
-            .withColumn("rare", F.slice("rare", F.lit(1), prefix.cast("int"))))
+    rare = stored(words.join(often, "g").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("rare"))
+                  .withColumn("rare", F.slice("rare", F.lit(1), _prefix(percent, 100))))
     other_price = F.aggregate("rare", F.lit(0).cast("long"), lambda x, y: x + y["df"])
     plan = stored(lacking.join(rare, ["cls", "n"]).withColumn("delete", (F.col("lack") <= F.col("can")) & (price <= other_price)))
     possible = (F.col("root_a") != F.col("root_b")) & (F.col("nb") <= F.col("na")) & _fits(percent) & _possible(percent)
     steps = plan.where("delete").select(*chosen.columns, F.explode(F.slice("by", F.lit(1), F.col("lack").cast("int"))).alias("s"))
     steps = steps.withColumn("number", F.col("s.number"))
-    probe = index.where("larger = 1").select("cls", "n", "number", "key", "kind").join(steps, ["cls", "n", "number"]).select("key", "kind", *_named("a", "root"))
-    other = (index.select("cls", "n", F.col("key").alias("key_b"), F.col("kind").alias("kind_b")).join(chosen, ["cls", "n"])
-             .select("key_b", "kind_b", *_named("b", "root")))
+    probe = stored(index.where("larger = 1").select("cls", "n", "number", "key", "kind").join(steps, ["cls", "n", "number"])
+                   .select("key", "kind", *_named("a", "root")))
+    # only what a probe asks for travels with its sketch
+    other = (index.select("cls", "n", "key", "kind").join(probe.select("key").distinct(), "key", "left_semi").join(chosen, ["cls", "n"])
+             .select(F.col("key").alias("key_b"), F.col("kind").alias("kind_b"), *_named("b", "root")))
     by_delete = probe.join(other, (F.col("key") == F.col("key_b")) & (F.col("kind") + F.col("kind_b") == 1) & possible)
-    few = plan.where("not delete").withColumn("s", F.explode("rare")).select(F.col("s.g").alias("g"), *_named("a", "root"))
-    by_rare = few.join(words.select(F.col("g").alias("g_b"), *_named("b", "root")), (F.col("g") == F.col("g_b")) & possible)
+    # at the first shingle in that order which two sets have in common, what follows in either set has room for the whole intersection
+    few = plan.where("not delete").select(*chosen.columns, F.posexplode("rare").alias("at", "s")).select(F.col("s.g").alias("g"), *_named("a", "root", "at"))
+    held = (chosen.join(rare, ["cls", "n"]).withColumn("rare", F.slice("rare", F.lit(1), _prefix(2 * percent, 100 + percent)))
+            .select(*chosen.columns, F.posexplode("rare").alias("at", "s")).select(F.col("s.g").alias("g_b"), *_named("b", "root", "at")))
+    room = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    by_rare = few.join(held, (F.col("g") == F.col("g_b")) & room & possible)
     pairs = by_delete.select("a", "na", "b", "nb").union(by_rare.select("a", "na", "b", "nb"))
     pairs = stored(_order(pairs).join(short, ["a", "na", "b", "nb"], "left_anti"))
     return stored(known.unionByName(verify(texts, sketches, pairs, size, bands)))

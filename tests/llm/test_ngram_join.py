@@ -119,3 +119,14 @@ def test_short_sets_with_inserted_deleted_and_changed_words(frame, seed):
     rng.shuffle(texts)
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
     assert key(got(frame, rows)) == key(brute(rows))
+
+
+def test_rare_shingles_meet_no_pair_without_room_for_a_link(frame, monkeypatch):
+    """Groups around one text, each 24 shingles from the next: similarity 0.78, and the common shingles come after the 24."""
+    monkeypatch.setattr(ngram_join, "LIST", 3)
+    met, inner = [], ngram_join._order
+    monkeypatch.setattr(ngram_join, "_order", lambda pairs: met.append(pairs.count()) or inner(pairs))
+    common = [f"c{i}" for i in range(184)]
+    rows = [(3 * v + k, " ".join(common[:90] + [f"u{v}_{i}" for i in range(20)] + common[90:] + [f"t{v}_{k}"])) for v in range(20) for k in range(3)]
+    assert key(got(frame, rows)) == key(brute(rows))
+    assert len(met) == 2 and met[1] < 5000  # 24768 where every shared rare shingle counts
