@@ -97,6 +97,9 @@ def compact_windows(hashes: np.ndarray, span: int = SPAN):
 
 
 ENTRY = np.dtype([("key", "<u8"), ("th", "<i8"), ("c", "<i4"), ("lo", "u1"), ("hi", "u1")])
+#: The smallest doc_id of a text; not known: all are null.
+OWNER = np.dtype([("doc", "<i8"), ("known", "?")])
+LAST = np.iinfo(np.int64).max
 
 
 def entries_of(texts, span: int, functions: int) -> np.ndarray:
@@ -162,7 +165,7 @@ def context_matrix(entries: np.ndarray, names: np.ndarray, span: int) -> np.ndar
 class Windows:
     """Compact windows with their contexts, and which of their stretches of ``span`` shingles have a partner."""
 
-    def __init__(self, entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int):
+    def __init__(self, entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int, owner: np.ndarray | None = None):
         self.entries, self.matrix, self.span, self.apart = entries, matrix, span, apart
         self.th, self.c = entries["th"].copy(), entries["c"].astype(np.int64)
         self.group = np.unique(entries["key"], return_inverse=True)[1].astype(np.int64)
@@ -173,13 +176,18 @@ class Windows:
         k = np.arange(span)
         self.valid = (k >= span - 1 - entries["lo"][:, None].astype(np.int64)) & (k <= entries["hi"][:, None])
         self.marked = np.zeros_like(self.valid)
-        self.links: list[np.ndarray] = []
+        #: of each window's text the smallest doc_id, and the smallest one of its partners so far: links themselves are not kept
+        self.owner = np.zeros(len(entries), OWNER) if owner is None else owner
+        self.mate, self.sure = np.full(len(entries), LAST), np.zeros(len(entries), bool)
 
     def allowed(self, i, j):
         return (self.th[i] != self.th[j]) | (np.abs(self.c[i] - self.c[j]) >= self.apart)
 
     def link(self, i, j) -> None:
-        self.links.append(distinct(i * len(self.entries) + j))
+        for x, y in ((i, j), (j, i)):
+            known = self.owner["known"][y]
+            np.minimum.at(self.mate, x[known], self.owner["doc"][y[known]])
+            self.sure[x[known]] = True
 
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
         """Mark the similar stretches of all pairs of windows."""
@@ -274,16 +282,30 @@ class Windows:
         np.cumsum(often > 1, axis=1, out=shared[:, 1:])
         return self.valid[rows] & ~self.marked[rows] & (shared[:, self.span:] - shared[:, :-self.span] >= self.need)
 
-    def search(self, rows: np.ndarray) -> None:
-        """Every stretch without a partner meets all windows that have one of its rarest shingles at its place, or as far from it as a partner may."""
-        lost, width, reach = self.span - self.need, self.matrix.shape[1], self.reach
-        while True:
+    def places(self, rows: np.ndarray):
+        """Codes (group, name, place) of all names of the windows, sorted, and where each stands; a large group is one, so its codes are short."""
+        width, short = self.matrix.shape[1], len(rows) > ROWS
+        if not short:
             context = self.matrix[rows]
             at = np.flatnonzero(context).astype(np.int32)
             code = (self.group[rows][at // width] << 16 | context.ravel()[at]) << PLACE_BITS | at % width
             order = np.argsort(code)
-            code, at = code[order], at[order]
-            del order, context
+            return code[order], at[order]
+        both, done = np.empty(sum(np.count_nonzero(self.matrix[rows[x: x + ROWS]]) for x in range(0, len(rows), ROWS)), "<i8"), 0
+        for low in range(0, len(rows), ROWS):
+            context = self.matrix[rows[low: low + ROWS]].ravel()
+            at = np.flatnonzero(context)
+            both[done: done + len(at)] = (context[at].astype(np.int64) << PLACE_BITS | at % width) << 32 | (at + low * width)
+            done += len(at)
+        both.sort()
+        halves = both.view("<i4")
+        return halves[1::2].copy(), halves[::2].copy()
+
+    def search(self, rows: np.ndarray) -> None:
+        """Every stretch without a partner meets all windows that have one of its rarest shingles at its place, or as far from it as a partner may."""
+        lost, width, reach = self.span - self.need, self.matrix.shape[1], self.reach
+        while True:
+            code, at = self.places(rows)
             new = np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1]))
             first = np.flatnonzero(new)
             names = code[first]
@@ -291,15 +313,22 @@ class Windows:
             high = np.searchsorted(names, names + reach, "right")
             # no name of another shingle or group is that near, as places of it leave a margin
             start, total = first[low], np.append(first, len(code))[high] - first[low]
+            del code, names, low, high, first
             index = np.full((len(rows), width), -1, np.int32)
-            index.ravel()[at] = np.cumsum(new, dtype=np.int32) - 1
-            holder = at // width
-            del code, at, new, names, low, high
-            often = np.where(index < 0, 0, total.astype(np.int32)[index])
+            name_of = np.cumsum(new, dtype=np.int32)
+            name_of -= 1
+            index.ravel()[at] = name_of
+            del new, name_of
+            at //= width
+            holder, times = at, np.append(total, 0).astype(np.int32)
+            often = lambda part: times[index[part]]  # noqa: E731, B023
             # whether marked or not: a window stays while it can be a partner
-            can = np.zeros((len(rows), width + 1), np.int16)
-            np.cumsum(often > 1, axis=1, out=can[:, 1:])
-            alive = (self.valid[rows] & (can[:, self.span:] - can[:, :-self.span] >= self.need)).any(axis=1)
+            alive = np.zeros(len(rows), bool)
+            for low in range(0, len(rows), ROWS):
+                part = np.arange(low, min(low + ROWS, len(rows)))
+                can = np.zeros((len(part), width + 1), np.int16)
+                np.cumsum(often(part) > 1, axis=1, out=can[:, 1:])
+                alive[part] = (self.valid[rows[part]] & (can[:, self.span:] - can[:, :-self.span] >= self.need)).any(axis=1)
             if not len(rows) or alive.mean() > 0.95:
                 break
             rows = rows[alive]
@@ -308,17 +337,17 @@ class Windows:
         for low in range(0, len(rows), BLOCK):
             part = np.arange(low, min(low + BLOCK, len(rows)))
             # the place of the rarest shingle of each stretch
-            rarest = sliding_min((often[part].astype(np.int64) << PLACE_BITS | np.arange(width)).ravel(), self.span).astype(np.int64)
+            rarest = sliding_min((often(part).astype(np.int64) << PLACE_BITS | np.arange(width)).ravel(), self.span).astype(np.int64)
             rarest = np.append(rarest, np.zeros(self.span - 1, np.int64)).reshape(len(part), width)[:, :self.span] & ((1 << PLACE_BITS) - 1)
             # likely partners first, one that has the rarest shingle: what they settle is not asked again
             for likely in (*range(1, FIRST + 1), None):
-                at, k = np.nonzero(self.open(rows[part], often[part]))
+                at, k = np.nonzero(self.open(rows[part], often(part)))
                 if not len(at):
                     break
                 if likely:
                     ask = distinct(at * width + rarest[at, k])
                 else:
-                    seen = often[part[at][:, None], k[:, None] + np.arange(self.span)]
+                    seen = often(part)[at[:, None], k[:, None] + np.arange(self.span)]
                     ask = distinct(((at * width + k)[:, None] + np.argpartition(seen, lost, axis=1)[:, :lost + 1]).ravel())
                 who, name = part[ask // width], index[part].ravel()[ask]
                 if likely:
@@ -333,7 +362,7 @@ class Windows:
                 while x < len(begin):
                     # some windows a round, with all they ask for
                     y = max(x + 1, int(np.searchsorted(done[end], done[begin[x]] + NAMES, "right")))
-                    still = self.open(rows[who[begin[x:y]]], often[who[begin[x:y]]]).any(axis=1)
+                    still = self.open(rows[who[begin[x:y]]], often(who[begin[x:y]])).any(axis=1)
                     asked = np.flatnonzero(np.repeat(still, (end - begin)[x:y])) + begin[x]
                     x = y
                     size, from_ = total[name[asked]], start[name[asked]]
@@ -342,33 +371,34 @@ class Windows:
                     self.compare(rows[pair // len(rows)], rows[pair % len(rows)])
 
     def found(self) -> pa.Table:
-        """Text hash, partner's text hash and word intervals; all intervals of a text stand in its first row."""
+        """Text hash, its partners' smallest doc_id and its word intervals, of each text that has any."""
         texts, text = np.unique(self.th, return_inverse=True)
-        links = distinct(np.concatenate([*self.links, np.zeros(0, np.int64)]))
-        i, j = text[links // max(1, len(text))], text[links % max(1, len(text))]
-        pairs = distinct(np.concatenate((i * len(texts) + j, j * len(texts) + i)))
-        row, k = np.nonzero(self.marked)
-        at = distinct(text[row].astype(np.int64) << 32 | (self.c[row] + k - self.span + 1))
+        mate, sure = np.full(len(texts), LAST), np.zeros(len(texts), bool)
+        np.minimum.at(mate, text, self.mate)
+        sure[text[self.sure]] = True
+        at = [np.zeros(0, np.int64)]
+        for low in range(0, len(text), ROWS):
+            row, k = np.nonzero(self.marked[low: low + ROWS])
+            at.append(distinct(text[low + row].astype(np.int64) << 32 | (self.c[low + row] + k - self.span + 1)))
+        at = distinct(np.concatenate(at))
         words_ = self.span + SHINGLE - 1
         owner, at = at >> 32, at & 0xFFFFFFFF
         new = np.flatnonzero((owner[1:] != owner[:-1]) | (np.diff(at) > words_)) + 1
         begin, end = np.concatenate(([0], new))[:len(at)], (np.append(new, len(at)) - 1)[:len(at)]
-        left = pairs // max(1, len(texts))
-        # what is marked has a link
-        ends = np.cumsum(np.bincount(np.searchsorted(left, owner[begin]), minlength=len(left)))
+        have, count = np.unique(owner[begin], return_counts=True)
         spans = np.stack([at[begin], at[end] + words_], axis=1).ravel().astype(np.int32)
-        return pa.table({"th": pa.array(texts[left]), "other": pa.array(texts[pairs % max(1, len(texts))]),
-                         "spans": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], 2 * ends)).astype(np.int32)), pa.array(spans))})
+        return pa.table({"th": pa.array(texts[have]), "partner": pa.array(mate[have], mask=~sure[have]),
+                         "spans": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], 2 * np.cumsum(count))).astype(np.int32)), pa.array(spans))})
 
 
-def partners(entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int) -> Windows:
+def partners(entries: np.ndarray, matrix: np.ndarray, span: int, apart: int, percent: int, owner: np.ndarray | None = None) -> Windows:
     """The windows with all stretches marked that have a partner in a window of equal key.
 
     A stretch has a partner only if at most ``span`` - ``need`` of its shingles
     are missing there; so of one more than that number of its shingles, the
     rarest are taken, at least one is in the partner.
     """
-    windows_ = Windows(entries, matrix, span, apart, percent)
+    windows_ = Windows(entries, matrix, span, apart, percent, owner)
     rows = windows_.same()
     windows_.beside(rows)
     # whole groups, some windows at a time
@@ -419,26 +449,41 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
 
     def once(batches):
         release()
-        schema = pa.schema([("room", pa.int32()), ("th", pa.int64()), ("text", pa.string())])
-        seen: set[int] = set()
+        # each text once per task; a copy of a smaller doc_id adds a row without text
+        schema = pa.schema([("room", pa.int32()), ("th", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64())])
+        seen: dict[int, int | None] = {}
         for batch in batches:
-            ths = batch.column(0).to_pylist()
-            rows = [at for at, th in enumerate(ths) if th not in seen and not seen.add(th)]
+            ths, docs_ = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows, texts_ = [], []
+            for at, (th, doc) in enumerate(zip(ths, docs_, strict=True)):
+                new = th not in seen
+                if new or doc is not None and (seen[th] is None or doc < seen[th]):
+                    seen[th] = doc
+                    rows.append(at), texts_.append(at if new else None)
             part = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([ths[at] % rooms for at in rows], pa.int32()), part.column(0), part.column(1).cast(pa.string())],
-                                             schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([ths[at] % rooms for at in rows], pa.int32()), part.column(0),
+                                              batch.column(1).take(pa.array(texts_, pa.int64())).cast(pa.string()), part.column(2)], schema=schema)
 
     def add_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
-        out = {"bucket": [], "entries": [], "names": []}
+        out = {"bucket": [], "entries": [], "names": [], "owners": []}
         if left.num_rows and right.num_rows:
             asked = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in left.column("entries").combine_chunks()])
             asked = asked[np.argsort(asked["th"], kind="stable")]
-            ths, at = np.unique(right.column("th").to_numpy(), return_index=True)
+            every, text, doc = right.column("th").to_numpy(), right.column("text").combine_chunks(), right.column("doc_id")
+            full = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
+            ths, at = np.unique(every[full], return_index=True)
             asker, size = np.unique(asked["th"], return_counts=True)
             # a text may come from several tasks
-            at = at[np.searchsorted(ths, asker)]
-            grams = [g for g, _ in shingles(right.column("text").combine_chunks().take(pa.array(at, pa.int64())))]
+            owner = np.zeros(len(ths), OWNER)
+            owner["doc"] = LAST
+            known = doc.is_valid().to_numpy()
+            copy = np.searchsorted(ths, every[known])
+            np.minimum.at(owner["doc"], copy, doc.drop_null().to_numpy())
+            owner["known"][copy] = True
+            owner = owner[np.searchsorted(ths, asked["th"])]
+            at = full[at[np.searchsorted(ths, asker)]]
+            grams = [g for g, _ in shingles(text.take(pa.array(at, pa.int64())))]
             if grams:
                 first = np.cumsum([0, *map(len, grams)])[:-1]
                 head, name = asked, contexts(asked, np.concatenate(grams), np.repeat(first, size))
@@ -448,8 +493,9 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
                     n = long_[rows]
                     where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     out["bucket"].append(k), out["entries"].append(head[rows].tobytes()), out["names"].append(name[where].tobytes())
+                    out["owners"].append(owner[rows].tobytes())
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "entries": pa.array(out["entries"], pa.binary()),
-                         "names": pa.array(out["names"], pa.binary())})
+                         "names": pa.array(out["names"], pa.binary()), "owners": pa.array(out["owners"], pa.binary())})
 
     def group_of(key: np.ndarray) -> np.ndarray:
         return (key % np.uint64(buckets) + np.uint64(buckets) * (key // np.uint64(buckets) % np.uint64(DEAL))).astype(np.int64)
@@ -459,19 +505,18 @@ def passages(docs: DataFrame, words_: int = WORDS, hashes: int = HASHES, agree:
             release()
         heads = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for x in table.column("entries").combine_chunks()])
         names = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in table.column("names").combine_chunks()])
-        out = partners(heads, context_matrix(heads, names, span), span, words_, percent).found()
+        owner = np.concatenate([np.frombuffer(x.as_buffer(), dtype=OWNER) for x in table.column("owners").combine_chunks()])
+        out = partners(heads, context_matrix(heads, names, span), span, words_, percent, owner).found()
         if table.nbytes > LARGE_BYTES:
             release()
         return out
 
     met = (texts.select("th", "text").mapInArrow(list_entries, "bucket int, entries binary")
            .groupBy("bucket").applyInArrow(keep_repeated, "room int, entries binary"))
-    whole = texts.select("th", "text").mapInArrow(once, "room int, th long, text string")
-    framed = met.groupBy("room").cogroup(whole.groupBy("room")).applyInArrow(add_contexts, "bucket int, entries binary, names binary")
-    found = stored(framed.groupBy("bucket").applyInArrow(settle, "th long, other long, spans array<int>"))
-    first = owner.select(F.col("th").alias("other"), F.col("doc_id").alias("partner"))
-    return (found.join(first, "other").groupBy("th")
-            .agg(F.collect_set("spans").alias("spans"), F.min("partner").alias("partner"))), owner
+    whole = texts.select("th", "text", "doc_id").mapInArrow(once, "room int, th long, text string, doc_id long")
+    framed = met.groupBy("room").cogroup(whole.groupBy("room")).applyInArrow(add_contexts, "bucket int, entries binary, names binary, owners binary")
+    found = stored(framed.groupBy("bucket").applyInArrow(settle, "th long, partner long, spans array<int>"))
+    return found.groupBy("th").agg(F.collect_set("spans").alias("spans"), F.min("partner").alias("partner")), owner
 
 
 def marked(docs: DataFrame, words_: int = WORDS, **options) -> tuple[DataFrame, tuple[str, str, str]]:

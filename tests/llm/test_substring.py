@@ -145,3 +145,47 @@ def test_passages_with_a_word_more_are_found(frame):
         rows += [(d, " ".join(words(rng, 60) + p + words(rng, 30))), (d + 1, " ".join(words(rng, 15) + q + words(rng, 70)))]
     result = got(frame(rows, DDL))
     assert sum(result[d][2] == d + 1 and result[d + 1][2] == d for d in range(0, 200, 2)) >= 90
+
+
+def test_found_names_each_text_once_with_its_lowest_partner():
+    """Many windows of equal contexts: one row a text, whatever the number of links."""
+    rng = random.Random(9)
+    grams = next(g for g, _ in substring.shingles(pa.array([" ".join(words(rng, 90))])))
+    entries = substring.repeated(substring.entries_of([(th, grams) for th in range(300)], 46, 3))
+    names = substring.contexts(entries, np.concatenate([grams] * 300), np.arange(300)[entries["th"]] * len(grams))
+    owner = np.zeros(len(entries), substring.OWNER)
+    owner["doc"], owner["known"] = 1000 - entries["th"], entries["th"] != 299
+    found = substring.partners(entries, substring.context_matrix(entries, names, 46), 46, 50, 80, owner).found()
+    assert found.num_rows == 300 and found.column("th").to_pylist() == list(range(300))
+    assert all(s == [0, 90] for s in found.column("spans").to_pylist())
+    assert all(p is None or 702 <= p <= 1000 for p in found.column("partner").to_pylist())
+
+
+def test_large_group_is_searched_in_little_memory(monkeypatch):
+    """One group of windows: same marks whether its places are coded short or not, and few bytes a window."""
+    import tracemalloc
+    rng = random.Random(10)
+    anchor, texts = words(rng, 30), []
+    runs = [words(rng, 25) for _ in range(12)]
+    for _ in range(150):
+        text = [w for k in range(2) for w in rng.choice(runs)] + anchor + [w for k in range(2) for w in rng.choice(runs)]
+        texts.append(" ".join(text[:rng.randrange(60, 130)]))
+    grams = [g for g, _ in substring.shingles(pa.array(texts))]
+    entries = substring.repeated(substring.entries_of(enumerate(grams), 46, 3))
+    names = np.concatenate([substring.contexts(entries[i: i + 1], grams[entries["th"][i]]) for i in range(len(entries))])
+    matrix = substring.context_matrix(entries, names, 46)
+    want = substring.partners(entries, matrix, 46, 50, 80).marked
+    monkeypatch.setattr(substring, "ROWS", 32)
+    assert (substring.partners(entries, matrix, 46, 50, 80).marked == want).all()
+    monkeypatch.undo()
+
+    some = np.zeros(20_000, substring.ENTRY)
+    some["th"], some["c"], some["lo"], some["hi"] = np.arange(20_000), 45, 45, 45
+    filled = np.random.default_rng(1).integers(2, 9, (20_000, 91)).astype(np.uint16)
+    windows = substring.Windows(some, filled, 46, 50, 80)
+    windows.marked |= windows.valid
+    tracemalloc.start()
+    windows.search(np.arange(20_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2500 * 20_000
