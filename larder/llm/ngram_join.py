@@ -42,13 +42,15 @@ from pyspark.sql import functions as F
 
 from .bits import BITMAP_BITS, bitmap, marked
 from .components import components
-from .spark import extend_batches, fresh, map_batches, parts, release, stored
+from .spark import PART_BYTES, extend_batches, fresh, map_batches, parts, release, stored
 from .text import SET_SALT, mix, set_key, shingle_sets
 
 LIST = 12
 STARS = 1
 SKETCH = 8
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 500_000
+#: Texts whose shingles become rows are handled in parts of about this size: a row takes several times the bytes of its words.
+ROW_BYTES = 1 << 20
 OWN, NEEDY = 1, 2
 SEGMENT_SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -114,6 +116,10 @@ def keys(numbers, sums, group: int) -> np.ndarray:
     return mix(sums + mix(numbers * np.uint64(0x100000001B3) + np.uint64(group << 32)))
 
 
+def _by_parts(df: DataFrame, function, ddl: str, size: int = PART_BYTES) -> DataFrame:
+    return map_batches(df, lambda batch: map(function, parts(batch, size)), ddl)
+
+
 def _sets(batch: pa.RecordBatch, size: int):
     for shingles in shingle_sets(batch.column(batch.schema.get_field_index("text")), size):
         yield shingles, len(shingles), set_key(shingles)
@@ -174,8 +180,8 @@ def classes(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
             n.append(sizes), c.append(cls), needy.append((bands.differ(sizes) > 0) & (filled < bands.differ(sizes) + 1))
         return {"doc_id": batch.column(0), "n_shingles": np.concatenate(n), "cls": np.concatenate(c), "needy": np.concatenate(needy)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                       "doc_id long, n_shingles long, cls long, needy boolean")
+    return _by_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+                     "doc_id long, n_shingles long, cls long, needy boolean")
 
 
 def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands: frozenset[int]) -> DataFrame:
@@ -196,7 +202,7 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
         schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("cls", pa.binary()), ("n", pa.binary()),
                             ("role", pa.binary())])
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             sig, cls, n, role = [], [], [], []
             for members, bounds, key in _chunks(batch, size):
                 sizes = np.diff(bounds)
@@ -211,11 +217,11 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
                     m = bands.segments(top)
                     owner, number, found = _segments(members, bounds, group, m)
                     needy = (np.bincount(owner, minlength=len(m)) < bands.differ(sizes) + 1) & (own == OWN)
-                    parts = [(owner, found, np.full(len(found), own))]
+                    sorts = [(owner, found, np.full(len(found), own))]
                     if needy_bands:
-                        parts += [(np.full(len(x), i), x, np.full(len(x), 4 | own | (NEEDY if needy[i] else 0)))
+                        sorts += [(np.full(len(x), i), x, np.full(len(x), 4 | own | (NEEDY if needy[i] else 0)))
                                   for i, x in voids(group, m, owner, number, needy, key)]
-                    for who, x, kind in parts:
+                    for who, x, kind in sorts:
                         sig.append(x), cls.append(key[who]), n.append(sizes[who].astype(np.int32)), role.append(kind.astype(np.int8))
             if not sig:
                 continue
@@ -250,6 +256,7 @@ def candidates(index: DataFrame, bands: Bands) -> DataFrame:
     ddl = "a long, na int, b long, nb int, sig long"
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         sig, cls = unpack(table, "sig", np.uint64), unpack(table, "cls", np.int64)
         n, role = unpack(table, "n", np.int32), unpack(table, "role", np.int8)
         order = np.argsort(sig)
@@ -369,7 +376,7 @@ def verify(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int, b
 
     joined = (pairs.join(side("b"), ["b", "nb"]).join(side("a"), ["a", "na"])
               .select("a", "na", "b", "nb", "text_a", "text_b"))
-    return map_batches(joined, check, "a long, na int, b long, nb int, common long")
+    return _by_parts(joined, check, "a long, na int, b long, nb int, common long")
 
 
 def _members(texts: DataFrame, size: int) -> DataFrame:
@@ -380,7 +387,7 @@ def _members(texts: DataFrame, size: int) -> DataFrame:
             c.append(np.full(count, key)), n.append(np.full(count, count)), g.append(shingles.view(np.int64))
         return {"cls": np.concatenate(c), "n": np.concatenate(n), "g": np.concatenate(g)}
 
-    return map_batches(texts.select("text"), run, "cls long, n int, g long")
+    return _by_parts(texts.select("text"), run, "cls long, n int, g long", ROW_BYTES)
 
 
 def _sketches(texts: DataFrame, size: int) -> DataFrame:
@@ -396,7 +403,7 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
         words = np.concatenate(bits).view(np.int64).reshape(-1, SKETCH)
         return {"cls": c, "n": n} | {f"s{i}": words[:, i] for i in range(SKETCH)}
 
-    return map_batches(texts.select("text"), run, "cls long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
+    return _by_parts(texts.select("text"), run, "cls long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
 
 
 def _shared(texts: DataFrame, entries: DataFrame, size: int, bands: Bands) -> DataFrame:
@@ -438,8 +445,8 @@ def _deletions(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
         kinds = {"key": pa.int64(), "kind": pa.int8(), "cls": pa.int64(), "n": pa.int32(), "number": pa.int32(), "larger": pa.int8()}
         return {k: pa.array(np.concatenate(v) if v else [], kinds[k]) for k, v in out.items()}
 
-    return map_batches(texts.select("text"), run,
-                       "key long, kind byte, cls long, n int, number int, larger byte")
+    return _by_parts(texts.select("text"), run,
+                     "key long, kind byte, cls long, n int, number int, larger byte", ROW_BYTES)
 
 
 def _linked(links: DataFrame) -> DataFrame:
