@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .bits import BITMAP_BITS, bitmap, marked
 from .components import components
-from .spark import PART_BYTES, extend_batches, fresh, map_batches, parts, release, stored
+from .spark import PART_BYTES, extend_batches, fresh, map_batches, parts, releasing, stored
 from .text import SET_SALT, mix, set_key, shingle_sets
 
 LIST = 12
@@ -51,6 +51,10 @@ SKETCH = 8
 BUCKET_ENTRIES = 500_000
 #: Texts whose shingles become rows are handled in parts of about this size: a row takes several times the bytes of its words.
 ROW_BYTES = 1 << 20
+#: Sets of more shingles have a second sketch, as wide as they are large: in the first their parities even out.
+WIDE = 512
+#: The first test of the sets of unresolved lists looks at one in so many shingles.
+SHARE = 3
 OWN, NEEDY = 1, 2
 SEGMENT_SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -165,10 +169,43 @@ def _segments(members: np.ndarray, bounds: np.ndarray, group: np.ndarray, m: np.
     return owner, number, mix(sums + mix(number * np.uint64(0x100000001B3) + (group[owner].astype(np.uint64) << np.uint64(32))))
 
 
+def _parities(members: np.ndarray, bounds: np.ndarray, block: int = 1024) -> np.ndarray:
+    """SKETCH words for each set: one bit for each of SKETCH * 64 parts of the universe, the parity of the set's members in it.
+
+    Two sets differ in at least as many shingles as bits, which rules out pairs without their texts.
+    """
+    bits, sizes = 64 * SKETCH, np.diff(bounds)
+    where = (mix(members ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(bits)).astype(np.int64)
+    out = []
+    for first in range(0, len(sizes), block):
+        some = sizes[first: first + block]
+        slot = np.repeat(np.arange(len(some)) * bits, some) + where[bounds[first]: bounds[first + len(some)]]
+        out.append(np.packbits((np.bincount(slot, minlength=len(some) * bits) & 1).astype(bool)).view(np.int64))
+    return np.concatenate(out).reshape(-1, SKETCH)
+
+
+def _wide(members: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """For each set of more than WIDE shingles the parities of as many parts of the universe as it has members, rounded up to a power of two."""
+    at, out = mix(members ^ np.uint64(0x8EBC6AF09C88C6E3)), []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        bits = 1 << int(b - a - 1).bit_length() if b - a > WIDE else 0
+        part = (at[a:b] & np.uint64(max(0, bits - 1))).astype(np.int64)
+        out.append(np.packbits((np.bincount(part, minlength=bits) & 1).astype(bool)).tobytes() if bits else None)
+    return out
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many shingles at least two sets with these wide sketches differ; the wider one is folded."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def classes(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """(doc_id, n_shingles, cls, needy): needy marks sets with fewer filled segments than their bound asks for."""
+    """(doc_id, n_shingles, cls, needy, wide, s0, s1, ...): needy marks sets with fewer filled segments than their bound asks for; the s are the sketch."""
     def run(batch):
-        n, c, needy = [], [], []
+        n, c, needy, sketch, wide = [], [], [], [], []
         for members, bounds, cls in _chunks(batch, size):
             sizes = np.diff(bounds)
             band, largest, _ = bands.table(sizes)
@@ -178,14 +215,31 @@ def classes(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
             hit = np.bincount(np.repeat(first, sizes) + where.astype(np.int64), minlength=int(m.sum())) > 0
             filled = np.add.reduceat(hit.astype(np.int64), first) if len(m) else m
             n.append(sizes), c.append(cls), needy.append((bands.differ(sizes) > 0) & (filled < bands.differ(sizes) + 1))
-        return {"doc_id": batch.column(0), "n_shingles": np.concatenate(n), "cls": np.concatenate(c), "needy": np.concatenate(needy)}
+            sketch.append(_parities(members, bounds)), wide.extend(_wide(members, bounds))
+        words = np.concatenate(sketch)
+        return {"doc_id": batch.column(0), "n_shingles": np.concatenate(n), "cls": np.concatenate(c), "needy": np.concatenate(needy), "wide": wide} | {
+            f"s{i}": words[:, i] for i in range(SKETCH)}
 
     return _by_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                     "doc_id long, n_shingles long, cls long, needy boolean")
+                     "doc_id long, n_shingles long, cls long, needy boolean, wide binary, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: of small numbers the high bytes take next to nothing when compressed."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def reduced(key, buckets: int):
+    """The bucket and the low 32 bits of a segment's key in one long, as ``candidates`` names a list: two keys that meet only make its list longer."""
+    bucket = F.shiftrightunsigned(key, 32) % F.lit(buckets).cast("long")
+    return F.shiftleft(bucket, 32).bitwiseOR(key.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands: frozenset[int]) -> DataFrame:
-    """The index as rows of packed arrays: (bucket, sig, cls, n, role); each class once per task."""
+    """The index as rows of packed arrays: (bucket, sig, cls, n, role); each class once per task.
+
+    Of a key, its high half deals out the buckets and its low half is sig; of the many entries, a bucket holds a fixed number.
+    """
     salts = 16
 
     def voids(group, m, owner, number, needy, cls):
@@ -197,8 +251,8 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
             out.append((i, keys(np.repeat(empty, len(salt)), np.tile(salt, len(empty)) + np.uint64(7), int(group[i]))))
         return out
 
+    @releasing
     def run(batches):
-        release()
         schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("cls", pa.binary()), ("n", pa.binary()),
                             ("role", pa.binary())])
         seen: set[tuple[int, int]] = set()
@@ -226,7 +280,8 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
             if not sig:
                 continue
             columns = [np.concatenate(x) for x in (sig, cls, n, role)]
-            bucket = (columns[0] % np.uint64(buckets)).astype(np.int32)
+            bucket = ((columns[0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            columns[0] = columns[0].astype(np.uint32)
             order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
             bucket, columns = bucket[order], [x[order] for x in columns]
             heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -235,7 +290,8 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
                 pick = range(first, min(first + 64, len(heads)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[heads[first: first + 64]], pa.int32())]
-                    + [pa.array([c[heads[i]: ends[i]].tobytes() for i in pick], pa.binary()) for c in columns],
+                    + [pa.array([pack(c[heads[i]: ends[i]]) for i in pick], pa.binary())
+                       for c, pack in zip(columns, (np.ndarray.tobytes, np.ndarray.tobytes, planes, np.ndarray.tobytes), strict=True)],
                     schema=schema)
 
     return docs.select("text").mapInArrow(run, "bucket int, sig binary, cls binary, n binary, role binary")
@@ -245,6 +301,11 @@ def unpack(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
 
 
+def unplane(table: pa.Table, name: str, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1).T.copy().view(kind)[:, 0] for x in table.column(name).to_pylist()])
+
+
 def runs(values: np.ndarray):
     """Start and length of each run of equal neighbours."""
     heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, int)
@@ -255,10 +316,10 @@ def candidates(index: DataFrame, bands: Bands) -> DataFrame:
     """Per bucket: pairs of short lists and of stars (sig null), and the entries of long lists (b null)."""
     ddl = "a long, na int, b long, nb int, sig long"
 
+    @releasing
     def run(table: pa.Table) -> pa.Table:
-        release()
-        sig, cls = unpack(table, "sig", np.uint64), unpack(table, "cls", np.int64)
-        n, role = unpack(table, "n", np.int32), unpack(table, "role", np.int8)
+        sig, cls = unpack(table, "sig", np.uint32), unpack(table, "cls", np.int64)
+        n, role = unplane(table, "n", np.int32), unpack(table, "role", np.int8)
         order = np.argsort(sig)
         s = sig[order]
         same = s[1:] == s[:-1]
@@ -293,11 +354,12 @@ def candidates(index: DataFrame, bands: Bands) -> DataFrame:
         pairs = np.unique(np.stack([cls[i], n[i], cls[j], n[j]], axis=1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
         long = np.flatnonzero((size > LIST) & ~void)
         none, nothing = np.zeros(len(long), np.int64), np.zeros(len(pairs), np.int64)
+        lists = sig[long].astype(np.int64) | (table.column("bucket")[0].as_py() << 32)
         return pa.table({
             "a": np.concatenate([pairs[:, 0], cls[long]]), "na": np.concatenate([pairs[:, 1], n[long]]).astype(np.int32),
             "b": pa.array(np.concatenate([pairs[:, 2], none]), mask=np.arange(len(pairs) + len(long)) >= len(pairs)),
             "nb": np.concatenate([pairs[:, 3], none]).astype(np.int32),
-            "sig": pa.array(np.concatenate([nothing, sig[long].view(np.int64)]),
+            "sig": pa.array(np.concatenate([nothing, lists]),
                             mask=np.arange(len(pairs) + len(long)) < len(pairs))})
 
     return index.groupBy("bucket").applyInArrow(run, ddl)
@@ -311,8 +373,8 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int, bands: Bands) ->
     """
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("cls").alias("h"))))
 
+    @releasing
     def run(batches):
-        release()
         seen: set[tuple[int, int]] = set()
         schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("text", pa.string())])
         for batch in batches:
@@ -333,8 +395,8 @@ def _some(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows of ``texts`` that may be of the classes ``sets(cls, ...)``, by a bitmap: joins need not shuffle all others."""
     sent = texts.sparkSession.sparkContext.broadcast(bitmap(sets.select(F.col("cls").alias("h"))))
 
+    @releasing
     def run(batches):
-        release()
         for whole in batches:
             for batch in parts(whole):
                 bit = batch.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)
@@ -355,14 +417,32 @@ def _named(x: str, *more: str):
             *(F.col(c).alias(f"{c}_{x}") for c in more)]
 
 
-def verify(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """The pairs (a, na, b, nb) whose whole sets link, with the size of their intersection."""
+def _likely(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, na, b, nb) whose sketches leave room for a link."""
     pairs = stored(pairs.join(sketches.select(*_named("a")), ["a", "na"]).join(sketches.select(*_named("b")), ["b", "nb"])
                    .where(_possible(bands.percent)).select("a", "na", "b", "nb"))
-    texts = stored(_some(texts, pairs.select(F.explode(F.array("a", "b")).alias("cls"))))
+    large = F.least("na", "nb") > WIDE
 
     def side(x):
-        return texts.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"text_{x}"))
+        return sketches.where("wide is not null").select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"wide_{x}"))
+
+    def check(batch):
+        column = {name: batch.column(batch.schema.get_field_index(name)) for name in batch.schema.names}
+        total = column["na"].to_numpy().astype(np.int64) + column["nb"].to_numpy()
+        differ = np.array([_apart(x, y) for x, y in zip(column["wide_a"].to_pylist(), column["wide_b"].to_pylist(), strict=True)], dtype=np.int64)
+        keep = pa.array(differ * (100 + bands.percent) <= total * (100 - bands.percent))
+        return {x: column[x].filter(keep) for x in ("a", "na", "b", "nb")}
+
+    near = _by_parts(pairs.where(large).join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
+                     .select("a", "na", "b", "nb", "wide_a", "wide_b"), check, "a long, na int, b long, nb int")
+    return pairs.where(~large).select("a", "na", "b", "nb").union(near)
+
+
+def verify(texts: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """The stored pairs (a, na, b, nb) whose whole sets link, with the size of their intersection; each side gets its own texts only."""
+    def side(x):
+        return _some(texts, pairs.select(F.col(x).alias("cls"))).select(
+            F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"text_{x}"))
 
     def check(batch):
         left, right = (shingle_sets(batch.column(batch.schema.get_field_index(f"text_{x}")), size) for x in "ab")
@@ -379,43 +459,29 @@ def verify(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int, b
     return _by_parts(joined, check, "a long, na int, b long, nb int, common long")
 
 
-def _members(texts: DataFrame, size: int) -> DataFrame:
-    """(cls, n, g): the shingles of each class."""
+def _members(texts: DataFrame, size: int, share: int = 1) -> DataFrame:
+    """(cls, n, g): the shingles of each class, or one in ``share`` of the universe."""
     def run(batch):
         c, n, g = [], [], []
         for shingles, count, key in _sets(batch, size):
-            c.append(np.full(count, key)), n.append(np.full(count, count)), g.append(shingles.view(np.int64))
+            some = shingles[shingles % np.uint64(share) == 0] if share > 1 else shingles
+            c.append(np.full(len(some), key)), n.append(np.full(len(some), count)), g.append(some.view(np.int64))
         return {"cls": np.concatenate(c), "n": np.concatenate(n), "g": np.concatenate(g)}
 
     return _by_parts(texts.select("text"), run, "cls long, n int, g long", ROW_BYTES)
 
 
-def _sketches(texts: DataFrame, size: int) -> DataFrame:
-    """(cls, n, s0, s1, ...): one bit for each of SKETCH * 64 parts of the universe, the parity of the set's members in it.
-
-    Two sets differ in at least as many shingles as bits, which rules out pairs without their texts.
-    """
-    def run(batch):
-        c, n, bits = [], [], []
-        for shingles, count, key in _sets(batch, size):
-            where = (mix(shingles ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(64 * SKETCH)).astype(np.int64)
-            c.append(key), n.append(count), bits.append(np.packbits((np.bincount(where, minlength=64 * SKETCH) & 1).astype(bool)))
-        words = np.concatenate(bits).view(np.int64).reshape(-1, SKETCH)
-        return {"cls": c, "n": n} | {f"s{i}": words[:, i] for i in range(SKETCH)}
-
-    return _by_parts(texts.select("text"), run, "cls long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
-
-
 def _shared(texts: DataFrame, entries: DataFrame, size: int, bands: Bands) -> DataFrame:
     """The entries of unresolved lists without those of sets that cannot link any more.
 
     A link has at least percent of the larger set in common.  So a set of
-    which too many shingles occur in no other set of these lists is out; that
-    makes shingles of others rare, so the test is applied twice.
+    which too many shingles occur in no other set of these lists is out.
+    Most are found by a part of the universe; the whole of it is for the rest.
+    Sets that the bitmap lets in besides only keep others in.
     """
-    for _ in range(2):
-        sets = entries.select(F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
-        words = _members(_some(texts, sets).join(sets, ["cls", "n"], "left_semi"), size)
+    for share in (SHARE, 1):
+        sets = entries.select(F.col("a").alias("cls"))
+        words = _members(_some(texts, sets), size, share)
         single = words.groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("cls"), F.min("n").alias("n")).where("k = 1")
         out = (single.groupBy("cls", "n").agg(F.count("*").alias("own"))
                .where((F.col("n") - F.col("own")) * 100 < F.col("n") * bands.percent).select(F.col("cls").alias("a"), F.col("n").alias("na")))
@@ -455,9 +521,8 @@ def _linked(links: DataFrame) -> DataFrame:
     return components(links.select(name("a", "na").alias("a"), name("b", "nb").alias("b")))
 
 
-def _unresolved(long: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries of long lists that hold more than one component, with each entry's root and the list's main root."""
-    roots = _linked(links)
+def _unresolved(long: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of long lists that hold more than one component, with each entry's root."""
     named = (long.withColumn("node", F.concat_ws(":", "a", "na")).join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     lists = (named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -488,18 +553,23 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
     needy = frozenset(r[0] for r in base.where("needy").select(band.alias("band")).distinct().collect())
     buckets = max(1, math.ceil((facts["total"] or 0) * 0.6 / BUCKET_ENTRIES))
     found = stored(candidates(entries(docs, size, bands, buckets, needy), bands))
-    short = found.where("sig is null").select("a", "na", "b", "nb").distinct()
-    wanted = (found.select(F.col("a").alias("cls"), F.col("na").alias("n"))
-              .union(found.where("b is not null").select("b", "nb")).distinct())
-    texts = stored(class_texts(docs, stored(wanted), size, bands))
-    sketches = stored(_sketches(texts, size))
-    known = stored(verify(texts, sketches, short, size, bands))
+    wanted = stored(found.select(F.col("a").alias("cls"), F.col("na").alias("n"))
+                    .union(found.where("b is not null").select("b", "nb")).distinct())
+    sketches = stored(base.select("cls", F.col("n_shingles").cast("int").alias("n"), "wide", *(f"s{i}" for i in range(SKETCH)))
+                      .join(wanted, ["cls", "n"], "left_semi").dropDuplicates(["cls", "n"]))
+    # pairs that a sketch rules out need no texts
+    tested = stored(_likely(found.where("sig is null").select("a", "na", "b", "nb").distinct(), sketches, bands))
     long = found.where("sig is not null").select("sig", "a", "na")
+    wanted = (tested.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(tested.select("b", "nb"))
+              .union(long.select("a", "na")).distinct())
+    texts = stored(class_texts(docs, stored(wanted), size, bands))
+    known = stored(verify(texts, tested, size, bands))
     if long.isEmpty():
         return known
-    long = _shared(texts, _unresolved(long, known).select("sig", "a", "na"), size, bands)
+    roots = _linked(known)
+    long = _shared(texts, stored(_unresolved(long, roots).select("sig", "a", "na")), size, bands)
     for turn in range(STARS):
-        open_lists = stored(_unresolved(long, known))
+        open_lists = stored(_unresolved(long, roots))
         if open_lists.isEmpty():
             return known
         # a star per list: every entry outside the list's main component meets a different member of it each turn
@@ -508,12 +578,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
         main = sizes.groupBy("sig").agg(F.max(F.struct("k", "root", "p")).alias("m")).select("sig", "m.root", "m.p.b", "m.p.nb")
         pairs = (open_lists.join(main.withColumnRenamed("root", "main"), "sig").where("root <> main").where(_fits(percent))
                  .select("a", "na", "b", "nb"))
-        pairs = _order(pairs).join(short, ["a", "na", "b", "nb"], "left_anti")
-        pairs = stored(pairs)
-        short = short.union(pairs)
-        known = stored(known.unionByName(verify(texts, sketches, pairs, size, bands)))
+        pairs = stored(_likely(_order(pairs), sketches, bands).join(tested, ["a", "na", "b", "nb"], "left_anti"))
+        tested = tested.union(pairs)
+        known = stored(known.unionByName(verify(texts, pairs, size, bands)))
+        roots = _linked(known)
         long = open_lists.select("sig", "a", "na")
-    return _rest(texts, sketches, stored(_unresolved(long, known)), known, short, size, bands)
+    return _rest(texts, sketches, stored(_unresolved(long, roots)), known, tested, size, bands, buckets)
 
 
 def _prefix(part: int, whole: int):
@@ -521,7 +591,8 @@ def _prefix(part: int, whole: int):
     return (F.col("n") - F.ceil(F.col("n") * part / whole) + 1).cast("int")
 
 
-def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFrame, short: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFrame, tested: DataFrame, size: int, bands: Bands,
+          buckets: int) -> DataFrame:
     """Cost-based allocation for sets that keep entries in unresolved long lists."""
     if rest.isEmpty():
         return known
@@ -529,10 +600,10 @@ def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFra
     chosen = rest.select(F.col("a").alias("cls"), F.col("na").alias("n"), "root").distinct()
 
     text = stored(_some(texts, chosen).join(chosen, ["cls", "n"], "left_semi"))
-    chosen = stored(chosen.join(sketches, ["cls", "n"]))
+    chosen = stored(chosen.join(sketches.drop("wide"), ["cls", "n"]))
     index = stored(_deletions(text, size, bands))
     cost = rest.groupBy("sig").agg(F.count("*").alias("cost"))
-    own = (index.where("kind = 0 and larger = 1").join(cost, F.col("key") == F.col("sig"), "left")
+    own = (index.where("kind = 0 and larger = 1").join(cost, reduced(F.col("key"), buckets) == F.col("sig"), "left")
            .select("cls", "n", "number", F.coalesce("cost", F.lit(0)).alias("cost")))
     # what a deletion list would cost: entries of the other kind under the same key
     load = index.groupBy("key").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("plain"), F.count(F.when(F.col("kind") == 1, 1)).alias("less"))
@@ -572,8 +643,8 @@ def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFra
     room = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     by_rare = few.join(held, (F.col("g") == F.col("g_b")) & room & possible)
     pairs = by_delete.select("a", "na", "b", "nb").union(by_rare.select("a", "na", "b", "nb"))
-    pairs = stored(_order(pairs).join(short, ["a", "na", "b", "nb"], "left_anti"))
-    return stored(known.unionByName(verify(texts, sketches, pairs, size, bands)))
+    pairs = stored(_order(pairs).join(tested, ["a", "na", "b", "nb"], "left_anti"))
+    return stored(known.unionByName(verify(texts, pairs, size, bands)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keep_class: bool = False) -> DataFrame:

@@ -130,3 +130,28 @@ def test_rare_shingles_meet_no_pair_without_room_for_a_link(frame, monkeypatch):
     rows = [(3 * v + k, " ".join(common[:90] + [f"u{v}_{i}" for i in range(20)] + common[90:] + [f"t{v}_{k}"])) for v in range(20) for k in range(3)]
     assert key(got(frame, rows)) == key(brute(rows))
     assert len(met) == 2 and met[1] < 5000  # 24768 where every shared rare shingle counts
+
+
+def test_sketches_rule_out_pairs_of_long_texts_without_their_texts(frame, monkeypatch):
+    """Pairs of long texts that share a segment but little else are not verified; links between them are."""
+    seen, inner = [], ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda texts, pairs, size, bands: seen.extend(pairs.collect()) or inner(texts, pairs, size, bands))
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(700)]
+    rows = [(k, " ".join(common[:500] + [f"u{k}_{i}" for i in range(900)] + common[500:])) for k in range(8)]
+    rows += [(100 + k, edited(rng, text.split(), 12)) for k, text in rows[:3]]
+    assert key(got(frame, rows)) == key(brute(rows))
+    assert 3 <= len(seen) <= 6  # two of the others differ in some 1800 shingles, of which 512 bits show 256
+
+
+def test_wide_sketches_never_exceed_the_difference():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (513, 900, 1024, 1025, 2100):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for cut, more in ((0, 0), (3, 0), (40, 60), (n // 6, 0), (n // 2, n)):
+            y = np.unique(np.concatenate([x[cut:], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+            one, two = (ngram_join._wide(s, np.array([0, len(s)]))[0] for s in (x, y))
+            if one and two:
+                assert ngram_join._apart(one, two) <= len(np.setxor1d(x, y))
+                assert cut + more == 0 or ngram_join._apart(one, two) >= (cut + more) // 4
