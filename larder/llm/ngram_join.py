@@ -102,6 +102,10 @@ class Bands:
         band = np.searchsorted(edges, np.maximum(sizes, 1), "right") - 1
         return band, edges[band + 1] - 1, edges[band + 2] - 1
 
+    def number(self, n, edges: list[int]):
+        """Band number of the column n; -1 for empty sets."""
+        return F.size(F.filter(F.array(*map(F.lit, edges)), lambda low: low <= n)) - 1
+
     def close(self, n, m):
         """Whether sizes n and m allow a link."""
         return np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
@@ -229,16 +233,32 @@ def planes(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-def reduced(key, buckets: int):
-    """The bucket and the low 32 bits of a segment's key in one long, as ``candidates`` names a list: two keys that meet only make its list longer."""
-    bucket = F.shiftrightunsigned(key, 32) % F.lit(buckets).cast("long")
-    return F.shiftleft(bucket, 32).bitwiseOR(key.bitwiseAND(F.lit(0xFFFFFFFF)))
+class Buckets:
+    """Which bucket holds a segment's key.  Every group of sets has buckets of its own, as many as its entries fill, so a set's entries lie in few.
+
+    ``shingles``: how many there are in the sets of each band.
+    """
+
+    def __init__(self, shingles: dict[int, int], edges: list[int]):
+        last = max(shingles, default=0) + 1
+        # a set makes some 0.3 entries a shingle, small sets more, in its band and as many in the next
+        made = [shingles.get(g, 0) * min(1, 0.3 + 2 / edges[g]) for g in range(last)]
+        self.count = [max(1, math.ceil((x + y) / BUCKET_ENTRIES)) for x, y in zip([*made, 0], [0, *made], strict=True)]
+        self.first = [sum(self.count[:g]) for g in range(last + 1)]
+
+    def of(self, key: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return (np.array(self.first)[group] + ((key >> np.uint64(32)) % np.array(self.count, np.uint64)[group]).astype(np.int64)).astype(np.int32)
+
+    def named(self, key, group):
+        """The bucket and the low 32 bits of a key in one long, as ``candidates`` names a list: two keys that meet only make its list longer."""
+        first, count = (F.element_at(F.array(*(F.lit(x).cast("long") for x in xs)), group + 1) for xs in (self.first, self.count))
+        return F.shiftleft(first + F.shiftrightunsigned(key, 32) % count, 32).bitwiseOR(key.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands: frozenset[int]) -> DataFrame:
+def entries(docs: DataFrame, size: int, bands: Bands, buckets: Buckets, needy_bands: frozenset[int]) -> DataFrame:
     """The index as rows of packed arrays: (bucket, sig, cls, n, role); each class once per task.
 
-    Of a key, its high half deals out the buckets and its low half is sig; of the many entries, a bucket holds a fixed number.
+    Of a key, its high half deals out the buckets of the group and its low half is sig; a set's entries stand together.
     """
     salts = 16
 
@@ -257,7 +277,7 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
                             ("role", pa.binary())])
         seen: set[tuple[int, int]] = set()
         for batch in (part for whole in batches for part in parts(whole)):
-            sig, cls, n, role = [], [], [], []
+            sig, cls, n, role, at = [], [], [], [], []
             for members, bounds, key in _chunks(batch, size):
                 sizes = np.diff(bounds)
                 new = np.array([able and (k := (int(c), int(s))) not in seen and not seen.add(k)
@@ -267,22 +287,26 @@ def entries(docs: DataFrame, size: int, bands: Bands, buckets: int, needy_bands:
                     continue
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
                 band, largest, above = bands.table(sizes)
+                sorts = []
                 for group, top, own in ((band, largest, OWN), (band + 1, above, 0)):
                     m = bands.segments(top)
                     owner, number, found = _segments(members, bounds, group, m)
                     needy = (np.bincount(owner, minlength=len(m)) < bands.differ(sizes) + 1) & (own == OWN)
-                    sorts = [(owner, found, np.full(len(found), own))]
+                    sorts.append((owner, found, np.full(len(found), own, np.int8), group[owner]))
                     if needy_bands:
-                        sorts += [(np.full(len(x), i), x, np.full(len(x), 4 | own | (NEEDY if needy[i] else 0)))
+                        sorts += [(np.full(len(x), i), x, np.full(len(x), 4 | own | (NEEDY if needy[i] else 0), np.int8), np.full(len(x), group[i]))
                                   for i, x in voids(group, m, owner, number, needy, key)]
-                    for who, x, kind in sorts:
-                        sig.append(x), cls.append(key[who]), n.append(sizes[who].astype(np.int32)), role.append(kind.astype(np.int8))
+                who, x, kind, groups = (np.concatenate(y) for y in zip(*sorts, strict=True))
+                order = np.argsort(who, kind="stable")
+                who = who[order]
+                sig.append(x[order]), cls.append(key[who]), n.append(sizes[who].astype(np.int32)), role.append(kind[order])
+                at.append(buckets.of(x, groups)[order])
             if not sig:
                 continue
             columns = [np.concatenate(x) for x in (sig, cls, n, role)]
-            bucket = ((columns[0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            bucket = np.concatenate(at)
             columns[0] = columns[0].astype(np.uint32)
-            order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.int16) if bucket.max() < 1 << 15 else bucket, kind="stable")
             bucket, columns = bucket[order], [x[order] for x in columns]
             heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = np.append(heads[1:], len(bucket))
@@ -546,12 +570,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
     bands = Bands(percent)
     if base is None:
         base = stored(classes(docs, size, bands))
-    facts = base.agg(F.sum("n_shingles").alias("total")).first()
-    # the bands of needy sets: sizes become band numbers in Spark, and there are some ten bands per factor of ten in size
+    # sizes become band numbers in Spark, and there are some ten bands per factor of ten in size
     edges = bands.edges(base.agg(F.max("n_shingles")).first()[0] or 1)
-    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda low: low <= F.col("n_shingles"))) - 1
-    needy = frozenset(r[0] for r in base.where("needy").select(band.alias("band")).distinct().collect())
-    buckets = max(1, math.ceil((facts["total"] or 0) * 0.6 / BUCKET_ENTRIES))
+    band = bands.number(F.col("n_shingles"), edges)
+    facts = base.groupBy(band.alias("band")).agg(F.sum("n_shingles").alias("total"), F.max("needy").alias("needy")).collect()
+    needy = frozenset(r["band"] for r in facts if r["needy"])
+    buckets = Buckets({r["band"]: r["total"] for r in facts if r["band"] >= 0}, edges)
     found = stored(candidates(entries(docs, size, bands, buckets, needy), bands))
     wanted = stored(found.select(F.col("a").alias("cls"), F.col("na").alias("n"))
                     .union(found.where("b is not null").select("b", "nb")).distinct())
@@ -583,7 +607,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, base: DataFrame | N
         known = stored(known.unionByName(verify(texts, pairs, size, bands)))
         roots = _linked(known)
         long = open_lists.select("sig", "a", "na")
-    return _rest(texts, sketches, stored(_unresolved(long, roots)), known, tested, size, bands, buckets)
+    return _rest(texts, sketches, stored(_unresolved(long, roots)), known, tested, size, bands, edges, buckets)
 
 
 def _prefix(part: int, whole: int):
@@ -592,7 +616,7 @@ def _prefix(part: int, whole: int):
 
 
 def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFrame, tested: DataFrame, size: int, bands: Bands,
-          buckets: int) -> DataFrame:
+          edges: list[int], buckets: Buckets) -> DataFrame:
     """Cost-based allocation for sets that keep entries in unresolved long lists."""
     if rest.isEmpty():
         return known
@@ -603,7 +627,7 @@ def _rest(texts: DataFrame, sketches: DataFrame, rest: DataFrame, known: DataFra
     chosen = stored(chosen.join(sketches.drop("wide"), ["cls", "n"]))
     index = stored(_deletions(text, size, bands))
     cost = rest.groupBy("sig").agg(F.count("*").alias("cost"))
-    own = (index.where("kind = 0 and larger = 1").join(cost, reduced(F.col("key"), buckets) == F.col("sig"), "left")
+    own = (index.where("kind = 0 and larger = 1").join(cost, buckets.named(F.col("key"), bands.number(F.col("n"), edges)) == F.col("sig"), "left")
            .select("cls", "n", "number", F.coalesce("cost", F.lit(0)).alias("cost")))
     # what a deletion list would cost: entries of the other kind under the same key
     load = index.groupBy("key").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("plain"), F.count(F.when(F.col("kind") == 1, 1)).alias("less"))

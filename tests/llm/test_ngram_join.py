@@ -155,3 +155,21 @@ def test_wide_sketches_never_exceed_the_difference():
             if one and two:
                 assert ngram_join._apart(one, two) <= len(np.setxor1d(x, y))
                 assert cut + more == 0 or ngram_join._apart(one, two) >= (cut + more) // 4
+
+
+def test_a_set_has_its_entries_in_the_buckets_of_two_groups(spark, monkeypatch):
+    """Spark and numpy name a list alike, and groups share no bucket: a set meets few buckets however many there are."""
+    import numpy as np
+    monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 1000)
+    bands = ngram_join.Bands(80)
+    edges = bands.edges(5000)
+    buckets = ngram_join.Buckets({0: 10, 3: 40_000, 12: 90_000, 20: 500}, edges)
+    rng = np.random.default_rng(1)
+    key = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    group = rng.integers(0, 22, 400)
+    made = buckets.of(key, group)
+    df = spark.createDataFrame([(int(k), int(g)) for k, g in zip(key.view(np.int64), group)], "key long, g int")
+    named = [r[0] for r in df.select(buckets.named(df["key"], df["g"])).collect()]
+    assert named == [int(b) << 32 | int(k) & 0xFFFFFFFF for b, k in zip(made, key)]
+    held = [set(made[group == g]) for g in range(22)]
+    assert sum(map(len, held)) == len(set().union(*held)) and len(held[12]) > 1
