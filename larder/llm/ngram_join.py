@@ -702,18 +702,24 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """The rows of ``docs`` without those that near-duplicate a row of lower doc_id; columns unchanged.
 
     Of each component the rows of its smallest doc_id stay.  Rows without words stay, and so do rows without doc_id.
+    Only where a doc_id has rows of both kinds are the rows told apart by their texts.
     """
-    found = near_duplicates(docs, size, percent, keep_class=True)
+    columns = [f"`{c}`" for c in docs.columns]
+    judged = stored(near_duplicates(docs, size, percent, keep_class=True).where("doc_id is not null")
+                    .select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_cls"), F.col("n_shingles").alias("gone_size"),
+                            (F.col("doc_id") != F.col("component_id")).alias("gone")))
+    ids = stored(judged.groupBy("gone_id").agg(F.max("gone").alias("some"), F.min("gone").alias("each")).where("some"))
+    mixed = ids.where("not each")
+    gone = judged.where("gone").join(mixed.select("gone_id"), "gone_id", "left_semi")
     names = {c: fresh(docs, c) for c in ("cls", "size")}
-    gone = (found.where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_cls"), F.col("n_shingles").alias("gone_size")).distinct())
 
     def key(batch):
         made = [(k, n) for _, n, k in _sets(batch, size)]
         return {names["cls"]: [k for k, _ in made], names["size"]: [n for _, n in made]}
 
-    keyed = extend_batches(docs, key, "`{}` long, `{}` long".format(*names.values()))
-    left = [F.col("doc_id").cast("long"), F.col(f"`{names['cls']}`"), F.col(f"`{names['size']}`")]
-    gone = stored(gone)
+    doc_id = F.col("doc_id").cast("long")
+    keyed = extend_batches(docs.join(mixed, doc_id == mixed["gone_id"], "left_semi"), key, "`{}` long, `{}` long".format(*names.values()))
+    left = [doc_id, F.col(f"`{names['cls']}`"), F.col(f"`{names['size']}`")]
     match = [a == gone[b] for a, b in zip(left, ("gone_id", "gone_cls", "gone_size"), strict=True)]
-    return keyed.join(gone, match, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return (docs.join(ids, doc_id == ids["gone_id"], "left_anti").select(*columns)
+            .union(keyed.join(gone, match, "left_anti").select(*columns)))

@@ -173,3 +173,14 @@ def test_a_set_has_its_entries_in_the_buckets_of_two_groups(spark, monkeypatch):
     assert named == [int(b) << 32 | int(k) & 0xFFFFFFFF for b, k in zip(made, key)]
     held = [set(made[group == g]) for g in range(22)]
     assert sum(map(len, held)) == len(set().union(*held)) and len(held[12]) > 1
+
+
+def test_representatives_tell_rows_of_one_doc_id_apart_and_key_no_others(frame, monkeypatch):
+    """Document 2 has a copy of document 1 and a text of its own; only its rows go through Python a second time."""
+    seen, inner = [], ngram_join.extend_batches
+    monkeypatch.setattr(ngram_join, "extend_batches", lambda docs, *rest: seen.append(docs.count()) or inner(docs, *rest))
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "quite another text here it is"), (3, "a b c d e f"), (None, "a b c d e f"),
+            (4, None), (5, "alone"), (1, "a b c d e f")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.representatives(frame(rows, DDL)).collect()]
+    assert key(kept) == key([rows[i] for i in (0, 2, 4, 5, 6, 7)])
+    assert seen == [2]
