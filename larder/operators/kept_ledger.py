@@ -43,7 +43,7 @@ def append_period(c: Catalog, p: LedgerParams, root: str, staged: bool | None =
     """Compute the ledger of the store and period and keep it in the table at ``root``."""
     if p.item_like != MATCH_ALL or p.order_code_like != MATCH_ALL:
         raise ValueError("a kept period holds all its items: search patterns belong to the reader")
-    write_period(activity_ledger(c, p, staged=staged), p.store, p.start, p.end, root)
+    write_period(activity_ledger(c, p, staged=staged, apart=True), p.store, p.start, p.end, root)
 
 
 def kept_ledger(spark: SparkSession, root: str) -> DataFrame:

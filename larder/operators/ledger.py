@@ -13,6 +13,12 @@ so such rows are counted and the sums multiplied; counts and purchases, which
 are not summed, repeat instead.
 The single-kind operators (``ledger_waste`` ...) run the same code for one
 kind.
+
+Tables that grow with the items are joined by shuffle (``by_shuffle``): the
+planner would broadcast them by the few bytes of their files, and the driver
+has to hold what is broadcast.  On large inputs the headers of the period are
+written first (``stages``): a written table has an exact size, so where it is
+small the line facts are cut to it where they are read.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from ..params import (ENDING, MATCH_ALL, OPENING, PURCHASE, SUBTOTAL, TRANSFER_I
                       TRANSFER_OUT, WASTE, LedgerParams)
 from ..sources import Catalog
 from .dimensions import lookup, packaging_units, reporting_factor, store_name, with_category
-from .keyed import distinct_keys
-from .stages import stage_if_large
+from .keyed import by_shuffle, distinct_keys
+from .stages import is_large, stage
 
 S = T.StringType()
 LEDGER_SCHEMA = T.StructType([
@@ -74,11 +80,22 @@ def as_ledger(**cols: Column) -> list[Column]:
 # Item set and lookup
 # --------------------------------------------------------------------------
 
-def _store_purchases(c: Catalog, p: LedgerParams) -> DataFrame:
+def _of(rows: DataFrame, headers: DataFrame, key: str, name: str, staged: bool) -> DataFrame:
+    """``rows`` joined to their headers; ``staged``: to the written headers,
+    the rows cut to them before.  The cut is a filter (``IN``), which passes
+    below the steps that make the rows; a semi join stays above most."""
+    if staged:
+        headers = stage(headers, name)
+        rows = rows.where(F.col(key).isin(headers.select(key)))
+    return rows.join(headers, key)
+
+
+def _store_purchases(c: Catalog, p: LedgerParams, staged: bool = False) -> DataFrame:
     period = (p.store, p.start, p.end)
     inv = (c.of_period("Invoice", *period).where((F.col("Store") == p.store) & between(F.col("InvoiceDate"), p.start, p.end))
            .select(F.col("InvoiceId").alias("Invoice"), "InvoiceDate", "InvoiceNumber"))
-    return c.of_period("InvoiceItem", *period).join(inv, "Invoice")
+    return _of(c.of_period("InvoiceItem", *period), inv, "Invoice", "invoices", staged).select(
+        F.col("Item").alias("ItemId"), "InvoiceLineId", "CaseSize", "StockQty", "AdjustedTotal", "InvoiceDate", "InvoiceNumber")
 
 
 USAGE_KINDS = (WASTE, TRANSFER_IN, TRANSFER_OUT)
@@ -93,7 +110,7 @@ def _store_sources(c: Catalog, p: LedgerParams) -> DataFrame:
             .select(F.col("UsageSourceId").alias("UsageSource")))
 
 
-def _usage_roles(c: Catalog, p: LedgerParams, kinds) -> DataFrame:
+def _usage_roles(c: Catalog, p: LedgerParams, kinds, staged: bool = False) -> DataFrame:
     """What each of the store's period usage sources records, keyed by
     ``UsageSource``: a waste event (dated by its waste date) and / or the
     store's own end of a transfer — ``Transfer In`` when that end is the
@@ -103,8 +120,11 @@ def _usage_roles(c: Catalog, p: LedgerParams, kinds) -> DataFrame:
     Built from the period's usage sources outward: waste rows and transfer
     contexts are first cut to those sources (a small set), and only that
     small side meets the transfer table, so the full transfer history is
-    never joined with the full context table."""
+    never joined with the full context table.  ``staged``: the sources and
+    their contexts are written, so that what they cut need not be shuffled."""
     sources = _store_sources(c, p)
+    if staged:
+        sources = stage(sources, "sources")
     period = (p.store, p.start, p.end)  # waste and contexts lie in the partition of their usage source
     parts = []
     if WASTE in kinds:
@@ -121,35 +141,43 @@ def _usage_roles(c: Catalog, p: LedgerParams, kinds) -> DataFrame:
     if roles:
         tc = (c.of_period("TransferContext", *period).select(F.col("TransferContextId").alias("own_ctx"), "UsageSource")
               .join(sources, "UsageSource"))
+        if staged:
+            tc = stage(tc, "contexts")
         parts.append(tc.join(reduce(DataFrame.unionByName, roles), "own_ctx").drop("own_ctx"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def usage_activity(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS) -> DataFrame:
+def usage_activity(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS, staged: bool = False) -> DataFrame:
     """Store usage rows tagged with the activity their source records: one
     join of the usage fact against all roles (which only hold the store's
     period usage sources), so the fact is read once for waste and both
     transfer directions."""
     iu = c.of_period("ItemUsage", p.store, p.start, p.end).select("UsageSource", "Item", "StockQty", "TrackingCost")
-    return iu.join(_usage_roles(c, p, kinds), "UsageSource")
+    return _of(iu, _usage_roles(c, p, kinds, staged), "UsageSource", "roles", staged)
 
 
 @dataclass(frozen=True)
 class PeriodLines:
-    """The line facts of a store and period, as every step of the ledger needs them."""
+    """The line facts of a store and period, as every step of the ledger needs
+    them; ``staged`` if the purchases were written."""
 
     purchases: DataFrame
     usage: DataFrame
+    staged: bool = False
 
 
 def period_lines(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS, staged: bool | None = None) -> PeriodLines:
     """Purchased and used lines of the store in the period.  The active items
     and the events are both made from them: staged (``stages``), each line
     fact is read once for the whole ledger; else once per reader."""
-    purchases = _store_purchases(c, p).select(
-        F.col("Item").alias("ItemId"), "InvoiceLineId", "CaseSize", "StockQty", "AdjustedTotal", "InvoiceDate", "InvoiceNumber")
+    purchases = _store_purchases(c, p)
+    large = is_large(purchases, staged)
+    if large:
+        purchases = stage(_store_purchases(c, p, True), "purchases")
     usage = usage_activity(c, p, kinds) if kinds else None
-    return PeriodLines(stage_if_large(purchases, "purchases", staged), usage if usage is None else stage_if_large(usage, "usage", staged))
+    if kinds and is_large(usage, staged):
+        usage = stage(usage_activity(c, p, kinds, True), "usage")
+    return PeriodLines(purchases, usage, large)
 
 
 def usage_events(c: Catalog, p: LedgerParams, kinds=USAGE_KINDS, lines: PeriodLines | None = None) -> DataFrame:
@@ -202,10 +230,12 @@ def item_info(c: Catalog, p: LedgerParams) -> DataFrame:
     # every item-keyed table, so the wide row is shuffled by CaseSizeId once
     # and by ItemId once; the distinct and the later joins on ItemId reuse
     # that last partitioning.
-    packs = cs.join(csc, "CaseSizeId")
+    packs = cs.join(by_shuffle(csc), "CaseSizeId")
     if p.order_code_like != MATCH_ALL:
         packs = packs.where(like(F.col("OrderCode"), p.order_code_like, fold_case=True))
-    j = detail.join(packs, "CaseSizeId").join(items, "ItemId").join(iuc, "ItemId").join(icf, "ItemId")
+    j = detail.join(by_shuffle(packs), "CaseSizeId")
+    for by_item in (items, iuc, icf):
+        j = j.join(by_shuffle(by_item), "ItemId")
     j = with_category(c, packaging_units(c, j))
     return j.select(*INFO_COLUMNS).distinct()
 
@@ -235,10 +265,11 @@ def _info_fields(store_label: Column) -> dict[str, Column]:
 # Branches
 # --------------------------------------------------------------------------
 
-def count_events(c: Catalog, p: LedgerParams, active: DataFrame, kinds=COUNT_KINDS) -> DataFrame:
+def count_events(c: Catalog, p: LedgerParams, active: DataFrame, kinds=COUNT_KINDS, staged: bool = False) -> DataFrame:
     """Lines of the store's finalized counts opened (``Opening Inventory``)
     or closed (``Ending Inventory``) in the period, active items only: a
-    count with both dates in the period gives both rows."""
+    count with both dates in the period gives both rows.  ``staged``: the
+    counts are written and their lines cut to them."""
     roles = []
     for kind, col in ((OPENING, "OpenDate"), (ENDING, "CloseDate")):
         if kind in kinds:
@@ -247,23 +278,24 @@ def count_events(c: Catalog, p: LedgerParams, active: DataFrame, kinds=COUNT_KIN
                 .select(F.col("InventoryId").alias("Inventory"), F.col(col).alias("ActivityDate"),
                         F.lit(kind).alias("ActivityTypeName"), *c.partition_columns("Inventory", "InventorySummary")))
     inv = reduce(DataFrame.unionByName, roles)
-    lines = c.of_headers("InventorySummary", inv).join(inv, "Inventory").select(
+    lines = _of(c.of_headers("InventorySummary", inv), inv, "Inventory", "counts", staged).select(
         F.col("Item").alias("ItemId"), "ActivityDate", "ActivityTypeName", "QtyOnHand", "PreppedQty",
         "TotalValue")
-    return lines.join(active, "ItemId", "left_semi")
+    return lines.join(by_shuffle(active), "ItemId", "left_semi")
 
 
 def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame | None,
-                kinds=ALL_KINDS, lines: PeriodLines | None = None) -> DataFrame:
+                kinds=ALL_KINDS, lines: PeriodLines | None = None, apart: bool = False) -> DataFrame:
     """Ledger rows of the given kinds, joined to the item and to the item
-    lookup once for all of them.  Counts, waste and transfers take packaging
+    lookup once for all of them; ``apart``: the events of staged lines are
+    written before, which halves the plan that the driver has to hold.  Counts, waste and transfers take packaging
     and costs from the lookup; purchases carry their line's own values and
     take only the reporting factor from it (the lookup join still repeats a
     purchase once per lookup row, as every branch does).  Quantities are in
     stock units until divided by the factor."""
     parts = []
     if set(kinds) & set(COUNT_KINDS):
-        counts = count_events(c, p, active, kinds)
+        counts = count_events(c, p, active, kinds, lines is not None and lines.staged)
         parts.append(counts.select(
             "ItemId", "ActivityDate", "ActivityTypeName", F.lit("").alias("PurchaseInfo"),
             F.lit(None).cast("string").alias("SupplierName"),
@@ -282,9 +314,11 @@ def info_ledger(c: Catalog, p: LedgerParams, info: DataFrame, active: DataFrame
                                                    for k, t in LINE_FIELDS.items()]
     parts = [part if "is_line" in part.columns else part.select("*", *no_line) for part in parts]
     events = reduce(DataFrame.unionByName, parts)
+    if apart and lines is not None and lines.staged:
+        events = stage(events, "events")
     alike = [x for x in INFO_COLUMNS if x != "CategoryName"]
     info = info.groupBy(*alike).agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    j = events.join(_items_like(c, p), "ItemId").join(info, "ItemId")
+    j = events.join(by_shuffle(_items_like(c, p)), "ItemId").join(by_shuffle(info), "ItemId")
     summed = F.col("ActivityTypeName").isin(*USAGE_KINDS)
     times = F.when(summed, F.col("copies")).otherwise(1)
     j = (j.withColumn("raw_qty", F.col("raw_qty") * times).withColumn("raw_value", F.col("raw_value") * times)
@@ -351,16 +385,17 @@ def purchase_events(c: Catalog, p: LedgerParams, lines: PeriodLines | None = Non
     own case size and of the item at the store (``line_*`` columns).
 
     Every such item is active by construction (the active set is built from
-    these same lines), so no semi-join is needed."""
+    these same lines), so no semi-join is needed.  Over staged lines the
+    credits are cut to theirs."""
     lines = lines or period_lines(c, p, (), staged=False)
     credits = c.of_period("InvoiceRFC", p.store, p.start, p.end).select(F.col("InvoiceItem").alias("InvoiceLineId"),
                                                                         F.col("StockQty").alias("credit"))
+    if lines.staged:
+        credits = credits.where(F.col("InvoiceLineId").isin(lines.purchases.select("InvoiceLineId")))
     cs = c["CaseSize"].select(F.col("CaseSizeId").alias("CaseSize"), "Supplier", "OrderCode",
                               "CaseQty", "PakQty", "PurchaseUom", "CaseUom", "PakUom")
     if p.order_code_like != MATCH_ALL:
         cs = cs.where(like(F.col("OrderCode"), p.order_code_like, case_insensitive=p.case_insensitive))
-    cs = packaging_units(c, lookup(cs, c["Vendor"], "Supplier", "SupplierId", {"Name": "SupplierName"},
-                                   drop_key=True))
     iuc = (c["ItemUnitCost"].where((F.col("Store") == p.store) & (F.col("Active") == 1))
            .select(F.col("Item").alias("ItemId"), "TrackingCost"))
     csc = c["CaseSizeCost"].where(F.col("Store") == p.store).select("CaseSize", "CaseCost")
@@ -368,10 +403,12 @@ def purchase_events(c: Catalog, p: LedgerParams, lines: PeriodLines | None = Non
                                      F.col("ReportingConversionFactor").alias("line_factor"),
                                      "ReportingUom")
     # Grouped by key: line-keyed credits, then the case-size tables (joined
-    # to each other first), then the item-keyed tables.
-    j = (lines.purchases.join(credits, "InvoiceLineId", "left")
-         .join(cs.join(csc, "CaseSize"), "CaseSize")
-         .join(iuc, "ItemId").join(icf, "ItemId"))
+    # to each other first), then the item-keyed tables; the vendor and the
+    # units are looked up for the lines, not for all case sizes.
+    j = (lines.purchases.join(by_shuffle(credits), "InvoiceLineId", "left")
+         .join(by_shuffle(cs.join(by_shuffle(csc), "CaseSize")), "CaseSize")
+         .join(by_shuffle(iuc), "ItemId").join(by_shuffle(icf), "ItemId"))
+    j = packaging_units(c, lookup(j, c["Vendor"], "Supplier", "SupplierId", {"Name": "SupplierName"}, drop_key=True))
     line = {
         "OrderCode": F.col("OrderCode"), "CaseCost": F.col("CaseCost"), "CaseQty": F.col("CaseQty"),
         "PakQty": F.col("PakQty"), "UnitCost": reporting_cost(F.col("TrackingCost"), F.col("line_factor")),
@@ -394,12 +431,12 @@ def ledger_purchases(c: Catalog, p: LedgerParams, info: DataFrame | None = None)
 
 
 def activity_ledger(c: Catalog, p: LedgerParams, info: DataFrame | None = None,
-                    with_subtotals: bool = False, staged: bool | None = None) -> DataFrame:
+                    with_subtotals: bool = False, staged: bool | None = None, apart: bool = False) -> DataFrame:
     """All six activity kinds in the 19-column ledger shape (bag union),
     built together in ``info_ledger`` from one set of period lines."""
     info = item_info(c, p) if info is None else info
     lines = period_lines(c, p, staged=staged)
-    ledger = info_ledger(c, p, info, active_items(c, p, lines), lines=lines)
+    ledger = info_ledger(c, p, info, active_items(c, p, lines), lines=lines, apart=apart)
     return _with_subtotals(ledger) if with_subtotals else ledger
 
 

@@ -123,3 +123,39 @@ def test_pick_sheet_cuts_large_line_tables_before_their_shuffle(spark, small_cat
         assert sorted(map(str, staged.collect())) == sorted(map(str, lazy.collect()))
     finally:
         spark.conf.set(limit, old)
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_kept_ledger_broadcasts_no_item_table(spark, small_catalog, staged):
+    """The ledger of a kept period holds no table of items in the driver, whatever its file's bytes."""
+    from larder.operators.ledger import activity_ledger
+    from larder.plans.registry import KEPT
+    subtrees = list(broadcast_subtrees(physical(activity_ledger(small_catalog, KEPT[0], staged=staged))))
+    assert subtrees
+    for tree in subtrees:
+        assert "p_partkey" not in tree and "l_partkey" not in tree, tree
+
+
+def test_kept_ledger_writes_usage_without_broadcasting_parts(spark, small_catalog):
+    from larder.operators.ledger import usage_activity
+    from larder.plans.registry import KEPT
+    for staged in (False, True):
+        assert not any("p_partkey" in tree for tree in broadcast_subtrees(physical(usage_activity(small_catalog, KEPT[0], staged=staged))))
+
+
+def test_kept_ledger_cuts_large_line_tables_before_their_shuffle(spark, small_catalog):
+    """With the headers of the period written, purchased and used lines are cut where they are read."""
+    from larder.operators import ledger
+    from larder.plans.registry import KEPT
+    lines = [lambda staged: ledger._store_purchases(small_catalog, KEPT[0], staged),
+             lambda staged: ledger.usage_activity(small_catalog, KEPT[0], staged=staged)]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "3k")  # less than the keys of all orders are estimated at, more than the written ones
+    try:
+        for make in lines:
+            cut, uncut = lines_cut_first(physical(make(True))), lines_cut_first(physical(make(False)))
+            assert cut == [True] and uncut == [False], (cut, uncut)
+            assert sorted(map(str, make(True).collect())) == sorted(map(str, make(False).collect()))
+    finally:
+        spark.conf.set(limit, old)

@@ -237,6 +237,16 @@ def test_periods_are_kept_once_and_failures_keep_the_old_rows(spark, small_catal
     assert "isnotnull(LedgerStore" in plan(kept_ledger.kept_ledger(spark, root).where("LedgerStore = 2")).split("PartitionFilters:")[1]
 
 
+def test_a_kept_period_over_large_tables_is_the_same(spark, small_catalog):
+    """Headers, lines and events are written on the way: rows as of the lazy ledger."""
+    p = LedgerParams(store=2, start="1999-01-01 00:00:00", end="1999-12-31 00:00:00")
+    root = os.path.join(tempfile.mkdtemp(prefix="larder-kept-"), "ledger")
+    kept_ledger.append_period(small_catalog, p, root, staged=True)
+    got = rows(kept_ledger.kept_ledger(spark, root).select(*ledger.LEDGER_COLUMNS))
+    assert got and got == rows(ledger.activity_ledger(small_catalog, p, staged=False))
+    assert "/larder-events-" in plan(ledger.activity_ledger(small_catalog, p, staged=True, apart=True))
+
+
 def test_a_kept_period_is_never_a_part_of_its_items(small_catalog):
     with pytest.raises(ValueError):
         kept_ledger.append_period(small_catalog, LedgerParams(item_like="%ring%"), "/nowhere")
